@@ -151,11 +151,11 @@ def _(t: Tables):
 
 @query("win_lag_valid_rows", "WIN-23", f"""WITH {OBS}, r AS (SELECT site, ts, event_id, k * 0.09375::DOUBLE AS oktas FROM obs WHERE event_type = 'signup')
 SELECT site, ts, event_id, {', '.join(rd(f'lag(oktas, {k}) OVER (PARTITION BY site ORDER BY ts, event_id)', f'lag{k}') for k in (1, 2, 3))},
-round(epoch(ts - lag(ts) OVER (PARTITION BY site ORDER BY ts, event_id)) / 60.0::DOUBLE, 4) AS gap_min_prev FROM r""")
+{rd('epoch(ts - lag(ts) OVER (PARTITION BY site ORDER BY ts, event_id)) / 60.0::DOUBLE', 'gap_min_prev', 4)} FROM r""")
 def _(t: Tables):
     def f(g, w):
         return g.select("*", *[rc(wn.lag("oktas", k, w), f"lag{k}") for k in (1, 2, 3)],
-                        F.round(tl.seconds_between("ts", wn.lag("ts", 1, w)) / 60.0, 4).alias("gap_min_prev"))
+                        rc(tl.seconds_between("ts", wn.lag("ts", 1, w)) / 60.0, "gap_min_prev", 4))
     out = row_windows(reports(t), f, back=3, order=("ts", "event_id"), width_s=7 * tl.DAY)
     return out.select("site", "ts", "event_id", "lag1", "lag2", "lag3", "gap_min_prev")
 
@@ -193,8 +193,8 @@ _S = "greatest(sin(radians(e)), 0::DOUBLE)"
 
 @query("sol_clear_sky_forms", "SOL-3 SOL-4 SOL-5 SOL-6", f"""WITH {S10}, x AS (SELECT *, {_E} AS e FROM s10)
 SELECT site, ts, {rd(f'1100 * {_S}', 'flat', 4)}, {rd(f'greatest(950 * power({_S}, 1.1), 1)', 'power', 4)}, {rd(f'950 * power({_S}, 1.1)', 'power_dark', 4)},
-round(1366.1 * (1 + 0.033 * cos(2 * pi() * dayofyear(ts) / 365.0)) * sin(radians(e)), 4) AS toa,
-round(950 * power({_S}, 1.1) * power(5.0 / (3.0 + oktas), 0.15) * exp(-1.5 * oktas / 10.0), 4) AS attenuated FROM x""")
+{rd('1366.1 * (1 + 0.033 * cos(2 * pi() * dayofyear(ts) / 365.0)) * sin(radians(e))', 'toa', 4)},
+{rd(f'950 * power({_S}, 1.1) * power(5.0 / (3.0 + oktas), 0.15) * exp(-1.5 * oktas / 10.0)', 'attenuated', 4)} FROM x""")
 def _(t: Tables):
     s = series(t).withColumn("e", elevation())
     return s.select("site", "ts", *[rc(so.clear_sky("e", k), k, 4) for k in ("flat", "power", "power_dark")],
@@ -253,7 +253,7 @@ def _(t: Tables):
 
 
 @query("sol_wind_direction", "SOL-14", f"""SELECT event_id, {rd('sin(radians(wd))','ws')}, {rd('cos(radians(wd))','wc')}
-FROM (SELECT event_id, CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER) * 3.6::DOUBLE AS wd FROM events WHERE event_type = 'click')""")
+FROM (SELECT event_id, CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER) * 3.625::DOUBLE AS wd FROM events WHERE event_type = 'click')""")
 def _(t: Tables):
     w = weather(t).where(C("site") == "all")
     return w.select("event_id", rc(F.sin(F.radians("wd")), "ws"), rc(F.cos(F.radians("wd")), "wc"))
@@ -368,7 +368,7 @@ fin AS (SELECT * EXCLUDE (ts, behind), ts AS ts_wib, ts + INTERVAL 60 MINUTE AS
 
 
 @query("feature_table_wide", "JN-2 JN-7 RSM-2 WIN-1 WIN-2 WIN-3 WIN-4 WIN-5 WIN-6 WIN-7 ANC-5 AGG-7",
-       f"WITH {WIDE_SQL} SELECT * REPLACE ({', '.join(f'round({c}, 6) + 0.0::DOUBLE AS {c}' for c in _WIDE_FLOATS)}) FROM fin")
+       f"WITH {WIDE_SQL} SELECT * REPLACE ({', '.join(rd(c, c) for c in _WIDE_FLOATS)}) FROM fin")
 def _(t: Tables):
     return round_all(wide(t), _WIDE_FLOATS, 6)
 

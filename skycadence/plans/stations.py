@@ -158,14 +158,28 @@ def frame(lo: int, hi: int) -> str:
     return f"OVER (PARTITION BY site ORDER BY ts ROWS BETWEEN {end(lo)} AND {end(hi)})"
 
 
+# Both engines round through the same floating-point steps; their own ``round``
+# functions disagree on decimal ties, and 0.501 keeps such ties off the boundary.
+
+def rsql(expr: str, digits: int = 6) -> str:
+    scale = f"{10 ** digits}.0::DOUBLE"
+    return f"floor(({expr}) * {scale} + 0.501::DOUBLE) / {scale}"
+
+
 def rd(expr: str, alias: str, digits: int = 6) -> str:
-    return f"round({expr}, {digits}) + 0.0::DOUBLE AS {alias}"  # + 0 turns -0.0 into 0.0
+    return f"{rsql(expr, digits)} AS {alias}"
+
+
+def rcol(col: Column | str, digits: int = 6) -> Column:
+    c = F.col(col) if isinstance(col, str) else col
+    scale = F.lit(float(10 ** digits))
+    return F.floor(c * scale + F.lit(0.501)) / scale
 
 
-def rc(col: Column, alias: str, digits: int = 6) -> Column:
-    return F.round(col, digits).alias(alias)
+def rc(col: Column | str, alias: str, digits: int = 6) -> Column:
+    return rcol(col, digits).alias(alias)
 
 
 def round_all(df: DataFrame, cols, digits: int = 6) -> DataFrame:
     todo = set(cols)
-    return df.select(*[F.round(c, digits).alias(c) if c in todo else F.col(c) for c in df.columns])
+    return df.select(*[rc(c, c, digits) if c in todo else F.col(c) for c in df.columns])
