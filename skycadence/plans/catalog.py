@@ -1,4 +1,4 @@
 """Imports every query module so that ``CATALOG`` is complete."""
 
-from skycadence.plans import catalog_features, catalog_series  # noqa: F401
+from skycadence.plans import catalog_anchors, catalog_features, catalog_joins, catalog_relational, catalog_series  # noqa: F401
 from skycadence.plans.registry import CATALOG  # noqa: F401
