@@ -13,38 +13,48 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from skycadence.functions.exprs import clip, floor_at
-from skycadence.functions.timeline import clock_hours, shift
 
 
 def _as(c) -> Column:
     return F.col(c) if isinstance(c, str) else (c if isinstance(c, Column) else F.lit(float(c)))
 
 
-def declination_deg(doy: Column) -> Column:
-    return F.lit(23.45) * F.sin(F.radians(F.lit(360.0) * (F.lit(284.0) + doy) / F.lit(365.0)))
+def _sql(x) -> str:
+    """A number, column name or SQL expression as SQL text."""
+    return f"{float(x)!r}D" if isinstance(x, (int, float)) else f"({x})"
 
 
-def _elevation(doy: Column, solar_hours: Column, lat: Column) -> Column:
-    decl = F.radians(declination_deg(doy))
-    angle = F.radians((solar_hours - F.lit(12.0)) * F.lit(15.0))
-    phi = F.radians(lat)
-    s = F.sin(phi) * F.sin(decl) + F.cos(phi) * F.cos(decl) * F.cos(angle)
-    return F.degrees(F.asin(clip(s, -1.0, 1.0)))
+def _ahead(ts: str, seconds: int) -> str:
+    return f"timestampadd(SECOND, {int(seconds)}, {ts})" if seconds else ts
 
 
-def elevation_deg(ts, lat, lon, meridian=105.0) -> Column:
-    """Solar elevation in degrees at local wall time ``ts``."""
-    ts, lat, lon, meridian = _as(ts), _as(lat), _as(lon), _as(meridian)
-    hours = clock_hours(ts) + F.lit(4.0) * (lon - meridian) / F.lit(60.0)
-    return _elevation(F.dayofyear(ts), hours, lat)
+def _elevation_sql(ts: str, lat: str, clock_shift_h: str) -> str:
+    """Elevation from sin a = sin f sin d + cos f cos d cos H.
+
+    One SQL text per call: the formula has some forty nodes, and building it node
+    by node from Python costs more than running it on small data.
+    """
+    decl = f"radians(23.45D * sin(radians(360.0D * (284.0D + dayofyear({ts})) / 365.0D)))"
+    angle = f"radians((hour({ts}) + minute({ts}) / 60.0D + {clock_shift_h} - 12.0D) * 15.0D)"
+    phi = f"radians({lat})"
+    s = f"sin({phi}) * sin({decl}) + cos({phi}) * cos({decl}) * cos({angle})"
+    # greatest/least skip NULL, so an unknown position is ruled out first.
+    return f"CASE WHEN {lat} IS NOT NULL AND {ts} IS NOT NULL THEN degrees(asin(least(greatest({s}, -1.0D), 1.0D))) END"
+
+
+def elevation_deg(ts: str, lat, lon, meridian=105.0, ahead_s: int = 0) -> Column:
+    """Solar elevation in degrees, ``ahead_s`` seconds after local wall time ``ts``.
+
+    ``ts`` is a column name; the position is a number or a column / SQL expression.
+    """
+    shift_h = f"4.0D * ({_sql(lon)} - {_sql(meridian)}) / 60.0D"
+    return F.expr(_elevation_sql(_ahead(ts, ahead_s), _sql(lat), shift_h))
 
 
-def elevation_deg_utc(ts, lat, lon, utc_offset_hours: float = 7.0) -> Column:
+def elevation_deg_utc(ts: str, lat, lon, utc_offset_hours: float = 7.0) -> Column:
     """Variant that goes back to UTC and uses ``lon/15``; never below zero."""
-    ts, lat, lon = _as(ts), _as(lat), _as(lon)
-    utc = shift(ts, -int(utc_offset_hours * 3600))
-    hours = clock_hours(utc) + lon / F.lit(15.0)
-    return floor_at(_elevation(F.dayofyear(utc), hours, lat), 0.0)
+    e = _elevation_sql(_ahead(ts, -int(utc_offset_hours * 3600)), _sql(lat), f"{_sql(lon)} / 15.0D")
+    return floor_at(F.expr(e), 0.0)
 
 
 def sin_elev(elev: Column | str) -> Column:

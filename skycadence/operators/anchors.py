@@ -40,7 +40,7 @@ class AnchorRule:
 PROTOCOL = AnchorRule()
 
 
-def is_anchor(rule: AnchorRule, w: WindowSpec, elev_at: Callable[[Column], Column], step_s: int = STEP_S) -> Column:
+def is_anchor(rule: AnchorRule, w: WindowSpec, elev_at: Callable[[int], Column], step_s: int = STEP_S) -> Column:
     """The rule as one boolean column over a gap-free grid window."""
     there = F.col(rule.present).isNotNull()
     ok = valid_within(there, rule.back, 0, w) == rule.back + 1
@@ -52,9 +52,9 @@ def is_anchor(rule: AnchorRule, w: WindowSpec, elev_at: Callable[[Column], Colum
     if rule.target_in_range:
         ok = ok & inside(lead(rule.value, rule.ahead, w), rule.lo, rule.hi)
     if rule.min_elev is not None:
-        ok = ok & (elev_at(F.col("ts")) > F.lit(rule.min_elev))
+        ok = ok & (elev_at(0) > F.lit(rule.min_elev))
         if rule.elev_at_target:
-            ok = ok & (elev_at(shift("ts", rule.ahead * step_s)) > F.lit(rule.min_elev))
+            ok = ok & (elev_at(rule.ahead * step_s) > F.lit(rule.min_elev))
     return F.coalesce(ok, F.lit(False))
 
 

@@ -44,7 +44,7 @@ def block_bootstrap(df: DataFrame, y: str, preds: Sequence[str], *, resamples: i
     sizes = clean.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     size = sizes.withColumn("_blk", F.least(F.lit(block).cast("long"), C("_n")))
     size = size.withColumn("_nb", F.call_function("div", C("_n") + C("_blk") - 1, C("_blk")))
-    runs = size.select("*", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).cast("long").alias("b"))
+    runs = size.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(resamples - 1).cast("long"))).alias("b"))
     runs = runs.repartition(parallelism(df.sparkSession), *keys, "b")
     blocks = runs.select("*", F.explode(F.sequence(F.lit(0).cast("long"), C("_nb") - 1)).alias("_k"))
     start = draw(C("b"), C("_k"), C("_nb"), seed, C("_n") - C("_blk") + 1)

@@ -1,5 +1,13 @@
 """Imports every query module so that ``CATALOG`` is complete."""
 
-from skycadence.plans import (catalog_anchors, catalog_features, catalog_joins, catalog_quality,  # noqa: F401
-                                    catalog_relational, catalog_series)  # noqa: F401
+from skycadence.plans import (  # noqa: F401
+    catalog_anchors,
+    catalog_evaluation,
+    catalog_features,
+    catalog_joins,
+    catalog_models,
+    catalog_quality,
+    catalog_relational,
+    catalog_series,
+)
 from skycadence.plans.registry import CATALOG  # noqa: F401

@@ -13,7 +13,7 @@ from skycadence.operators.chunks import carry_next, on_grid, ordinal, series_bou
 from skycadence.plans.registry import Tables, query
 from skycadence.plans.stations import (OBS, S10, S1H, SITES, W, cells, cells_sql, elev_sql, elevation, frame, observations, rc, rd,
                                        round_all, series)
-from skycadence.spec import SiteSpec
+from skycadence.spec import SiteSpec, per_site
 
 C = F.col
 ONE = F.lit(1)
@@ -113,9 +113,8 @@ def _(t: Tables):
 _ALT = [SiteSpec(s.name, s.lat + 0.75, s.lon - 1.5) for s in SITES]
 
 
-def _alt_elev(ts="ts"):
-    from skycadence.spec import per_site
-    return so.elevation_deg(ts, per_site(_ALT, "lat"), per_site(_ALT, "lon"), per_site(_ALT, "meridian"))
+def _alt_elev(ahead_s: int = 0):
+    return so.elevation_deg("ts", per_site(_ALT, "lat"), per_site(_ALT, "lon"), per_site(_ALT, "meridian"), ahead_s)
 
 
 def _alt_sql(text: str) -> str:
@@ -147,7 +146,7 @@ def _(t: Tables):
 z AS (SELECT *, y / greatest(cs, 20) AS kt FROM x) SELECT site, ts, {rd('kt', 'kt_next', 5)}, {rd('kt * greatest(cs, 20)', 'rebuilt', 4)} FROM z WHERE y IS NOT NULL""")
 def _(t: Tables):
     s = series(t, lambda g, w: g.withColumn("y", wn.lead("ghi", 6, w)), ahead=6).where(C("y").isNotNull())
-    cs = so.clear_sky(elevation(tl.shift("ts", 3600)))
+    cs = so.clear_sky(elevation(3600))
     kt = so.clearness("y", cs)
     return s.select("site", "ts", rc(kt, "kt_next", 5), rc(kt * ex.floor_at(cs, 20.0), "rebuilt", 4))
 

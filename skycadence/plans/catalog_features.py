@@ -228,7 +228,7 @@ SELECT site, ts, {', '.join(rd(f'cs{k}', f'cs{k}', 4) for k in range(1, 7))}, {r
 {rd('ghi * CASE WHEN s0 > 0.05 THEN s6 / s0 ELSE 1 END', 'sine_ratio', 4)}, {rd('CASE WHEN cs0 > 10 THEN ghi * cs6 / cs0 ELSE ghi END', 'cs_ratio', 4)} FROM y""")
 def _(t: Tables):
     s = series(t).select("site", "ts", "ghi", elevation().alias("e"),
-                         *[so.clear_sky(elevation(tl.shift("ts", 600 * k))).alias(f"cs{k}") for k in range(1, 7)])
+                         *[so.clear_sky(elevation(600 * k)).alias(f"cs{k}") for k in range(1, 7)])
     cs0 = so.clear_sky("e")
     kt = so.clearness("ghi", cs0)
     mean = sum([C(f"cs{k}") for k in range(2, 7)], C("cs1")) / 6.0

@@ -126,8 +126,8 @@ def wide_table(radiation: DataFrame, cloud: DataFrame, weather: DataFrame, repor
 
 
 def recipe_windows(g: DataFrame, w, elev_at) -> DataFrame:
-    """History part of the recipe. ``elev_at(ts)`` builds the elevation column."""
-    g = g.withColumn("solar_elev_deg", elev_at(_C("ts")))
+    """History part of the recipe. ``elev_at(s)`` builds the elevation ``s`` seconds ahead."""
+    g = g.withColumn("solar_elev_deg", elev_at(0))
     g = g.withColumn("kt_point", clearness_point("ghi_now", "solar_elev_deg"))
     cols = [lag("ghi_now", m // 10, w).alias(f"ghi_lag_{m}m") for m in (10, 20, 30, 60, 120, 180)]
     for m in (30, 60, 180):
@@ -150,7 +150,7 @@ def recipe_columns(df: DataFrame, elev_at) -> DataFrame:
     doy_sin, doy_cos = cyclic(F.dayofyear(ts), 365.25)
     hour_sin, hour_cos = cyclic(clock_hours(ts), 24.0)
     month_sin, month_cos = cyclic(F.month(ts), 12.0)
-    future = {k: clear_sky(elev_at(shift(ts, k * STEP_S))) for k in range(1, 7)}
+    future = {k: clear_sky(elev_at(k * STEP_S)) for k in range(1, 7)}
     mean_cs = sum(list(future.values())[1:], future[1]) / F.lit(6.0)
     leads = [_C(f"ghi_lead_{k * 10}m") for k in range(1, 7)]
     df = df.select(
@@ -162,7 +162,7 @@ def recipe_columns(df: DataFrame, elev_at) -> DataFrame:
         acceleration("clp_cot", "clp_cot_lag_10m", "clp_cot_lag_20m").alias("accel_clp_cot_20m"),
         hour_sin.alias("hour_sin"), hour_cos.alias("hour_cos"), doy_sin.alias("doy_sin"), doy_cos.alias("doy_cos"),
         month_sin.alias("month_sin"), month_cos.alias("month_cos"),
-        future[6].alias("ghi_cs_t60"), floor_at(sin_elev(elev_at(shift(ts, 3600))), 0.0).alias("elev_sin_t60"),
+        future[6].alias("ghi_cs_t60"), floor_at(sin_elev(elev_at(3600)), 0.0).alias("elev_sin_t60"),
         mean_cs.alias("ghi_cs_avg_t10_t60"), _C("ghi_lead_60m").alias("ghi_point_t60"),
         strict_mean(leads, VALID_MIN, VALID_MAX).alias("ghi_avg_t10_t60"))
     return df.select("*", (_C("kt_now") * _C("ghi_cs_t60")).alias("smart_persist"),

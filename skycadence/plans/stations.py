@@ -91,8 +91,9 @@ def series(t: Tables, fn: Callable | None = None, *, back: int = 0, ahead: int =
                    back=back, ahead=ahead, chunk_steps=chunk_steps)
 
 
-def elevation(ts="ts") -> Column:
-    return elevation_deg(ts, per_site(SITES, "lat"), per_site(SITES, "lon"), per_site(SITES, "meridian"))
+def elevation(ahead_s: int = 0) -> Column:
+    """Elevation at each row's own station, now or some seconds ahead."""
+    return elevation_deg("ts", per_site(SITES, "lat"), per_site(SITES, "lon"), per_site(SITES, "meridian"), ahead_s)
 
 
 # ---- SQL twins -----------------------------------------------------------
