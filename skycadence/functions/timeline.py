@@ -37,6 +37,15 @@ def from_micros(us: Column) -> Column:
     return F.timestamp_add("MICROSECOND", us, _origin())
 
 
+def as_instant(ts: Column | str) -> Column:
+    """Wall time as the instant with the same reading in UTC (watermarks need instants)."""
+    return F.timestamp_micros(micros(ts))
+
+
+def as_wall(instant: Column | str) -> Column:
+    return from_micros(F.unix_micros(_col(instant)))
+
+
 def shift(ts: Column | str, seconds: int) -> Column:
     return F.timestamp_add("SECOND", F.lit(int(seconds)), _col(ts))
 

@@ -9,16 +9,16 @@ open. Results equal a full comparison; nothing is approximated or capped.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skycadence.operators.ranks import ranked_values
+from skycadence.sources.sinks import materialize
 
 C = F.col
+MAX_BLOCKS = 65_536  # block bounds held by the driver and each Python worker: 1.5 MB
 
 
 def standardize(df: DataFrame, vec: str, train: Column, out: str = "z") -> DataFrame:
@@ -72,27 +72,40 @@ def _best(cand: DataFrame, k: int) -> DataFrame:
     return cand.withColumn("_r", F.row_number().over(w)).where(C("_r") <= k)
 
 
+def _block_finder(lo: np.ndarray, hi: np.ndarray, ids: np.ndarray):
+    """Vectorised lookups in the sorted block bounds (at most MAX_BLOCKS entries)."""
+    def home(piv: pd.Series) -> pd.Series:
+        at = np.clip(np.searchsorted(lo, piv.to_numpy(), side="right") - 1, 0, None)
+        return pd.Series(ids[at])
+
+    def reach(piv: pd.Series, d: pd.Series) -> pd.Series:
+        # NULL distance: the home block held fewer than k rows, so every block stays open.
+        r = np.where(d.isna(), np.inf, d.to_numpy(dtype="float64") * (1.0 + 1e-9) + 1e-9)
+        first = np.searchsorted(hi, piv.to_numpy() - r, side="left")
+        last = np.searchsorted(lo, piv.to_numpy() + r, side="right")
+        return pd.Series([ids[a:b] for a, b in zip(first, last, strict=True)])
+
+    return F.pandas_udf(home, "long"), F.pandas_udf(reach, "array<long>")
+
+
 def analog_ensemble(queries: DataFrame, train: DataFrame, *, qid: str, xid: str, vec: str, y: str, k: int = 30, rows_per_block: int = 4096,
                     tile: int = 4096) -> DataFrame:
     """``qid, n, analog_mean, farthest``: mean target of the k nearest training rows."""
     x = train.select(C(xid).cast("long").alias("xid"), C(vec).alias("z"), C(y).cast("double").alias("y"), _norm(vec).alias("piv"))
     q = queries.select(C(qid).cast("long").alias("qid"), C(vec).alias("z"), _norm(vec).alias("piv"))
-    # Blocks of equal size in pivot distance. Equal distances share a block; there
-    # a block can exceed its size, which costs balance, not correctness.
-    ranks = ranked_values(x, "piv").select(C("_v").alias("piv"), F.call_function("div", C("_lo"), F.lit(rows_per_block)).alias("blk"))
-    x = x.join(ranks, ["piv"]).select("xid", "z", "y", "piv", "blk")
-    blocks = x.groupBy("blk").agg(F.min("piv").alias("lo"), F.max("piv").alias("hi"), F.count(F.lit(1)).alias("m"))
-    # The block list has one row per ``rows_per_block`` training rows; as one array
-    # it travels with each query and replaces a range join.
-    table = blocks.agg(F.array_sort(F.collect_list(F.struct("blk", "lo", "hi", "m"))).alias("_blocks")).withColumn("_one", F.lit(1))
-    q = q.withColumn("_one", F.lit(1)).join(F.broadcast(table), ["_one"]).drop("_one")
-    home = F.element_at(F.filter("_blocks", lambda b: (b["lo"] <= C("piv")) | (b["blk"] == C("_blocks")[0]["blk"])), -1)["blk"]
-    first = _search(q.select("qid", "z", home.alias("blk")), x, k, tile)
-    bound = _best(first, k).groupBy("qid").agg(F.max("dist").alias("_d"), F.count(F.lit(1)).alias("_n"))
-    q = q.withColumn("_home", home).join(bound, ["qid"], "left")
-    reach = F.when(C("_n") >= k, C("_d") * F.lit(1.0 + 1e-9) + F.lit(1e-9))  # NULL: home block too small, all blocks stay open
-    open_ = F.filter("_blocks", lambda b: (b["blk"] != C("_home")) & F.coalesce(
-        (b["lo"] <= C("piv") + reach) & (b["hi"] >= C("piv") - reach), F.lit(True)))
-    more = q.select("qid", "z", F.explode(F.transform(open_, lambda b: b["blk"])).alias("blk"))
-    best = _best(first.unionByName(_search(more, x, k, tile)), k)
+    size = max(rows_per_block, -(-train.count() // MAX_BLOCKS))
+    # Equal-sized blocks in pivot distance. Copies of one vector share a distance and
+    # are dealt over the rank range they cover, so they never pile up in one block.
+    ranks = ranked_values(x, "piv").select(C("_v").alias("piv"), "_lo", "_c")
+    spot = C("_lo") + F.pmod(F.xxhash64("xid"), C("_c"))
+    x = x.join(ranks, ["piv"]).select("xid", "z", "y", "piv", F.call_function("div", spot, F.lit(size)).alias("blk"))
+    x = materialize(x, "analogs")
+    bounds = x.groupBy("blk").agg(F.min("piv").alias("lo"), F.max("piv").alias("hi")).orderBy("blk").collect()  # <= MAX_BLOCKS rows
+    home, reach = _block_finder(np.array([b["lo"] for b in bounds]), np.array([b["hi"] for b in bounds]), np.array([b["blk"] for b in bounds]))
+    q = q.withColumn("_home", home("piv"))
+    first = materialize(_best(_search(q.select("qid", "z", C("_home").alias("blk")), x, k, tile), k).drop("_r"), "analogs-home")
+    limit = first.groupBy("qid").agg(F.max("dist").alias("_d"), F.count(F.lit(1)).alias("_n"))
+    more = (q.join(limit, ["qid"], "left").withColumn("_open", reach("piv", F.when(C("_n") >= k, C("_d"))))
+            .select("qid", "z", "_home", F.explode("_open").alias("blk")).where(C("blk") != C("_home")))
+    best = _best(first.unionByName(_search(more.select("qid", "z", "blk"), x, k, tile)), k)
     return best.groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("analog_mean"), F.max("dist").alias("farthest"))

@@ -16,23 +16,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skycadence.functions.exprs import clip
-from skycadence.session import scratch_path
+from skycadence.sources.sinks import materialize  # noqa: F401
 from skycadence.spec import VALID_MAX, VALID_MIN
 
 C = F.col
 
 
-def materialize(df: DataFrame, stem: str = "train") -> DataFrame:
-    """Write once to the shared folder and read back.
-
-    Iterative fits scan their input many times; a written table survives lost
-    executors and stops the feature pipeline from being recomputed per scan.
-    """
-    path = scratch_path(df.sparkSession, stem)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def _front(features: Sequence[str], categorical: Sequence[str] = ()) -> list:
     """Median imputation, category indexing and assembly, all fitted on training rows."""
     numeric = [f for f in features if f not in categorical]

@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skycadence.functions.timeline import DAY, US, micros, month_start
-from skycadence.operators.chunks import KEYS, ordinal, running_total
+from skycadence.operators.chunks import KEYS, running_total
 from skycadence.operators.ranks import exact_quantiles, quantile_at
 from skycadence.session import parallelism
+from skycadence.sources.sinks import materialize
 
 C = F.col
 
@@ -33,10 +34,10 @@ def block_bootstrap(df: DataFrame, y: str, preds: Sequence[str], *, resamples: i
     (series, position) and summed with map-side combine: resampled rows are never
     formed, and a long series spreads over its positions.
     """
-    clean = df.where(C(y).isNotNull())
+    # The dump of targets and predictions is read three times below.
+    clean = materialize(df.where(C(y).isNotNull()).select(*keys, *order, y, *preds), "predictions")
     e2 = {p: (C(y) - C(p)) * (C(y) - C(p)) for p in preds}
-    pre = ordinal(clean.select(*keys, *order, y, *preds), width_s=width_s, order=order, keys=keys, ts=ts, name="pos")
-    pre = running_total(pre, {"s_y": C(y), "s_yy": C(y) * C(y), **{f"s_{p}": e2[p] for p in preds}},
+    pre = running_total(clean, {"pos": F.lit(1), "s_y": C(y), "s_yy": C(y) * C(y), **{f"s_{p}": e2[p] for p in preds}},
                         width_s=width_s, order=order, keys=keys, ts=ts)
     sums = ["s_y", "s_yy", *[f"s_{p}" for p in preds]]
     pre = pre.select(*keys, "pos", *sums)

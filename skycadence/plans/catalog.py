@@ -9,5 +9,6 @@ from skycadence.plans import (  # noqa: F401
     catalog_quality,
     catalog_relational,
     catalog_series,
+    catalog_streaming,
 )
 from skycadence.plans.registry import CATALOG  # noqa: F401

@@ -14,6 +14,7 @@ from skycadence.operators import windows as wn
 from skycadence.operators.ranks import exact_quantiles
 from skycadence.plans.catalog_anchors import FLAGS, PROTO
 from skycadence.plans.registry import Tables, query
+from skycadence.sources.sinks import materialize
 from skycadence.plans.stations import (OBS, S10, W, cells, cells_sql, elev_sql, elevation, frame, observations, rc, rd, round_all,
                                        rsql, series)
 
@@ -229,7 +230,8 @@ bt AS (SELECT site, b, {', '.join(f'1 - sum((y - {m}) * (y - {m})) / nullif(sum(
 
 def boot(t: Tables):
     p = predictions(t, ANY_TIME).select("site", "ts", "y", *MODELS)
-    return sg.block_bootstrap(p, "y", MODELS, resamples=BOOT_B, block=BOOT_BLOCK, seed=BOOT_SEED)
+    # A small table (series x resamples) that every test below reads several times.
+    return materialize(sg.block_bootstrap(p, "y", MODELS, resamples=BOOT_B, block=BOOT_BLOCK, seed=BOOT_SEED), "bootstrap")
 
 
 @query("sig_block_bootstrap", "SIG-1", f"WITH {_BOOT} SELECT site, b, {', '.join(rd(f'r2_{m}', f'r2_{m}', 5) for m in MODELS)} FROM bt")

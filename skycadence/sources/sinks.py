@@ -8,12 +8,25 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skycadence.session import scratch_path
+
 
 def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "overwrite") -> None:
     w = df.write.mode(mode)
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
 
 
+def materialize(df: DataFrame, stem: str = "stage") -> DataFrame:
+    """Write once to the shared folder and read back.
+
+    For results several branches or many fits read: a written table survives lost
+    executors and keeps the pipeline behind it from being recomputed per reader.
+    """
+    path = scratch_path(df.sparkSession, stem)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_sorted(df: DataFrame, path: str, keys: Sequence[str] = ("site", "ts"), partitions: int | None = None) -> None:
     """Range-partitioned and sorted inside files, so readers can skip row groups."""
     ranged = df.repartitionByRange(partitions, *keys) if partitions else df.repartitionByRange(*keys)
