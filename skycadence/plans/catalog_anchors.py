@@ -16,7 +16,6 @@ from skycadence.plans.stations import (OBS, S10, S1H, SITES, W, cells, cells_sql
 from skycadence.spec import SiteSpec, per_site
 
 C = F.col
-ONE = F.lit(1)
 _E = elev_sql()
 _E60 = elev_sql("(ts + INTERVAL 60 MINUTE)")
 

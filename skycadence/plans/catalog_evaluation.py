@@ -19,7 +19,6 @@ from skycadence.plans.stations import (OBS, S10, W, cells, cells_sql, elev_sql,
                                        rsql, series)
 
 C = F.col
-ONE = F.lit(1)
 _E = elev_sql()
 MODELS = ["persist", "smart", "rolling"]
 
@@ -116,11 +115,11 @@ def _(t: Tables):
 
 
 _STRATA = {
-    "evl_cloud_regime": ("EVL-1", ev.cloud_regime("cot", "cp"), "CASE WHEN cot < 1 THEN 'clear' WHEN cot < 8 THEN 'partly' WHEN cot >= 8 THEN 'overcast' WHEN cp = 0 THEN 'clear' ELSE 'partly' END"),
-    "evl_cot_class": ("EVL-2", ev.cot_class("cot"), "CASE WHEN cot IS NULL THEN 'no_data' WHEN cot <= 5 THEN 'thin' WHEN cot <= 15 THEN 'medium' ELSE 'thick' END"),
-    "evl_sky_class": ("EVL-3", ev.sky_class("oktas"), "CASE WHEN oktas <= 2 THEN 'clear' WHEN oktas <= 5 THEN 'scattered' WHEN oktas < 8 THEN 'broken' WHEN oktas >= 8 THEN 'overcast' ELSE 'missing' END"),
-    "evl_hour_season": ("EVL-4 EVL-5", F.concat_ws("/", F.hour("ts").cast("string"), so.season_two(F.month("ts"))), "concat(CAST(hour(ts) AS VARCHAR), '/', CASE WHEN month(ts) BETWEEN 4 AND 9 THEN 'dry' ELSE 'wet' END)"),
-    "evl_value_bin": ("EVL-6", ev.value_bin("y"), "CASE " + " ".join(f"WHEN y > {a} AND y <= {b} THEN '{a}-{b}'" for a, b in zip((0, 100, 300, 600, 900, 1200), (100, 300, 600, 900, 1200, 1500))) + " END"),
+    "evl_cloud_regime": ("EVL-1", lambda: ev.cloud_regime("cot", "cp"), "CASE WHEN cot < 1 THEN 'clear' WHEN cot < 8 THEN 'partly' WHEN cot >= 8 THEN 'overcast' WHEN cp = 0 THEN 'clear' ELSE 'partly' END"),
+    "evl_cot_class": ("EVL-2", lambda: ev.cot_class("cot"), "CASE WHEN cot IS NULL THEN 'no_data' WHEN cot <= 5 THEN 'thin' WHEN cot <= 15 THEN 'medium' ELSE 'thick' END"),
+    "evl_sky_class": ("EVL-3", lambda: ev.sky_class("oktas"), "CASE WHEN oktas <= 2 THEN 'clear' WHEN oktas <= 5 THEN 'scattered' WHEN oktas < 8 THEN 'broken' WHEN oktas >= 8 THEN 'overcast' ELSE 'missing' END"),
+    "evl_hour_season": ("EVL-4 EVL-5", lambda: F.concat_ws("/", F.hour("ts").cast("string"), so.season_two(F.month("ts"))), "concat(CAST(hour(ts) AS VARCHAR), '/', CASE WHEN month(ts) BETWEEN 4 AND 9 THEN 'dry' ELSE 'wet' END)"),
+    "evl_value_bin": ("EVL-6", lambda: ev.value_bin("y"), "CASE " + " ".join(f"WHEN y > {a} AND y <= {b} THEN '{a}-{b}'" for a, b in zip((0, 100, 300, 600, 900, 1200), (100, 300, 600, 900, 1200, 1500))) + " END"),
 }
 
 
@@ -128,7 +127,7 @@ def _stratum(name, ops, col, case):
     @query(name, ops, f"""WITH {PRED}, {_LONG}, z AS (SELECT site, {case} AS stratum, model, count(*) AS n, {rd(f'sqrt({_MSE})', 'rmse')}, {rd('avg(abs(p - y))', 'mae')}, {rd('avg(p - y)', 'mbe')} FROM lg GROUP BY 1, 2, 3)
 SELECT site, stratum, model, n, CASE WHEN n >= 5 THEN rmse END AS rmse, CASE WHEN n >= 5 THEN mae END AS mae, CASE WHEN n >= 5 THEN mbe END AS mbe FROM z""")
     def _(t: Tables):
-        m = ev.metrics(predictions(t).withColumn("stratum", col), "y", MODELS, by=["site", "stratum"], min_n=5)
+        m = ev.metrics(predictions(t).withColumn("stratum", col()), "y", MODELS, by=["site", "stratum"], min_n=5)
         return round_all(m.select("site", "stratum", "model", "n", "rmse", "mae", "mbe"), ["rmse", "mae", "mbe"])
 
 

@@ -15,7 +15,6 @@ from skycadence.sources import readers, sinks
 from skycadence.spec import SiteSpec
 
 C = F.col
-ONE = F.lit(1)
 
 
 # ---- sources and sinks ---------------------------------------------------------
@@ -24,13 +23,13 @@ ONE = F.lit(1)
 FROM lineitem WHERE year(l_shipdate) BETWEEN 1996 AND 1997 GROUP BY 1, 2""")
 def _(t: Tables):
     li = t.lineitem.where(tl.year_range("l_shipdate", 1996, 1997))
-    return li.groupBy("l_returnflag", "l_linestatus").agg(F.count(ONE).alias("n"), F.sum("l_quantity").alias("qty"))
+    return li.groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("qty"))
 
 
 @query("src_fallback_location", "SRC-3", "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1")
 def _(t: Tables):
     df = readers.first_available(t.spark, [f"{t.folder}/no_such_table.parquet", t.path("orders")])
-    return df.groupBy("o_orderstatus").agg(F.count(ONE).alias("n"))
+    return df.groupBy("o_orderstatus").agg(F.count("*").alias("n"))
 
 
 @query("src_canonical_columns", "SRC-4 SRC-5", """SELECT 'north' AS site, o_orderdate + INTERVAL 7 HOUR AS ts, o_totalprice AS ghi, CAST(o_custkey AS DOUBLE) AS dni
@@ -56,7 +55,7 @@ def _(t: Tables):
 
 def _site_metrics(t: Tables):
     e = C("ghi") - C("dni")
-    return cells(t).groupBy("site").agg(F.count(ONE).alias("n"), rc(F.avg(F.abs(e)), "mae", 4), rc(F.sqrt(F.avg(e * e)), "rmse", 4))
+    return cells(t).groupBy("site").agg(F.count("*").alias("n"), rc(F.avg(F.abs(e)), "mae", 4), rc(F.sqrt(F.avg(e * e)), "rmse", 4))
 
 
 _METRICS = f"SELECT site, count(*) AS n, {rd('avg(abs(ghi - dni))', 'mae', 4)}, {rd('sqrt(avg((ghi - dni) * (ghi - dni)))', 'rmse', 4)} FROM c10 GROUP BY 1"
@@ -87,7 +86,7 @@ def _(t: Tables):
     sinks.write_stages(df, path, stages)
     both = [t.spark.read.parquet(f"{path}/{s}").select("split", F.lit(s).alias("stage"), "o_orderkey") for s in stages]
     return both[0].unionByName(both[1]).groupBy("split", "stage").agg(
-        F.count(ONE).alias("n"), F.countDistinct("o_orderkey").alias("n_keys"))
+        F.count("*").alias("n"), F.countDistinct("o_orderkey").alias("n_keys"))
 
 
 @query("snk_replace_table", "SNK-3", f"WITH {OBS}, {cells_sql()} {_METRICS}")
@@ -211,7 +210,7 @@ JOIN (SELECT site, time_bucket(INTERVAL 1 HOUR, ts) AS ts, {rd('stddev_samp(valu
 def _(t: Tables):
     o = observations(t)
     return o.groupBy("site", tl.floor_to("ts", 3600).alias("ts")).agg(
-        F.count(ONE).alias("n"), rc(F.floor(F.avg(C("value") * 10.0) * 64.0 + 0.5) / 64.0, "ghi"), rc(F.stddev_samp("value"), "sd", 5), rc(F.stddev_pop("value"), "sdp", 5))
+        F.count("*").alias("n"), rc(F.floor(F.avg(C("value") * 10.0) * 64.0 + 0.5) / 64.0, "ghi"), rc(F.stddev_samp("value"), "sd", 5), rc(F.stddev_pop("value"), "sdp", 5))
 
 
 @query("agg_ordered_first_last", "AGG-3 AGG-4 AGG-5", f"""WITH {OBS} SELECT site, date_trunc('hour', ts) AS ts, arg_max(value, (ts, event_id)) AS last_value, arg_min(value, (ts, event_id)) AS first_value,
@@ -245,7 +244,7 @@ def _(t: Tables):
 
 @query("agg_value_counts", "AGG-11 SRT-2", "SELECT o_orderpriority, year(o_orderdate) AS year, count(*) AS n FROM orders GROUP BY 1, 2 ORDER BY n DESC, o_orderpriority, year LIMIT 12")
 def _(t: Tables):
-    g = t.orders.groupBy("o_orderpriority", F.year("o_orderdate").cast("long").alias("year")).agg(F.count(ONE).alias("n"))
+    g = t.orders.groupBy("o_orderpriority", F.year("o_orderdate").cast("long").alias("year")).agg(F.count("*").alias("n"))
     return g.orderBy(F.desc("n"), "o_orderpriority", "year").limit(12)
 
 
@@ -275,7 +274,7 @@ def _(t: Tables):
 sum(n) OVER w / sum(n) OVER () AS cum FROM g WINDOW w AS (ORDER BY n DESC, p_brand))
 SELECT x.thr, min(CASE WHEN cum >= x.thr THEN rk END) AS needed, arg_min(p_brand, CASE WHEN cum >= x.thr THEN rk END) AS brand FROM c, (SELECT unnest([0.25::DOUBLE, 0.5, 0.9]) AS thr) x GROUP BY 1""")
 def _(t: Tables):
-    g = t.part.groupBy("p_brand").agg(F.count(ONE).alias("n"))
+    g = t.part.groupBy("p_brand").agg(F.count("*").alias("n"))
     w = Window.orderBy(F.desc("n"), "p_brand")  # one row per brand: a small aggregate
     c = g.select("p_brand", F.row_number().over(w).cast("long").alias("rk"), (F.sum("n").over(w) / F.sum("n").over(Window.partitionBy())).alias("cum"))
     c = c.withColumn("thr", F.explode(F.array(*[F.lit(x) for x in (0.25, 0.5, 0.9)])))
