@@ -17,6 +17,7 @@ chunks and the unit of work is ``(site, chunk)``:
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,8 +31,12 @@ SLOT = "_us"
 KEYS = ("site",)
 
 
-def with_chunk(df: DataFrame, width_s: int, ts: str = "ts") -> DataFrame:
-    return df.withColumn(CHUNK, floor_div(micros(ts), width_s * US))
+def with_chunk(df: DataFrame, width_s: int, ts: str = "ts", keys: Sequence[str] = KEYS) -> DataFrame:
+    """Rows with their chunk number. Rows without a key or time have no place in a
+    series and are left out; saying so here also makes the summary branch and the
+    row branch of the operators below the same plan, so they share their input."""
+    d = df.withColumn(CHUNK, floor_div(micros(ts), width_s * US))
+    return d.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys], F.col(CHUNK).isNotNull()))
 
 
 def halo(df: DataFrame, width_s: int, back_s: int = 0, ahead_s: int = 0, ts: str = "ts") -> DataFrame:
@@ -118,7 +123,7 @@ def carry_last(df: DataFrame, values: dict[str, Column], *, width_s: int, order:
     ``include_current=False`` the row's own value does not count, which gives
     "previous row" semantics on irregular series.
     """
-    d = with_chunk(df, width_s, ts)
+    d = with_chunk(df, width_s, ts, keys)
     names = list(values)
     d = d.select("*", *[values[n].alias(f"_v_{n}") for n in names])
     at = F.struct(*order)
@@ -138,7 +143,7 @@ def carry_last(df: DataFrame, values: dict[str, Column], *, width_s: int, order:
 def carry_next(df: DataFrame, values: dict[str, Column], *, width_s: int, order: Sequence[str] = ("ts",),
                keys: Sequence[str] = KEYS, ts: str = "ts") -> DataFrame:
     """First non-NULL value from the current row on (mirror of ``carry_last``)."""
-    d = with_chunk(df, width_s, ts)
+    d = with_chunk(df, width_s, ts, keys)
     names = list(values)
     d = d.select("*", *[values[n].alias(f"_v_{n}") for n in names])
     at = F.struct(*order)
@@ -159,7 +164,7 @@ def carry_next(df: DataFrame, values: dict[str, Column], *, width_s: int, order:
 def running_total(df: DataFrame, sums: dict[str, Column], *, width_s: int, order: Sequence[str] = ("ts",),
                   keys: Sequence[str] = KEYS, ts: str = "ts") -> DataFrame:
     """Cumulative sums over whole series, current row included."""
-    d = with_chunk(df, width_s, ts)
+    d = with_chunk(df, width_s, ts, keys)
     names = list(sums)
     d = d.select("*", *[sums[n].alias(f"_v_{n}") for n in names])
     totals = d.groupBy(*keys, CHUNK).agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in names])
@@ -176,7 +181,7 @@ def running_total(df: DataFrame, sums: dict[str, Column], *, width_s: int, order
 def ordinal(df: DataFrame, *, width_s: int, order: Sequence[str] = ("ts",), keys: Sequence[str] = KEYS,
             ts: str = "ts", name: str = "idx", total: str | None = None) -> DataFrame:
     """1-based position of each row in its series, and optionally the series size."""
-    d = with_chunk(df, width_s, ts)
+    d = with_chunk(df, width_s, ts, keys)
     sizes = d.groupBy(*keys, CHUNK).agg(F.count(F.lit(1)).alias("_m"))
     per_key = Window.partitionBy(*keys)
     ahead_of = per_key.orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,16 +31,23 @@ def ranked_values(df: DataFrame, col: str, keys: Sequence[str] = ()) -> DataFram
     and the group size ``_n``. NULL and NaN are left out."""
     keys = list(keys)
     v = F.col(col).cast("double")
-    vals = (df.where(v.isNotNull() & ~F.isnan(v)).groupBy(*keys, v.alias("_v"))
-            .agg(F.count(F.lit(1)).alias("_c")).withColumn("_b", value_bucket(F.col("_v"))))
+    # NULL keys are cut here rather than by the join below, so that both uses of the
+    # counted values are the same plan and share one shuffle.
+    known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys], v.isNotNull() & ~F.isnan(v))
+    vals = (df.where(known).groupBy(*keys, v.alias("_v"))
+            .agg(F.count(F.lit(1)).alias("_c")).withColumn("_b", value_bucket(F.col("_v")))
+            .where(F.col("_b").isNotNull()))
     hist = vals.groupBy(*keys, "_b").agg(F.sum("_c").alias("_bc"))
     per_key = Window.partitionBy(*keys)
     below = per_key.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = hist.select(*keys, "_b", F.coalesce(F.sum("_bc").over(below), F.lit(0)).alias("_off"),
                           F.sum("_bc").over(per_key).alias("_n"))
+    # The cumulative count runs before the join: whichever side the join broadcasts,
+    # the values have been sorted per bucket, not per key.
     w = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = vals.join(offsets, [*keys, "_b"]).withColumn("_hi", F.col("_off") + F.sum("_c").over(w))
-    return ranked.select(*keys, "_v", "_c", "_n", (F.col("_hi") - F.col("_c")).alias("_lo"), "_hi")
+    local = vals.select("*", F.sum("_c").over(w).alias("_cum"))
+    hi = F.col("_off") + F.col("_cum")
+    return local.join(offsets, [*keys, "_b"]).select(*keys, "_v", "_c", "_n", (hi - F.col("_c")).alias("_lo"), hi.alias("_hi"))
 
 
 def _pick(position: Column) -> tuple[Column, Column]:

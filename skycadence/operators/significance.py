@@ -110,8 +110,9 @@ def rolling_corrections(df: DataFrame, y: str, lo: str, hi: str, *, days: int =
     quantile level depends on the number of scores found. Months with fewer than
     ``min_n`` scores keep the previous correction; the first has 0.
     """
-    d = df.where(C(y).isNotNull() & C(lo).isNotNull()).select(
-        *keys, ts, F.greatest(C(lo) - C(y), C(y) - C(hi)).alias("_score"), month_start(ts).alias("month"))
+    # Scores feed the month list and both halves of the quantile: written once.
+    d = materialize(df.where(C(y).isNotNull() & C(lo).isNotNull()).select(
+        *keys, ts, F.greatest(C(lo) - C(y), C(y) - C(hi)).alias("_score"), month_start(ts).alias("month")), "scores")
     months = d.groupBy(*keys, "month").agg(F.min(ts).alias("_first"))
     reach = days // 28 + 2
     sent = d.select(*keys, ts, "_score", F.explode(F.array(*[

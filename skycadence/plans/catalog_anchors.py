@@ -13,6 +13,7 @@ from skycadence.operators.chunks import carry_next, on_grid, ordinal, series_bou
 from skycadence.plans.registry import Tables, query
 from skycadence.plans.stations import (OBS, S10, S1H, SITES, W, cells, cells_sql, elev_sql, elevation, frame, observations, rc, rd,
                                        round_all, series)
+from skycadence.sources.sinks import materialize
 from skycadence.spec import SiteSpec, per_site
 
 C = F.col
@@ -104,7 +105,7 @@ def _(t: Tables):
     f = flagged(t, {k: RULES[k] for k in ("protocol", "backward_only")}).withColumn("hour", F.hour("ts").cast("long"))
     by = ["site", "hour"]
     # Both counts come from one scan; a group only one rule hits stays on its own side.
-    both = f.groupBy(*by).agg(F.count_if("protocol").alias("a"), F.count_if("backward_only").alias("b"))
+    both = materialize(f.groupBy(*by).agg(F.count_if("protocol").alias("a"), F.count_if("backward_only").alias("b")))
     out = an.reconcile(both.where(C("a") > 0).select(*by, C("a").alias("n")), both.where(C("b") > 0).select(*by, C("b").alias("n")), by)
     return round_all(out, ["deviation_pct"])
 
@@ -169,7 +170,7 @@ def _(t: Tables):
 s AS (SELECT *, sum(brk) {W} AS seg FROM b), r AS (SELECT *, row_number() OVER (PARTITION BY site, seg ORDER BY ts) AS i, count(*) OVER (PARTITION BY site, seg) AS m FROM s)
 SELECT site, ts, CAST(seg AS BIGINT) AS seg, i FROM r WHERE i >= 18 AND m - i >= 6""")
 def _(t: Tables):
-    d = an.segments(cells(t).select("site", "ts"), 900, split_on_date=False)
+    d = materialize(an.segments(materialize(cells(t).select("site", "ts")), 900, split_on_date=False))
     # Position in the segment = position in the series minus the position of its start.
     d = ordinal(d, width_s=7 * tl.DAY, name="pos")
     ends = d.groupBy("site", "seg").agg(F.min("pos").alias("first"), F.max("pos").alias("last"))

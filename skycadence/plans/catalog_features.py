@@ -14,6 +14,7 @@ from skycadence.plans import features as ft
 from skycadence.plans.registry import Tables, query
 from skycadence.plans.stations import (OBS, S10, S1H, SITES, W, case_sql, cells, cells_sql, cloud, elev_sql, elevation, frame,
                                        observations, radiation, rc, rd, reports, round_all, series, weather)
+from skycadence.sources.sinks import materialize
 from skycadence.spec import CLOUD_FEATURES, FEATURES, per_site
 
 C = F.col
@@ -114,7 +115,7 @@ CASE WHEN epoch(ts - lag(ts) {W}) = 600 THEN 0 ELSE 1 END AS brk FROM c10),
 c AS (SELECT *, sum(brk) OVER (PARTITION BY site ORDER BY ts) AS cum FROM b)
 SELECT site, ts, CAST(cum AS BIGINT) AS cum, CASE WHEN lead(cum, 6) {W} - lag(cum, 17) {W} = 0 THEN 1 ELSE 0 END AS unbroken FROM c""")
 def _(t: Tables):
-    c = cells(t).select("site", "ts")
+    c = materialize(cells(t).select("site", "ts"))
     prev = carry_last(c, {"_prev": C("ts")}, width_s=7 * tl.DAY, include_current=False)
     brk = prev.select("site", "ts", F.when(tl.seconds_between("ts", "_prev") == 600.0, 0).otherwise(1).alias("brk"))
     cum = running_total(brk, {"cum": C("brk")}, width_s=7 * tl.DAY)

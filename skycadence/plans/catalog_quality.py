@@ -15,6 +15,7 @@ from skycadence.plans.catalog_series import _DAILY_CTE, daily
 from skycadence.plans.registry import Tables, query
 from skycadence.plans.stations import (OBS, S10, S1H, W, cells, cells_sql, elev_sql, elevation, frame, observations, rc, rd,
                                        round_all, series)
+from skycadence.sources.sinks import materialize
 from skycadence.spec import SENTINELS
 
 C = F.col
@@ -53,7 +54,7 @@ FROM (SELECT site, run, max(x) AS x, count(*) AS m FROM (SELECT *, sum(CASE WHEN
 @query("qc_stuck_runs", "QC-4 WIN-22", f"WITH {OBS}, {cells_sql()}, {CELL_DAY_SQL} " + " UNION ALL ".join(_stuck_sql(c) for c in ("ghi", "dni", "cot")))
 def _(t: Tables):
     # Coarse steps make equal neighbours common, so that runs exist to be found.
-    d = day_cells(t).select("site", "ts", *[F.floor(C(c) / 200).cast("double").alias(c) for c in ("ghi", "dni", "cot")])
+    d = materialize(day_cells(t).select("site", "ts", *[F.floor(C(c) / 200).cast("double").alias(c) for c in ("ghi", "dni", "cot")]))
     return ql.stuck_report(d, ["ghi", "dni", "cot"], min_run=3)
 
 
@@ -93,7 +94,7 @@ def _(t: Tables):
 j AS (SELECT dd.site, p25, p75, (cot > p75 AND kt > 0.7) OR (cot < p25 AND kt < 0.3) AS odd FROM dd JOIN q USING (site) WHERE cot IS NOT NULL AND kt IS NOT NULL)
 SELECT site, count(*) AS n_checked, count(*) FILTER (WHERE odd) AS n_contradiction, {rd('100.0::DOUBLE * count(*) FILTER (WHERE odd) / count(*)', 'contradiction_pct')}, {rd('max(p25)', 'p25')}, {rd('max(p75)', 'p75')} FROM j GROUP BY 1""")
 def _(t: Tables):
-    return round_all(ql.contradiction_report(day_cells(t)), ["contradiction_pct", "p25", "p75"])
+    return round_all(ql.contradiction_report(materialize(day_cells(t).select("site", "cot", "kt"))), ["contradiction_pct", "p25", "p75"])
 
 
 @query("qc_two_products", "QC-8 JN-1", f"""WITH {OBS}, {cells_sql()}, {CELL_DAY_SQL}, b AS (SELECT site, ts, oktas < 4 AS clear FROM c10 WHERE oktas IS NOT NULL),
@@ -132,13 +133,13 @@ FROM w LEFT JOIN cl ON cl.site = w.site AND cl.mon = w.mon AND cl.alt = w.alt LE
 
 @query("qc_repair_diffuse", "QC-1 JN-14 PRJ-4 PRJ-11 AGG-8", f"WITH {OBS}, {cells_sql()}, {_REPAIR} SELECT site, ts, {rd('ghi', 'ghi')}, {rd('dhi_original', 'dhi_original')}, {rd('dhi', 'dhi')}, corrected FROM fx")
 def _(t: Tables):
-    c = cells(t).select("site", "ts", "ghi", "dhi", elevation().alias("elev"))
+    c = materialize(cells(t).select("site", "ts", "ghi", "dhi", elevation().alias("elev")))
     return round_all(ql.repair_diffuse(c, "elev").drop("elev"), ["ghi", "dhi_original", "dhi"])
 
 
 @query("qc_repair_counts", "QC-1", f"WITH {OBS}, {cells_sql()}, {_REPAIR} SELECT site, count(*) FILTER (WHERE dhi_original > ghi) AS before, count(*) FILTER (WHERE dhi > ghi) AS after, count(*) FILTER (WHERE corrected) AS corrected FROM fx GROUP BY 1")
 def _(t: Tables):
-    c = cells(t).select("site", "ts", "ghi", "dhi", elevation().alias("elev"))
+    c = materialize(cells(t).select("site", "ts", "ghi", "dhi", elevation().alias("elev")))
     return ql.repair_diffuse(c, "elev").groupBy("site").agg(
         F.count_if(C("dhi_original") > C("ghi")).alias("before"), F.count_if(C("dhi") > C("ghi")).alias("after"), F.count_if("corrected").alias("corrected"))
 
@@ -170,7 +171,7 @@ m AS (SELECT site, quantile_cont(temp, 0.5) AS med FROM c10 GROUP BY 1), f AS (S
 first_value(temp IGNORE NULLS) OVER (PARTITION BY site, seg ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS bf FROM b)
 SELECT f.site, ts, CAST(seg AS BIGINT) AS seg, {rd('coalesce(ff, bf, med)', 'temp_filled')} FROM f JOIN m USING (site)""")
 def _(t: Tables):
-    d = segments(cells(t).select("site", "ts", "temp"), 720)
+    d = materialize(segments(materialize(cells(t).select("site", "ts", "temp")), 720))
     return im.fill_within(d, "temp", ["site", "seg"], fallback="median").select("site", "ts", "seg", rc(C("temp_filled"), "temp_filled"))
 
 
@@ -178,7 +179,7 @@ def _(t: Tables):
 c AS (SELECT site, hr, alt, quantile_cont(cot, 0.5) AS cell FROM tr GROUP BY 1, 2, 3), o AS (SELECT site, quantile_cont(cot, 0.5) AS allm FROM tr GROUP BY 1), j AS (SELECT x.*, coalesce(cot, cell, allm) AS clean FROM x LEFT JOIN c ON c.site = x.site AND c.hr = x.hr AND c.alt = x.alt LEFT JOIN o ON o.site = x.site),
 r AS (SELECT site, quantile_cont(temp / nullif(cot, 0), 0.5) AS ratio FROM x GROUP BY 1) SELECT j.site, ts, {rd('clean', 'cot_clean')}, CASE WHEN cot IS NOT NULL THEN 1 ELSE 0 END AS cot_available, {rd('coalesce(temp, clean * ratio)', 'temp_clean')} FROM j JOIN r USING (site)""")
 def _(t: Tables):
-    s = series(t).select("site", "ts", "cot", "temp", F.hour("ts").alias("hr"), F.floor(elevation() / 10).alias("alt"))
+    s = materialize(series(t).select("site", "ts", "cot", "temp", F.hour("ts").alias("hr"), F.floor(elevation() / 10).alias("alt")))
     f = im.climatology_fill(s, "cot", ["hr", "alt"], tl.before("ts", "2024-01-15"))
     return round_all(im.ratio_fill(f, "temp", "cot", "cot_clean"), ["cot_clean", "temp_clean"]).select("site", "ts", "cot_clean", "cot_available", "temp_clean")
 
@@ -186,7 +187,7 @@ def _(t: Tables):
 @query("imp_train_median", "IMP-6 IMP-7", f"""WITH {S10}, m AS (SELECT site, {', '.join(f'quantile_cont({c}, 0.5) AS m_{c}' for c in ('cot', 'temp', 'oktas'))} FROM s10 WHERE ts < TIMESTAMP '2024-01-20' GROUP BY 1)
 SELECT s.site, ts, {', '.join(rd(f'coalesce({c}, m_{c})', c) for c in ('cot', 'temp', 'oktas'))} FROM s10 s JOIN m USING (site)""")
 def _(t: Tables):
-    s = series(t).select("site", "ts", "cot", "temp", "oktas")
+    s = materialize(series(t).select("site", "ts", "cot", "temp", "oktas"))
     return round_all(im.median_impute(s, ["cot", "temp", "oktas"], tl.before("ts", "2024-01-20")), ["cot", "temp", "oktas"])
 
 
