@@ -28,15 +28,35 @@ from skycadence.session import parallelism
 CHUNK = "_chunk"
 HOME = "_home"
 SLOT = "_us"
+MAX_SLICES = 1 << 20  # keeps slice numbers below the next chunk's
 KEYS = ("site",)
 
 
-def with_chunk(df: DataFrame, width_s: int, ts: str = "ts", keys: Sequence[str] = KEYS) -> DataFrame:
+def with_chunk(df: DataFrame, width_s: int, ts: str = "ts", keys: Sequence[str] = KEYS,
+               rows_per_chunk: int | None = None) -> DataFrame:
     """Rows with their chunk number. Rows without a key or time have no place in a
     series and are left out; saying so here also makes the summary branch and the
-    row branch of the operators below the same plan, so they share their input."""
-    d = df.withColumn(CHUNK, floor_div(micros(ts), width_s * US))
-    return d.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys], F.col(CHUNK).isNotNull()))
+    row branch of the operators below the same plan, so they share their input.
+
+    With ``rows_per_chunk`` a chunk that holds more rows is cut, in time order, into
+    slices of about that many, so a burst of readings is not one task's work. The
+    cuts follow row counts per fine slot (1/86400 of the width), which are combined
+    before the shuffle; rows within one fine slot stay together.
+    """
+    us, width = micros(ts), width_s * US
+    d = df.withColumn(CHUNK, floor_div(us, width))
+    d = d.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys], F.col(CHUNK).isNotNull()))
+    if rows_per_chunk is None:
+        return d
+    d = d.withColumn("_fine", floor_div(us, max(width // 86400, 1)))
+    per_chunk = Window.partitionBy(*keys, CHUNK)  # at most 86400 counts each
+    load = d.groupBy(*keys, CHUNK, "_fine").agg(F.count(F.lit(1)).alias("_m"))
+    before = F.sum("_m").over(per_chunk.orderBy("_fine").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_m")
+    cuts = (load.select(*keys, CHUNK, "_fine", F.sum("_m").over(per_chunk).alias("_all"), before.alias("_before"))
+            .where(F.col("_all") > rows_per_chunk)
+            .select(*keys, CHUNK, "_fine", F.call_function("div", F.col("_before"), F.lit(rows_per_chunk)).alias("_slice")))
+    d = d.join(cuts, [*keys, CHUNK, "_fine"], "left")
+    return d.select(*df.columns, (F.col(CHUNK) * F.lit(MAX_SLICES) + F.coalesce("_slice", F.lit(0))).alias(CHUNK))
 
 
 def halo(df: DataFrame, width_s: int, back_s: int = 0, ahead_s: int = 0, ts: str = "ts") -> DataFrame:
@@ -116,14 +136,15 @@ def on_grid(sources: Sequence[DataFrame], fn: Callable | None = None, *, step_s:
 
 
 def carry_last(df: DataFrame, values: dict[str, Column], *, width_s: int, order: Sequence[str] = ("ts",),
-               keys: Sequence[str] = KEYS, ts: str = "ts", include_current: bool = True) -> DataFrame:
+               keys: Sequence[str] = KEYS, ts: str = "ts", include_current: bool = True,
+               rows_per_chunk: int | None = None) -> DataFrame:
     """Last non-NULL value so far, without a limit on the distance.
 
     ``values`` maps output name to the expression carried. With
     ``include_current=False`` the row's own value does not count, which gives
     "previous row" semantics on irregular series.
     """
-    d = with_chunk(df, width_s, ts, keys)
+    d = with_chunk(df, width_s, ts, keys, rows_per_chunk)
     names = list(values)
     d = d.select("*", *[values[n].alias(f"_v_{n}") for n in names])
     at = F.struct(*order)
@@ -141,9 +162,9 @@ def carry_last(df: DataFrame, values: dict[str, Column], *, width_s: int, order:
 
 
 def carry_next(df: DataFrame, values: dict[str, Column], *, width_s: int, order: Sequence[str] = ("ts",),
-               keys: Sequence[str] = KEYS, ts: str = "ts") -> DataFrame:
+               keys: Sequence[str] = KEYS, ts: str = "ts", rows_per_chunk: int | None = None) -> DataFrame:
     """First non-NULL value from the current row on (mirror of ``carry_last``)."""
-    d = with_chunk(df, width_s, ts, keys)
+    d = with_chunk(df, width_s, ts, keys, rows_per_chunk)
     names = list(values)
     d = d.select("*", *[values[n].alias(f"_v_{n}") for n in names])
     at = F.struct(*order)
@@ -162,9 +183,9 @@ def carry_next(df: DataFrame, values: dict[str, Column], *, width_s: int, order:
 
 
 def running_total(df: DataFrame, sums: dict[str, Column], *, width_s: int, order: Sequence[str] = ("ts",),
-                  keys: Sequence[str] = KEYS, ts: str = "ts") -> DataFrame:
+                  keys: Sequence[str] = KEYS, ts: str = "ts", rows_per_chunk: int | None = None) -> DataFrame:
     """Cumulative sums over whole series, current row included."""
-    d = with_chunk(df, width_s, ts, keys)
+    d = with_chunk(df, width_s, ts, keys, rows_per_chunk)
     names = list(sums)
     d = d.select("*", *[sums[n].alias(f"_v_{n}") for n in names])
     totals = d.groupBy(*keys, CHUNK).agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in names])
@@ -179,9 +200,9 @@ def running_total(df: DataFrame, sums: dict[str, Column], *, width_s: int, order
 
 
 def ordinal(df: DataFrame, *, width_s: int, order: Sequence[str] = ("ts",), keys: Sequence[str] = KEYS,
-            ts: str = "ts", name: str = "idx", total: str | None = None) -> DataFrame:
+            ts: str = "ts", name: str = "idx", total: str | None = None, rows_per_chunk: int | None = None) -> DataFrame:
     """1-based position of each row in its series, and optionally the series size."""
-    d = with_chunk(df, width_s, ts, keys)
+    d = with_chunk(df, width_s, ts, keys, rows_per_chunk)
     sizes = d.groupBy(*keys, CHUNK).agg(F.count(F.lit(1)).alias("_m"))
     per_key = Window.partitionBy(*keys)
     ahead_of = per_key.orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
@@ -198,12 +219,13 @@ def ordinal(df: DataFrame, *, width_s: int, order: Sequence[str] = ("ts",), keys
 
 def row_windows(df: DataFrame, fn: Callable, *, back: int = 0, ahead: int = 0, rows_per_chunk: int = 100_000,
                 width_s: int = 86400, order: Sequence[str] = ("ts",), keys: Sequence[str] = KEYS,
-                ts: str = "ts") -> DataFrame:
+                ts: str = "ts", balance: bool = False) -> DataFrame:
     """Row-offset windows on an irregular series, in equal-sized chunks.
 
     ``fn(df, window)`` may reach ``back`` rows behind and ``ahead`` rows in front.
+    ``balance`` also cuts overfull time chunks while the rows are being numbered.
     """
-    d = ordinal(df, width_s=width_s, order=order, keys=keys, ts=ts, name="_idx")
+    d = ordinal(df, width_s=width_s, order=order, keys=keys, ts=ts, name="_idx", rows_per_chunk=rows_per_chunk if balance else None)
     n = rows_per_chunk
     first = floor_div(F.col("_idx") - F.lit(ahead), n)
     last = floor_div(F.col("_idx") + F.lit(back), n)

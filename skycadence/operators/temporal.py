@@ -19,11 +19,12 @@ from skycadence.operators.chunks import CHUNK, HOME, KEYS, carry_last, halo
 def asof_join(left: DataFrame, right: DataFrame, cols: Sequence[str], *, tolerance_s: int | None = None,
               strict: bool = False, age: str | None = None, age_unit_s: float = 60.0,
               tiebreak: Sequence[str] = (), width_s: int = 7 * DAY, keys: Sequence[str] = KEYS,
-              ts: str = "ts") -> DataFrame:
+              ts: str = "ts", rows_per_chunk: int | None = None) -> DataFrame:
     """Latest right row at or before each left row.
 
     With a tolerance the right rows are copied one chunk forward at most; without
-    one, the last value of each chunk is carried over. ``strict`` makes the
+    one, or when ``rows_per_chunk`` asks for balanced chunks, the last value of each
+    chunk is carried over. ``strict`` makes the
     tolerance bound exclusive. Right rows sharing a key and time are reduced to
     one (greatest ``tiebreak``) first.
     """
@@ -33,7 +34,7 @@ def asof_join(left: DataFrame, right: DataFrame, cols: Sequence[str], *, toleran
     keep = [c for c in left.columns if c not in (*keys, ts)]
     l = left.select(*keys, ts, F.struct(*keep).alias("_l") if keep else F.lit(None).alias("_l"),
                     F.lit(1).alias("_side"))
-    if tolerance_s is not None:
+    if tolerance_s is not None and rows_per_chunk is None:
         width = max(width_s, tolerance_s)
         lcut = l.withColumn(CHUNK, floor_div(micros(ts), width * US))
         rcut = halo(r, width, back_s=tolerance_s, ts=ts).drop(HOME)
@@ -41,13 +42,15 @@ def asof_join(left: DataFrame, right: DataFrame, cols: Sequence[str], *, toleran
         w = (Window.partitionBy(*keys, CHUNK).orderBy(ts, "_side")
              .rowsBetween(Window.unboundedPreceding, 0))
         merged = both.withColumn("_hit", F.last("_hit", ignorenulls=True).over(w)).where(F.col("_side") == 1)
-        gap = seconds_between(ts, "_hit._rts")
-        fresh = (gap < F.lit(float(tolerance_s))) if strict else (gap <= F.lit(float(tolerance_s)))
-        merged = merged.withColumn("_hit", F.when(fresh, F.col("_hit")))
     else:
         both = l.unionByName(r, allowMissingColumns=True)
-        merged = carry_last(both, {"_hit": F.col("_hit")}, width_s=width_s, order=(ts, "_side"), keys=keys, ts=ts)
+        merged = carry_last(both, {"_hit": F.col("_hit")}, width_s=width_s, order=(ts, "_side"), keys=keys, ts=ts,
+                            rows_per_chunk=rows_per_chunk)
         merged = merged.where(F.col("_side") == 1)
+    if tolerance_s is not None:
+        gap = seconds_between(ts, "_hit._rts")
+        fresh = (gap < F.lit(float(tolerance_s))) if strict else (gap <= F.lit(float(tolerance_s)))
+        merged = merged.withColumn("_hit", F.when(fresh, F.col("_hit")))
     out = merged.select(*keys, ts, *[F.col(f"_l.{c}").alias(c) for c in keep],
                         *[F.col(f"_hit._r.{c}").alias(c) for c in cols],
                         *([(seconds_between(ts, "_hit._rts") / F.lit(age_unit_s)).alias(age)] if age else []))

@@ -59,6 +59,21 @@ def test_running_total_and_ordinal(irregular):
     same(running_total(irregular, {"s": F.col("x")}, width_s=3600, order=ORD), want, ["site", "id", "s"])
 
 
+def test_overfull_chunks_are_cut_without_changing_results(irregular):
+    from skycadence.operators.chunks import CHUNK, with_chunk
+    burst = irregular.where("site = 'hot'").select("site", F.timestamp_add("SECOND", F.col("id"), F.expr("timestamp_ntz'2024-01-05'")).alias("ts"), F.col("id") + 10_000, "x").toDF("site", "ts", "id", "x")
+    df = irregular.union(burst).cache()
+    sizes = with_chunk(df, 86400, rows_per_chunk=100).groupBy("site", CHUNK).count()
+    assert with_chunk(df, 86400).groupBy("site", CHUNK).count().agg(F.max("count")).first()[0] >= 900
+    assert sizes.agg(F.max("count")).first()[0] <= 101
+    w = whole(df)
+    want = df.select("*", F.row_number().over(w).alias("i"), F.last("x", True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("y"))
+    same(ordinal(df, width_s=86400, order=ORD, name="i", rows_per_chunk=20), want, ["site", "id", "i"])
+    same(carry_last(df, {"y": F.col("x")}, width_s=86400, order=ORD, rows_per_chunk=20), want, ["site", "id", "y"])
+    got = row_windows(df, lambda d, v: d.withColumn("a", F.lag("x", 2).over(v)), back=2, rows_per_chunk=50, width_s=86400, order=ORD, balance=True)
+    same(got, df.withColumn("a", F.lag("x", 2).over(w)), ["site", "id", "a"])
+
+
 def test_row_windows_across_chunks(irregular):
     def f(d, w):
         return d.select("*", F.lag("x", 3).over(w).alias("a"), F.lead("x", 2).over(w).alias("b"))

@@ -35,6 +35,7 @@ def test_asof_matches_pandas(spark, tolerance):
     left = frame(spark, [("a", at(m / 10), float(m)) for m in lm], "site string, ts timestamp_ntz, x double")
     r = right(spark, [(m / 10, m) for m in rm])
     got = rows(tm.asof_join(left, r, ["v"], tolerance_s=tolerance, width_s=3600), "ts", "v", order=["ts"])
+    assert got == rows(tm.asof_join(left, r, ["v"], tolerance_s=tolerance, width_s=36_000, rows_per_chunk=25), "ts", "v", order=["ts"])
     want = pd.merge_asof(pd.DataFrame({"ts": [at(m / 10) for m in lm]}), pd.DataFrame({"ts": [at(m / 10) for m in rm], "v": [float(m) for m in rm]}),
                          on="ts", tolerance=pd.Timedelta(seconds=tolerance) if tolerance else None)
     assert [v for _, v in got] == [None if pd.isna(v) else v for v in want["v"]]
