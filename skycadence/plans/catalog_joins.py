@@ -89,7 +89,7 @@ def _(t: Tables):
 @query("jn_asof_unlimited", "JN-7", f"""WITH {OBS}, {REP}, {PURCHASE} SELECT p.site, p.ts, p.event_id, CASE WHEN p.ts - r.ts > INTERVAL 6 HOUR THEN NULL ELSE r.oktas END AS oktas,
 {rd('epoch(p.ts - r.ts) / 60.0::DOUBLE', 'age_min', 4)} FROM pur p ASOF LEFT JOIN rep r ON r.site = p.site AND p.ts >= r.ts""")
 def _(t: Tables):
-    out = tm.asof_join(purchases(t), reports(t), ["oktas"], age="age_min", tiebreak=["event_id"])
+    out = tm.asof_join(purchases(t), reports(t), ["oktas"], age="age_min", tiebreak=["event_id"], rows_per_chunk=1_000_000)
     return out.select("site", "ts", "event_id", F.when(C("age_min") <= 360, C("oktas")).alias("oktas"), rc(C("age_min"), "age_min", 4))
 
 
