@@ -122,12 +122,13 @@ def on_grid(sources: Sequence[DataFrame], fn: Callable | None = None, *, step_s:
     for src in sources:
         cut = halo(src, step_s * chunk_steps, back * step_s, ahead * step_s, ts).drop(HOME)
         parts.append(cut.withColumn(SLOT, micros(ts)).drop(ts))
-    merged = grid_slots(bounds, step_s, chunk_steps, back, ahead, keys)
+    merged = grid_slots(bounds, step_s, chunk_steps, back, ahead, keys).withColumn("_in", F.lit(True))
     for part in parts:
         merged = merged.unionByName(part, allowMissingColumns=True)
     measures = [c for c in merged.columns if c not in (*keys, CHUNK, SLOT)]
     cells = (merged.repartition(*keys, CHUNK).groupBy(*keys, CHUNK, SLOT)
              .agg(*[F.first(c, ignorenulls=True).alias(c) for c in measures]))
+    cells = cells.where(F.col("_in")).drop("_in")  # source rows outside the bounds
     cells = cells.withColumn(ts, from_micros(F.col(SLOT)))
     w = Window.partitionBy(*keys, CHUNK).orderBy(SLOT)
     out = fn(cells, w) if fn else cells

@@ -96,6 +96,14 @@ def test_grid_windows_equal_unchunked(spark):
     same(small, large, cols)
 
 
+def test_grid_ignores_rows_outside_its_bounds(spark):
+    from skycadence.functions.timeline import micros
+    s = minutes_series(spark, {m: float(m) for m in range(0, 200, 10)})
+    b = spark.createDataFrame([("a", at(50), at(100))], "site string, lo timestamp_ntz, hi timestamp_ntz").select("site", micros("lo").alias("_lo"), micros("hi").alias("_hi"))
+    g = on_grid([s], lambda d, w: d.withColumn("n", lead("x", 1, w)), step_s=600, bounds=b, ahead=1, chunk_steps=4)
+    assert rows(g, "x", "n", order=["ts"]) == [(50.0, 60.0), (60.0, 70.0), (70.0, 80.0), (80.0, 90.0), (90.0, 100.0), (100.0, None)]
+
+
 def test_halo_windows_time_reach(spark):
     s = minutes_series(spark, {m: float(m) for m in range(0, 5000, 10)})
     def f(g, w):
