@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from skycadence.llm import exact_dedup, mixing
+from skycadence.llm import exact_dedup, mixing, setsketch
 
 QUERIES = {
+    "op2_setsketch_near_dedup": setsketch.op2_setsketch_near_dedup,
     "op3_poisson_mixing": mixing.op3_poisson_mixing,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
 }
-SQL = {"op3_poisson_mixing": mixing.SQL, "op9_exact_dedup": exact_dedup.SQL}
+SQL = {"op2_setsketch_near_dedup": setsketch.SQL, "op3_poisson_mixing": mixing.SQL, "op9_exact_dedup": exact_dedup.SQL}
