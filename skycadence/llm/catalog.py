@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from skycadence.llm import exact_dedup, mixing, setsketch
+from skycadence.llm import exact_dedup, language_id, mixing, setsketch, toxicity
 
 QUERIES = {
     "op2_setsketch_near_dedup": setsketch.op2_setsketch_near_dedup,
     "op3_poisson_mixing": mixing.op3_poisson_mixing,
+    "op4_cnn_toxicity": toxicity.op4_cnn_toxicity,
+    "op6_bitmask_language_id": language_id.op6_bitmask_language_id,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
 }
-SQL = {"op2_setsketch_near_dedup": setsketch.SQL, "op3_poisson_mixing": mixing.SQL, "op9_exact_dedup": exact_dedup.SQL}
+SQL = {
+    "op2_setsketch_near_dedup": setsketch.SQL,
+    "op3_poisson_mixing": mixing.SQL,
+    "op9_exact_dedup": exact_dedup.SQL,
+}

@@ -90,9 +90,12 @@ def words(buf: np.ndarray, offs: np.ndarray, member: np.ndarray = NOT_BLANK) ->
     return s, e, np.searchsorted(s, offs)
 
 
-def span_hashes(buf: np.ndarray, s: np.ndarray, e: np.ndarray, table: np.ndarray = BYTE_LOWER, limit: int = SLICE) -> np.ndarray:
-    """64-bit hash of each span [s, e) of bytes; spans are in order and none is empty."""
-    out = np.empty(len(s), np.uint64)
+def span_hashes(buf: np.ndarray, s: np.ndarray, e: np.ndarray, table: np.ndarray = BYTE_LOWER, limit: int = SLICE,
+                prefixes: tuple[int, ...] = ()) -> np.ndarray:
+    """64-bit hash of each span [s, e) of bytes; spans are in order and none is empty.
+
+    With prefixes there is one more row for each: the hash of the span's first bytes."""
+    out = np.empty((1 + len(prefixes), len(s)), np.uint64)
     i = 0
     while i < len(s):
         j = max(i + 1, int(np.searchsorted(e, s[i] + limit, "right")))
@@ -100,9 +103,11 @@ def span_hashes(buf: np.ndarray, s: np.ndarray, e: np.ndarray, table: np.ndarray
         up, down = powers(b - a)
         total = np.zeros(b - a + 1, np.uint64)
         np.cumsum(table[buf[a:b]] * up, out=total[1:])
-        out[i:j] = (total[e[i:j] - a] - total[s[i:j] - a]) * down[s[i:j] - a]
+        for k, most in enumerate((1 << 62, *prefixes)):
+            out[k, i:j] = (total[np.minimum(e[i:j], s[i:j] + most) - a] - total[s[i:j] - a]) * down[s[i:j] - a]
         i = j
-    return scramble(out)
+    scramble(out)
+    return out if prefixes else out[0]
 
 
 _PLACES = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
