@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from skycadence.llm import exact_dedup, language_id, mixing, quality, setsketch, toxicity
+from skycadence.llm import exact_dedup, language_id, line_templates, mixing, quality, setsketch, toxicity
 
 QUERIES = {
+    "op1_template_line_dedup": line_templates.op1_template_line_dedup,
     "op2_setsketch_near_dedup": setsketch.op2_setsketch_near_dedup,
     "op3_poisson_mixing": mixing.op3_poisson_mixing,
     "op4_cnn_toxicity": toxicity.op4_cnn_toxicity,
