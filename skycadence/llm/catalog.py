@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from skycadence.llm import exact_dedup, language_id, line_templates, mixing, quality, setsketch, toxicity
+from skycadence.llm import decontamination, exact_dedup, language_id, line_templates, mixing, quality, setsketch, toxicity
 
 QUERIES = {
     "op1_template_line_dedup": line_templates.op1_template_line_dedup,
     "op2_setsketch_near_dedup": setsketch.op2_setsketch_near_dedup,
     "op3_poisson_mixing": mixing.op3_poisson_mixing,
     "op4_cnn_toxicity": toxicity.op4_cnn_toxicity,
+    "op5_cgk_decontamination": decontamination.op5_cgk_decontamination,
     "op6_bitmask_language_id": language_id.op6_bitmask_language_id,
     "op7_rule_quality": quality.op7_rule_quality,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
