@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skycadence.llm import decontamination, exact_dedup, html_tree, language_id, line_templates, mixing, quality, setsketch, toxicity
+from skycadence.llm import decontamination, exact_dedup, html_tree, language_id, line_templates, mixing, quality, setsketch, suffix_family, toxicity
 
 QUERIES = {
     "op1_template_line_dedup": line_templates.op1_template_line_dedup,
@@ -12,11 +12,13 @@ QUERIES = {
     "op5_cgk_decontamination": decontamination.op5_cgk_decontamination,
     "op6_bitmask_language_id": language_id.op6_bitmask_language_id,
     "op7_rule_quality": quality.op7_rule_quality,
+    "op8_suffix_family_dedup": suffix_family.op8_suffix_family_dedup,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_dom_marginals": html_tree.op10_dom_marginals,
 }
 SQL = {
     "op2_setsketch_near_dedup": setsketch.SQL,
     "op3_poisson_mixing": mixing.SQL,
+    "op8_suffix_family_dedup": suffix_family.SQL,
     "op9_exact_dedup": exact_dedup.SQL,
 }
