@@ -9,12 +9,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from skycadence.llm import textkit as tk
 from skycadence.llm.learning import held_out, labelled_sample, sample_of
 from skycadence.llm.shared import documents
 
-PER_CLASS = 4000  # documents of each class that are fitted on, at most
+PER_CLASS = 3000  # documents of each class that are fitted on, at most
 BUCKETS, DIM, FILTERS = 1 << 16, 8, 8
 WIDTHS = (1, 2, 3, 5)
 PAD = max(WIDTHS) - 1
@@ -77,20 +78,23 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.scale * gap + np.log(PASS / (1 - PASS)), -30, 30)))
 
 
-def _counts(ids: np.ndarray, start: np.ndarray, weight: np.ndarray) -> np.ndarray:
+def _counts(batch, rows: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Weighted number of documents that hold each bucket."""
-    row = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(ids))))
-    pairs = np.unique(np.concatenate([row * (BUCKETS + 1) + ids[:, k] for k in range(3)]))
-    return np.bincount(pairs % (BUCKETS + 1), weights=weight[pairs // (BUCKETS + 1)], minlength=BUCKETS + 1)
+    total = np.zeros(BUCKETS + 1)
+    for k in range(0, len(rows), 128):
+        ids, start = batch(rows[k:k + 128])
+        row = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(ids))))
+        pairs = np.unique(np.concatenate([row * (BUCKETS + 1) + ids[:, c] for c in range(3)]))
+        total += np.bincount(pairs % (BUCKETS + 1), weights=weight[k + pairs // (BUCKETS + 1)], minlength=BUCKETS + 1)
+    return total
 
 
-def fit(texts: list[str], toxic: np.ndarray, lang: list[str | None]) -> Model:
+def fit(texts: pa.Array, toxic: np.ndarray, lang: list[str | None]) -> Model:
     """Train on whole texts. The first dimension starts at each bucket's shrunken log-odds; the rest at random.
 
     One fifth of the texts calibrates: in each language the threshold lies where it makes fewest errors."""
     rng = np.random.default_rng(11)
-    column = pa.array(texts, pa.large_string())
-    buf, offs = tk.utf8(column)
+    buf, offs = tk.utf8(texts)
     toxic = np.asarray(toxic, np.float32)
     each = []
     for lo, hi in tk.slices(offs):
@@ -105,9 +109,8 @@ def fit(texts: list[str], toxic: np.ndarray, lang: list[str | None]) -> Model:
         ids = np.concatenate([each[r] for r in rows])
         return ids, np.cumsum([0] + [len(each[r]) for r in rows])[:-1]
 
-    ids, start = batch(learn)
     y = toxic[learn]
-    pos, neg = _counts(ids, start, y), _counts(ids, start, 1 - y)
+    pos, neg = _counts(batch, learn, y), _counts(batch, learn, 1 - y)
     odds = np.log((pos + 0.5) / (y.sum() + 1)) - np.log((neg + 0.5) / ((1 - y).sum() + 1))
     embed = rng.normal(0, 0.02, (BUCKETS + 1, DIM)).astype(np.float32)
     embed[:, 0] = odds * (pos + neg) / (pos + neg + 10) / 4
@@ -115,7 +118,7 @@ def fit(texts: list[str], toxic: np.ndarray, lang: list[str | None]) -> Model:
     tongue = np.zeros((BUCKETS + 1, len(names)), np.float32)
     for k in range(len(names)):
         rows = learn[known[learn] == k]
-        found = np.bincount(np.concatenate([each[r][:, 0] for r in rows]), minlength=BUCKETS + 1) if len(rows) else np.zeros(BUCKETS + 1)
+        found = sum((np.bincount(each[r][:, 0], minlength=BUCKETS + 1) for r in rows), np.zeros(BUCKETS + 1))
         tongue[:, k] = np.log((found + 0.1) / (found[:BUCKETS].sum() + 0.1 * BUCKETS))
     tongue[BUCKETS] = 0
 
@@ -191,24 +194,22 @@ def _threshold(z: np.ndarray, y: np.ndarray) -> float:
     return float(edges[best[len(best) // 2]])
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 3, rest: int = 1, per_class: int = PER_CLASS) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for each row, from the whole text alone.
+def with_scores(docs: DataFrame, labels: DataFrame, modulus: int = 3, rest: int = 1, per_class: int = PER_CLASS,
+                name: str = "score") -> DataFrame:
+    """All rows and columns of `docs`, and the toxicity of each whole text as `name`. Nothing is shuffled.
 
     The model is fitted on at most `per_class` labelled documents of each class whose crc32(doc_id) % modulus is not
-    `rest`. The score is 0.7 at the threshold of the language that the text's words point to. NULL and empty texts are
-    scored as texts without words; a NULL doc_id is not held out; rows are scored one by one, so repeated ids do not
-    matter. Without labels of both classes every score is 0. Other columns are not read; an empty table gives an empty
-    result.
+    `rest`; labels, lang, source and doc_id are no inputs of a score. The score is PASS at the threshold of the language
+    that the text's words point to. NULL and empty texts are scored as texts without words; rows are scored one by one,
+    so NULL or repeated ids do not matter. Without labels of both classes every score is 0. Other columns pass through,
+    but one called `name` is replaced. An empty table gives an empty result.
     """
-    sample = sample_of(docs.select("doc_id", "text", "lang") if "lang" in docs.columns else docs.select(
-        "doc_id", "text", F.lit(None).cast("string").alias("lang")), labelled_sample(labels, "toxic", modulus, rest, per_class))
-    rows = sorted(sample.select("doc_id", "text", "lang", "label").collect(), key=lambda r: (r.doc_id, r.text))
-    y = np.array([r.label for r in rows])
-    model = fit([r.text for r in rows], y, [r.lang for r in rows]) if len(set(y.tolist())) == 2 else None
-    return _scored(docs, model, modulus, rest)
-
-
-def _scored(docs: DataFrame, model: Model | None, modulus: int, rest: int) -> DataFrame:
+    docs = docs.drop(name)
+    lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
+    rows = sample_of(docs.select("doc_id", "text", lang.alias("lang")), labelled_sample(labels, "toxic", modulus, rest, per_class))
+    rows = rows.select("doc_id", "text", "lang", "label").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    y = rows["label"].to_numpy()
+    model = fit(rows["text"].combine_chunks(), y, rows["lang"].to_pylist()) if len(set(y.tolist())) == 2 else None
     spread = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,11 +219,21 @@ def _scored(docs: DataFrame, model: Model | None, modulus: int, rest: int) -> Da
             scores = [np.zeros(0)]
             for lo, hi in tk.slices(offs, 1 << 19):
                 scores.append(fitted.scores(*word_ids(buf[offs[lo]:offs[hi]], offs[lo:hi + 1] - offs[lo])) if fitted else np.zeros(hi - lo))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.concatenate(scores).astype(np.float64))], ["doc_id", "score"])
+            yield batch.append_column(name, pa.array(np.concatenate(scores).astype(np.float64)))
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
+
+
+def toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 3, rest: int = 1, per_class: int = PER_CLASS) -> DataFrame:
+    """(doc_id, held_out, score, predicted) for each row; see `with_scores`. A NULL doc_id is not held out."""
+    own = [c for c in ("doc_id", "text", "lang") if c in docs.columns]
+    return with_scores(docs.select(*own), labels, modulus, rest, per_class).select(
+        "doc_id", held_out(modulus, rest).alias("held_out"), "score", (F.col("score") >= PASS).cast("int").alias("predicted"))
+
 
-    found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
-    return found.select("doc_id", held_out(modulus, rest).alias("held_out"), "score",
-                        (F.col("score") >= PASS).cast("int").alias("predicted"))
+def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows and columns of `docs` whose text is not called toxic."""
+    return with_scores(docs, labels, name="__toxicity").where(F.col("__toxicity") < PASS).select(*docs.columns)
 
 
 def op4_cnn_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
