@@ -18,6 +18,7 @@ BASE, RATE, TOP = 1.005, 20.0, 65_534  # register scale: base, rate and largest
 BANDS, ROWS = 32, 4  # a pair at similarity 0.8 shares no band with probability 5e-8
 REGISTERS = BANDS * ROWS
 DOUBT = 15.0  # log-likelihood a pair may lack at the threshold: e^-15 of the true pairs are lost
+TURNS = 2  # rounds with drawn centres before blocks are compared
 BLOCK = 256  # members of a bucket compared at once
 _rng = np.random.default_rng(7)
 _MUL = _rng.integers(1, 1 << 32, REGISTERS, dtype=np.uint32) | np.uint32(1)
@@ -128,9 +129,9 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80) -> DataF
 
     Bands of register values make buckets. First every member of a bucket is compared with the bucket's smallest id
     only, which is linear in the bucket. A bucket whose members are then of one component is done, whatever its size;
-    in the others members of different components are compared block by block on registers inside tasks, and only
-    pairs that may reach the threshold leave them. So no link that could join two components is lost, and no bucket
-    is expanded into all its pairs.
+    in the others drawn centres get TURNS more rounds of the same kind, and what is still apart after that is compared
+    block by block inside tasks, on registers and then on full sets, until each pair of components is linked or has
+    no likely pair left. So no link that could join two components is lost, and no bucket is expanded into its pairs.
     """
     rows = written(sketches(docs, width), "sketches")
     nodes = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
@@ -150,18 +151,16 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80) -> DataF
     head = reps.select("id", "n", "regs")
 
     stars = members.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
-    stars = written(_likely(stars, head, percent), "stars")
-    links = written(_confirmed(stars, sets, percent).union(copies), "links")
+    links = written(_confirmed(_likely(stars, head, percent), sets, percent).union(copies), "links")
     labels = components(links)
-
-    seen = members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = seen.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    apart = written(_cross_pairs(seen.join(mixed.select("bucket"), "bucket"), head, percent).join(
-        stars, ["a", "b"], "left_anti"), "cross")
-    if not apart.isEmpty():
-        more = written(_confirmed(apart, sets, percent), "links")
-        if not more.isEmpty():
-            labels = components(links.union(more))
+    for turn in range(TURNS):
+        pairs = _turn(_mixed(members, labels), turn)
+        more = written(_confirmed(_likely(pairs, head, percent), sets, percent), "links")
+        if more.isEmpty():
+            break
+        labels = _joined(labels, more)
+    mixed = _mixed(members, labels)
+    labels = _joined(labels, written(_cross_links(mixed, head.join(sets, "id"), percent), "links"))
 
     labels = labels.select(F.col("id").alias("doc_id"), F.col("component").alias("component_id"))
     found = rows.select("doc_id", "n_shingles").join(labels, "doc_id", "left").withColumn(
@@ -170,6 +169,12 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80) -> DataF
         F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """Rows and columns of `docs` without the documents that a near duplicate of a smaller doc_id stands for."""
+    gone = near_duplicates(docs, width, percent).where("NOT kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
 def _likely(pairs: DataFrame, head: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose sizes allow the threshold and whose registers do not rule it out."""
     @F.pandas_udf("boolean")
@@ -196,28 +201,67 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return counted.where(f"100 * shared >= {percent} * (total - shared)").select("a", "b").distinct()
 
 
-def _cross_pairs(seen: DataFrame, head: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components in one bucket that may reach the threshold."""
+def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(bucket, id, size, component) of the buckets whose members are not of one component yet."""
+    seen = members.select("bucket", "id", "size").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    mixed = seen.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    return written(seen.join(mixed.select("bucket"), "bucket"), "mixed")
+
+
+def _turn(mixed: DataFrame, turn: int) -> DataFrame:
+    """Each member of a mixed bucket with one centre of another component; every bucket draws its own centre."""
+    drawn = F.xxhash64("id", "bucket", F.lit(turn))
+    centres = mixed.groupBy("bucket").agg(F.min_by("id", drawn).alias("centre"), F.min_by("component", drawn).alias("of"))
+    return mixed.join(centres, "bucket").where("component <> of").select(
+        F.least("centre", "id").alias("a"), F.greatest("centre", "id").alias("b")).distinct()
+
+
+def _joined(labels: DataFrame, more: DataFrame) -> DataFrame:
+    """Labels after more links: only components are linked, then every member takes its component's new one."""
+    if more.isEmpty():
+        return labels
+    ends = more.select("a", "b")
+    for end in ("a", "b"):
+        own = labels.select(F.col("id").alias(end), F.col("component").alias("of"))
+        ends = ends.join(own, end, "left").withColumn(end, F.coalesce("of", end)).drop("of")
+    merged = components(ends).select("id", F.col("component").alias("into"))
+    both = labels.withColumnRenamed("id", "node").join(merged, F.col("component") == F.col("id"), "left").select(
+        F.col("node").alias("id"), F.coalesce("into", "component").alias("component"))
+    fresh = merged.join(labels.select("id"), "id", "left_anti").select("id", F.col("into").alias("component"))
+    return written(both.union(fresh), "labels")
+
+
+def _cross_links(mixed: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """Links between different components of one bucket, as many as it takes to join those that have any.
+
+    Members meet block by block; a task compares registers of different components, confirms the likely pairs on full
+    sets, and stops at the first link between two components. It puts out fewer links than its blocks have members."""
     def block(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        _, i, j = key
-        left, right = pdf[pdf.block == i], pdf[pdf.block == j]
+        left, right = pdf[pdf.block == key[1]], pdf[pdf.block == key[2]]
         a, b = (np.frombuffer(b"".join(x.regs), ">u2").astype(np.uint16).reshape(-1, REGISTERS) for x in (left, right))
-        n, m, out = left.n.to_numpy(), right.n.to_numpy(), []
-        ids, others = left.id.to_numpy(), right.id.to_numpy()
-        for k in range(len(left)):
-            able = (right.component.to_numpy() != left.component.iloc[k]) & (
-                100 * np.minimum(n[k], m) >= percent * np.maximum(n[k], m)) & ((ids[k] < others) | (i != j))
-            at = np.flatnonzero(able)
-            if len(at):
-                hit = at[plausible(np.broadcast_to(a[k], (len(at), REGISTERS)), b[at], np.full(len(at), n[k]), m[at], percent / 100)]
-                out += [(min(ids[k], x), max(ids[k], x)) for x in others[hit].tolist()]
+        n, m, ids, others = left.n.to_numpy(), right.n.to_numpy(), left.id.to_numpy(), right.id.to_numpy()
+        names, codes = np.unique(np.concatenate([left.component, right.component]), return_inverse=True)
+        mine, theirs, root, out = codes[:len(left)], codes[len(left):], np.arange(len(names)), []
+        sets = [np.frombuffer(x, np.uint64) for x in right.members]
+        for k, members in enumerate(left.members):
+            able = np.flatnonzero((root[theirs] != root[mine[k]]) & (100 * np.minimum(n[k], m) >= percent * np.maximum(n[k], m)))
+            if not len(able):
+                continue
+            able = able[plausible(np.broadcast_to(a[k], (len(able), REGISTERS)), b[able], np.full(len(able), n[k]), m[able], percent / 100)]
+            own = np.frombuffer(members, np.uint64)
+            for x in able.tolist():
+                if root[theirs[x]] != root[mine[k]]:
+                    common = len(np.intersect1d(own, sets[x], assume_unique=True))
+                    if 100 * common >= percent * (len(own) + len(sets[x]) - common):
+                        root[root == root[theirs[x]]] = root[mine[k]]
+                        out.append((ids[k], others[x]))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     parts = F.greatest(F.lit(1), F.ceil(F.col("size") / BLOCK)).cast("int")
-    dealt = seen.select("bucket", "id", "component", parts.alias("parts")).join(head, "id")
+    dealt = mixed.select("bucket", "id", "component", parts.alias("parts")).join(held, "id")
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
-        "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "component", "n", "regs", "block")
+        "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "component", "n", "regs", "members", "block")
     return dealt.groupBy("bucket", "i", "j").applyInPandas(block, "a long, b long").distinct()
 
 
