@@ -15,7 +15,8 @@ from skycadence.plans.registry import Tables, query
 from skycadence.plans.stations import (OBS, S10, S1H, SITES, W, case_sql, cells, cells_sql, cloud, elev_sql, elevation, frame,
                                        observations, radiation, rc, rd, reports, round_all, series, weather)
 from skycadence.sources.sinks import materialize
-from skycadence.spec import CLOUD_FEATURES, FEATURES, per_site
+from skycadence import spec as sp
+from skycadence.spec import FEATURES, per_site
 
 C = F.col
 N = None
@@ -315,57 +316,62 @@ def wide(t: Tables):
     return ft.wide_table(radiation(t), cloud(t), weather(t), reports(t), elevation(), series_bounds(o, 600))
 
 
-_FRESH = "r_ts IS NULL OR g.ts - r_ts > INTERVAL 6 HOUR"
-_SYN = [("temp", "22.0::DOUBLE + k / 8.0::DOUBLE", "synop_temp_c"), ("dewpoint", "15.0::DOUBLE + k / 16.0::DOUBLE", "synop_dewpoint_c"),
-        ("rh", "value", "synop_rh_pct"), ("wind", "k / 8.0::DOUBLE", "synop_wind_speed"), ("wind_dir", "k * 3.625::DOUBLE", "synop_wind_dir_deg"),
-        ("visibility", "10.0::DOUBLE - k / 16.0::DOUBLE", "synop_visibility"), ("rain24", "value / 8.0::DOUBLE", "synop_rainfall_24h_mm"),
-        ("rad24", "value * 3.0::DOUBLE", "synop_solar_rad_24h")]
-_HIST = ([f"lag(ts, {m // 10}) {W} AS lag_{m}m_ts" for m in (10, 30, 60, 120, 180)]
-         + [f"lag(ghi_now, {m // 10}) {W} AS ghi_lag_{m}m" for m in (10, 30, 60, 120, 180)]
-         + [f"lag({a}, 6) {W} AS {b}" for a, b in [("dhi_now", "dhi_lag_60m"), ("dni_now", "dni_lag_60m"), ("aws_temp_c", "aws_temp_lag_60m"),
-            ("aws_rh_pct", "aws_rh_lag_60m"), ("aws_pressure_hpa", "aws_pressure_lag_60m"), ("clp_cot", "clp_cot_lag_60m"), ("clp_cth_m", "clp_cth_lag_60m")]]
-         + [f"{f}(ghi_now) {frame(-k + 1, 0)} AS ghi_roll_{k * 10}m_{n}" for k in (3, 6, 18) for f, n in [("avg", "mean"), ("min", "min"), ("max", "max"), ("stddev_samp", "std")]]
-         + [f"avg({a}) {frame(-17, 0)} AS {b}_roll_180m_mean" for a, b in [("dhi_now", "dhi"), ("dni_now", "dni"), ("aws_temp_c", "aws_temp"),
-            ("aws_rh_pct", "aws_rh"), ("aws_ws_avg", "aws_ws"), ("clp_cot", "clp_cot"), ("clp_cth_m", "clp_cth")]]
-         + [f"sum(aws_rain_mm) {frame(-17, 0)} AS aws_rain_sum_180m", f"lead(ghi_now, 6) {W} AS target_ghi_1h_ahead",
-            f"lead(ts, 6) {W} AS observed_target_ts_wib", f"sum(CASE WHEN has_asrs THEN 1 ELSE 0 END) {frame(-18, -1)} AS behind"])
-_WIDE_FLOATS = (["hour_sin", "hour_cos", "month_sin", "month_cos", "ghi_now", "dhi_now", "dni_now", "reflected_now", "nett_rad_now", "solar_elev_deg",
-                 "aws_temp_c", "aws_temp_min_c", "aws_temp_max_c", "aws_rh_pct", "aws_pressure_hpa", "aws_ws_avg", "aws_ws_max", "aws_wd_deg", "aws_rain_mm",
-                 "aws_sr_avg_w_m2", "clp_cot", "clp_cth_m", "clp_ctt_k", "clp_cer"] + [c for _, _, c in _SYN] + ["target_ghi_1h_ahead"]
-                + [f"ghi_lag_{m}m" for m in (10, 30, 60, 120, 180)]
-                + ["dhi_lag_60m", "dni_lag_60m", "aws_temp_lag_60m", "aws_rh_lag_60m", "aws_pressure_lag_60m", "clp_cot_lag_60m", "clp_cth_lag_60m"]
-                + [f"ghi_roll_{m}m_{s}" for m in (30, 60, 180) for s in ("mean", "min", "max", "std")]
-                + [f"{b}_roll_180m_mean" for b in ("dhi", "dni", "aws_temp", "aws_rh", "aws_ws", "clp_cot", "clp_cth")]
-                + ["aws_rain_sum_180m", "ghi_delta_10m", "ghi_delta_60m", "aws_temp_delta_60m", "aws_rh_delta_60m"])
-WIDE_SQL = f"""{OBS},
-g AS (SELECT site, unnest(generate_series(time_bucket(INTERVAL 10 MINUTE, min(ts)), time_bucket(INTERVAL 10 MINUTE, max(ts)), INTERVAL 10 MINUTE)) AS ts FROM obs GROUP BY site),
-a AS (SELECT site, time_bucket(INTERVAL 10 MINUTE, ts) AS ts, avg(value * 10.0::DOUBLE) AS ghi_now, avg(value * k / 8.0::DOUBLE) AS dhi_now, avg(value * 8.0::DOUBLE) AS dni_now,
-  avg(value * 2.0::DOUBLE) AS reflected_now, avg(value * 10.0::DOUBLE - value * 2.0::DOUBLE) AS nett_rad_now, avg({_E}) AS solar_elev_deg, count(*) AS asrs_n_obs_1min,
-  CAST(sum(CASE WHEN event_id % 4 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS asrs_ok_obs FROM obs GROUP BY 1, 2),
-c AS (SELECT site, time_bucket(INTERVAL 10 MINUTE, ts) AS ts, avg(value / 4.0::DOUBLE) AS clp_cot, avg(k * 100.0::DOUBLE) AS clp_cth_m, avg(300.0::DOUBLE - k) AS clp_ctt_k,
-  avg(5.0::DOUBLE + k / 8.0::DOUBLE) AS clp_cer, max(CASE WHEN value > 20 THEN 1 ELSE 0 END) AS clp_cloud_present, max(CASE WHEN value / 4.0 < 2 THEN 1 ELSE 0 END) AS clp_clear_flag,
-  max(CASE WHEN value / 4.0 >= 2 AND value / 4.0 < 6 THEN 1 ELSE 0 END) AS clp_thin_cloud_flag, max(CASE WHEN value / 4.0 >= 6 AND value / 4.0 < 15 THEN 1 ELSE 0 END) AS clp_moderate_cloud_flag,
-  max(CASE WHEN value / 4.0 >= 15 THEN 1 ELSE 0 END) AS clp_thick_cloud_flag FROM obs WHERE event_type = 'purchase' GROUP BY 1, 2),
-m AS (SELECT site, time_bucket(INTERVAL 10 MINUTE, ts) AS ts, avg(20.0::DOUBLE + k / 8.0::DOUBLE) AS aws_temp_c, min(20.0::DOUBLE + k / 8.0::DOUBLE) AS aws_temp_min_c,
-  max(20.0::DOUBLE + k / 8.0::DOUBLE) AS aws_temp_max_c, avg(value) AS aws_rh_pct, avg(1000.0::DOUBLE + k / 8.0::DOUBLE) AS aws_pressure_hpa, avg(k / 16.0::DOUBLE) AS aws_ws_avg,
-  max(k / 8.0::DOUBLE) AS aws_ws_max, avg(k * 3.625::DOUBLE) AS aws_wd_deg, sum(value / 128.0::DOUBLE) AS aws_rain_mm, avg(value * 9.0::DOUBLE) AS aws_sr_avg_w_m2
-  FROM obs WHERE event_type = 'click' GROUP BY 1, 2),
-r AS (SELECT site, ts AS r_ts, {', '.join(f'{e} AS {n}' for n, e, _ in _SYN)} FROM obs WHERE event_type = 'signup'),
-s AS (SELECT g.site, g.ts, {', '.join(f'CASE WHEN {_FRESH} THEN NULL ELSE {n} END AS {c}' for n, _, c in _SYN)} FROM g ASOF LEFT JOIN r ON g.site = r.site AND g.ts >= r.r_ts),
-base AS (SELECT g.site, g.ts, a.* EXCLUDE (site, ts), m.* EXCLUDE (site, ts), c.* EXCLUDE (site, ts), s.* EXCLUDE (site, ts),
-  ghi_now IS NOT NULL AS has_asrs, aws_temp_c IS NOT NULL AS has_aws, clp_cot IS NOT NULL AS has_clp, synop_temp_c IS NOT NULL AS has_synop
-  FROM g LEFT JOIN a USING (site, ts) LEFT JOIN m USING (site, ts) LEFT JOIN c USING (site, ts) LEFT JOIN s USING (site, ts)),
-feat AS (SELECT *, {', '.join(_HIST)} FROM base),
-fin AS (SELECT * EXCLUDE (ts, behind), ts AS ts_wib, ts + INTERVAL 60 MINUTE AS target_ts_wib, extract(year FROM ts) AS year, extract(month FROM ts) AS month, extract(day FROM ts) AS day,
-  extract(hour FROM ts) AS hour, extract(minute FROM ts) AS minute, sin(2 * pi() * (extract(hour FROM ts) + extract(minute FROM ts) / 60.0::DOUBLE) / 24.0) AS hour_sin,
-  cos(2 * pi() * (extract(hour FROM ts) + extract(minute FROM ts) / 60.0::DOUBLE) / 24.0) AS hour_cos, sin(2 * pi() * extract(month FROM ts) / 12.0) AS month_sin,
-  cos(2 * pi() * extract(month FROM ts) / 12.0) AS month_cos, CASE WHEN solar_elev_deg > 0 THEN 1 ELSE 0 END AS daylight_flag, CASE WHEN solar_elev_deg > 5 THEN 1 ELSE 0 END AS sun_above_5deg_flag,
-  CASE WHEN has_asrs AND has_clp THEN 'ok' WHEN has_asrs THEN 'partial_no_clp' ELSE 'missing_radiation' END AS master_qc_status,
-  CASE WHEN has_asrs THEN 'ok' ELSE 'missing' END AS asrs_qc_status, CASE WHEN has_aws THEN 'ok' ELSE 'missing' END AS aws_qc_status,
-  CASE WHEN has_clp THEN 'ok' ELSE 'missing' END AS clp_qc_status, CASE WHEN has_synop THEN 'ok' ELSE 'missing' END AS synop_qc_status,
-  ghi_now - ghi_lag_10m AS ghi_delta_10m, ghi_now - ghi_lag_60m AS ghi_delta_60m, aws_temp_c - aws_temp_lag_60m AS aws_temp_delta_60m, aws_rh_pct - aws_rh_lag_60m AS aws_rh_delta_60m,
-  CASE WHEN behind = 18 THEN 1 ELSE 0 END AS has_continuous_3h_history,
-  CASE WHEN behind = 18 AND has_asrs AND target_ghi_1h_ahead IS NOT NULL THEN 1 ELSE 0 END AS is_model_ready FROM feat)"""
+# SQL of every field of a source over ``obs``, and which rows are the source's.
+_ONLY = {"radiation": "true", "cloud": "event_type = 'purchase'", "weather": "event_type = 'click'", "report": "event_type = 'signup'"}
+_FIELDS = {
+    "radiation": {"ghi": "value * 10.0", "dhi": "value * k / 8.0", "dni": "value * 8.0", "reflected": "value * 2.0",
+                  "net": "value * 10.0 - value * 2.0", "elevation": elev_sql(), "good": "event_id % 4 = 0"},
+    "cloud": {"cot": "value / 4.0", "cth": "k * 100.0", "ctt": "300.0 - k", "cer": "5.0 + k / 8.0", "present": "value > 20",
+              "clear": "value < 8", "thin": "value BETWEEN 8 AND 23.99", "moderate": "value BETWEEN 24 AND 59.99", "thick": "value >= 60"},
+    "weather": {"temp": "20.0 + k / 8.0", "rh": "value", "pressure": "1000.0 + k / 8.0", "ws": "k / 16.0", "ws_max": "k / 8.0",
+                "wd": "k * 3.625", "rain": "value / 128.0", "sr": "value * 9.0"},
+    "report": {"temp": "22.0 + k / 8.0", "dewpoint": "15.0 + k / 16.0", "rh": "value", "wind": "k / 8.0", "wind_dir": "k * 3.625",
+               "visibility": "10.0 - k / 16.0", "rain24": "value / 8.0", "rad24": "value * 3.0"}}
+
+
+def _statistic_sql(source: str, field: str, how: str) -> str:
+    x, only = _FIELDS[source][field], f"FILTER (WHERE {_ONLY[source]})"
+    return {"rows": f"count(*) {only}", "hits": f"count_if({x})::BIGINT", "any": f"max(({x})::INT) {only}"}.get(
+        how) or f"{'avg' if how == 'mean' else how}(({x})::DOUBLE) {only}"
+
+
+_PLAIN = {"mean": "avg", "std": "stddev_samp", "min": "min", "max": "max", "sum": "sum"}
+
+
+def _history_sql(e, now: str, past: str | None = None) -> str:
+    past = past or now
+    back = f"lag({past}, {e.steps}) {W}"
+    made = {"lag": back, "lead": f"lead({past}, {e.steps}) {W}", "delta": f"{now} - {back}",
+            "apart": f"{now} - avg({past}) {frame(1 - e.steps, 0)}", "accel": f"{now} - 2 * {back} + lag({past}, {2 * e.steps}) {W}"}
+    return f"{made.get(e.how) or f'{_PLAIN[e.how]}({past}) {frame(1 - e.steps, 0)}'} AS {e.name}"
+
+
+# Every binned measure of every source from one conditional aggregate over all readings, on the complete grid.
+def _binned_sql(names) -> str:
+    picked = [m for m in sp.MEASURES if m[0] in names]
+    return f"""{OBS},
+binned AS (SELECT site, time_bucket(INTERVAL 10 MINUTE, ts) AS ts, {', '.join(f'{_statistic_sql(*m[1:])} AS {m[0]}' for m in picked)}
+  FROM obs GROUP BY ALL),
+slots AS (SELECT site, unnest(generate_series(min(ts), max(ts), INTERVAL 10 MINUTE)) AS ts FROM binned GROUP BY site),
+grid AS (FROM slots LEFT JOIN binned USING (site, ts))"""
+
+
+_WIDE_MEASURES = [m[0] for m in sp.MEASURES if m[1] != "report"]
+_REPORTED = [m for m in sp.MEASURES if m[1] == "report"]
+_WIDE_FLOATS = (["hour_sin", "hour_cos", "month_sin", "month_cos"]
+                + [m[0] for m in sp.MEASURES if m[3] in ("mean", "min", "max", "sum", "latest")] + [e.name for e in sp.HISTORY if e.source != "ts"])
+_TURN = {"hour": "(hour(ts_wib) + minute(ts_wib) / 60.0::DOUBLE) / 24", "month": "month(ts_wib) / 12.0::DOUBLE"}
+WIDE_SQL = f"""{_binned_sql(_WIDE_MEASURES)},
+said AS (SELECT site, ts AS said_at, {', '.join(f'({_FIELDS["report"][m[2]]})::DOUBLE AS {m[0]}' for m in _REPORTED)} FROM obs WHERE {_ONLY['report']}),
+known AS (SELECT grid.*, {', '.join(f'CASE WHEN grid.ts - said_at <= INTERVAL 6 HOUR THEN {m[0]} END AS {m[0]}' for m in _REPORTED)}
+  FROM grid ASOF LEFT JOIN said ON grid.site = said.site AND grid.ts >= said_at),
+past AS (SELECT *, {', '.join(_history_sql(e, e.source) for e in sp.HISTORY)}, count(ghi_now) {frame(-18, -1)} = 18 AS whole FROM known),
+fin AS (SELECT * EXCLUDE (whole, ts), ts AS ts_wib, ts + INTERVAL 1 HOUR AS target_ts_wib, {', '.join(f'{p}(ts_wib) AS {p}' for p in ('year', 'month', 'day', 'hour', 'minute'))},
+  {', '.join(f'{f}(2 * pi() * {at}) AS {n}_{f}' for n, at in _TURN.items() for f in ('sin', 'cos'))},
+  {', '.join(f"{shown} IS NOT NULL AS {has}, if({shown} IS NULL, 'missing', 'ok') AS {state}" for has, state, shown in sp.SOURCES.values())},
+  coalesce((solar_elev_deg > 0)::INT, 0) AS daylight_flag, coalesce((solar_elev_deg > 5)::INT, 0) AS sun_above_5deg_flag,
+  whole::INT AS has_continuous_3h_history, (whole AND ghi_now IS NOT NULL AND target_ghi_1h_ahead IS NOT NULL)::INT AS is_model_ready,
+  if(ghi_now IS NULL, 'missing_radiation', if(clp_cot IS NULL, 'partial_no_clp', 'ok')) AS master_qc_status FROM past)"""
 
 
 @query("feature_table_wide", "JN-2 JN-7 RSM-2 WIN-1 WIN-2 WIN-3 WIN-4 WIN-5 WIN-6 WIN-7 ANC-5 AGG-7",
@@ -379,33 +385,20 @@ def recipe(t: Tables, ready_only: bool = True, extra=()):
     return ft.recipe50([rad, ft.cloud_cells(cloud(t))], series_bounds(observations(t), 600), elevation, ready_only=ready_only, extra=extra)
 
 
-_REC_WIN = ([f"lag(ghi_now, {m // 10}) {W} AS ghi_lag_{m}m" for m in (10, 20, 30, 60, 120, 180)]
-            + [f"{f}(ghi_now) {frame(-k + 1, 0)} AS ghi_roll_{k * 10}m_{n}" for k in (3, 6, 18) for f, n in [("avg", "mean"), ("stddev_samp", "std")]]
-            + [f"lag(kt_point, {m // 10}) {W} AS kt_lag_{m}m" for m in (10, 20, 30, 60)]
-            + [f"avg(kt_point) {frame(-2, 0)} AS kt_roll30m_mean", f"stddev_samp(kt_point) {frame(-2, 0)} AS kt_roll30m_std", f"avg(kt_point) {frame(-5, 0)} AS kt_roll60m_mean"]
-            + [f"lag(clp_cot, {m // 10}) {W} AS clp_cot_lag_{m}m" for m in (10, 20, 30, 60)]
-            + [f"avg(clp_cot) {frame(-17, 0)} AS clp_cot_roll_180m_mean"] + [f"lead(ghi_now, {k}) {W} AS f{k}" for k in range(1, 7)]
-            + [f"count(ghi_now) {frame(-18, -1)} AS behind"])
-RECIPE_SQL = f"""{OBS},
-g AS (SELECT site, unnest(generate_series(time_bucket(INTERVAL 10 MINUTE, min(ts)), time_bucket(INTERVAL 10 MINUTE, max(ts)), INTERVAL 10 MINUTE)) AS ts FROM obs GROUP BY site),
-a AS (SELECT site, time_bucket(INTERVAL 10 MINUTE, ts) AS ts, avg(value * 10.0::DOUBLE) AS ghi_now FROM obs GROUP BY 1, 2),
-c AS (SELECT site, time_bucket(INTERVAL 10 MINUTE, ts) AS ts, avg(value / 4.0::DOUBLE) AS clp_cot, avg(k * 100.0::DOUBLE) AS clp_cth_m, avg(300.0::DOUBLE - k) AS clp_ctt_k,
-  avg(5.0::DOUBLE + k / 8.0::DOUBLE) AS clp_cer, max(CASE WHEN value > 20 THEN 1 ELSE 0 END) AS clp_cloud_present FROM obs WHERE event_type = 'purchase' GROUP BY 1, 2),
-base AS (SELECT g.site, g.ts, ghi_now, clp_cot, clp_cth_m, clp_ctt_k, clp_cer, clp_cloud_present, {elev_sql('g.ts').replace('CASE site', 'CASE g.site')} AS e
-  FROM g LEFT JOIN a USING (site, ts) LEFT JOIN c USING (site, ts)),
-kt AS (SELECT *, ghi_now / greatest(1100 * greatest(sin(radians(e)), 0.02), 20) AS kt_point FROM base),
-win AS (SELECT *, {', '.join(_REC_WIN)} FROM kt),
-rdy AS (SELECT *, ghi_now / greatest(1100 * greatest(sin(radians(e)), 0), 20) AS kt_now, {', '.join(f'{_cs_sql(k)} AS cs{k}' for k in range(1, 7))} FROM win
-  WHERE behind = 18 AND ghi_now BETWEEN 0 AND 1400 AND f6 IS NOT NULL AND e > 5),
-rec AS (SELECT *, clp_cot - clp_cot_lag_10m AS clp_cot_delta_10m, clp_cot - clp_cot_lag_30m AS clp_cot_delta_30m, clp_cot - clp_cot_lag_60m AS clp_cot_delta_60m,
-  clp_cot - clp_cot_roll_180m_mean AS clp_cot_delta_180m, ghi_now - ghi_lag_10m AS ghi_delta_10m, ghi_now - ghi_lag_60m AS ghi_delta_60m,
-  ghi_now - 2 * ghi_lag_10m + ghi_lag_20m AS accel_ghi_20m, kt_now - 2 * kt_lag_10m + kt_lag_20m AS accel_kt_20m, clp_cot - 2 * clp_cot_lag_10m + clp_cot_lag_20m AS accel_clp_cot_20m,
-  sin(2 * pi() * (hour(ts) + minute(ts) / 60.0::DOUBLE) / 24) AS hour_sin, cos(2 * pi() * (hour(ts) + minute(ts) / 60.0::DOUBLE) / 24) AS hour_cos,
-  sin(2 * pi() * dayofyear(ts) / 365.25) AS doy_sin, cos(2 * pi() * dayofyear(ts) / 365.25) AS doy_cos, sin(2 * pi() * month(ts) / 12.0) AS month_sin, cos(2 * pi() * month(ts) / 12.0) AS month_cos,
-  cs6 AS ghi_cs_t60, cs6 / 1100 AS elev_sin_t60, kt_now * cs6 AS smart_persist, kt_now * (cs1 + cs2 + cs3 + cs4 + cs5 + cs6) / 6 AS smart_persist_avg, f6 AS ghi_point_t60,
-  CASE WHEN f1 BETWEEN 0 AND 1400 AND f2 BETWEEN 0 AND 1400 AND f3 BETWEEN 0 AND 1400 AND f4 BETWEEN 0 AND 1400 AND f5 BETWEEN 0 AND 1400 AND f6 BETWEEN 0 AND 1400
-    THEN (f1 + f2 + f3 + f4 + f5 + f6) / 6 END AS ghi_avg_t10_t60, e AS solar_elev_deg FROM rdy),
-recipe AS (SELECT *, ghi_point_t60 - ghi_now AS delta_point, ghi_avg_t10_t60 - ghi_now AS delta_avg FROM rec)"""
+_PAST = {"ghi": ("ghi_now", "ghi_now"), "kt": ("kt_now", "kt_point"), "cot": ("clp_cot", "clp_cot")}
+_SKY = "1100 * greatest(sin(radians(solar_elev_deg)), {})"
+_WAVES = {"hour": "(hour(ts) + minute(ts) / 60.0::DOUBLE) / 24", "doy": "dayofyear(ts) / 365.25", "month": "month(ts) / 12.0"}
+RECIPE_SQL = f"""{_binned_sql(['ghi_now', 'clp_cot', 'clp_cth_m', 'clp_ctt_k', 'clp_cer', 'clp_cloud_present'])},
+sun AS (SELECT *, {elev_sql()} AS solar_elev_deg FROM grid),
+ratio AS (SELECT *, ghi_now / greatest({_SKY.format(0.02)}, 20) AS kt_point, ghi_now / greatest({_SKY.format(0)}, 20) AS kt_now FROM sun),
+past AS (SELECT *, {', '.join(_history_sql(e, *_PAST[e.source]) for e in sp.RECIPE if e.source in _PAST and e.how != 'now')},
+  {', '.join(f'lead(ghi_now, {k}) {W} AS f{k}' for k in range(1, 7))}, count(ghi_now) {frame(-18, -1)} AS n_back FROM ratio),
+ready AS (SELECT *, solar_elev_deg AS e, [f1, f2, f3, f4, f5, f6] AS fs, [{', '.join(_cs_sql(k) for k in range(1, 7))}] AS skies FROM past
+  WHERE n_back = 18 AND ghi_now BETWEEN 0 AND 1400 AND f6 IS NOT NULL AND solar_elev_deg > 5),
+recipe AS (SELECT *, {', '.join(f'{f}(2 * pi() * {at}) AS {n}_{f}' for n, at in _WAVES.items() for f in ('sin', 'cos'))},
+  skies[6] AS ghi_cs_t60, skies[6] / 1100 AS elev_sin_t60, kt_now * skies[6] AS smart_persist, kt_now * list_avg(skies) AS smart_persist_avg,
+  f6 AS ghi_point_t60, f6 - ghi_now AS delta_point, if(len(list_filter(fs, lambda x: x BETWEEN 0 AND 1400)) = 6, list_avg(fs), NULL) AS ghi_avg_t10_t60,
+  ghi_avg_t10_t60 - ghi_now AS delta_avg FROM ready)"""
 RECIPE_COLS = ["site", "ts", *FEATURES, "ghi_point_t60", "ghi_avg_t10_t60", "delta_point", "delta_avg", "solar_elev_deg"]
 _RF = [c for c in RECIPE_COLS if c not in ("site", "ts", "clp_cloud_present")]
 

@@ -1,4 +1,4 @@
-"""The two feature tables: the wide 10-minute table and the 50-feature recipe."""
+"""The two feature tables, built from the tables of published columns in ``spec``."""
 
 from __future__ import annotations
 
@@ -6,75 +6,63 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skycadence.functions.exprs import flag, floor_at, strict_mean
-from skycadence.functions.solar import acceleration, clear_sky, clearness, clearness_point, cyclic, sin_elev
+from skycadence.functions.solar import clear_sky, clearness, clearness_point, cyclic, sin_elev
 from skycadence.functions.timeline import clock_hours, seconds_between, shift
 from skycadence.operators.chunks import on_grid
 from skycadence.operators.grid import resample
 from skycadence.operators.temporal import latest_per_slot
 from skycadence.operators.windows import asof_value, lag, lead, rolling, valid_behind
-from skycadence.spec import FEATURES, HISTORY_STEPS, STEP_S, VALID_MAX, VALID_MIN
+from skycadence.spec import FEATURES, HISTORY, HISTORY_STEPS, MEASURES, RECIPE, SOURCES, STEP_S, VALID_MAX, VALID_MIN, Entry
 
 _C = F.col
 REPORT_MAX_AGE_S = 6 * 3600
-REPORT_COLS = {"temp": "synop_temp_c", "dewpoint": "synop_dewpoint_c", "rh": "synop_rh_pct",
-               "wind": "synop_wind_speed", "wind_dir": "synop_wind_dir_deg", "visibility": "synop_visibility",
-               "rain24": "synop_rainfall_24h_mm", "rad24": "synop_solar_rad_24h"}
+_STATISTICS = {"mean": F.avg, "min": F.min, "max": F.max, "sum": F.sum, "any": lambda c: F.max(flag(c)),
+               "hits": lambda c: F.sum(flag(c)), "rows": lambda c: F.count(F.lit(1))}
+
+
+def bins(readings: DataFrame, source: str, derived: dict[str, Column] | None = None) -> DataFrame:
+    """The published measures of one source per 10-minute bin; ``derived`` are fields that are expressions."""
+    fields = derived or {}
+    return resample(readings.withColumns(fields) if fields else readings, STEP_S, [
+        _STATISTICS[how](_C(field)).alias(name) for name, origin, field, how in MEASURES if origin == source])
 
 
 def radiation_cells(rad: DataFrame, elev: Column) -> DataFrame:
-    return resample(rad.withColumn("_elev", elev), STEP_S, [
-        F.avg("ghi").alias("ghi_now"), F.avg("dhi").alias("dhi_now"), F.avg("dni").alias("dni_now"),
-        F.avg("reflected").alias("reflected_now"), F.avg(_C("ghi") - _C("reflected")).alias("nett_rad_now"),
-        F.avg("_elev").alias("solar_elev_deg"), F.count(F.lit(1)).alias("asrs_n_obs_1min"),
-        F.sum(flag(_C("data_flag") == 0)).alias("asrs_ok_obs")])
+    return bins(rad, "radiation", {"net": _C("ghi") - _C("reflected"), "elevation": elev, "good": _C("data_flag") == 0})
 
 
 def cloud_cells(cloud: DataFrame) -> DataFrame:
-    clear = ["clear_or_no_retrieval", "clear_or_very_thin"]
     kind = _C("cloud_class")
-    return resample(cloud, STEP_S, [
-        F.avg("cot").alias("clp_cot"), F.avg("cth").alias("clp_cth_m"), F.avg("ctt").alias("clp_ctt_k"),
-        F.avg("cer").alias("clp_cer"), F.max(flag(_C("cloud_present"))).alias("clp_cloud_present"),
-        F.max(flag(kind.isin(clear))).alias("clp_clear_flag"),
-        F.max(flag(kind == "thin_cloud")).alias("clp_thin_cloud_flag"),
-        F.max(flag(kind == "moderate_cloud")).alias("clp_moderate_cloud_flag"),
-        F.max(flag(kind == "thick_cloud")).alias("clp_thick_cloud_flag")])
+    classes = {"thin": "thin_cloud", "moderate": "moderate_cloud", "thick": "thick_cloud"}
+    return bins(cloud, "cloud", {"present": _C("cloud_present"), "clear": kind.startswith("clear"),
+                                 **{field: kind == name for field, name in classes.items()}})
 
 
 def weather_cells(met: DataFrame) -> DataFrame:
-    return resample(met, STEP_S, [
-        F.avg("temp").alias("aws_temp_c"), F.min("temp").alias("aws_temp_min_c"), F.max("temp").alias("aws_temp_max_c"),
-        F.avg("rh").alias("aws_rh_pct"), F.avg("pressure").alias("aws_pressure_hpa"), F.avg("ws").alias("aws_ws_avg"),
-        F.max("ws_max").alias("aws_ws_max"), F.avg("wd").alias("aws_wd_deg"), F.sum("rain").alias("aws_rain_mm"),
-        F.avg("sr").alias("aws_sr_avg_w_m2")])
+    return bins(met, "weather")
+
+
+def history(e: Entry, w, now: str, past: str | None = None) -> Column:
+    """One column of a table of entries: ``now`` is its current value, ``past`` the series its history is read from."""
+    past = past or now
+    made = {
+        "now": lambda: _C(now),
+        "lag": lambda: lag(past, e.steps, w),
+        "lead": lambda: lead(past, e.steps, w),
+        "delta": lambda: _C(now) - lag(past, e.steps, w),
+        "apart": lambda: _C(now) - rolling(past, e.steps, "mean", w),
+        "accel": lambda: _C(now) - 2 * lag(past, e.steps, w) + lag(past, 2 * e.steps, w),
+    }
+    return (made[e.how]() if e.how in made else rolling(past, e.steps, e.how, w)).alias(e.name)
 
 
-def _windows(g: DataFrame, w) -> DataFrame:
-    """All lags, rolling statistics and leads of the wide table in one window pass."""
+def _wide_windows(g: DataFrame, w) -> DataFrame:
+    """Reports, history and target in one window pass."""
     g = g.withColumn("_rep", asof_value("report", w, REPORT_MAX_AGE_S // STEP_S))
     fresh = seconds_between("ts", "_rep.at") <= F.lit(float(REPORT_MAX_AGE_S))
-    has = {"has_asrs": "ghi_now", "has_aws": "aws_temp_c", "has_clp": "clp_cot"}
-    cols = [F.when(fresh, _C(f"_rep.{a}")).alias(b) for a, b in REPORT_COLS.items()]
-    cols += [_C(c).isNotNull().alias(n) for n, c in has.items()]
-    for m in (10, 30, 60, 120, 180):
-        cols += [lag("ts", m // 10, w).alias(f"lag_{m}m_ts"), lag("ghi_now", m // 10, w).alias(f"ghi_lag_{m}m")]
-    for src, out in [("dhi_now", "dhi_lag_60m"), ("dni_now", "dni_lag_60m"), ("aws_temp_c", "aws_temp_lag_60m"),
-                     ("aws_rh_pct", "aws_rh_lag_60m"), ("aws_pressure_hpa", "aws_pressure_lag_60m"),
-                     ("clp_cot", "clp_cot_lag_60m"), ("clp_cth_m", "clp_cth_lag_60m")]:
-        cols.append(lag(src, 6, w).alias(out))
-    for m in (30, 60, 180):
-        cols += [rolling("ghi_now", m // 10, s, w).alias(f"ghi_roll_{m}m_{s}") for s in ("mean", "min", "max", "std")]
-    for src, stem in [("dhi_now", "dhi"), ("dni_now", "dni"), ("aws_temp_c", "aws_temp"), ("aws_rh_pct", "aws_rh"),
-                      ("aws_ws_avg", "aws_ws"), ("clp_cot", "clp_cot"), ("clp_cth_m", "clp_cth")]:
-        cols.append(rolling(src, HISTORY_STEPS, "mean", w).alias(f"{stem}_roll_180m_mean"))
-    cols += [rolling("aws_rain_mm", HISTORY_STEPS, "sum", w).alias("aws_rain_sum_180m"),
-             lead("ghi_now", 6, w).alias("target_ghi_1h_ahead"), lead("ts", 6, w).alias("observed_target_ts_wib"),
-             valid_behind(_C("ghi_now").isNotNull(), HISTORY_STEPS, w).alias("_behind")]
-    return g.select("*", *cols)
-
-
-def _status(test: str, name: str) -> Column:
-    return F.when(_C(test), F.lit("ok")).otherwise(F.lit("missing")).alias(name)
+    reports = [F.when(fresh, _C(f"_rep.{field}")).alias(name) for name, source, field, _ in MEASURES if source == "report"]
+    return g.select("*", *reports, *[history(e, w, e.source) for e in HISTORY],
+                    valid_behind(_C("ghi_now").isNotNull(), HISTORY_STEPS, w).alias("_behind"))
 
 
 def wide_table(radiation: DataFrame, cloud: DataFrame, weather: DataFrame, reports: DataFrame, elev: Column,
@@ -84,91 +72,57 @@ def wide_table(radiation: DataFrame, cloud: DataFrame, weather: DataFrame, repor
     Four sources meet on one grid with a single shuffle after their bin
     aggregates; the observer reports ride along as structs for the as-of lookup.
     """
-    rep = latest_per_slot(reports, STEP_S, list(REPORT_COLS), tiebreak=["event_id"])
-    g = on_grid([radiation_cells(radiation, elev), cloud_cells(cloud), weather_cells(weather), rep], _windows,
+    fields = [field for _, source, field, _ in MEASURES if source == "report"]
+    rep = latest_per_slot(reports, STEP_S, fields, tiebreak=["event_id"])
+    g = on_grid([radiation_cells(radiation, elev), cloud_cells(cloud), weather_cells(weather), rep], _wide_windows,
                 step_s=STEP_S, bounds=bounds, back=REPORT_MAX_AGE_S // STEP_S, ahead=6, chunk_steps=chunk_steps)
+    g = g.withColumns({has: _C(shown).isNotNull() for has, _, shown in SOURCES.values()})
     ts = _C("ts")
-    month = F.month(ts).cast("long")
-    hour_sin, hour_cos = cyclic(clock_hours(ts), 24.0)
-    month_sin, month_cos = cyclic(month, 12.0)
-    g = g.withColumn("has_synop", _C("synop_temp_c").isNotNull())
-    history = flag(_C("_behind") == HISTORY_STEPS)
-    ready = flag((_C("_behind") == HISTORY_STEPS) & _C("has_asrs") & _C("target_ghi_1h_ahead").isNotNull())
-    measures = ["ghi_now", "dhi_now", "dni_now", "reflected_now", "nett_rad_now", "solar_elev_deg", "asrs_n_obs_1min",
-                "asrs_ok_obs", "aws_temp_c", "aws_temp_min_c", "aws_temp_max_c", "aws_rh_pct", "aws_pressure_hpa",
-                "aws_ws_avg", "aws_ws_max", "aws_wd_deg", "aws_rain_mm", "aws_sr_avg_w_m2", "clp_cot", "clp_cth_m",
-                "clp_ctt_k", "clp_cer", "clp_cloud_present", "clp_clear_flag", "clp_thin_cloud_flag",
-                "clp_moderate_cloud_flag", "clp_thick_cloud_flag", *REPORT_COLS.values(),
-                "has_asrs", "has_aws", "has_clp", "has_synop"]
-    history_cols = (["observed_target_ts_wib", "target_ghi_1h_ahead"]
-                    + [f"lag_{m}m_ts" for m in (10, 30, 60, 120, 180)] + [f"ghi_lag_{m}m" for m in (10, 30, 60, 120, 180)]
-                    + ["dhi_lag_60m", "dni_lag_60m", "aws_temp_lag_60m", "aws_rh_lag_60m", "aws_pressure_lag_60m",
-                       "clp_cot_lag_60m", "clp_cth_lag_60m"]
-                    + [f"ghi_roll_{m}m_{s}" for m in (30, 60, 180) for s in ("mean", "min", "max", "std")]
-                    + ["dhi_roll_180m_mean", "dni_roll_180m_mean", "aws_temp_roll_180m_mean", "aws_rh_roll_180m_mean",
-                       "aws_ws_roll_180m_mean", "aws_rain_sum_180m", "clp_cot_roll_180m_mean", "clp_cth_roll_180m_mean"])
-    return g.select(
-        "site", ts.alias("ts_wib"), shift(ts, 3600).alias("target_ts_wib"),
-        F.year(ts).cast("long").alias("year"), month.alias("month"), F.dayofmonth(ts).cast("long").alias("day"),
-        F.hour(ts).cast("long").alias("hour"), F.minute(ts).cast("long").alias("minute"),
-        hour_sin.alias("hour_sin"), hour_cos.alias("hour_cos"), month_sin.alias("month_sin"), month_cos.alias("month_cos"),
-        flag(_C("solar_elev_deg") > 0).alias("daylight_flag"), flag(_C("solar_elev_deg") > 5).alias("sun_above_5deg_flag"),
-        *measures,
-        F.when(_C("has_asrs") & _C("has_clp"), "ok").when(_C("has_asrs"), "partial_no_clp")
-        .otherwise("missing_radiation").alias("master_qc_status"),
-        _status("has_asrs", "asrs_qc_status"), _status("has_aws", "aws_qc_status"),
-        _status("has_clp", "clp_qc_status"), _status("has_synop", "synop_qc_status"),
-        *history_cols,
-        (_C("ghi_now") - _C("ghi_lag_10m")).alias("ghi_delta_10m"), (_C("ghi_now") - _C("ghi_lag_60m")).alias("ghi_delta_60m"),
-        (_C("aws_temp_c") - _C("aws_temp_lag_60m")).alias("aws_temp_delta_60m"),
-        (_C("aws_rh_pct") - _C("aws_rh_lag_60m")).alias("aws_rh_delta_60m"),
-        history.alias("has_continuous_3h_history"), ready.alias("is_model_ready"))
+    calendar = {part: fn(ts).cast("long") for part, fn in (
+        ("year", F.year), ("month", F.month), ("day", F.dayofmonth), ("hour", F.hour), ("minute", F.minute))}
+    waves = {f"{name}_{kind}": wave for name, at, period in (("hour", clock_hours(ts), 24.0), ("month", F.month(ts), 12.0))
+             for kind, wave in zip(("sin", "cos"), cyclic(at, period))}
+    complete = _C("_behind") == HISTORY_STEPS
+    quality = {state: F.when(_C(has), "ok").otherwise("missing") for has, state, _ in SOURCES.values()}
+    flags = {
+        "daylight_flag": flag(_C("solar_elev_deg") > 0), "sun_above_5deg_flag": flag(_C("solar_elev_deg") > 5),
+        "has_continuous_3h_history": flag(complete),
+        "is_model_ready": flag(complete & _C("has_asrs") & _C("target_ghi_1h_ahead").isNotNull()),
+        "master_qc_status": F.when(~_C("has_asrs"), "missing_radiation").when(_C("has_clp"), "ok").otherwise("partial_no_clp"),
+    }
+    made = {**calendar, **waves, **flags, **quality}
+    return g.select("site", ts.alias("ts_wib"), shift(ts, 3600).alias("target_ts_wib"), *[c.alias(n) for n, c in made.items()],
+                    *[m[0] for m in MEASURES], *[has for has, _, _ in SOURCES.values()], *[e.name for e in HISTORY])
+
+
+# Current value and history of the recipe's sources: the ratio's history keeps a floor under the sun's sine.
+_SERIES = {"ghi": ("ghi_now", "ghi_now"), "kt": ("kt_now", "kt_point"), "cot": ("clp_cot", "clp_cot")}
 
 
 def recipe_windows(g: DataFrame, w, elev_at) -> DataFrame:
     """History part of the recipe. ``elev_at(s)`` builds the elevation ``s`` seconds ahead."""
     g = g.withColumn("solar_elev_deg", elev_at(0))
-    g = g.withColumn("kt_point", clearness_point("ghi_now", "solar_elev_deg"))
-    cols = [lag("ghi_now", m // 10, w).alias(f"ghi_lag_{m}m") for m in (10, 20, 30, 60, 120, 180)]
-    for m in (30, 60, 180):
-        cols += [rolling("ghi_now", m // 10, s, w).alias(f"ghi_roll_{m}m_{s}") for s in ("mean", "std")]
-    cols += [lag("kt_point", m // 10, w).alias(f"kt_lag_{m}m") for m in (10, 20, 30, 60)]
-    cols += [rolling("kt_point", 3, "mean", w).alias("kt_roll30m_mean"), rolling("kt_point", 3, "std", w).alias("kt_roll30m_std"),
-             rolling("kt_point", 6, "mean", w).alias("kt_roll60m_mean")]
-    cols += [lag("clp_cot", m // 10, w).alias(f"clp_cot_lag_{m}m") for m in (10, 20, 30, 60)]
-    cols += [rolling("clp_cot", HISTORY_STEPS, "mean", w).alias("clp_cot_roll_180m_mean")]
-    cols += [lead("ghi_now", k, w).alias(f"ghi_lead_{k * 10}m") for k in range(1, 7)]
-    cols += [valid_behind(_C("ghi_now").isNotNull(), HISTORY_STEPS, w).alias("_behind")]
-    return g.select("*", *cols)
+    g = g.withColumns({"kt_point": clearness_point("ghi_now", "solar_elev_deg"), "kt_now": clearness("ghi_now", clear_sky("solar_elev_deg"))})
+    made = [history(e, w, *_SERIES[e.source]) for e in RECIPE if e.source in _SERIES and e.how != "now"]
+    ahead = [lead("ghi_now", k, w).alias(f"ghi_lead_{k * 10}m") for k in range(1, 7)]
+    return g.select("*", *made, *ahead, valid_behind(_C("ghi_now").isNotNull(), HISTORY_STEPS, w).alias("_behind"))
 
 
 def recipe_columns(df: DataFrame, elev_at) -> DataFrame:
-    """Row-wise part of the recipe: ratios, differences, cycles, known future, targets."""
+    """Row-wise part of the recipe: cycles, known future, targets."""
     ts = _C("ts")
-    cs_now = clear_sky("solar_elev_deg")
-    df = df.withColumn("kt_now", clearness("ghi_now", cs_now))
-    doy_sin, doy_cos = cyclic(F.dayofyear(ts), 365.25)
-    hour_sin, hour_cos = cyclic(clock_hours(ts), 24.0)
-    month_sin, month_cos = cyclic(F.month(ts), 12.0)
-    future = {k: clear_sky(elev_at(k * STEP_S)) for k in range(1, 7)}
-    mean_cs = sum(list(future.values())[1:], future[1]) / F.lit(6.0)
+    waves = {f"{name}_{kind}": wave for name, at, period in (
+        ("hour", clock_hours(ts), 24.0), ("doy", F.dayofyear(ts), 365.25), ("month", F.month(ts), 12.0))
+        for kind, wave in zip(("sin", "cos"), cyclic(at, period))}
+    future = [clear_sky(elev_at(k * STEP_S)) for k in range(1, 7)]
+    mean_cs = sum(future[1:], future[0]) / F.lit(6.0)
     leads = [_C(f"ghi_lead_{k * 10}m") for k in range(1, 7)]
-    df = df.select(
-        "*", *[(_C("clp_cot") - _C(f"clp_cot_lag_{m}m")).alias(f"clp_cot_delta_{m}m") for m in (10, 30, 60)],
-        (_C("clp_cot") - _C("clp_cot_roll_180m_mean")).alias("clp_cot_delta_180m"),
-        (_C("ghi_now") - _C("ghi_lag_10m")).alias("ghi_delta_10m"), (_C("ghi_now") - _C("ghi_lag_60m")).alias("ghi_delta_60m"),
-        acceleration("ghi_now", "ghi_lag_10m", "ghi_lag_20m").alias("accel_ghi_20m"),
-        acceleration("kt_now", "kt_lag_10m", "kt_lag_20m").alias("accel_kt_20m"),
-        acceleration("clp_cot", "clp_cot_lag_10m", "clp_cot_lag_20m").alias("accel_clp_cot_20m"),
-        hour_sin.alias("hour_sin"), hour_cos.alias("hour_cos"), doy_sin.alias("doy_sin"), doy_cos.alias("doy_cos"),
-        month_sin.alias("month_sin"), month_cos.alias("month_cos"),
-        future[6].alias("ghi_cs_t60"), floor_at(sin_elev(elev_at(3600)), 0.0).alias("elev_sin_t60"),
-        mean_cs.alias("ghi_cs_avg_t10_t60"), _C("ghi_lead_60m").alias("ghi_point_t60"),
-        strict_mean(leads, VALID_MIN, VALID_MAX).alias("ghi_avg_t10_t60"))
-    return df.select("*", (_C("kt_now") * _C("ghi_cs_t60")).alias("smart_persist"),
-                     (_C("kt_now") * _C("ghi_cs_avg_t10_t60")).alias("smart_persist_avg"),
-                     (_C("ghi_point_t60") - _C("ghi_now")).alias("delta_point"),
-                     (_C("ghi_avg_t10_t60") - _C("ghi_now")).alias("delta_avg"))
+    df = df.withColumns({
+        **waves, "ghi_cs_t60": future[5], "elev_sin_t60": floor_at(sin_elev(elev_at(3600)), 0.0), "ghi_cs_avg_t10_t60": mean_cs,
+        "ghi_point_t60": leads[5], "ghi_avg_t10_t60": strict_mean(leads, VALID_MIN, VALID_MAX)})
+    return df.withColumns({
+        "smart_persist": _C("kt_now") * _C("ghi_cs_t60"), "smart_persist_avg": _C("kt_now") * _C("ghi_cs_avg_t10_t60"),
+        "delta_point": _C("ghi_point_t60") - _C("ghi_now"), "delta_avg": _C("ghi_avg_t10_t60") - _C("ghi_now")})
 
 
 def recipe50(sources, bounds: DataFrame, elev_at, *, chunk_steps: int = 1008, ready_only: bool = True,
