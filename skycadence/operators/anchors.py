@@ -155,9 +155,14 @@ def folds_by_count(df: DataFrame, k: int, *, order: Sequence[str] = ("ts",), wid
 
 
 def scrambled(key, seed: int = 0) -> Column:
-    """Reproducible pseudo-random integer in [0, 2^32), one-to-one on keys below 2^32."""
-    k = F.col(key) if isinstance(key, str) else key
-    return F.pmod(k * F.lit(2654435761) + F.lit(seed * 40503), F.lit(4294967296))
+    """Reproducible pseudo-random integer in [0, 2^32) of a key of up to 63 bits, one-to-one on keys below 2^32.
+
+    The key's halves are multiplied in 16-bit steps, so that no product leaves 64 bits."""
+    k = (F.col(key) if isinstance(key, str) else key).cast("long")
+    low, high = F.pmod(k, F.lit(1 << 32)), F.shiftright(k, 32)
+    upper = F.pmod(F.shiftright(low, 16) * F.lit(2654435761), F.lit(1 << 16)) * F.lit(1 << 16)
+    lower = low.bitwiseAND(F.lit(0xFFFF).cast("long")) * F.lit(2654435761)
+    return F.pmod(upper + lower + F.pmod(high, F.lit(1 << 31)) * F.lit(2246822519) + F.lit(seed * 40503), F.lit(1 << 32))
 
 
 def random_split(key, fraction: float, seed: int = 0) -> Column:
@@ -166,7 +171,7 @@ def random_split(key, fraction: float, seed: int = 0) -> Column:
 
 def random_subset(df: DataFrame, key: str, fraction: float, keys: Sequence[str] = KEYS, seed: int = 0) -> DataFrame:
     """Exactly ``int(n * fraction)`` rows per series, chosen by scrambled key."""
-    return first_n(df, scrambled(key, seed), F.floor(F.col("_n") * F.lit(fraction)), keys)
+    return first_n(df, scrambled(key, seed), F.floor(F.col("_n") * F.lit(fraction)), keys, tie=(key,))
 
 
 def recent_subset(df: DataFrame, fraction: float, *, order: Sequence[str] = ("ts",), width_s: int = 30 * DAY,

@@ -24,7 +24,7 @@ def score_columns(y: str = "y", p: str = "pred", base: str | None = None) -> lis
     """All scores of one model as combining aggregates (one pass, no self join)."""
     e, yc, pc = C(p) - C(y), C(y), C(p)
     n = F.count(F.lit(1))
-    sst = F.sum(yc * yc) - F.sum(yc) * F.sum(yc) / n
+    sst = F.var_pop(yc) * n
     mse = F.avg(e * e)
     out = [n.alias("n"), (F.lit(1.0) - F.sum(e * e) / F.nullif(sst, F.lit(0.0))).alias("r2"), F.avg(F.abs(e)).alias("mae"),
            F.sqrt(mse).alias("rmse"), F.avg(e).alias("mbe"),
@@ -98,9 +98,9 @@ def horizon_average(per_horizon: DataFrame, by: Sequence[str], cols: Sequence[st
     return per_horizon.groupBy(*by).agg(*[F.avg(c).alias(f"avg_{c}") for c in cols])
 
 
-def score_matrix(long: DataFrame, rows: str, columns: str, levels: Sequence, value: str) -> DataFrame:
+def score_matrix(long: DataFrame, rows: str | Sequence[str], columns: str, levels: Sequence, value: str) -> DataFrame:
     """Model x horizon matrix with the row mean."""
-    m = long.groupBy(rows).pivot(columns, list(levels)).agg(F.first(value))
+    m = long.groupBy(*([rows] if isinstance(rows, str) else rows)).pivot(columns, list(levels)).agg(F.first(value))
     mean = sum([C(str(x)) for x in levels[1:]], C(str(levels[0]))) / F.lit(float(len(levels)))
     return m.withColumn("row_mean", mean)
 

@@ -16,7 +16,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skycadence.functions.exprs import clip
-from skycadence.sources.sinks import materialize  # noqa: F401
 from skycadence.spec import VALID_MAX, VALID_MIN
 
 C = F.col
@@ -26,7 +25,7 @@ def _front(features: Sequence[str], categorical: Sequence[str] = ()) -> list:
     """Median imputation, category indexing and assembly, all fitted on training rows."""
     numeric = [f for f in features if f not in categorical]
     filled = [f"{f}__filled" for f in numeric]
-    stages = [Imputer(strategy="median", inputCols=numeric, outputCols=filled)]
+    stages = [Imputer(strategy="median", relativeError=0.0, inputCols=numeric, outputCols=filled)]
     if categorical:
         stages.append(StringIndexer(inputCols=list(categorical), outputCols=[f"{c}__ix" for c in categorical], handleInvalid="keep"))
     return [*stages, VectorAssembler(inputCols=[*filled, *[f"{c}__ix" for c in categorical]], outputCol="features", handleInvalid="keep")]
@@ -170,16 +169,16 @@ def backward_elimination(train: DataFrame, valid: DataFrame, features: Sequence[
 
 
 def greedy_search(train: DataFrame, valid: DataFrame, features: Sequence[str], label: str, *, tolerance: float = 0.0003,
-                  max_steps: int = 3, fit: Callable = fit_ridge, parallel: int = 4, **kw) -> DataFrame:
-    """Try every single drop per step (concurrent jobs), take the best while it does not hurt."""
+                  min_features: int = 3, fit: Callable = fit_ridge, parallel: int = 4, **kw) -> DataFrame:
+    """Try every single drop per step (concurrent jobs), take the best while it does not hurt.
+
+    Ends on the score, or with ``min_features`` left."""
     def score(names):
         return r2_on(fit(train, names, label, **kw), valid, names, label)
     keep, rows = list(features), []
     best = score(keep)
     rows.append((0, len(keep), None, float(best)))
-    for step in range(1, max_steps + 1):
-        if len(keep) < 2:
-            break
+    while len(keep) > min_features:
         with ThreadPoolExecutor(parallel) as pool:
             scores = list(pool.map(lambda f: score([x for x in keep if x != f]), keep))
         top = max(range(len(keep)), key=lambda i: (scores[i], -i))
@@ -187,7 +186,7 @@ def greedy_search(train: DataFrame, valid: DataFrame, features: Sequence[str], l
             break
         dropped, best = keep[top], max(best, scores[top])
         keep = [f for f in keep if f != dropped]
-        rows.append((step, len(keep), dropped, float(scores[top])))
+        rows.append((len(rows), len(keep), dropped, float(scores[top])))
     return train.sparkSession.createDataFrame(rows, "step int, n_features int, dropped string, r2 double")
 
 

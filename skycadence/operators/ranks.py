@@ -23,18 +23,25 @@ _LOG_SHIFT = 800_000  # |ln(double)| / ln(1.001) stays below this
 def value_bucket(v: Column) -> Column:
     """Order-preserving bucket number with about 0.1 % relative width."""
     size = F.floor(F.log(F.abs(v)) / F.lit(_LOG_WIDTH)).cast("long") + F.lit(_LOG_SHIFT)
+    size = F.when(F.abs(v) == F.lit(math.inf), F.lit(2 * _LOG_SHIFT)).otherwise(size)
     return F.when(v == 0, F.lit(0)).when(v > 0, size).otherwise(-size)
 
 
+def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on keys where NULL equals NULL, as in GROUP BY; the keys of the left side are kept."""
+    if not keys:
+        return left.crossJoin(right)
+    other = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    on = reduce(lambda a, b: a & b, [left[k].eqNullSafe(other[f"_r_{k}"]) for k in keys])
+    return left.join(other, on).drop(*[f"_r_{k}" for k in keys])
+
+
 def ranked_values(df: DataFrame, col: str, keys: Sequence[str] = ()) -> DataFrame:
     """Distinct values per group with the rank range ``[_lo, _hi)`` each one covers
-    and the group size ``_n``. NULL and NaN are left out."""
+    and the group size ``_n``. NULL and NaN values are left out; a NULL key is a group."""
     keys = list(keys)
     v = F.col(col).cast("double")
-    # NULL keys are cut here rather than by the join below, so that both uses of the
-    # counted values are the same plan and share one shuffle.
-    known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys], v.isNotNull() & ~F.isnan(v))
-    vals = (df.where(known).groupBy(*keys, v.alias("_v"))
+    vals = (df.where(v.isNotNull() & ~F.isnan(v)).groupBy(*keys, v.alias("_v"))
             .agg(F.count(F.lit(1)).alias("_c")).withColumn("_b", value_bucket(F.col("_v")))
             .where(F.col("_b").isNotNull()))
     hist = vals.groupBy(*keys, "_b").agg(F.sum("_c").alias("_bc"))
@@ -47,7 +54,7 @@ def ranked_values(df: DataFrame, col: str, keys: Sequence[str] = ()) -> DataFram
     w = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     local = vals.select("*", F.sum("_c").over(w).alias("_cum"))
     hi = F.col("_off") + F.col("_cum")
-    return local.join(offsets, [*keys, "_b"]).select(*keys, "_v", "_c", "_n", (hi - F.col("_c")).alias("_lo"), hi.alias("_hi"))
+    return _same(local, offsets, [*keys, "_b"]).select(*keys, "_v", "_c", "_n", (hi - F.col("_c")).alias("_lo"), hi.alias("_hi"))
 
 
 def _pick(position: Column) -> tuple[Column, Column]:
@@ -86,14 +93,19 @@ def exact_quantiles(df: DataFrame, col: str, keys: Sequence[str] = (),
     return quantile_at(df, col, keys, probs or {"median": 0.5}, size)
 
 
-def first_n(df: DataFrame, order: Column, n: Column | int, keys: Sequence[str]) -> DataFrame:
-    """The ``n`` rows of each group with the smallest ``order`` value.
+def first_n(df: DataFrame, order: Column, n: Column | int, keys: Sequence[str], tie: Sequence[str] = ()) -> DataFrame:
+    """The ``n`` rows of each group with the smallest numeric ``order`` value, equal values by the ``tie`` columns.
 
-    ``order`` must be numeric and distinct per group (e.g. a hash of the row key).
-    The cut-off value is found from ranks, so no group is sorted in one task.
+    The cut-off value is found from ranks, so no group is sorted in one task: only
+    rows that equal the cut-off value, a handful for a hash, are put in order.
     """
     d = df.withColumn("_order", order.cast("double"))
     ranked = ranked_values(d, "_order", keys)
     limit = F.lit(n) if isinstance(n, int) else n
-    cut = (ranked.where(F.col("_lo") < limit).groupBy(*keys).agg(F.max("_v").alias("_cut")))
-    return d.join(cut, list(keys)).where(F.col("_order") <= F.col("_cut")).drop("_order", "_cut")
+    cut = ranked.where(F.col("_lo") < limit).groupBy(*keys).agg(
+        F.max("_v").alias("_cut"), F.max_by(limit - F.col("_lo"), "_v").alias("_room"))
+    near = _same(d, cut, list(keys)).where(F.col("_order") <= F.col("_cut"))
+    at = Window.partitionBy(*keys, "_order").orderBy(*(tie or ["_order"]))
+    edge = near.where(F.col("_order") == F.col("_cut")).withColumn("_place", F.row_number().over(at))
+    kept = near.where(F.col("_order") < F.col("_cut")).unionByName(edge.where(F.col("_place") <= F.col("_room")).drop("_place"))
+    return kept.drop("_order", "_cut", "_room")

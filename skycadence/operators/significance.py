@@ -17,12 +17,10 @@ from skycadence.sources.sinks import materialize
 C = F.col
 
 
-def draw(b: Column, k: Column, blocks: Column, seed: int, choices: Column) -> Column:
-    """Reproducible start in [0, choices) for block ``k`` of resample ``b``."""
-    m = F.lit(2147483648)
-    x = F.pmod((b * blocks + k + F.lit(seed)) * F.lit(1103515245) + F.lit(12345), m)
-    x = F.pmod(x * F.lit(1103515245) + F.lit(12345), m)
-    return F.pmod(F.call_function("div", x, F.lit(8)), choices)
+def draw(b: Column, k: Column, seed: int, choices: Column) -> Column:
+    """Reproducible start in [0, choices) for block ``k`` of resample ``b``: 60 bits of a hash, for any number of rows."""
+    text = F.concat_ws(":", b.cast("string"), k.cast("string"), F.lit(str(seed)))
+    return F.pmod(F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long"), choices)
 
 
 def block_bootstrap(df: DataFrame, y: str, preds: Sequence[str], *, resamples: int = 5000, block: int = 78, seed: int = 42,
@@ -48,7 +46,7 @@ def block_bootstrap(df: DataFrame, y: str, preds: Sequence[str], *, resamples: i
     runs = size.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(resamples - 1).cast("long"))).alias("b"))
     runs = runs.repartition(parallelism(df.sparkSession), *keys, "b")
     blocks = runs.select("*", F.explode(F.sequence(F.lit(0).cast("long"), C("_nb") - 1)).alias("_k"))
-    start = draw(C("b"), C("_k"), C("_nb"), seed, C("_n") - C("_blk") + 1)
+    start = draw(C("b"), C("_k"), seed, C("_n") - C("_blk") + 1)
     length = F.when(C("_k") == C("_nb") - 1, C("_n") - (C("_nb") - 1) * C("_blk")).otherwise(C("_blk"))
     ends = blocks.select(*keys, "b", "_n", start.alias("_s"), length.alias("_len")).select(
         *keys, "b", "_n", F.explode(F.array(F.struct((C("_s") + C("_len")).alias("pos"), F.lit(1.0).alias("sign")),
@@ -115,8 +113,10 @@ def rolling_corrections(df: DataFrame, y: str, lo: str, hi: str, *, days: int =
         *keys, ts, F.greatest(C(lo) - C(y), C(y) - C(hi)).alias("_score"), month_start(ts).alias("month")), "scores")
     months = d.groupBy(*keys, "month").agg(F.min(ts).alias("_first"))
     reach = days // 28 + 2
-    sent = d.select(*keys, ts, "_score", F.explode(F.array(*[
-        F.add_months("month", i).cast("timestamp_ntz") for i in range(1, reach + 1)])).alias("month"))
+    # A month's first row is not before its start, so a score can only serve months that start within ``days`` of it.
+    months_ahead = F.array(*[F.add_months("month", i).cast("timestamp_ntz") for i in range(1, reach + 1)])
+    within = F.filter(months_ahead, lambda m: micros(ts) >= micros(m) - F.lit(days * DAY * US))
+    sent = d.select(*keys, ts, "_score", F.explode(within).alias("month"))
     used = sent.join(months, [*keys, "month"]).where(micros(ts) >= micros("_first") - F.lit(days * DAY * US))
     q = quantile_at(used, "_score", [*keys, "month"], {"_q": lambda n: conformal_level(n, alpha)}, size="_n")
     w = Window.partitionBy(*keys).orderBy("month").rowsBetween(Window.unboundedPreceding, 0)  # one row per month

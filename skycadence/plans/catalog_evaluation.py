@@ -93,12 +93,12 @@ def _(t: Tables):
     return round_all(ev.horizon_average(m, ["site", "model"], _CORE_COLS), [f"avg_{c}" for c in _CORE_COLS], 5)
 
 
-@query("met_score_matrix", "AGG-14", f"""WITH {PRED}, {_HZ} SELECT model, {', '.join(f"max(CASE WHEN horizon = {h} THEN rmse END) AS h{h}" for h in range(10, 61, 10))},
-{rd('(' + ' + '.join(f'max(CASE WHEN horizon = {h} THEN rmse END)' for h in range(10, 61, 10)) + ') / 6', 'row_mean', 5)} FROM hs WHERE site = 'all' GROUP BY 1""")
+@query("met_score_matrix", "AGG-14", f"""WITH {PRED}, {_HZ} SELECT site, model, {', '.join(f"max(CASE WHEN horizon = {h} THEN rmse END) AS h{h}" for h in range(10, 61, 10))},
+{rd('(' + ' + '.join(f'max(CASE WHEN horizon = {h} THEN rmse END)' for h in range(10, 61, 10)) + ') / 6', 'row_mean', 5)} FROM hs GROUP BY 1, 2""")
 def _(t: Tables):
-    m = round_all(ev.metrics(_horizons(t), "y", ["persist", "smart"], by=["site", "horizon"]), _CORE_COLS).where(C("site") == "all")
-    x = ev.score_matrix(m, "model", "horizon", list(range(10, 61, 10)), "rmse")
-    return x.select("model", *[C(str(h)).alias(f"h{h}") for h in range(10, 61, 10)], rc(C("row_mean"), "row_mean", 5))
+    m = round_all(ev.metrics(_horizons(t), "y", ["persist", "smart"], by=["site", "horizon"]), _CORE_COLS)
+    x = ev.score_matrix(m, ["site", "model"], "horizon", list(range(10, 61, 10)), "rmse")
+    return x.select("site", "model", *[C(str(h)).alias(f"h{h}") for h in range(10, 61, 10)], rc(C("row_mean"), "row_mean", 5))
 
 
 @query("met_long_result_rows", "REP-1", f"""WITH {PRED}, {_HZ} UNPIVOT (SELECT site, horizon, model, r2, mae, rmse FROM hs) ON r2, mae, rmse INTO NAME metric VALUE score""")
@@ -216,15 +216,16 @@ def _(t: Tables):
 
 _ANY = "(here = 19 AND nxt = 6 AND ghi BETWEEN 0 AND 1400 AND y BETWEEN 0 AND 1400)"
 ANY_TIME = an.AnchorRule(min_elev=None)
-BOOT_B, BOOT_BLOCK, BOOT_SEED = 300, 24, 42
-_U = f"(((b * nb + k + {BOOT_SEED}) * 1103515245 + 12345) % 2147483648)"
-_U2 = f"((({_U} * 1103515245 + 12345) % 2147483648) // 8)"
-_BOOT = f"""{pred_sql(_ANY)}, ix AS (SELECT site, y, persist, smart, rolling, row_number() {W} - 1 AS i FROM pr),
-sz AS (SELECT site, count(*) AS n, least({BOOT_BLOCK}, count(*)) AS blk FROM ix GROUP BY 1), s2 AS (SELECT *, (n + blk - 1) // blk AS nb FROM sz),
+BOOT_B, BOOT_BLOCK, BOOT_SEED = 5000, 78, 42
+_DRAW = f"('0x' || substr(md5(b || ':' || k || ':{BOOT_SEED}'), 1, 15))::BIGINT"
+_LISTS = ["y", "yy", *MODELS]
+_PART = "list_sum(list_slice({0}s, s + 1, s + len))"
+_BOOT = f"""{pred_sql(_ANY)}, ls AS (SELECT site, count(*) AS n, least({BOOT_BLOCK}, count(*)) AS blk, list(y ORDER BY ts) AS ys, list(y * y ORDER BY ts) AS yys,
+  {', '.join(f'list((y - {m}) * (y - {m}) ORDER BY ts) AS {m}s' for m in MODELS)} FROM pr GROUP BY 1), s2 AS (SELECT *, (n + blk - 1) // blk AS nb FROM ls),
 dr AS (SELECT site, n, blk, nb, b, unnest(generate_series(0, nb - 1)) AS k FROM (SELECT *, unnest(generate_series(0, {BOOT_B - 1})) AS b FROM s2)),
-st AS (SELECT site, n, b, k, {_U2} % (n - blk + 1) AS s, CASE WHEN k = nb - 1 THEN n - (nb - 1) * blk ELSE blk END AS len FROM dr),
-rs AS (SELECT st.site, st.b, ix.* EXCLUDE (site) FROM st JOIN ix ON ix.site = st.site AND ix.i >= st.s AND ix.i < st.s + st.len),
-bt AS (SELECT site, b, {', '.join(f'1 - sum((y - {m}) * (y - {m})) / nullif(sum(y * y) - sum(y) * sum(y) / count(*), 0) AS r2_{m}' for m in MODELS)} FROM rs GROUP BY 1, 2)"""
+st AS (SELECT site, b, {_DRAW} % (n - blk + 1) AS s, CASE WHEN k = nb - 1 THEN n - (nb - 1) * blk ELSE blk END AS len FROM dr),
+sm AS (SELECT site, b, n, {', '.join(f'sum({_PART.format(c)}) AS {c}' for c in _LISTS)} FROM st JOIN s2 USING (site) GROUP BY ALL),
+bt AS (SELECT site, b, {', '.join(f'1 - {m} / nullif(yy - y * y / n, 0) AS r2_{m}' for m in MODELS)} FROM sm)"""
 
 
 def boot(t: Tables):

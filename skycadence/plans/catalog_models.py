@@ -134,7 +134,7 @@ def _(t: Tables):
 @query("ml_greedy_search", "ML-14")
 def _(t: Tables):
     d = training_frame(t)
-    return md.greedy_search(d.where(C("role") == "train"), d.where(C("role") == "valid"), LEAN[:5], "delta_point", max_steps=2)
+    return md.greedy_search(d.where(C("role") == "train"), d.where(C("role") == "valid"), LEAN[:5], "delta_point")
 
 
 @query("ml_random_search", "ML-15")

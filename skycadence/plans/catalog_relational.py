@@ -264,10 +264,10 @@ def _(t: Tables):
 
 # ---- sorting and sets ---------------------------------------------------------
 
-@query("srt_sorted_output", "SRT-1", "SELECT o_custkey, o_orderdate, o_orderkey FROM orders WHERE o_orderstatus = 'F' ORDER BY o_custkey, o_orderdate, o_orderkey")
+@query("srt_sorted_output", "SRT-1", "SELECT o_custkey, o_orderdate, o_orderkey FROM orders ORDER BY o_custkey, o_orderdate, o_orderkey")
 def _(t: Tables):
     keys = ["o_custkey", "o_orderdate", "o_orderkey"]
-    return t.orders.where(C("o_orderstatus") == "F").select(*keys).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    return t.orders.select(*keys).repartitionByRange(*keys).sortWithinPartitions(*keys)
 
 
 @query("srt_threshold_position", "SRT-3 SRT-4 SRT-5", """WITH g AS (SELECT p_brand, count(*) AS n FROM part GROUP BY 1), c AS (SELECT p_brand, n, row_number() OVER w AS rk,
@@ -282,10 +282,10 @@ def _(t: Tables):
     return c.groupBy("thr").agg(F.min(hit).alias("needed"), F.min_by("p_brand", hit).alias("brand"))
 
 
-@query("set_union_tagged", "SET-1 SET-2", f"""SELECT 'orders' AS source, o_orderkey AS id, o_totalprice AS x, NULL::DOUBLE AS y FROM orders WHERE o_orderstatus = 'P'
+@query("set_union_tagged", "SET-1 SET-2", f"""SELECT 'orders' AS source, o_orderkey AS id, o_totalprice AS x, NULL::DOUBLE AS y FROM orders
 UNION ALL SELECT 'supplier', s_suppkey, NULL, s_acctbal FROM supplier""")
 def _(t: Tables):
-    a = t.orders.where(C("o_orderstatus") == "P").select(F.lit("orders").alias("source"), C("o_orderkey").alias("id"), C("o_totalprice").alias("x"))
+    a = t.orders.select(F.lit("orders").alias("source"), C("o_orderkey").alias("id"), C("o_totalprice").alias("x"))
     b = t.supplier.select(F.lit("supplier").alias("source"), C("s_suppkey").alias("id"), C("s_acctbal").alias("y"))
     return a.unionByName(b, allowMissingColumns=True)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
@@ -55,18 +56,37 @@ def write_report(df: DataFrame, path: str, fmt: str = "csv") -> None:
     w.option("header", "true").csv(path) if fmt == "csv" else w.json(path)
 
 
-def append_since(df: DataFrame, path: str, ts: str = "ts") -> None:
-    """Append the rows newer than the target's newest; write all when it is empty.
+def append_since(df: DataFrame, path: str, ts: str = "ts", by: Sequence[str] = (), key: Sequence[str] = ()) -> None:
+    """Append what is new since the target's high-water mark; without a target, write all.
 
-    The high-water mark is one scalar; as a literal it is pushed into the scan.
+    Every series (``by``) has its own mark, so one that lags behind loses nothing. Rows at the
+    mark are compared on ``key`` (all columns by default), so a row that shares the last time
+    is neither lost nor written twice. Any error but a missing path is raised.
     """
     spark: SparkSession = df.sparkSession
     try:
-        mark = spark.read.parquet(path).agg(F.max(ts).alias("m")).first()["m"]
-    except AnalysisException:
-        mark = None
-    fresh = df if mark is None else df.where(F.col(ts) > F.lit(mark))
-    fresh.write.mode("append" if mark is not None else "overwrite").parquet(path)
+        target = spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        df.write.mode("append").parquet(path)
+        return
+    if ts not in target.columns:
+        raise ValueError(f"{path} has no column {ts}: replace it as a whole")
+    key = list(dict.fromkeys([*(key or df.columns), *by, ts]))
+    marks = target.groupBy(*by).agg(F.max(ts).alias("_mark"))
+    if by:
+        marks = marks.withColumnsRenamed({k: f"_m_{k}" for k in by})
+        on = reduce(lambda a, b: a & b, [df[k].eqNullSafe(marks[f"_m_{k}"]) for k in by])
+        late = df.join(marks, on, "left").drop(*[f"_m_{k}" for k in by])
+        late = late.where(F.col("_mark").isNull() | (F.col(ts) >= F.col("_mark"))).drop("_mark")
+    else:  # one mark: as a literal it reaches the scan
+        mark = marks.first()["_mark"]
+        late = df if mark is None else df.where(F.col(ts) >= F.lit(mark))
+        target = target if mark is None else target.where(F.col(ts) >= F.lit(mark))
+    there = target.select(*[F.col(k).alias(f"_t_{k}") for k in key]).distinct()
+    on = reduce(lambda a, b: a & b, [late[k].eqNullSafe(there[f"_t_{k}"]) for k in key])
+    late.join(there, on, "left_anti").write.mode("append").parquet(path)
 
 
 def verification(df: DataFrame, key: str, ts: str = "ts") -> DataFrame:

@@ -53,3 +53,24 @@ def test_every_query_has_operators_and_unique_text():
     assert all(q.ops for q in CATALOG.values())
     texts = [q.sql for q in CATALOG.values() if q.sql]
     assert len(texts) > 120
+
+
+def test_append_keeps_lagging_series_and_rows_at_the_mark(spark, tmp_path):
+    path = str(tmp_path / "marks")
+    schema = "site string, ts timestamp_ntz, v int"
+    from helpers import at
+    first = [("a", at(0), 1), ("a", at(10), 2), ("b", at(0), 3)]
+    append_since(spark.createDataFrame(first, schema), path, by=["site"])
+    later = [*first, ("a", at(10), 4), ("a", at(20), 5), ("b", at(5), 6), ("c", at(1), 7), (None, at(1), 8)]
+    for _ in range(2):
+        append_since(spark.createDataFrame(later, schema), path, by=["site"])
+    assert sorted(r["v"] for r in spark.read.parquet(path).collect()) == [1, 2, 3, 4, 5, 6, 7, 8]
+
+
+def test_append_never_replaces_a_table_without_the_time(spark, tmp_path):
+    import pytest
+    path = str(tmp_path / "no_time")
+    spark.range(5).write.parquet(path)
+    with pytest.raises(ValueError):
+        append_since(spark.range(3).selectExpr("id", "timestamp_ntz '2024-01-01' AS ts"), path)
+    assert spark.read.parquet(path).count() == 5

@@ -47,3 +47,23 @@ def test_first_n_is_exact(spark):
     df = spark.range(1000).select(F.lit("a").alias("g"), F.col("id").alias("k"))
     got = sorted(r["k"] for r in first_n(df, (F.col("k") * 7919) % 100003, 37, ["g"]).collect())
     assert got == sorted(sorted(range(1000), key=lambda k: k * 7919 % 100003)[:37])
+
+
+def test_null_keys_are_a_group_and_infinity_has_a_rank(spark):
+    df = spark.createDataFrame([("x", 1.0), ("x", float("inf")), ("x", float("-inf")), (None, 2.0), (None, 4.0)], "g string, x double")
+    got = {r["g"]: (r["lo"], r["m"], r["hi"]) for r in exact_quantiles(df, "x", ["g"], {"lo": 0.0, "m": 0.5, "hi": 1.0}).where("g IS NULL OR true").collect()}
+    assert got[None] == (2.0, 3.0, 4.0) and got["x"][1] == 1.0
+
+
+def test_first_n_cuts_ties_by_key(spark):
+    df = spark.createDataFrame([(k, k % 3) for k in range(30)] + [(k + 100, 1) for k in range(5)], "k long, o long").withColumn("g", F.lit(None).cast("string"))
+    got = sorted(r["k"] for r in first_n(df, F.col("o"), 13, ["g"], tie=["k"]).collect())
+    assert got == sorted([k for k in range(30) if k % 3 == 0] + [1, 4, 7])
+
+
+def test_scrambled_keys_of_any_size(spark):
+    from skycadence.operators.anchors import scrambled
+    keys = [0, 1, 12345, 3_400_000_000, 3_500_000_000, (1 << 32) - 1, (1 << 32) + 1, 1 << 62, (1 << 63) - 1]
+    got = [r["s"] for r in spark.createDataFrame([(k,) for k in keys], "k long").select(scrambled("k", 7).alias("s")).collect()]
+    assert all(0 <= s < 1 << 32 for s in got) and len(set(got)) == len(keys)
+    assert got[:5] == [(k * 2654435761 + 7 * 40503) % (1 << 32) for k in keys[:5]]

@@ -1,18 +1,24 @@
 import datetime as dt
+import hashlib
 import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from helpers import at, frame
 from skycadence.operators import significance as sg
 
 
-def lcg(b, k, nb, seed, choices):
-    m = 2147483648
-    x = ((b * nb + k + seed) * 1103515245 + 12345) % m
-    x = (x * 1103515245 + 12345) % m
-    return (x // 8) % choices
+def drawn(b, k, seed, choices):
+    return int(hashlib.md5(f"{b}:{k}:{seed}".encode()).hexdigest()[:15], 16) % choices
+
+
+def test_draws_cover_long_series(spark):
+    """Starts reach the whole of a series of 1e12 rows, and no resample number is too large."""
+    runs = spark.range(20_000).select(sg.draw(F.col("id") + F.lit(10 ** 15), F.lit(10 ** 12), 1, F.lit(10 ** 12).cast("long")).alias("s"))
+    low, high, mean = runs.agg(F.min("s"), F.max("s"), F.avg("s")).first()
+    assert low < 10 ** 9 and high > 10 ** 12 - 10 ** 9 and abs(mean / 10 ** 12 - 0.5) < 0.01
 
 
 def test_bootstrap_equals_direct_resampling(spark):
@@ -25,7 +31,7 @@ def test_bootstrap_equals_direct_resampling(spark):
     got = {r["b"]: (r["r2_a"], r["r2_b"]) for r in boot.collect()}
     nb = -(-n // block)
     for b in range(B):
-        idx = np.concatenate([np.arange(s, s + block) for s in (lcg(b, k, nb, 9, n - block + 1) for k in range(nb))])[:n]
+        idx = np.concatenate([np.arange(s, s + block) for s in (drawn(b, k, 9, n - block + 1) for k in range(nb))])[:n]
         yy = np.array(y)[idx]
         for j, m in enumerate("ab"):
             e = yy - np.array(p[m])[idx]
