@@ -15,9 +15,8 @@ from skycadence.llm import textkit as tk
 from skycadence.llm.shared import documents
 
 LENGTH = 50  # bytes of a passage that counts as repeated
-GRAM = 16  # bytes that decide which suffixes are sampled
+GRAM = 24  # bytes that decide which suffixes are sampled
 PIECE = 1 << 19  # bytes that are hashed at once
-CHUNK = 1 << 17  # entries of a new batch of an index family
 _LOW = np.uint64(0xFFFFFFFF)
 _HIGH = np.uint64(0xFFFFFFFF00000000)
 
@@ -103,37 +102,42 @@ class Lists:
 
 
 class Family:
-    """Levels of sorted (key, doc, told) arrays; a new batch is scanned against each level and then becomes one.
+    """Levels of sorted (key, doc, told) arrays; a new batch is merge-scanned against each level and then becomes one.
 
-    Levels of about equal size merge, so sizes grow geometrically and there are about log2(n / CHUNK) of them."""
+    Levels of about equal size merge, so sizes grow geometrically and their number with the logarithm of the entries.
+    A key is in one level, with the first document that has it. Batches may come in any order of documents."""
 
-    def __init__(self):
-        self.levels: list[list[np.ndarray]] = []
+    def __init__(self, cells: bool):
+        self.cells, self.levels = cells, []
 
-    def first_docs(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(known, doc): whether a sorted key is in a level, and the first document it came from."""
-        known, docs = np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
-        for level, level_docs, _ in self.levels:
+    def add(self, keys: np.ndarray, docs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+        """(keys, docs, open) that follow from a batch of sorted, different keys: repeated where not open."""
+        known = np.zeros(len(keys), bool)
+        for level, first, told in self.levels:
             at = np.minimum(np.searchsorted(level, keys), len(level) - 1)
             hit = level[at] == keys
             known |= hit
-            docs[hit] = level_docs[at[hit]]
-        return known, docs
-
-    def neighbours(self, grams: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-        """(near, untold): which grams a level has, and the (key, doc) entries with them that were not told before."""
-        near, untold = np.zeros(len(grams), bool), []
-        for level, docs, told in self.levels:
-            a, b = np.searchsorted(level, grams), np.searchsorted(level, grams | _LOW, "right")
-            near |= b > a
-            n = b - a
-            at = np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())
-            at = np.unique(at[~told[at]])
-            told[at] = True
-            untold.append((level[at], docs[at]))
-        return near, untold
-
-    def push(self, keys: np.ndarray, docs: np.ndarray, told: np.ndarray) -> None:
+            late, early = np.flatnonzero(hit & (docs > first[at])), np.flatnonzero(hit & (docs < first[at]))
+            yield keys[late], docs[late], False
+            yield keys[early], first[at[early]], False
+            first[at[early]] = docs[early]
+            early = early[told[at[early]]]
+            yield keys[early], docs[early], True
+        keys, docs = keys[~known], docs[~known]
+        told = np.zeros(len(keys), bool)
+        if self.cells and len(keys):
+            gram = keys & _HIGH
+            told[1:] = gram[1:] == gram[:-1]
+            told[:-1] |= gram[1:] == gram[:-1]
+            for level, first, level_told in self.levels:
+                a, b = np.searchsorted(level, gram), np.searchsorted(level, gram | _LOW, "right")
+                told |= b > a
+                n = b - a
+                near = np.unique(np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum()))
+                near = near[~level_told[near]]
+                level_told[near] = True
+                yield level[near], first[near], True
+            yield keys[told], docs[told], True
         if len(keys):
             self.levels.append([keys, docs, told])
         while len(self.levels) > 1 and len(self.levels[-2][0]) < 2 * len(self.levels[-1][0]):
@@ -143,9 +147,32 @@ class Family:
             self.levels[-2:] = [[keys[order], *(np.concatenate([a, b])[order] for a, b in zip(one[1:], two[1:]))]]
 
 
-def _local(keys: list[np.ndarray], docs: list[np.ndarray]) -> pa.RecordBatch:
-    """(key, doc, settled) without repeats: a key that a smaller doc of this batch has is settled as repeated here, so
-    one row per key and batch is left to compare, however common the key is."""
+def _pack(keys: np.ndarray, docs: np.ndarray) -> bytes:
+    """A sorted array as bytes: differences of the keys by byte planes, and places in a list of documents."""
+    names, place = np.unique(docs, return_inverse=True)
+    planes = np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T
+    place = place.astype(np.uint32).view(np.uint8).reshape(-1, 4).T
+    raw = np.array([len(keys), len(names)]).tobytes() + names.tobytes() + planes.tobytes() + place.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = pa.decompress(blob[8:], decompressed_size=int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
+    n, m = np.frombuffer(raw, np.int64, 2)
+    names = np.frombuffer(raw, np.int64, m, 16)
+    planes = np.frombuffer(raw, np.uint8, 8 * n, 16 + 8 * m).reshape(8, n).T.copy()
+    place = np.frombuffer(raw, np.uint8, 4 * n, 16 + 8 * m + 8 * n).reshape(4, n).T.copy()
+    return np.cumsum(planes.view(np.uint64).ravel(), dtype=np.uint64), names[place.view(np.uint32).ravel()]
+
+
+_ROWS = "part int, settled boolean, entries binary"
+
+
+def _batch(keys: list[np.ndarray], docs: list[np.ndarray], parts: int, cells: bool) -> pa.RecordBatch:
+    """The sorted arrays of a new batch, one per partition of the family.
+
+    A key that a smaller document of this batch has is settled as repeated here, so one entry per key and batch is left
+    to compare, however common the key is; settled entries are only passed on, by document."""
     key = np.concatenate([np.zeros(0, np.uint64), *keys])
     doc = np.concatenate([np.zeros(0, np.int64), *docs])
     order = np.lexsort((doc, key))
@@ -155,65 +182,41 @@ def _local(keys: list[np.ndarray], docs: list[np.ndarray]) -> pa.RecordBatch:
     again = same.copy()
     again[1:] &= doc[1:] == doc[:-1]
     first = doc[np.maximum.accumulate(np.where(same, 0, np.arange(len(key))))] if len(key) else doc
-    settled = doc > first
-    return pa.RecordBatch.from_arrays([pa.array(key[~again].view(np.int64)), pa.array(doc[~again]), pa.array(settled[~again])],
-                                      ["key", "doc", "settled"])
-
-
-_ROWS = "key long, doc long, settled boolean"
-
-
-def _scanned(rows: DataFrame, cells: bool) -> DataFrame:
-    """(doc_id, key, open): keys that a smaller doc has too, and for cells the ones whose passages must be compared.
-
-    Rows meet in one partition per gram (per key for passages), in order of doc, and pass an index family in batches:
-    a batch only has to be scanned against documents before it. A cell is open if its gram also has other cells."""
-    place = F.shiftright("key", 32) if cells else F.col("key")
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(parts, F.when(F.col("settled"), F.xxhash64("doc")).otherwise(place)).sortWithinPartitions("doc")
-
-    def chunks(batches):
-        held, size = [], 0
-        for batch in batches:
-            held.append(batch)
-            size += batch.num_rows
-            if size >= CHUNK:
-                yield pa.Table.from_batches(held)
-                held, size = [], 0
-        if held:
-            yield pa.Table.from_batches(held)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        family = Family()
-        for table in chunks(batches):
-            key, doc, settled = (table.column(c).to_numpy() for c in ("key", "doc", "settled"))
-            key = key.view(np.uint64)
-            out = [(key[settled], doc[settled], False)]
-            order = np.lexsort((doc[~settled], key[~settled]))
-            key, doc = key[~settled][order], doc[~settled][order]
-            fresh = np.ones(len(key), bool)
-            fresh[1:] = key[1:] != key[:-1]
-            own, own_doc = key[fresh], doc[fresh]
-            known, before = family.first_docs(own)
-            first = np.where(known, before, own_doc)
-            late = doc > first[np.cumsum(fresh) - 1]
-            out.append((key[late], doc[late], False))
-            new, new_doc = own[~known], own_doc[~known]
-            told = np.zeros(len(new), bool)
-            if cells and len(new):
-                gram = new & _HIGH
-                told[1:] = gram[1:] == gram[:-1]
-                told[:-1] |= gram[1:] == gram[:-1]
-                near, untold = family.neighbours(gram)
-                told |= near
-                out += [(k, d, True) for k, d in untold] + [(new[told], new_doc[told], True)]
-            family.push(new, new_doc, told)
-            n = [len(k) for k, _, _ in out]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([d for _, d, _ in out])), pa.array(np.concatenate([k for k, _, _ in out]).view(np.int64)),
-                 pa.array(np.repeat([o for _, _, o in out], n))], ["doc_id", "key", "open"])
-
-    return dealt.mapInArrow(run, "doc_id long, key long, open boolean")
+    settled = (doc > first)[~again]
+    key, doc = key[~again], doc[~again]
+    place = np.where(settled, doc.view(np.uint64), key >> np.uint64(32 if cells else 0))
+    group = 2 * (tk.scramble(place) % np.uint64(parts)).astype(np.int64) + settled
+    order = np.argsort(group, kind="stable")
+    group = group[order]
+    cuts = np.flatnonzero(np.diff(group, prepend=-1))
+    runs = np.split(order, cuts[1:]) if len(order) else []
+    return pa.RecordBatch.from_arrays(
+        [pa.array((group[cuts] // 2).astype(np.int32)), pa.array(group[cuts] % 2 == 1),
+         pa.array([_pack(key[r], doc[r]) for r in runs], pa.binary())], ["part", "settled", "entries"])
+
+
+def _parts(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _scanned(batches: DataFrame, cells: bool) -> DataFrame:
+    """(doc_id, key, open): keys that a smaller document has too, and for cells the ones whose passages must be compared.
+
+    The batches' arrays meet in one partition per gram (per key for passages) and pass an index family there. A cell is
+    open if its gram also has other cells."""
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        family = Family(cells)
+        for batch in rows:
+            for settled, blob in zip(batch.column("settled").to_pylist(), batch.column("entries")):
+                keys, docs = _unpack(blob.as_py())
+                out = [(keys, docs, False)] if settled else list(family.add(keys, docs))
+                n = [len(k) for k, _, _ in out]
+                if sum(n):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.concatenate([d for _, d, _ in out])), pa.array(np.concatenate([k for k, _, _ in out]).view(np.int64)),
+                         pa.array(np.repeat([o for _, _, o in out], n))], ["doc_id", "key", "open"])
+
+    return batches.repartitionById(_parts(batches), F.col("part")).mapInArrow(run, "doc_id long, key long, open boolean")
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -227,9 +230,10 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
     Cells of sampled suffixes are compared first: an equal cell in a smaller document settles all its passages. Where
     equal grams stand in different cells, at the edges of matches, the passages themselves are compared. Each task
-    keeps 17 bytes per different key of its partition; texts are shuffled once.
+    keeps 17 bytes per different key of its partition, a sampled suffix per 14 bytes of text, so
+    spark.sql.shuffle.partitions bounds its memory; texts are shuffled once.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    docs, parts = docs.select(F.col("doc_id").cast("long"), "text"), _parts(docs)
 
     def cell_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -240,10 +244,10 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
                 use = known[row + found.row]
                 keys.append(found.key[use])
                 owners.append(ids[row + found.row][use])
-            yield _local(keys, owners)
+            yield _batch(keys, owners, parts, True)
 
     def lists(rows: DataFrame, *names: tuple[str, bool]) -> DataFrame:
-        return rows.groupBy("doc_id").agg(*(F.collect_list(F.when(F.col("open") == flag, F.col("key"))).alias(name) for name, flag in names))
+        return rows.repartition("doc_id").groupBy("doc_id").agg(*(F.collect_list(F.when(F.col("open") == flag, F.col("key"))).alias(name) for name, flag in names))
 
     cells = _scanned(docs.mapInArrow(cell_keys, _ROWS), cells=True)
     told = docs.join(lists(cells, ("settled", False), ("open", True)), "doc_id", "left")
@@ -258,7 +262,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
                 if len(cells):
                     keys.append(found.passages(found.starts(cells)))
                     owners.append(np.repeat(ids[row + found.row[cells]], found.hi[cells] - found.lo[cells] + 1))
-            yield _local(keys, owners)
+            yield _batch(keys, owners, parts, False)
 
     passages = lists(_scanned(told.mapInArrow(passage_keys, _ROWS), cells=False), ("repeated", False))
 

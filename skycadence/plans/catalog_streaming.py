@@ -1,7 +1,4 @@
-"""Streaming queries: a bounded replay of ``events`` against the batch definition.
-
-Results cover what the final watermark has closed, in both engines.
-"""
+"""Streaming queries: a bounded replay of ``events``, closed at its end, against the batch definition."""
 
 from __future__ import annotations
 
@@ -17,20 +14,20 @@ C = F.col
 def live(t: Tables):
     """The station observations over a stream of the events table."""
     s = Tables(t.spark, t.folder)
-    s.events = tw.table_stream(t.spark, t.folder, "events")
-    return observations(s)
+    s.events = tw.closable(tw.table_stream(t.spark, t.folder, "events"))
+    return observations(s), s.events
 
 
-def _run(t: Tables, stream):
-    return t.spark.read.parquet(tw.replay(stream))
+def _run(t: Tables, stream, closing=None):
+    return t.spark.read.parquet(tw.replay(stream, closing=closing))
 
 
-_WM = "wm AS (SELECT max(ts) - INTERVAL 10 MINUTE AS w FROM events)"
-_B = f"b AS (SELECT site, time_bucket(INTERVAL 10 MINUTE, ts) AS ts, avg(value) AS ghi, min(value) AS low, count(*) AS n FROM obs GROUP BY 1, 2), bc AS (SELECT b.* FROM b, wm WHERE b.ts + INTERVAL 10 MINUTE <= w)"
+_B = f"b AS (SELECT site, time_bucket(INTERVAL 10 MINUTE, ts) AS ts, avg(value) AS ghi, min(value) AS low, count(*) AS n FROM obs GROUP BY 1, 2)"
 
 
 def bins(t: Tables):
-    return tw.tumbling_bins(live(t), [F.avg("value").alias("ghi"), F.min("value").alias("low"), F.count(F.lit(1)).alias("n")])
+    obs, closing = live(t)
+    return tw.tumbling_bins(obs, {"ghi": F.avg("value"), "low": F.min("value"), "n": F.count(F.lit(1))}), closing
 
 
 @query("str_deduplicated_load", "STR-1 SNK-5", "SELECT event_id, ts, value FROM events")
@@ -40,36 +37,39 @@ def _(t: Tables):
     return _run(t, tw.without_repeats(twice, ["event_id"]))
 
 
-@query("str_tumbling_bins", "STR-2 RSM-2", f"WITH {OBS}, {_WM}, {_B} SELECT site, ts, {rd('ghi', 'ghi')}, low, n FROM bc")
+@query("str_tumbling_bins", "STR-2 RSM-2", f"WITH {OBS}, {_B} SELECT site, ts, {rd('ghi', 'ghi')}, low, n FROM b")
 def _(t: Tables):
-    return round_all(_run(t, bins(t)), ["ghi"])
+    return round_all(_run(t, *bins(t)), ["ghi"])
 
 
-@query("str_sliding_features", "STR-3 WIN-3", f"""WITH {OBS}, {_WM}, h AS (SELECT site, value, unnest(generate_series(time_bucket(INTERVAL 10 MINUTE, ts) + INTERVAL 10 MINUTE, time_bucket(INTERVAL 10 MINUTE, ts) + INTERVAL 180 MINUTE, INTERVAL 10 MINUTE)) AS ts FROM obs)
-SELECT site, ts, round(sum(value), 4) / count(*) AS mean3h, max(value) AS high, count(*) AS n FROM h, wm WHERE ts <= w GROUP BY site, ts""")
+@query("str_sliding_features", "STR-3 WIN-3", f"""WITH {OBS}, h AS (SELECT site, value, unnest(generate_series(time_bucket(INTERVAL 10 MINUTE, ts) + INTERVAL 10 MINUTE, time_bucket(INTERVAL 10 MINUTE, ts) + INTERVAL 180 MINUTE, INTERVAL 10 MINUTE)) AS ts FROM obs)
+SELECT site, ts, round(sum(value), 4) / count(*) AS mean3h, max(value) AS high, count(*) AS n FROM h GROUP BY site, ts""")
 def _(t: Tables):
-    s = tw.sliding_features(live(t), [F.sum("value").alias("s"), F.max("value").alias("high"), F.count(F.lit(1)).alias("n")])
-    return _run(t, s).select("site", "ts", (F.round("s", 4) / C("n")).alias("mean3h"), "high", "n")
+    obs, closing = live(t)
+    s = tw.sliding_features(obs, {"s": F.sum("value"), "high": F.max("value"), "n": F.count(F.lit(1))})
+    return _run(t, s, closing).select("site", "ts", (F.round("s", 4) / C("n")).alias("mean3h"), "high", "n")
 
 
-@query("str_activity_segments", "STR-5 SEG-1", f"""WITH {OBS}, {_WM}, p AS (SELECT *, lag(ts) OVER (PARTITION BY site ORDER BY ts, event_id) AS q FROM obs), s AS (SELECT *, sum(CASE WHEN q IS NULL OR epoch_us(ts) - epoch_us(q) >= 720000000 THEN 1 ELSE 0 END) OVER (PARTITION BY site ORDER BY ts, event_id) AS seg FROM p),
-g AS (SELECT site, min(ts) AS seg_start, max(ts) + INTERVAL 12 MINUTE AS seg_end, count(*) AS n FROM s GROUP BY site, seg) SELECT site, seg_start, seg_end, n FROM g, wm WHERE seg_end <= w""")
+@query("str_activity_segments", "STR-5 SEG-1", f"""WITH {OBS}, p AS (SELECT *, lag(ts) OVER (PARTITION BY site ORDER BY ts, event_id) AS q FROM obs), s AS (SELECT *, sum(CASE WHEN q IS NULL OR epoch_us(ts) - epoch_us(q) >= 720000000 THEN 1 ELSE 0 END) OVER (PARTITION BY site ORDER BY ts, event_id) AS seg FROM p),
+g AS (SELECT site, min(ts) AS seg_start, max(ts) + INTERVAL 12 MINUTE AS seg_end, count(*) AS n FROM s GROUP BY site, seg) SELECT site, seg_start, seg_end, n FROM g""")
 def _(t: Tables):
-    return _run(t, tw.activity_segments(live(t), [F.count(F.lit(1)).alias("n")]))
+    obs, closing = live(t)
+    return _run(t, tw.activity_segments(obs, {"n": F.count(F.lit(1))}), closing)
 
 
-@query("str_online_history", "STR-4 WIN-7 SEG-1", f"""WITH {OBS}, {_WM}, {_B}, x AS (SELECT site, ts, ghi, ts - lag(ts, 18) {W} AS span, avg(ghi) {frame(-18, -1)} AS mean_back, ghi - lag(ghi) {W} AS delta FROM bc)
+@query("str_online_history", "STR-4 WIN-7 SEG-1", f"""WITH {OBS}, {_B}, x AS (SELECT site, ts, ghi, ts - lag(ts, 18) {W} AS span, avg(ghi) {frame(-18, -1)} AS mean_back, ghi - lag(ghi) {W} AS delta FROM b)
 SELECT site, ts, {rd('ghi', 'ghi')}, {rd('mean_back', 'mean_back')}, {rd('delta', 'delta')} FROM x WHERE span = INTERVAL 180 MINUTE""")
 def _(t: Tables):
-    path = tw.replay(bins(t).select("site", "ts", "ghi"))
-    return round_all(_run(t, tw.online_history(tw.folder_stream(t.spark, path, 10_000))), ["ghi", "mean_back", "delta"])
+    binned, closing = bins(t)
+    path = tw.replay(binned.select("site", "ts", "ghi"), closing=closing)
+    return round_all(_run(t, tw.online_history(tw.folder_stream(t.spark, path))), ["ghi", "mean_back", "delta"])
 
 
 @query("str_bins_with_report", "STR-6 JN-6", f"""WITH {OBS}, r AS (SELECT site, ts, k FROM obs WHERE event_type = 'signup'), v AS (SELECT * FROM obs WHERE event_type <> 'signup'), b AS (SELECT site, time_bucket(INTERVAL 10 MINUTE, ts) AS ts, avg(value) AS value, count(*) AS n FROM v GROUP BY 1, 2),
-sl AS (SELECT max(s) - INTERVAL 3 HOUR AS w FROM (SELECT max(time_bucket(INTERVAL 10 MINUTE, ts)) AS s FROM v UNION ALL SELECT max(time_bucket(INTERVAL 10 MINUTE, ts + INTERVAL 65 MINUTE - INTERVAL 1 MICROSECOND)) FROM r)),
 j AS (SELECT b.site, b.ts, b.value, b.n, r.k AS report, row_number() OVER (PARTITION BY b.site, b.ts ORDER BY r.ts DESC) AS rn FROM b LEFT JOIN r ON r.site = b.site AND r.ts <= b.ts AND r.ts > b.ts - INTERVAL 65 MINUTE)
-SELECT site, ts, {rd('value', 'value')}, n, report FROM j, sl WHERE rn = 1 AND ts + INTERVAL 10 MINUTE <= w""")
+SELECT site, ts, {rd('value', 'value')}, n, report FROM j WHERE rn = 1""")
 def _(t: Tables):
     joined = C("event_type") == "signup"
-    s = tw.bins_with_latest_report(live(t), F.when(~joined, C("value")), F.when(joined, C("k")))
-    return round_all(_run(t, s), ["value"])
+    obs, closing = live(t)
+    s = tw.bins_with_latest_report(obs, F.when(~joined, C("value")), F.when(joined, C("k")))
+    return round_all(_run(t, s, closing), ["value"])

@@ -1,14 +1,16 @@
 """Structured Streaming forms of the batch operators.
 
 Each takes and returns a streaming DataFrame with ``site, ts, ...``; ``replay``
-runs one over the data at hand and hands back the written result, which equals
-the batch operator on everything older than the watermark.
+runs one over the data at hand and hands back the written result. What lies behind
+the last watermark waits for more data; a bounded replay whose input went through
+``closable`` is closed at its end and equals the batch operator.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +36,25 @@ def folder_stream(spark: SparkSession, folder: str, files_per_trigger: int = 1)
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", str(files_per_trigger)).parquet(folder)
 
 
+CLOSING_TIME = "9000-01-01 00:00:00"  # later than any reading
+
+
+def closable(stream: DataFrame) -> DataFrame:
+    """The stream with a second, still empty input that ``replay(close=True)`` ends it through."""
+    spark = stream.sparkSession
+    folder = scratch_path(spark, "closing")
+    spark.createDataFrame([], stream.schema).write.parquet(folder)
+    both = stream.unionByName(spark.readStream.schema(stream.schema).parquet(folder))
+    both._closing = (folder, stream.schema)
+    return both
+
+
+def _close(folder: str, schema, spark: SparkSession, ts: str = "ts") -> None:
+    """One row far in the future, which moves the watermark past all others and is itself never emitted."""
+    row = spark.range(1).select(*[(F.lit(CLOSING_TIME) if f.name == ts else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
+    row.write.mode("append").parquet(folder)
+
+
 def without_repeats(stream: DataFrame, keys: Sequence[str], lateness: str = "10 minutes", ts: str = "ts") -> DataFrame:
     """Incremental load that lets each key through once while it can still be repeated."""
     once = _clocked(stream, ts, lateness).dropDuplicatesWithinWatermark(list(keys))
@@ -45,24 +66,24 @@ def _clocked(stream: DataFrame, ts: str, lateness: str) -> DataFrame:
     return stream.withColumn("_at", as_instant(ts)).withWatermark("_at", lateness)
 
 
-def tumbling_bins(stream: DataFrame, aggs: Sequence[Column], *, step: str = "10 minutes", lateness: str = "10 minutes",
+def tumbling_bins(stream: DataFrame, aggs: dict[str, Column], *, step: str = "10 minutes", lateness: str = "10 minutes",
                   keys: Sequence[str] = ("site",), ts: str = "ts") -> DataFrame:
     """Bin aggregates, emitted once the watermark passes the bin's end."""
-    return (_clocked(stream, ts, lateness).groupBy(*keys, F.window("_at", step).alias("_w")).agg(*aggs)
-            .select(*keys, as_wall("_w.start").alias(ts), *[c for c in _names(aggs)]))
+    return (_clocked(stream, ts, lateness).groupBy(*keys, F.window("_at", step).alias("_w")).agg(*[a.alias(n) for n, a in aggs.items()])
+            .select(*keys, as_wall("_w.start").alias(ts), *aggs))
 
 
-def sliding_features(stream: DataFrame, aggs: Sequence[Column], *, span: str = "3 hours", slide: str = "10 minutes",
+def sliding_features(stream: DataFrame, aggs: dict[str, Column], *, span: str = "3 hours", slide: str = "10 minutes",
                      lateness: str = "10 minutes", keys: Sequence[str] = ("site",), ts: str = "ts") -> DataFrame:
     """Trailing aggregates labelled by the window's end."""
-    return (_clocked(stream, ts, lateness).groupBy(*keys, F.window("_at", span, slide).alias("_w")).agg(*aggs)
-            .select(*keys, as_wall("_w.end").alias(ts), *[c for c in _names(aggs)]))
+    return (_clocked(stream, ts, lateness).groupBy(*keys, F.window("_at", span, slide).alias("_w")).agg(*[a.alias(n) for n, a in aggs.items()])
+            .select(*keys, as_wall("_w.end").alias(ts), *aggs))
 
 
-def activity_segments(stream: DataFrame, aggs: Sequence[Column], *, gap: str = "12 minutes", lateness: str = "10 minutes",
+def activity_segments(stream: DataFrame, aggs: dict[str, Column], *, gap: str = "12 minutes", lateness: str = "10 minutes",
                       keys: Sequence[str] = ("site",), ts: str = "ts") -> DataFrame:
-    return (_clocked(stream, ts, lateness).groupBy(*keys, F.session_window("_at", gap).alias("_w")).agg(*aggs)
-            .select(*keys, as_wall("_w.start").alias("seg_start"), as_wall("_w.end").alias("seg_end"), *[c for c in _names(aggs)]))
+    return (_clocked(stream, ts, lateness).groupBy(*keys, F.session_window("_at", gap).alias("_w")).agg(*[a.alias(n) for n, a in aggs.items()])
+            .select(*keys, as_wall("_w.start").alias("seg_start"), as_wall("_w.end").alias("seg_end"), *aggs))
 
 
 def bins_with_latest_report(stream: DataFrame, value: Column, report: Column, *, tolerance_s: int = 65 * 60, step_s: int = STEP_S,
@@ -85,43 +106,57 @@ def bins_with_latest_report(stream: DataFrame, value: Column, report: Column, *,
             .select(*keys, as_wall("_w.start").alias(ts), "value", "n", "report").where(C("n") > 0))
 
 
-def online_history(bins: DataFrame, *, steps: int = HISTORY_STEPS, step_s: int = STEP_S, key: str = "site", ts: str = "ts", value: str = "ghi") -> DataFrame:
-    """History features per incoming bin from an 18-slot buffer that resets at gaps.
+def online_history(bins: DataFrame, *, steps: int = HISTORY_STEPS, step_s: int = STEP_S, key: str = "site", ts: str = "ts", value: str = "ghi",
+                   keep_s: int | None = None) -> DataFrame:
+    """History features per incoming bin from the 18 slots before it; a gap leaves the bins after it without.
 
     Reads bins (one row per slot), not raw readings, so a busy station costs one row
-    per step. Bins arrive in time order once their watermark has passed.
+    per step. Bins may come in any order and in any number of files: a bin is emitted
+    once, when the last of its slots has come. State holds 16 bytes per slot of a
+    station (0.8 MB a year), or the slots of the last ``keep_s`` seconds.
     """
-    def advance(k, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        last, buffer = (state.get[0], list(state.get[1])) if state.exists else (-1, [])
-        rows = pd.concat(list(frames), ignore_index=True).sort_values("at")
-        out = []
-        for at, v in zip(rows["at"], rows["v"], strict=True):
-            buffer = buffer if at - last == step_s else []
-            if len(buffer) == steps:
-                out.append((k[0], at, v, sum(buffer) / steps, v - buffer[-1]))
-            buffer = [*buffer, float(v)][-steps:]
-            last = int(at)
-        state.update((last, buffer))
-        yield pd.DataFrame(out, columns=["site", "at", "v", "mean_back", "delta"])
+    def advance(k: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        at, v = (np.array(x) for x in state.get) if state.exists else (np.zeros(0, np.int64), np.zeros(0))
+        rows = pd.concat(list(frames), ignore_index=True).dropna().drop_duplicates("at")
+        fresh = ~np.isin(rows["at"].to_numpy(), at)
+        at = np.concatenate([at, rows["at"].to_numpy()[fresh]]).astype(np.int64)
+        new = np.concatenate([np.zeros(len(v), np.int64), np.ones(fresh.sum(), np.int64)])
+        v = np.concatenate([v, rows["v"].to_numpy()[fresh]]).astype(float)
+        order = np.argsort(at, kind="stable")
+        at, v, new = at[order], v[order], new[order]
+        i = np.arange(steps, len(at))
+        news = np.concatenate([[0], np.cumsum(new)])
+        i = i[(at[i] - at[i - steps] == steps * step_s) & (news[i + 1] > news[i - steps])]
+        mean = v[i[:, None] - np.arange(1, steps + 1)].mean(axis=1) if len(i) else np.zeros(0)
+        out = pd.DataFrame({"site": k[0], "at": at[i], "v": v[i], "mean_back": mean, "delta": v[i] - v[i - 1]})
+        held = at >= (at[-1] - keep_s if keep_s and len(at) else -(1 << 62))
+        state.update((at[held].tolist(), v[held].tolist()))
+        yield out
 
     seconds = F.call_function("div", micros(ts), F.lit(US).cast("long"))
     out = bins.select(C(key).alias("site"), seconds.alias("at"), C(value).alias("v")).groupBy("site").applyInPandasWithState(
-        advance, "site string, at long, v double, mean_back double, delta double", "last long, buffer array<double>", "append", "NoTimeout")
+        advance, "site string, at long, v double, mean_back double, delta double", "at array<long>, v array<double>", "append", "NoTimeout")
     return out.select("site", from_micros(C("at") * F.lit(US)).alias(ts), C("v").alias(value), "mean_back", "delta")
 
 
-def _names(aggs: Sequence[Column]) -> list[str]:
-    return [a._jc.toString().rsplit(" AS ", 1)[1].strip("`") for a in aggs]
-
-
-def replay(stream: DataFrame, stem: str = "stream", out: str | None = None) -> str:
+def replay(stream: DataFrame, stem: str = "stream", out: str | None = None, closing: DataFrame | None = None, ts: str = "ts") -> str:
     """Run to the end of the available data into Parquet; the checkpoint and the
-    result live in the shared folder, so a restarted query resumes where it was."""
+    result live in the shared folder, so a restarted query resumes where it was.
+
+    With ``closing``, the input that ``closable`` made, the query is then resumed once
+    to emit what the last watermark held back."""
     spark = stream.sparkSession
     base = out or scratch_path(spark, stem)
-    q = (stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{base}/_progress")
-         .option("path", f"{base}/data").trigger(availableNow=True).start())
-    q.awaitTermination()
+
+    def run() -> None:
+        q = (stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{base}/_progress")
+             .option("path", f"{base}/data").trigger(availableNow=True).start())
+        q.awaitTermination()
+
+    run()
+    if closing is not None:
+        _close(*closing._closing, spark, ts)
+        run()
     return f"{base}/data"
 
 

@@ -30,7 +30,7 @@ def points():
 def test_bins_over_batches_equal_batch(spark, tmp_path):
     data = points()
     path = sliced(spark, tmp_path, data, SCHEMA)
-    s = tw.tumbling_bins(tw.folder_stream(spark, path), [F.sum("x").alias("s"), F.count(F.lit(1)).alias("n")], lateness="5 minutes")
+    s = tw.tumbling_bins(tw.folder_stream(spark, path), {"s": F.sum("x"), "n": F.count(F.lit(1))}, lateness="5 minutes")
     got = rows(spark.read.parquet(tw.replay(s)), "site", "ts", "s", "n")
     batch = resample(frame(spark, data, SCHEMA), 600, [F.sum("x").alias("s"), F.count(F.lit(1)).alias("n")])
     close = data[-1][1]
@@ -57,6 +57,28 @@ def test_history_buffer_survives_batches_and_resets_at_gaps(spark, tmp_path):
     assert all(r[1] == float(m) - 95.0 and r[2] == 10.0 for r, m in zip(got, want))
 
 
+def test_history_does_not_depend_on_files_or_their_order(spark, tmp_path):
+    slots = [*range(0, 400, 10), *range(420, 700, 10)]
+    data = [("a", at(m), i, float(m)) for i, m in enumerate(slots)]
+    mixed = data[1::3] + data[0::3] + data[2::3]
+    found = []
+    for parts, per_batch in ((1, 1), (7, 1), (7, 5), (7, 10_001)):
+        path = sliced(spark, tmp_path / f"{parts}-{per_batch}", mixed, SCHEMA, parts=parts)
+        s = tw.online_history(tw.folder_stream(spark, path, per_batch), value="x")
+        found.append(rows(spark.read.parquet(tw.replay(s)), "ts", "mean_back", "delta", order=["ts"]))
+    assert len(found[0]) == sum(all(m - 10 * k in slots for k in range(1, 19)) for m in slots)
+    assert all(f == found[0] for f in found)
+
+
+def test_closed_replay_equals_the_batch_operator(spark, tmp_path):
+    data = points()
+    stream = tw.closable(tw.folder_stream(spark, sliced(spark, tmp_path, data, SCHEMA)))
+    s = tw.tumbling_bins(stream, {"s": F.sum("x"), "n": F.count(F.lit(1))}, lateness="5 minutes")
+    got = rows(spark.read.parquet(tw.replay(s, closing=stream)), "site", "ts", "s", "n")
+    batch = resample(frame(spark, data, SCHEMA), 600, [F.sum("x").alias("s"), F.count(F.lit(1)).alias("n")])
+    assert got == rows(batch, "site", "ts", "s", "n")
+
+
 def test_for_each_batch_sees_every_row(spark, tmp_path):
     path = sliced(spark, tmp_path, points(), SCHEMA)
     seen = []
