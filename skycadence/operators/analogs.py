@@ -46,11 +46,19 @@ def _block_neighbours(k: int, q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
                              "y": pd.Series(dtype="float64")})
     a, b = np.stack(q["z"].to_numpy()), np.stack(x["z"].to_numpy())
     ids, ys = x["xid"].to_numpy(), x["y"].to_numpy(dtype="float64")
+    bb = (b * b).sum(axis=1)
     parts = []
-    for i in range(len(a)):
-        d = np.sqrt(((b - a[i]) ** 2).sum(axis=1))
-        keep = np.lexsort((ids, d))[:k]
-        parts.append(pd.DataFrame({"qid": q["qid"].iat[i], "xid": ids[keep], "dist": d[keep], "y": ys[keep]}))
+    for lo in range(0, len(a), 256):
+        part = a[lo:lo + 256]
+        aa = (part * part).sum(axis=1)
+        near = aa[:, None] + bb[None, :] - 2 * part @ b.T  # squared distances up to rounding
+        kth = np.partition(near, min(k, len(b)) - 1, axis=1)[:, min(k, len(b)) - 1]
+        i, j = np.nonzero(near <= (kth + 1e-9 * (aa + bb.max()))[:, None])
+        d = np.sqrt(((b[j] - part[i]) ** 2).sum(axis=1))
+        order = np.lexsort((ids[j], d, i))
+        i, j, d = i[order], j[order], d[order]
+        keep = np.arange(len(i)) - np.searchsorted(i, i) < k
+        parts.append(pd.DataFrame({"qid": q["qid"].to_numpy()[lo + i[keep]], "xid": ids[j[keep]], "dist": d[keep], "y": ys[j[keep]]}))
     return pd.concat(parts, ignore_index=True)
 
 

@@ -58,6 +58,24 @@ def is_anchor(rule: AnchorRule, w: WindowSpec, elev_at: Callable[[int], Column],
     return F.coalesce(ok, F.lit(False))
 
 
+def is_trusted(source: str, trusted: Sequence[str], there: Column, w: WindowSpec, elev_at: Callable[[int], Column], *,
+               min_elev: float = 10.0, back: int = 18, ahead: int = 6, step_s: int = STEP_S) -> Column:
+    """Anchor and target come from a trusted sensor, all slots from ``back`` to ``ahead`` are there, and the sun is up at both ends."""
+    ok = F.col(source).isin(list(trusted)) & lead(source, ahead, w).isin(list(trusted))
+    ok = ok & (valid_within(there, back, ahead, w) == back + ahead + 1)
+    ok = ok & (elev_at(0) >= F.lit(min_elev)) & (elev_at(ahead * step_s) >= F.lit(min_elev))
+    return F.coalesce(ok, F.lit(False))
+
+
+def not_imputed(tier: str, imputed: Sequence[int]) -> Column:
+    """The value is known and was not filled in by a model."""
+    return F.coalesce(~F.col(tier).isin(list(imputed)), F.lit(False))
+
+
+def strict_quality(tier: str, quality: str, tiers: Sequence[int] = (0, 1), floor: float = 0.9) -> Column:
+    return F.coalesce(F.col(tier).isin(list(tiers)) & (F.col(quality) >= floor), F.lit(False))
+
+
 def target_columns(value: str, w: WindowSpec, horizons: Sequence[int] = range(1, 7), lo: float = VALID_MIN,
                    hi: float = VALID_MAX) -> list[Column]:
     """Point targets per horizon, the mean target and their residual forms."""

@@ -30,6 +30,7 @@ HOME = "_home"
 SLOT = "_us"
 MAX_SLICES = 1 << 20  # keeps slice numbers below the next chunk's
 KEYS = ("site",)
+ROWS_PER_CHUNK = 1_000_000  # a time chunk that holds more rows is cut
 
 
 def with_chunk(df: DataFrame, width_s: int, ts: str = "ts", keys: Sequence[str] = KEYS,
@@ -38,8 +39,8 @@ def with_chunk(df: DataFrame, width_s: int, ts: str = "ts", keys: Sequence[str]
     series and are left out; saying so here also makes the summary branch and the
     row branch of the operators below the same plan, so they share their input.
 
-    With ``rows_per_chunk`` a chunk that holds more rows is cut, in time order, into
-    slices of about that many, so a burst of readings is not one task's work. The
+    With ``rows_per_chunk`` (the default of the operators below) a chunk that holds more
+    rows is cut, in time order, into slices of about that many, so a burst of readings is not one task's work. The
     cuts follow row counts per fine slot (1/86400 of the width), which are combined
     before the shuffle; rows within one fine slot stay together.
     """
@@ -138,7 +139,7 @@ def on_grid(sources: Sequence[DataFrame], fn: Callable | None = None, *, step_s:
 
 def carry_last(df: DataFrame, values: dict[str, Column], *, width_s: int, order: Sequence[str] = ("ts",),
                keys: Sequence[str] = KEYS, ts: str = "ts", include_current: bool = True,
-               rows_per_chunk: int | None = None) -> DataFrame:
+               rows_per_chunk: int | None = ROWS_PER_CHUNK) -> DataFrame:
     """Last non-NULL value so far, without a limit on the distance.
 
     ``values`` maps output name to the expression carried. With
@@ -163,7 +164,7 @@ def carry_last(df: DataFrame, values: dict[str, Column], *, width_s: int, order:
 
 
 def carry_next(df: DataFrame, values: dict[str, Column], *, width_s: int, order: Sequence[str] = ("ts",),
-               keys: Sequence[str] = KEYS, ts: str = "ts", rows_per_chunk: int | None = None) -> DataFrame:
+               keys: Sequence[str] = KEYS, ts: str = "ts", rows_per_chunk: int | None = ROWS_PER_CHUNK) -> DataFrame:
     """First non-NULL value from the current row on (mirror of ``carry_last``)."""
     d = with_chunk(df, width_s, ts, keys, rows_per_chunk)
     names = list(values)
@@ -184,7 +185,7 @@ def carry_next(df: DataFrame, values: dict[str, Column], *, width_s: int, order:
 
 
 def running_total(df: DataFrame, sums: dict[str, Column], *, width_s: int, order: Sequence[str] = ("ts",),
-                  keys: Sequence[str] = KEYS, ts: str = "ts", rows_per_chunk: int | None = None) -> DataFrame:
+                  keys: Sequence[str] = KEYS, ts: str = "ts", rows_per_chunk: int | None = ROWS_PER_CHUNK) -> DataFrame:
     """Cumulative sums over whole series, current row included."""
     d = with_chunk(df, width_s, ts, keys, rows_per_chunk)
     names = list(sums)
@@ -201,7 +202,7 @@ def running_total(df: DataFrame, sums: dict[str, Column], *, width_s: int, order
 
 
 def ordinal(df: DataFrame, *, width_s: int, order: Sequence[str] = ("ts",), keys: Sequence[str] = KEYS,
-            ts: str = "ts", name: str = "idx", total: str | None = None, rows_per_chunk: int | None = None) -> DataFrame:
+            ts: str = "ts", name: str = "idx", total: str | None = None, rows_per_chunk: int | None = ROWS_PER_CHUNK) -> DataFrame:
     """1-based position of each row in its series, and optionally the series size."""
     d = with_chunk(df, width_s, ts, keys, rows_per_chunk)
     sizes = d.groupBy(*keys, CHUNK).agg(F.count(F.lit(1)).alias("_m"))
@@ -220,13 +221,12 @@ def ordinal(df: DataFrame, *, width_s: int, order: Sequence[str] = ("ts",), keys
 
 def row_windows(df: DataFrame, fn: Callable, *, back: int = 0, ahead: int = 0, rows_per_chunk: int = 100_000,
                 width_s: int = 86400, order: Sequence[str] = ("ts",), keys: Sequence[str] = KEYS,
-                ts: str = "ts", balance: bool = False) -> DataFrame:
+                ts: str = "ts") -> DataFrame:
     """Row-offset windows on an irregular series, in equal-sized chunks.
 
     ``fn(df, window)`` may reach ``back`` rows behind and ``ahead`` rows in front.
-    ``balance`` also cuts overfull time chunks while the rows are being numbered.
     """
-    d = ordinal(df, width_s=width_s, order=order, keys=keys, ts=ts, name="_idx", rows_per_chunk=rows_per_chunk if balance else None)
+    d = ordinal(df, width_s=width_s, order=order, keys=keys, ts=ts, name="_idx")
     n = rows_per_chunk
     first = floor_div(F.col("_idx") - F.lit(ahead), n)
     last = floor_div(F.col("_idx") + F.lit(back), n)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skycadence.functions.timeline import DAY, US, micros, month_start
+from skycadence.operators.anchors import recent_subset
 from skycadence.operators.chunks import KEYS, running_total
 from skycadence.operators.ranks import exact_quantiles, quantile_at
 from skycadence.session import parallelism
@@ -133,6 +134,14 @@ def rolling_conformal(df: DataFrame, y: str, lo: str, hi: str, *, keys: Sequence
     return j.select(*df.columns, "correction", (C(lo) - C("correction")).alias(f"{lo}_adj"), (C(hi) + C("correction")).alias(f"{hi}_adj"))
 
 
+def calibration_window(train: DataFrame, share: float = 0.2, days: int = 60, *, order: Sequence[str] = ("ts",), keys: Sequence[str] = KEYS,
+                       ts: str = "ts", width_s: int = 30 * DAY) -> DataFrame:
+    """The last ``share`` of each series' training rows, and of those the last ``days`` days."""
+    late = recent_subset(train, share, order=order, width_s=width_s, keys=keys, ts=ts)
+    ends = late.groupBy(*keys).agg(F.max(ts).alias("_end"))
+    return late.join(ends, list(keys)).where(micros(ts) >= micros("_end") - F.lit(days * DAY * US)).drop("_end")
+
+
 def static_correction(cal: DataFrame, y: str, lo: str, hi: str, *, alpha: float = 0.2, keys: Sequence[str] = KEYS) -> DataFrame:
     """One split-conformal correction per series from a calibration set."""
     s = cal.where(C(y).isNotNull()).select(*keys, F.greatest(C(lo) - C(y), C(y) - C(hi)).alias("_score"))

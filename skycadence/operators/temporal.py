@@ -13,18 +13,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skycadence.functions.timeline import DAY, US, ceil_to, floor_div, from_micros, micros, seconds_between, shift
-from skycadence.operators.chunks import CHUNK, HOME, KEYS, carry_last, halo
+from skycadence.operators.chunks import CHUNK, HOME, KEYS, ROWS_PER_CHUNK, carry_last, carry_next, halo
 
 
 def asof_join(left: DataFrame, right: DataFrame, cols: Sequence[str], *, tolerance_s: int | None = None,
               strict: bool = False, age: str | None = None, age_unit_s: float = 60.0,
               tiebreak: Sequence[str] = (), width_s: int = 7 * DAY, keys: Sequence[str] = KEYS,
-              ts: str = "ts", rows_per_chunk: int | None = None) -> DataFrame:
+              ts: str = "ts", rows_per_chunk: int | None = ROWS_PER_CHUNK) -> DataFrame:
     """Latest right row at or before each left row.
 
-    With a tolerance the right rows are copied one chunk forward at most; without
-    one, or when ``rows_per_chunk`` asks for balanced chunks, the last value of each
-    chunk is carried over. ``strict`` makes the
+    Both sides are merged into one ordered stream in balanced chunks, and the last
+    value of each chunk is carried over. With a tolerance and ``rows_per_chunk=None``
+    the right rows are copied one chunk forward instead. ``strict`` makes the
     tolerance bound exclusive. Right rows sharing a key and time are reduced to
     one (greatest ``tiebreak``) first.
     """
@@ -97,15 +97,9 @@ def nearest_join(left: DataFrame, right: DataFrame, cols: Sequence[str], *, tole
     r = r.select(*keys, ts, F.struct(F.col(ts).alias("_rts"), "_r").alias("_hit"), F.lit(0).alias("_side"))
     keep = [c for c in left.columns if c not in (*keys, ts)]
     l = left.select(*keys, ts, F.struct(*keep).alias("_l"), F.lit(1).alias("_side"))
-    width = max(width_s, tolerance_s)
-    both = (l.withColumn(CHUNK, floor_div(micros(ts), width * US))
-            .unionByName(halo(r, width, back_s=tolerance_s, ahead_s=tolerance_s, ts=ts).drop(HOME),
-                         allowMissingColumns=True))
-    back = Window.partitionBy(*keys, CHUNK).orderBy(ts, "_side").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = (Window.partitionBy(*keys, CHUNK).orderBy(F.col(ts).desc(), F.col("_side").desc())
-             .rowsBetween(Window.unboundedPreceding, 0))
-    m = both.select("*", F.last("_hit", ignorenulls=True).over(back).alias("_b"),
-                    F.last("_hit", ignorenulls=True).over(ahead).alias("_a")).where(F.col("_side") == 1)
+    both = l.unionByName(r, allowMissingColumns=True)
+    m = carry_last(both, {"_b": F.col("_hit")}, width_s=width_s, order=(ts, "_side"), keys=keys, ts=ts)
+    m = carry_next(m, {"_a": F.col("_hit")}, width_s=width_s, order=(ts, "_side"), keys=keys, ts=ts).where(F.col("_side") == 1)
     gb, ga = seconds_between(ts, "_b._rts"), seconds_between("_a._rts", ts)
     hit = F.when(gb <= F.coalesce(ga, gb), F.col("_b")).when(ga.isNotNull(), F.col("_a")).otherwise(F.col("_b"))
     m = m.withColumn("_hit", hit)

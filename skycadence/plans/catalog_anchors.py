@@ -70,14 +70,50 @@ def _(t: Tables):
         ex.flag((C("behind") == 18) & has_g & C("y").isNotNull()).alias("ready"))
 
 
-@query("anc_trusted_source", "ANC-7 ANC-8 SPL-8", f"""WITH {S10}, x AS (SELECT site, ts, {_E} AS e, ghi, n, oktas, lead(ghi, 6) {W} AS y, lead(n, 6) {W} AS yn, count(n) {frame(-17, 6)} AS bins FROM s10)
-SELECT site, ts, {rd('ghi', 'ghi')}, {rd('y', 'y')} FROM x WHERE n >= 2 AND yn >= 2 AND e >= 10 AND bins = 24""")
+# Source, tier and quality of a bin: 0 measured (three readings or more, all from the trusted sensor), 1 measured in part,
+# 2 filled by a model (one reading that no trusted sensor backs).
+_TIER = """tr AS (SELECT site, time_bucket(INTERVAL 10 MINUTE, ts) AS ts, avg((event_id % 4 <> 3)::INT) AS quality, count(*) AS readings FROM obs GROUP BY 1, 2),
+q10 AS (SELECT s.*, quality, CASE WHEN quality = 1 AND readings >= 3 THEN 0 WHEN readings >= 2 OR quality = 1 THEN 1 WHEN readings = 1 THEN 2 END AS tier,
+  if(quality >= 0.5, 'trusted', 'other') AS source FROM s10 s LEFT JOIN tr USING (site, ts))"""
+
+
+def tiered(t: Tables, fn, back: int, ahead: int):
+    """The binned series with the provenance of every bin."""
+    from skycadence.operators.grid import resample
+    o = observations(t)
+    n, quality = F.count(F.lit(1)), F.avg((C("event_id") % 4 != 3).cast("int"))
+    tier = F.when((quality == 1) & (n >= 3), 0).when((n >= 2) | (quality == 1), 1).otherwise(2)
+    marks = resample(o, 600, [quality.alias("quality"), tier.alias("tier"), F.when(quality >= 0.5, "trusted").otherwise("other").alias("source")])
+    return on_grid([cells(t), marks], fn, step_s=600, bounds=series_bounds(o, 600), back=back, ahead=ahead)
+
+
+@query("anc_trusted_source", "ANC-7", f"""WITH {S10}, {_TIER}, x AS (SELECT site, ts, source, n, ghi, {_E} AS e0, {_E60} AS e60, lead(ghi, 6) {W} AS y, lead(source, 6) {W} AS ysource,
+count(n) {frame(-18, 0)} AS back, count(n) {frame(1, 6)} AS ahead FROM q10)
+SELECT site, ts, {rd('ghi', 'ghi')}, {rd('y', 'y')} FROM x WHERE source = 'trusted' AND ysource = 'trusted' AND back = 19 AND ahead = 6 AND e0 >= 10 AND e60 >= 10""")
 def _(t: Tables):
     def f(g, w):
-        return g.select("*", wn.lead("ghi", 6, w).alias("y"), wn.lead("n", 6, w).alias("yn"), wn.valid_within(C("n").isNotNull(), 17, 6, w).alias("bins"))
-    s = series(t, f, back=17, ahead=6)
-    ok = (C("n") >= 2) & (C("yn") >= 2) & (elevation() >= 10) & (C("bins") == 24)
-    return s.where(ok).select("site", "ts", rc(C("ghi"), "ghi"), rc(C("y"), "y"))
+        there = C("n").isNotNull()
+        return g.select("*", wn.lead("ghi", 6, w).alias("y"), wn.lead("source", 6, w).alias("y_source"),
+                        an.is_trusted("source", ["trusted"], there, w, elevation, min_elev=10.0).alias("ok"))
+    return tiered(t, f, 18, 6).where("ok").select("site", "ts", rc(C("ghi"), "ghi"), rc(C("y"), "y"))
+
+
+@query("anc_provenance", "ANC-8", f"""WITH {S10}, {_TIER}, x AS (SELECT site, ts, ghi, tier, {_E} AS e0, lead(ghi, 6) {W} AS y, lead(tier, 6) {W} AS ytier FROM q10)
+SELECT site, ts, {rd('ghi', 'ghi')}, {rd('y', 'y')}, tier, ytier AS y_tier FROM x WHERE tier <> 2 AND ytier <> 2 AND e0 > 5""")
+def _(t: Tables):
+    def f(g, w):
+        return g.select("*", wn.lead("ghi", 6, w).alias("y"), wn.lead("tier", 6, w).alias("y_tier"))
+    s = tiered(t, f, 0, 6).where(an.not_imputed("tier", [2]) & an.not_imputed("y_tier", [2]) & (elevation() > 5))
+    return s.select("site", "ts", rc(C("ghi"), "ghi"), rc(C("y"), "y"), "tier", "y_tier")
+
+
+@query("spl_strict_quality", "SPL-8", f"""WITH {S10}, {_TIER}, x AS (SELECT site, ts, ghi, tier, quality, lead(ghi, 6) {W} AS y, lead(tier, 6) {W} AS ytier, lead(quality, 6) {W} AS yq FROM q10)
+SELECT site, ts, {rd('ghi', 'ghi')}, {rd('y', 'y')} FROM x WHERE tier IN (0, 1) AND ytier IN (0, 1) AND quality >= 0.9 AND yq >= 0.9""")
+def _(t: Tables):
+    def f(g, w):
+        return g.select("*", wn.lead("ghi", 6, w).alias("y"), wn.lead("tier", 6, w).alias("y_tier"), wn.lead("quality", 6, w).alias("y_quality"))
+    s = tiered(t, f, 0, 6).where(an.strict_quality("tier", "quality") & an.strict_quality("y_tier", "y_quality"))
+    return s.select("site", "ts", rc(C("ghi"), "ghi"), rc(C("y"), "y"))
 
 
 @query("anc_hourly", "ANC-9 TGT-5", f"""WITH {S1H}, x AS (SELECT *, lead(ghi, 1) {W} AS y, lead(n, 1) {W} AS yn, lag(ghi, 1) {W} AS l1 FROM s1h)

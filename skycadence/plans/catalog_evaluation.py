@@ -308,9 +308,10 @@ def _(t: Tables):
     return round_all(round_all(s, ["coverage"]), ["width"], 3)
 
 
-@query("cal_static_correction", "CAL-2 MET-5", f"""WITH {_BAND}, ca AS (SELECT * FROM sc WHERE ts >= TIMESTAMP '1997-11-01' AND ts < TIMESTAMP '1998-01-01'), q0 AS (SELECT site, list_sort(list(score)) AS v, count(*) AS n FROM ca GROUP BY 1),
+@query("cal_static_correction", "CAL-2 MET-5", f"""WITH {_BAND}, tr AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY ts) AS i, count(*) OVER (PARTITION BY site) AS m, max(ts) OVER (PARTITION BY site) AS last FROM sc WHERE ts < TIMESTAMP '1998-01-01'),
+ca AS (SELECT * FROM tr WHERE i > m - floor(m * 0.2::DOUBLE) AND ts >= last - INTERVAL 60 DAY), q0 AS (SELECT site, list_sort(list(score)) AS v, count(*) AS n FROM ca GROUP BY 1),
 q1 AS (SELECT *, least(ceil((n + 1) * (1.0::DOUBLE - 0.2::DOUBLE)) / n, 1.0::DOUBLE) * (n - 1) AS pos FROM q0)
 SELECT site, n AS n_scores, {rd('v[CAST(floor(pos) AS INT) + 1] + (v[CAST(ceil(pos) AS INT) + 1] - v[CAST(floor(pos) AS INT) + 1]) * (pos - floor(pos))', 'correction', 4)} FROM q1""")
 def _(t: Tables):
-    cal = banded(t).where(tl.on_or_after("ts", "1997-11-01") & tl.before("ts", "1998-01-01"))
+    cal = sg.calibration_window(banded(t).where(tl.before("ts", "1998-01-01")), width_s=365 * tl.DAY)
     return round_all(sg.static_correction(cal, "y", "lo", "hi"), ["correction"], 4)

@@ -70,7 +70,7 @@ def test_overfull_chunks_are_cut_without_changing_results(irregular):
     want = df.select("*", F.row_number().over(w).alias("i"), F.last("x", True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("y"))
     same(ordinal(df, width_s=86400, order=ORD, name="i", rows_per_chunk=20), want, ["site", "id", "i"])
     same(carry_last(df, {"y": F.col("x")}, width_s=86400, order=ORD, rows_per_chunk=20), want, ["site", "id", "y"])
-    got = row_windows(df, lambda d, v: d.withColumn("a", F.lag("x", 2).over(v)), back=2, rows_per_chunk=50, width_s=86400, order=ORD, balance=True)
+    got = row_windows(df, lambda d, v: d.withColumn("a", F.lag("x", 2).over(v)), back=2, rows_per_chunk=50, width_s=86400, order=ORD)
     same(got, df.withColumn("a", F.lag("x", 2).over(w)), ["site", "id", "a"])
 
 
