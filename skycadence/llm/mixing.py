@@ -34,8 +34,9 @@ def target_rates(docs: DataFrame, weights: dict[str, int]) -> DataFrame:
     parts = F.from_json(F.lit(json.dumps(weights)), "map<string,bigint>")
     mass = mass.withColumn("weight", F.element_at(parts, F.col("bucket")).cast("double")).filter(
         (F.col("mass") > 0) & (F.col("weight") > 0))
-    whole = mass.agg(F.sum("mass").cast("double").alias("total"), F.sum("weight").alias("weights"))
-    return mass.join(F.broadcast(whole)).select(
+    whole = mass.agg(F.sum("mass").cast("double").alias("total"), F.sum("weight").alias("weights"),
+                     F.collect_list(F.struct("bucket", "mass", "weight")).alias("buckets"))
+    return whole.select("total", "weights", F.inline("buckets")).select(
         "bucket", (F.col("weight") * F.col("total") / (F.col("weights") * F.col("mass").cast("double"))).alias("rate"))
 
 
