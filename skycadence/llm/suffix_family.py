@@ -16,6 +16,7 @@ from skycadence.llm.shared import documents
 
 LENGTH = 50  # bytes of a passage that counts as repeated
 GRAM = 24  # bytes that decide which suffixes are sampled
+PART = 4  # passages of a cell that are compared together before they are compared one by one
 PIECE = 1 << 19  # bytes that are hashed at once
 _LOW = np.uint64(0xFFFFFFFF)
 _HIGH = np.uint64(0xFFFFFFFF00000000)
@@ -33,8 +34,8 @@ class Sampled:
         n = len(part)
         ends = np.repeat(cut[1:], np.diff(cut))
         if n < LENGTH:
-            self.row = self.lo = self.hi = np.zeros(0, np.int64)
-            self.key, self._total, self._down = np.zeros(0, np.uint64), np.zeros(1, np.uint64), None
+            self.row = self.lo = self.hi = self.at = np.zeros(0, np.int64)
+            self.key, self._total, self._down = np.zeros(0, np.uint64), np.zeros(1, np.uint64), np.ones(1, np.uint64)
             return
         up, self._down = tk.powers(n + 1)
         self._total = np.zeros(n + 1, np.uint64)
@@ -52,7 +53,8 @@ class Sampled:
         fresh = np.ones(len(at), bool)
         fresh[1:] = at[1:] != at[:-1]
         first = np.flatnonzero(fresh)
-        at, self.lo = at[first], start[first]
+        self.at, self.lo = at[first], start[first]
+        at = self.at
         self.hi = start[np.append(first[1:], len(start)) - 1] if len(start) else self.lo
         self.row = np.searchsorted(cut, self.lo, "right") - 1
         cell = (self._total[self.hi + LENGTH] - self._total[self.lo]) * self._down[self.lo]
@@ -63,9 +65,27 @@ class Sampled:
         """Hash of the passage at each start."""
         return tk.scramble((self._total[start + LENGTH] - self._total[start]) * self._down[start])
 
-    def starts(self, cells: np.ndarray) -> np.ndarray:
-        n = self.hi[cells] - self.lo[cells] + 1
-        return np.repeat(self.lo[cells] - np.cumsum(n) + n, n) + np.arange(n.sum())
+    def parts(self, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(cell, lo, hi, key) of the cells' parts: PART passages at fixed distances from the sampled place.
+
+        The key's high half is a hash of the bytes that all passages at these distances have in common, its low half one
+        of the bytes the part spans. Two documents that share a passage have the same common bytes there; where those
+        hold a difference, as around an edit, no passage of the part can be repeated."""
+        low, high = (self.at - self.hi)[cells] // PART, (self.at - self.lo)[cells] // PART
+        owner = np.repeat(cells, high - low + 1)
+        group = _ranges(low, high)
+        nearest = self.at[owner] - PART * group
+        lo, hi = np.maximum(self.lo[owner], nearest - PART + 1), np.minimum(self.hi[owner], nearest)
+        core = (self._total[nearest + LENGTH - PART + 1] - self._total[nearest]) * self._down[nearest] + group.astype(np.uint64)
+        span = (self._total[hi + LENGTH] - self._total[lo]) * self._down[lo]
+        span += ((self.at[owner] - lo) * 1000 + hi - lo).astype(np.uint64)
+        return owner, lo, hi, (tk.scramble(core) & _HIGH) | (tk.scramble(span) & _LOW)
+
+
+def _ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """lo[0]..hi[0], lo[1]..hi[1], ... as one array."""
+    n = hi - lo + 1
+    return np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
 
 
 def sampled(buf: np.ndarray, offs: np.ndarray) -> Iterator[tuple[int, int, Sampled]]:
@@ -200,10 +220,10 @@ def _parts(df: DataFrame) -> int:
 
 
 def _scanned(batches: DataFrame, cells: bool) -> DataFrame:
-    """(doc_id, key, open): keys that a smaller document has too, and for cells the ones whose passages must be compared.
+    """(doc_id, key, open): keys that a smaller document has too, and for cells the ones that must be looked into.
 
-    The batches' arrays meet in one partition per gram (per key for passages) and pass an index family there. A cell is
-    open if its gram also has other cells."""
+    The batches' arrays meet in one partition per high half of the key (per key for passages) and pass an index family
+    there. A cell, or a part of one, is open if the high half of its key also occurs with another low half."""
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         family = Family(cells)
         for batch in rows:
@@ -229,11 +249,22 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     empty result.
 
     Cells of sampled suffixes are compared first: an equal cell in a smaller document settles all its passages. Where
-    equal grams stand in different cells, at the edges of matches, the passages themselves are compared. Each task
-    keeps 17 bytes per different key of its partition, a sampled suffix per 14 bytes of text, so
-    spark.sql.shuffle.partitions bounds its memory; texts are shuffled once.
+    equal grams stand in different cells, at the edges of matches, parts of the cells are compared, and where those agree
+    in what their passages have in common, the passages themselves. Each task keeps 17 bytes per different key of its
+    partition, a sampled suffix per 14 bytes of text, so spark.sql.shuffle.partitions bounds its memory. Texts are
+    shuffled once, compressed.
     """
-    docs, parts = docs.select(F.col("doc_id").cast("long"), "text"), _parts(docs)
+    parts = _parts(docs)
+
+    def zip_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", compression_level=3)
+        for batch in batches:
+            texts = [(x.as_py() or "").encode() for x in batch.column("text")]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()),
+                 pa.array([codec.compress(t, asbytes=True) if t else b"" for t in texts], pa.binary())], ["doc_id", "n_bytes", "zipped"])
+
+    zipped = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(zip_texts, "doc_id long, n_bytes long, zipped binary")
 
     def cell_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -247,31 +278,47 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
             yield _batch(keys, owners, parts, True)
 
     def lists(rows: DataFrame, *names: tuple[str, bool]) -> DataFrame:
-        return rows.repartition("doc_id").groupBy("doc_id").agg(*(F.collect_list(F.when(F.col("open") == flag, F.col("key"))).alias(name) for name, flag in names))
+        return rows.repartition("doc_id").groupBy("doc_id").agg(
+            *(F.collect_list(F.when(F.col("open") == flag, F.col("key"))).alias(name) for name, flag in names))
 
-    cells = _scanned(docs.mapInArrow(cell_keys, _ROWS), cells=True)
-    told = docs.join(lists(cells, ("settled", False), ("open", True)), "doc_id", "left")
+    cells = _scanned(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cell_keys, _ROWS), cells=True)
+    told = zipped.join(lists(cells, ("settled", False), ("open", True)), "doc_id", "left")
 
-    def passage_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def part_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.filter(pa.compute.greater(pa.compute.list_value_length(batch.column("open")), 0))
+            batch = _with_entries(batch, "open")
             ids, open_ = np.asarray(batch.column("doc_id")), Lists(batch.column("open"))
             keys, owners = [], []
-            for row, _, found in sampled(*tk.utf8(batch.column("text"))):
-                cells = np.flatnonzero(open_.hold(row + found.row, found.key))
-                if len(cells):
-                    keys.append(found.passages(found.starts(cells)))
-                    owners.append(np.repeat(ids[row + found.row[cells]], found.hi[cells] - found.lo[cells] + 1))
+            for row, _, found in sampled(*_unzipped(batch)):
+                owner, _, _, key = found.parts(np.flatnonzero(open_.hold(row + found.row, found.key)))
+                keys.append(key)
+                owners.append(ids[row + found.row[owner]])
+            yield _batch(keys, owners, parts, True)
+
+    some = _scanned(told.mapInArrow(part_keys, _ROWS), cells=True)
+    told = told.join(lists(some, ("part_settled", False), ("part_open", True)), "doc_id", "left")
+
+    def passage_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = _with_entries(batch, "part_open")
+            ids, open_, part_open = np.asarray(batch.column("doc_id")), Lists(batch.column("open")), Lists(batch.column("part_open"))
+            keys, owners = [], []
+            for row, _, found in sampled(*_unzipped(batch)):
+                owner, lo, hi, key = found.parts(np.flatnonzero(open_.hold(row + found.row, found.key)))
+                at = np.flatnonzero(part_open.hold(row + found.row[owner], key))
+                if len(at):
+                    keys.append(found.passages(_ranges(lo[at], hi[at])))
+                    owners.append(np.repeat(ids[row + found.row[owner[at]]], hi[at] - lo[at] + 1))
             yield _batch(keys, owners, parts, False)
 
     passages = lists(_scanned(told.mapInArrow(passage_keys, _ROWS), cells=False), ("repeated", False))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            buf, offs = tk.utf8(batch.column("text"))
-            lists = [Lists(batch.column(c)) for c in ("settled", "open", "repeated")]
-            pick = np.flatnonzero(lists[0].size + lists[2].size)
-            rows, starts, ends = _repeated(batch.column("text").take(pa.array(pick)), pick, *lists)
+            buf, offs = _unzipped(batch)
+            held = {c: Lists(batch.column(c)) for c in ("settled", "open", "part_settled", "part_open", "repeated")}
+            pick = np.flatnonzero(held["settled"].size + held["part_settled"].size + held["repeated"].size)
+            rows, starts, ends = _repeated(buf, offs, pick, held)
             some = dict(zip(pick.tolist(), np.split(np.arange(len(rows)), np.searchsorted(rows, pick[1:])) if len(pick) else []))
             out = [_without(buf[a:b], starts[some[r]], ends[some[r]]) if r in some else (b - a, 0, 0, buf[a:b].tobytes())
                    for r, (a, b) in enumerate(zip(offs[:-1].tolist(), offs[1:].tolist()))]
@@ -282,26 +329,40 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     return told.join(passages, "doc_id", "left").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
-def _repeated(texts: pa.Array, pick: np.ndarray, settled: Lists, open_: Lists, again: Lists) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, start, end) of the repeated stretches, in order of row; rows are numbered as `pick` says, places per row."""
-    found_rows, starts, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    buf, offs = tk.utf8(texts)
-    for first, base, found in sampled(buf, offs):
-        row = pick[first + found.row]
-        shift = base - offs[first + found.row]
-        full = settled.hold(row, found.key)
-        found_rows.append(row[full])
-        starts.append((found.lo + shift)[full])
-        ends.append((found.hi + shift)[full] + LENGTH)
-        cells = np.flatnonzero(open_.hold(row, found.key))
-        if len(cells):
-            start = found.starts(cells)
-            owner = np.repeat(cells, found.hi[cells] - found.lo[cells] + 1)
-            hit = again.hold(row[owner], found.passages(start))
-            found_rows.append(row[owner][hit])
-            starts.append((start + shift[owner])[hit])
-            ends.append((start + shift[owner])[hit] + LENGTH)
-    row = np.concatenate(found_rows)
+def _with_entries(batch: pa.RecordBatch, column: str) -> pa.RecordBatch:
+    return batch.filter(pa.compute.greater(pa.compute.list_value_length(batch.column(column)), 0))
+
+
+def _unzipped(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    codec, sizes = pa.Codec("zstd"), batch.column("n_bytes").to_pylist()
+    texts = [codec.decompress(z.as_buffer(), n, asbytes=True) if n else b"" for z, n in zip(batch.column("zipped"), sizes)]
+    return np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+
+
+def _repeated(buf: np.ndarray, offs: np.ndarray, pick: np.ndarray, held: dict[str, Lists]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, end) of the repeated stretches of the picked rows, in order of row; places count from the row's start."""
+    rows, starts, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+    def add(row, lo, hi):
+        rows.append(row)
+        starts.append(lo)
+        ends.append(hi + LENGTH)
+
+    picked = np.concatenate([np.zeros(0, np.uint8), *(buf[offs[r]:offs[r + 1]] for r in pick)])
+    cuts = np.concatenate([[0], np.cumsum(np.diff(offs)[pick])]).astype(np.int64)
+    for first, base, found in sampled(picked, cuts):
+        row, shift = pick[first + found.row], base - cuts[first + found.row]
+        full = held["settled"].hold(row, found.key)
+        add(row[full], (found.lo + shift)[full], (found.hi + shift)[full])
+        owner, lo, hi, key = found.parts(np.flatnonzero(held["open"].hold(row, found.key)))
+        full = held["part_settled"].hold(row[owner], key)
+        add(row[owner][full], (lo + shift[owner])[full], (hi + shift[owner])[full])
+        at = np.flatnonzero(held["part_open"].hold(row[owner], key))
+        if len(at):
+            start, owner = _ranges(lo[at], hi[at]), np.repeat(owner[at], hi[at] - lo[at] + 1)
+            hit = held["repeated"].hold(row[owner], found.passages(start))
+            add(row[owner][hit], (start + shift[owner])[hit], (start + shift[owner])[hit])
+    row = np.concatenate(rows)
     order = np.argsort(row, kind="stable")
     return row[order], np.concatenate(starts)[order], np.concatenate(ends)[order]
 
