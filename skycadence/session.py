@@ -52,6 +52,12 @@ def scratch_path(spark: SparkSession, stem: str) -> str:
     return f"{shared_folder(spark)}/{stem}-{uuid.uuid4().hex}"
 
 
+def delete_at_end(spark: SparkSession, path: str) -> None:
+    """Have the file system remove ``path`` when the application ends."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Make ``DataFrame.checkpoint`` usable, honouring the cluster's setting."""
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():

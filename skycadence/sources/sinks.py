@@ -9,7 +9,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skycadence.session import scratch_path
+from skycadence.session import delete_at_end, scratch_path
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "overwrite") -> None:
@@ -25,6 +25,7 @@ def materialize(df: DataFrame, stem: str = "stage") -> DataFrame:
     """
     path = scratch_path(df.sparkSession, stem)
     df.write.parquet(path)
+    delete_at_end(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
