@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skycadence.llm.shared import documents, text_or_empty
+from skycadence.llm.shared import documents, join_hot, text_or_empty
 
 # The characters [\x20\x09-\x0D] that do not count.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -52,7 +52,7 @@ def exact_groups(docs: DataFrame) -> DataFrame:
         F.sum("n").alias("n"), F.max("best").alias("best"), F.count("*").alias("texts"))
     groups = groups.select("h", "text_sha256", "best", F.when(F.col("texts") == 1, F.col("n")).otherwise(
         F.raise_error(F.lit("two texts share both hashes")).cast("long")).alias("group_size"))
-    return (rows.select("doc_id", "length", "h", "text_sha256").join(groups, ["h", "text_sha256"])
+    return (join_hot(rows.select("doc_id", "length", "h", "text_sha256"), groups, ["h", "text_sha256"])
             .select("doc_id", _id_of(F.col("best")).alias("keep_id"), "group_size",
                     (F.col("best") == _rank(F.col("length"), F.col("doc_id"))).alias("kept"), "text_sha256"))
 
