@@ -18,7 +18,7 @@ from skycadence.llm.shared import documents
 PER_CLASS = 3000  # documents of each class that are fitted on, at most
 BUCKETS, DIM, FILTERS = 1 << 16, 8, 8
 WIDTHS = (1, 2, 3, 5)
-PAD = max(WIDTHS) - 1
+PAD = max(WIDTHS)  # empty words after each document, so that no window reaches into the next
 PREFIXES = (4, 6)  # bytes of a word that are embedded besides the word, so that unseen forms share a vector
 EPOCHS, BATCH, STEP = 4, 32, 0.05
 PASS = 0.7  # the score at which a document is called toxic
@@ -52,7 +52,8 @@ class Model:
         x += self.embed[ids[:, 1]]
         x += self.embed[ids[:, 2]]
         tops, at = [], []
-        end = np.append(start[1:], len(ids))
+        end = np.append(start[1:], len(ids)) - PAD + 1  # windows start at words, or at the first empty one
+        bounds = np.column_stack([start, end]).ravel()
         for w in self.conv:
             y = x @ w[0]
             for j in range(1, len(w)):
@@ -62,7 +63,7 @@ class Model:
                 at.append(spots)
                 tops.append(np.take_along_axis(y, spots, axis=0))
             else:
-                tops.append(np.maximum.reduceat(y, start, axis=0))
+                tops.append(np.maximum.reduceat(y, bounds, axis=0)[::2])
         return x, np.concatenate(tops, axis=1), at
 
     def logits(self, ids: np.ndarray, start: np.ndarray) -> np.ndarray:
