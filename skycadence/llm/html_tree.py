@@ -315,7 +315,8 @@ def drawn_pages() -> list[str]:
 def sample_pages(pages: DataFrame) -> DataFrame:
     """At most SAMPLE pages that mark their article themselves, by hash of the id."""
     known = pages.where(F.col("html").rlike(r"(?i)<(article|main)[\s>]") & (F.octet_length("html") <= SAMPLE_BYTES))
-    return known.select("page_id", "html").orderBy(F.xxhash64("page_id", "html")).limit(SAMPLE)
+    picked = known.where("page_id IS NOT NULL").select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE)
+    return known.select("page_id", "html").join(F.broadcast(picked), "page_id")
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -179,7 +179,7 @@ def quality(docs: DataFrame, labels: DataFrame, modulus: int = 4, rest: int = 2,
     """(doc_id, held_out, score, predicted) for each row, from statistics of the whole text alone.
 
     Rules and weights are fitted on at most `per_class` labelled documents of each class whose crc32(doc_id) % modulus
-    is not `rest`; classes keep their share of the labels by weightless sampling only up to that bound. NULL, empty
+    is not `rest`, each class sampled by hash of the id. NULL, empty
     and blank texts have statistics of zero and are scored like any other; a NULL doc_id is not held out; repeated ids
     are scored row by row. Without labels of both classes every score is the share of label 1, 0 without any. Other
     columns are not read; an empty table gives an empty result.
