@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skycadence.llm import textkit as tk
-from skycadence.llm.shared import documents, text_or_empty, written
+from skycadence.llm.shared import documents, join_hot, text_or_empty, written
 
 DEPTH = 3  # leading tokens on the path to a leaf, after the token count
 CONSTANT = 0.6  # share of a template's tokens that are not variable, at least
@@ -121,7 +121,7 @@ def templates(lines: DataFrame, min_docs: int, constant: float) -> DataFrame:
         F.col("n") >= min_docs).select("leaf", "pos", "token", F.lit(True).alias("constant"))
     variable = int(np.array(_VARIABLE >> np.uint64(32), np.uint32).view(np.int32))
     kept = (F.coalesce("constant", F.col("pos") < DEPTH)) & (F.col("token") != variable)
-    marked = spread.drop("n").join(constants, ["leaf", "pos", "token"], "left")
+    marked = join_hot(spread.drop("n"), constants, ["leaf", "pos", "token"], "left")
     # A sum that may wrap: additions of longs in an aggregate would raise, so two 31-bit halves are summed.
     part = F.xxhash64("pos", F.when(kept, F.col("token")))
     made = marked.groupBy("leaf", "line").agg(
@@ -136,11 +136,11 @@ def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, constant: float = C
     docs = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).withColumn("content", F.xxhash64("text"))
     wanted = _leaf_map(leaf_counts(docs).where(F.col("n") >= min_docs))
     lines = written(shared_lines(docs, wanted), "lines")
-    made = written(lines.select("content", "doc_id", "number", "leaf", "line").join(
-        templates(lines, min_docs, constant), ["leaf", "line"]).select("template", "content", "doc_id", "number"), "templates")
+    made = written(join_hot(lines.select("content", "doc_id", "number", "leaf", "line"),
+                            templates(lines, min_docs, constant), ["leaf", "line"]).select("template", "content", "doc_id", "number"), "templates")
     recurring = made.groupBy("template", "content").agg(F.min("doc_id").alias("doc_id")).groupBy("template").agg(
         F.count("*").alias("n"), F.min_by("content", "doc_id").alias("first")).where(F.col("n") >= min_docs)
-    return made.join(recurring, "template").where("content <> first").select("content", "number").distinct().groupBy(
+    return join_hot(made, recurring, ["template"]).where("content <> first").select("content", "number").distinct().groupBy(
         "content").agg(F.collect_list("number").alias("drops"))
 
 
@@ -159,7 +159,7 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, constant: fl
     """
     own = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     drops = dropped_lines(docs, min_docs, constant).withColumnsRenamed({"content": "__content", "drops": "__drops"})
-    rows = docs.select(*own, F.xxhash64(text_or_empty()).alias("__content")).join(drops, "__content", "left")
+    rows = join_hot(docs.select(*own, F.xxhash64(text_or_empty()).alias("__content")), drops, ["__content"], "left")
     lines = F.split("text", "\n", -1)
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("__drops", i)), "\n")
     text = F.when(F.col("__drops").isNull(), F.col("text")).otherwise(kept)
