@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from skycadence.llm import textkit as tk
 from skycadence.llm.components import components
-from skycadence.llm.shared import documents, written
+from skycadence.llm.shared import documents, join_hot, written
 
 BASE, RATE, TOP = 1.005, 20.0, 65_534  # register scale: base, rate and largest value
 BANDS, ROWS = 32, 4  # a pair at similarity 0.8 shares no band with probability 5e-8
@@ -151,7 +151,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80) -> DataF
     bands = reps.select("id", "regs", band).select("id", F.xxhash64(
         "band", F.expr(f"substring(regs, band * {2 * ROWS} + 1, {2 * ROWS})")).alias("bucket"))
     sizes = bands.groupBy("bucket").agg(F.min("id").alias("centre"), F.count("*").alias("size")).where("size > 1")
-    members = written(bands.join(sizes, "bucket").select("bucket", "id", "centre", "size"), "buckets")
+    members = written(join_hot(bands, sizes, ["bucket"]).select("bucket", "id", "centre", "size"), "buckets")
 
     texts = docs.select("doc_id", "text").join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
     sets = written(full_sets(texts, width), "members")
@@ -212,14 +212,14 @@ def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
     """(bucket, id, size, component) of the buckets whose members are not of one component yet."""
     seen = members.select("bucket", "id", "size").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = seen.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    return written(seen.join(mixed.select("bucket"), "bucket"), "mixed")
+    return written(join_hot(seen, mixed.select("bucket"), ["bucket"]), "mixed")
 
 
 def _turn(mixed: DataFrame, turn: int) -> DataFrame:
     """Each member of a mixed bucket with one centre of another component; every bucket draws its own centre."""
     drawn = F.xxhash64("id", "bucket", F.lit(turn))
     centres = mixed.groupBy("bucket").agg(F.min_by("id", drawn).alias("centre"), F.min_by("component", drawn).alias("of"))
-    return mixed.join(centres, "bucket").where("component <> of").select(
+    return join_hot(mixed, centres, ["bucket"]).where("component <> of").select(
         F.least("centre", "id").alias("a"), F.greatest("centre", "id").alias("b")).distinct()
 
 
