@@ -130,30 +130,30 @@ class Family:
     def __init__(self, cells: bool):
         self.cells, self.levels = cells, []
 
-    def add(self, keys: np.ndarray, docs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
-        """(keys, docs, open) that follow from a batch of sorted, different keys: repeated where not open."""
+    def add(self, keys: np.ndarray, docs: np.ndarray, told: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+        """(keys, docs, open) that follow from a batch of sorted, different keys: repeated where not open.
+
+        `told` marks the keys that are open already, because the batch they come from holds their gram in other cells."""
         known = np.zeros(len(keys), bool)
-        for level, first, told in self.levels:
+        for level, first, level_told in self.levels:
             at = np.minimum(np.searchsorted(level, keys), len(level) - 1)
             hit = level[at] == keys
             known |= hit
-            late, early = np.flatnonzero(hit & (docs > first[at])), np.flatnonzero(hit & (docs < first[at]))
+            late, early = hit & (docs > first[at]), hit & (docs < first[at])
             yield keys[late], docs[late], False
             yield keys[early], first[at[early]], False
             first[at[early]] = docs[early]
-            early = early[told[at[early]]]
-            yield keys[early], docs[early], True
-        keys, docs = keys[~known], docs[~known]
-        told = np.zeros(len(keys), bool)
+            fresh = hit & (told | level_told[at]) & (early | ~level_told[at])
+            level_told[at[fresh]] = True
+            yield keys[fresh], first[at[fresh]], True
+        keys, docs, told = keys[~known], docs[~known], told[~known]
         if self.cells and len(keys):
-            gram = keys & _HIGH
-            told[1:] = gram[1:] == gram[:-1]
-            told[:-1] |= gram[1:] == gram[:-1]
+            gram, place = np.unique(keys & _HIGH, return_inverse=True)
+            told |= (np.bincount(place) > 1)[place]
             for level, first, level_told in self.levels:
                 a, b = np.searchsorted(level, gram), np.searchsorted(level, gram | _LOW, "right")
-                told |= b > a
-                n = b - a
-                near = np.unique(np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum()))
+                told |= (b > a)[place]
+                near = _ranges(a[b > a], b[b > a] - 1)
                 near = near[~level_told[near]]
                 level_told[near] = True
                 yield level[near], first[near], True
@@ -185,14 +185,19 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(planes.view(np.uint64).ravel(), dtype=np.uint64), names[place.view(np.uint32).ravel()]
 
 
-_ROWS = "part int, settled boolean, entries binary"
+_ROWS = "part int, kind int, entries binary"
+_SINGLE, _SETTLED, _OPEN, _WITNESS = range(4)
 
 
 def _batch(keys: list[np.ndarray], docs: list[np.ndarray], parts: int, cells: bool) -> pa.RecordBatch:
     """The sorted arrays of a new batch, one per partition of the family.
 
     A key that a smaller document of this batch has is settled as repeated here, so one entry per key and batch is left
-    to compare, however common the key is; settled entries are only passed on, by document."""
+    to compare, however common the key is; settled entries are only passed on, by document. Cells whose gram the batch
+    holds once go by gram. Where it holds several different cells of a gram they are open, whatever others have, and go
+    by the whole key; one of them also goes by gram, as the witness that opens other batches' cells. So one gram, however
+    common, has at most one entry per batch in its partition. A cell may stand in a batch of either sort; both are
+    open then, and what they share is settled by their parts or passages."""
     key = np.concatenate([np.zeros(0, np.uint64), *keys])
     doc = np.concatenate([np.zeros(0, np.int64), *docs])
     order = np.lexsort((doc, key))
@@ -204,15 +209,26 @@ def _batch(keys: list[np.ndarray], docs: list[np.ndarray], parts: int, cells: bo
     first = doc[np.maximum.accumulate(np.where(same, 0, np.arange(len(key))))] if len(key) else doc
     settled = (doc > first)[~again]
     key, doc = key[~again], doc[~again]
-    place = np.where(settled, doc.view(np.uint64), key >> np.uint64(32 if cells else 0))
-    group = 2 * (tk.scramble(place) % np.uint64(parts)).astype(np.int64) + settled
+    kind = np.where(settled, _SETTLED, _SINGLE)
+    place = np.where(settled, doc.view(np.uint64), key)
+    if cells:
+        new = np.flatnonzero(~settled)
+        gram = key[new] >> np.uint64(32)
+        place[new] = gram
+        follows = np.zeros(len(new) + 1, bool)
+        follows[1:-1] = gram[1:] == gram[:-1]
+        several, lead = new[follows[:-1] | follows[1:]], new[~follows[:-1] & follows[1:]]
+        kind[several], place[several] = _OPEN, key[several]
+        key, doc = np.concatenate([key, key[lead]]), np.concatenate([doc, doc[lead]])
+        kind, place = np.append(kind, np.full(len(lead), _WITNESS)), np.append(place, key[lead] >> np.uint64(32))
+    group = 4 * (tk.scramble(place) % np.uint64(parts)).astype(np.int64) + kind
     order = np.argsort(group, kind="stable")
     group = group[order]
     cuts = np.flatnonzero(np.diff(group, prepend=-1))
     runs = np.split(order, cuts[1:]) if len(order) else []
     return pa.RecordBatch.from_arrays(
-        [pa.array((group[cuts] // 2).astype(np.int32)), pa.array(group[cuts] % 2 == 1),
-         pa.array([_pack(key[r], doc[r]) for r in runs], pa.binary())], ["part", "settled", "entries"])
+        [pa.array((group[cuts] // 4).astype(np.int32)), pa.array((group[cuts] % 4).astype(np.int32)),
+         pa.array([_pack(key[r], doc[r]) for r in runs], pa.binary())], ["part", "kind", "entries"])
 
 
 def _parts(df: DataFrame) -> int:
@@ -222,14 +238,15 @@ def _parts(df: DataFrame) -> int:
 def _scanned(batches: DataFrame, cells: bool) -> DataFrame:
     """(doc_id, key, open): keys that a smaller document has too, and for cells the ones that must be looked into.
 
-    The batches' arrays meet in one partition per high half of the key (per key for passages) and pass an index family
-    there. A cell, or a part of one, is open if the high half of its key also occurs with another low half."""
+    The batches' arrays meet in partitions (see _batch) and pass an index family there. A cell, or a part of one, is open
+    if the high half of its key also occurs with another low half."""
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         family = Family(cells)
         for batch in rows:
-            for settled, blob in zip(batch.column("settled").to_pylist(), batch.column("entries")):
+            for kind, blob in zip(batch.column("kind").to_pylist(), batch.column("entries")):
                 keys, docs = _unpack(blob.as_py())
-                out = [(keys, docs, False)] if settled else list(family.add(keys, docs))
+                told = np.full(len(keys), kind in (_OPEN, _WITNESS))
+                out = [(keys, docs, False)] if kind == _SETTLED else list(family.add(keys, docs, told))
                 n = [len(k) for k, _, _ in out]
                 if sum(n):
                     yield pa.RecordBatch.from_arrays(

@@ -4,11 +4,12 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from compare import compare, open_tables
 from corpus import edited, frame, prose
 
-from skycadence.llm import catalog
+from skycadence.llm import catalog, suffix_family
 from skycadence.llm.exact_dedup import exact_groups
 from skycadence.llm.line_templates import CONSTANT, DEPTH, MIN_DOCS, drop_recurring_lines
 from skycadence.llm.setsketch import near_duplicates, one_of_each
@@ -140,6 +141,43 @@ def test_passages_brute_force(spark):
     assert repeated_spans(frame(spark, [])).count() == 0
 
 
+def boilerplate(rng, n):
+    """Texts with one passage in different surroundings each, some of them repeated."""
+    shared, around = prose(rng, 40), [prose(rng, 15) for _ in range(n // 2)]
+    return [rng.choice(around) + shared + rng.choice(around) for _ in range(n)]
+
+
+def test_a_common_gram_is_spread_over_partitions():
+    """However many cells stand around one gram, a batch sends at most one entry of it to one partition."""
+    rng = random.Random(11)
+    texts = [t.encode() for t in boilerplate(rng, 400)]
+    offs = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    found = [f for _, _, f in suffix_family.sampled(np.frombuffer(b"".join(texts), np.uint8), offs)]
+    batch = suffix_family._batch([f.key for f in found], [f.row for f in found], 64, True)
+    at = {}
+    for part, kind, blob in zip(*(batch.column(c).to_pylist() for c in ("part", 1, "entries"))):
+        if kind != 1:
+            for gram in (suffix_family._unpack(blob)[0] >> np.uint64(32)).tolist():
+                at.setdefault(gram, []).append(part)
+    hot = max(at.values(), key=len)
+    assert len(hot) > 100 and max(hot.count(p) for p in hot) < 0.1 * len(hot)
+
+
+def test_passages_around_a_common_gram_in_many_batches(spark):
+    rng = random.Random(12)
+    texts = boilerplate(rng, 60) + [prose(rng, 30) for _ in range(5)]
+    ids = rng.sample(range(1000), len(texts))
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    for rows in (1, 2, 7, 10_000):
+        spark.conf.set(size, rows)
+        try:
+            got = repeated_spans(frame(spark, texts, ids=ids)).collect()
+        finally:
+            spark.conf.set(size, before)
+        assert sorted([(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got], key=str) == brute_passages(texts, ids)
+
+
 def test_passages_in_texts_longer_than_a_piece(spark):
     rng = random.Random(3)
     long = "".join(rng.choices("abcdefgh ", k=1_200_000))
