@@ -27,15 +27,16 @@ class Sampled:
 
     Every passage of LENGTH bytes samples the place in it whose gram of GRAM bytes has the smallest hash, the leftmost
     of equals: a choice that depends on the passage alone, so equal passages sample the same place. The passages that
-    sample a place follow each other; they start at lo..hi and span the cell [lo, hi + LENGTH). A key has the gram's
-    hash in its high and the cell's in its low half, so keys in order put suffixes of equal beginnings side by side."""
+    sample a place follow each other; they start at lo..hi and span the cell [lo, hi + LENGTH). `key` is the hash of the
+    cell's bytes, with the gram's place in them; all 64 bits count where cells are told apart. `gram` is the gram's."""
 
     def __init__(self, part: np.ndarray, cut: np.ndarray):
         n = len(part)
         ends = np.repeat(cut[1:], np.diff(cut))
         if n < LENGTH:
             self.row = self.lo = self.hi = self.at = np.zeros(0, np.int64)
-            self.key, self._total, self._down = np.zeros(0, np.uint64), np.zeros(1, np.uint64), np.ones(1, np.uint64)
+            self.key = self.gram = np.zeros(0, np.uint64)
+            self._total, self._down = np.zeros(1, np.uint64), np.ones(1, np.uint64)
             return
         up, self._down = tk.powers(n + 1)
         self._total = np.zeros(n + 1, np.uint64)
@@ -59,17 +60,17 @@ class Sampled:
         self.row = np.searchsorted(cut, self.lo, "right") - 1
         cell = (self._total[self.hi + LENGTH] - self._total[self.lo]) * self._down[self.lo]
         cell += ((at - self.lo) * 1000 + self.hi - self.lo).astype(np.uint64)
-        self.key = (gram[at] & _HIGH) | (tk.scramble(cell) & _LOW)
+        self.key, self.gram = tk.scramble(cell), gram[at]
 
     def passages(self, start: np.ndarray) -> np.ndarray:
         """Hash of the passage at each start."""
         return tk.scramble((self._total[start + LENGTH] - self._total[start]) * self._down[start])
 
-    def parts(self, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(cell, lo, hi, key) of the cells' parts: PART passages at fixed distances from the sampled place.
+    def parts(self, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(cell, lo, hi, key, core) of the cells' parts: PART passages at fixed distances from the sampled place.
 
-        The key's high half is a hash of the bytes that all passages at these distances have in common, its low half one
-        of the bytes the part spans. Two documents that share a passage have the same common bytes there; where those
+        The core is a hash of the bytes that all passages at these distances have in common, the key one of the bytes
+        the part spans. Two documents that share a passage have the same common bytes there; where those
         hold a difference, as around an edit, no passage of the part can be repeated."""
         low, high = (self.at - self.hi)[cells] // PART, (self.at - self.lo)[cells] // PART
         owner = np.repeat(cells, high - low + 1)
@@ -79,7 +80,7 @@ class Sampled:
         core = (self._total[nearest + LENGTH - PART + 1] - self._total[nearest]) * self._down[nearest] + group.astype(np.uint64)
         span = (self._total[hi + LENGTH] - self._total[lo]) * self._down[lo]
         span += ((self.at[owner] - lo) * 1000 + hi - lo).astype(np.uint64)
-        return owner, lo, hi, (tk.scramble(core) & _HIGH) | (tk.scramble(span) & _LOW)
+        return owner, lo, hi, tk.scramble(span), tk.scramble(core)
 
 
 def _ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -122,22 +123,37 @@ class Lists:
 
 
 class Family:
-    """Levels of sorted (key, doc, told) arrays; a new batch is merge-scanned against each level and then becomes one.
+    """Levels of sorted arrays (order, rest, doc, told); a new batch is merge-scanned against each and then becomes one.
 
     Levels of about equal size merge, so sizes grow geometrically and their number with the logarithm of the entries.
-    A key is in one level, with the first document that has it. Batches may come in any order of documents."""
+    A key is in one level, with the first document that has it. Batches may come in any order of documents. A cell's
+    `order` has 32 bits of its gram and the first half of its key, `rest` has the other half (see _order)."""
 
     def __init__(self, cells: bool):
         self.cells, self.levels = cells, []
 
-    def add(self, keys: np.ndarray, docs: np.ndarray, told: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    @staticmethod
+    def _find(level: np.ndarray, level_rest: np.ndarray, order: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in the level, whether it holds the entry)."""
+        at = np.minimum(np.searchsorted(level, order), len(level) - 1)
+        hit = level[at] == order
+        off = np.flatnonzero(hit & (level_rest[at] != rest))
+        while len(off):  # entries that agree in `order` only follow each other
+            hit[off] = False
+            off = off[at[off] + 1 < len(level)]
+            at[off] += 1
+            off = off[level[at[off]] == order[off]]
+            hit[off] = True
+            off = off[level_rest[at[off]] != rest[off]]
+        return at, hit
+
+    def add(self, order: np.ndarray, rest: np.ndarray, docs: np.ndarray, told: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
         """(keys, docs, open) that follow from a batch of sorted, different keys: repeated where not open.
 
         `told` marks the keys that are open already, because the batch they come from holds their gram in other cells."""
-        known = np.zeros(len(keys), bool)
-        for level, first, level_told in self.levels:
-            at = np.minimum(np.searchsorted(level, keys), len(level) - 1)
-            hit = level[at] == keys
+        known, keys = np.zeros(len(order), bool), _keys(order, rest, self.cells)
+        for level, level_rest, first, level_told in self.levels:
+            at, hit = self._find(level, level_rest, order, rest)
             known |= hit
             late, early = hit & (docs > first[at]), hit & (docs < first[at])
             yield keys[late], docs[late], False
@@ -146,51 +162,62 @@ class Family:
             fresh = hit & (told | level_told[at]) & (early | ~level_told[at])
             level_told[at[fresh]] = True
             yield keys[fresh], first[at[fresh]], True
-        keys, docs, told = keys[~known], docs[~known], told[~known]
-        if self.cells and len(keys):
-            gram, place = np.unique(keys & _HIGH, return_inverse=True)
+        order, rest, keys, docs, told = (x[~known] for x in (order, rest, keys, docs, told))
+        if self.cells and len(order):
+            gram, place = np.unique(order & _HIGH, return_inverse=True)
             told |= (np.bincount(place) > 1)[place]
-            for level, first, level_told in self.levels:
+            for level, level_rest, first, level_told in self.levels:
                 a, b = np.searchsorted(level, gram), np.searchsorted(level, gram | _LOW, "right")
                 told |= (b > a)[place]
                 near = _ranges(a[b > a], b[b > a] - 1)
                 near = near[~level_told[near]]
                 level_told[near] = True
-                yield level[near], first[near], True
+                yield _keys(level[near], level_rest[near], True), first[near], True
             yield keys[told], docs[told], True
-        if len(keys):
-            self.levels.append([keys, docs, told])
+        if len(order):
+            self.levels.append([order, rest, docs, told])
         while len(self.levels) > 1 and len(self.levels[-2][0]) < 2 * len(self.levels[-1][0]):
             one, two = self.levels[-2:]
-            keys = np.concatenate([one[0], two[0]])
-            order = np.argsort(keys, kind="stable")
-            self.levels[-2:] = [[keys[order], *(np.concatenate([a, b])[order] for a, b in zip(one[1:], two[1:]))]]
+            order = np.concatenate([one[0], two[0]])
+            by = np.argsort(order, kind="stable")
+            self.levels[-2:] = [[order[by], *(np.concatenate([a, b])[by] for a, b in zip(one[1:], two[1:]))]]
+
+
+def _order(key: np.ndarray, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, rest) of cells: 32 bits of the gram before the key, so that cells of one gram stand side by side."""
+    return (gram & _HIGH) | (key >> np.uint64(32)), (key & _LOW).astype(np.uint32)
+
 
+def _keys(order: np.ndarray, rest: np.ndarray, cells: bool) -> np.ndarray:
+    """The 64-bit keys again."""
+    return (order << np.uint64(32)) | rest.astype(np.uint64) if cells else order
 
-def _pack(keys: np.ndarray, docs: np.ndarray) -> bytes:
-    """A sorted array as bytes: differences of the keys by byte planes, and places in a list of documents."""
+
+def _pack(keys: np.ndarray, rest: np.ndarray, docs: np.ndarray) -> bytes:
+    """A sorted array as bytes: differences of the keys by byte planes, the rest, and places in a list of documents."""
     names, place = np.unique(docs, return_inverse=True)
     planes = np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T
     place = place.astype(np.uint32).view(np.uint8).reshape(-1, 4).T
-    raw = np.array([len(keys), len(names)]).tobytes() + names.tobytes() + planes.tobytes() + place.tobytes()
+    raw = np.array([len(keys), len(names)]).tobytes() + names.tobytes() + planes.tobytes() + place.tobytes() + rest.tobytes()
     return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
-def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     raw = pa.decompress(blob[8:], decompressed_size=int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
     n, m = np.frombuffer(raw, np.int64, 2)
     names = np.frombuffer(raw, np.int64, m, 16)
     planes = np.frombuffer(raw, np.uint8, 8 * n, 16 + 8 * m).reshape(8, n).T.copy()
     place = np.frombuffer(raw, np.uint8, 4 * n, 16 + 8 * m + 8 * n).reshape(4, n).T.copy()
-    return np.cumsum(planes.view(np.uint64).ravel(), dtype=np.uint64), names[place.view(np.uint32).ravel()]
+    rest = np.frombuffer(raw, np.uint32, n, 16 + 8 * m + 12 * n)
+    return np.cumsum(planes.view(np.uint64).ravel(), dtype=np.uint64), rest, names[place.view(np.uint32).ravel()]
 
 
 _ROWS = "part int, kind int, entries binary"
 _SINGLE, _SETTLED, _OPEN, _WITNESS = range(4)
 
 
-def _batch(keys: list[np.ndarray], docs: list[np.ndarray], parts: int, cells: bool) -> pa.RecordBatch:
-    """The sorted arrays of a new batch, one per partition of the family.
+def _batch(keys: list[np.ndarray], docs: list[np.ndarray], parts: int, grams: list[np.ndarray] | None = None) -> pa.RecordBatch:
+    """The sorted arrays of a new batch, one per partition of the family; only cells, and parts of them, have grams.
 
     A key that a smaller document of this batch has is settled as repeated here, so one entry per key and batch is left
     to compare, however common the key is; settled entries are only passed on, by document. Cells whose gram the batch
@@ -200,27 +227,30 @@ def _batch(keys: list[np.ndarray], docs: list[np.ndarray], parts: int, cells: bo
     open then, and what they share is settled by their parts or passages."""
     key = np.concatenate([np.zeros(0, np.uint64), *keys])
     doc = np.concatenate([np.zeros(0, np.int64), *docs])
-    order = np.lexsort((doc, key))
-    key, doc = key[order], doc[order]
+    rest = np.zeros(len(key), np.uint32)
+    if grams is not None:
+        key, rest = _order(key, np.concatenate([np.zeros(0, np.uint64), *grams]))
+    order = np.lexsort((doc, rest, key))
+    key, rest, doc = key[order], rest[order], doc[order]
     same = np.zeros(len(key), bool)
-    same[1:] = key[1:] == key[:-1]
+    same[1:] = (key[1:] == key[:-1]) & (rest[1:] == rest[:-1])
     again = same.copy()
     again[1:] &= doc[1:] == doc[:-1]
     first = doc[np.maximum.accumulate(np.where(same, 0, np.arange(len(key))))] if len(key) else doc
     settled = (doc > first)[~again]
-    key, doc = key[~again], doc[~again]
+    key, rest, doc = key[~again], rest[~again], doc[~again]
     kind = np.where(settled, _SETTLED, _SINGLE)
     place = np.where(settled, doc.view(np.uint64), key)
-    if cells:
+    if grams is not None:
         new = np.flatnonzero(~settled)
         gram = key[new] >> np.uint64(32)
         place[new] = gram
         follows = np.zeros(len(new) + 1, bool)
         follows[1:-1] = gram[1:] == gram[:-1]
         several, lead = new[follows[:-1] | follows[1:]], new[~follows[:-1] & follows[1:]]
-        kind[several], place[several] = _OPEN, key[several]
-        key, doc = np.concatenate([key, key[lead]]), np.concatenate([doc, doc[lead]])
+        kind[several], place[several] = _OPEN, _keys(key[several], rest[several], True)
         kind, place = np.append(kind, np.full(len(lead), _WITNESS)), np.append(place, key[lead] >> np.uint64(32))
+        key, rest, doc = (np.append(x, x[lead]) for x in (key, rest, doc))
     group = 4 * (tk.scramble(place) % np.uint64(parts)).astype(np.int64) + kind
     order = np.argsort(group, kind="stable")
     group = group[order]
@@ -228,7 +258,7 @@ def _batch(keys: list[np.ndarray], docs: list[np.ndarray], parts: int, cells: bo
     runs = np.split(order, cuts[1:]) if len(order) else []
     return pa.RecordBatch.from_arrays(
         [pa.array((group[cuts] // 4).astype(np.int32)), pa.array((group[cuts] % 4).astype(np.int32)),
-         pa.array([_pack(key[r], doc[r]) for r in runs], pa.binary())], ["part", "kind", "entries"])
+         pa.array([_pack(key[r], rest[r], doc[r]) for r in runs], pa.binary())], ["part", "kind", "entries"])
 
 
 def _parts(df: DataFrame) -> int:
@@ -239,14 +269,14 @@ def _scanned(batches: DataFrame, cells: bool) -> DataFrame:
     """(doc_id, key, open): keys that a smaller document has too, and for cells the ones that must be looked into.
 
     The batches' arrays meet in partitions (see _batch) and pass an index family there. A cell, or a part of one, is open
-    if the high half of its key also occurs with another low half."""
+    if its gram or core also occurs with another key."""
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         family = Family(cells)
         for batch in rows:
             for kind, blob in zip(batch.column("kind").to_pylist(), batch.column("entries")):
-                keys, docs = _unpack(blob.as_py())
-                told = np.full(len(keys), kind in (_OPEN, _WITNESS))
-                out = [(keys, docs, False)] if kind == _SETTLED else list(family.add(keys, docs, told))
+                order, rest, docs = _unpack(blob.as_py())
+                told = np.full(len(order), kind in (_OPEN, _WITNESS))
+                out = [(_keys(order, rest, cells), docs, False)] if kind == _SETTLED else list(family.add(order, rest, docs, told))
                 n = [len(k) for k, _, _ in out]
                 if sum(n):
                     yield pa.RecordBatch.from_arrays(
@@ -267,7 +297,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
     Cells of sampled suffixes are compared first: an equal cell in a smaller document settles all its passages. Where
     equal grams stand in different cells, at the edges of matches, parts of the cells are compared, and where those agree
-    in what their passages have in common, the passages themselves. Each task keeps 17 bytes per different key of its
+    in what their passages have in common, the passages themselves. Equality is that of 64-bit hashes in each step. Each task keeps 21 bytes per different key of its
     partition, a sampled suffix per 14 bytes of text, so spark.sql.shuffle.partitions bounds its memory. Texts are
     shuffled once, compressed.
     """
@@ -287,12 +317,13 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         for batch in batches:
             ids = batch.column("doc_id")
             known, ids = np.asarray(ids.is_valid()), np.asarray(ids.fill_null(0))
-            keys, owners = [], []
+            keys, grams, owners = [], [], []
             for row, _, found in sampled(*tk.utf8(batch.column("text"))):
                 use = known[row + found.row]
                 keys.append(found.key[use])
+                grams.append(found.gram[use])
                 owners.append(ids[row + found.row][use])
-            yield _batch(keys, owners, parts, True)
+            yield _batch(keys, owners, parts, grams)
 
     def lists(rows: DataFrame, *names: tuple[str, bool]) -> DataFrame:
         return rows.repartition("doc_id").groupBy("doc_id").agg(
@@ -305,12 +336,13 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         for batch in batches:
             batch = _with_entries(batch, "open")
             ids, open_ = np.asarray(batch.column("doc_id")), Lists(batch.column("open"))
-            keys, owners = [], []
+            keys, cores, owners = [], [], []
             for row, _, found in sampled(*_unzipped(batch)):
-                owner, _, _, key = found.parts(np.flatnonzero(open_.hold(row + found.row, found.key)))
+                owner, _, _, key, core = found.parts(np.flatnonzero(open_.hold(row + found.row, found.key)))
                 keys.append(key)
+                cores.append(core)
                 owners.append(ids[row + found.row[owner]])
-            yield _batch(keys, owners, parts, True)
+            yield _batch(keys, owners, parts, cores)
 
     some = _scanned(told.mapInArrow(part_keys, _ROWS), cells=True)
     told = told.join(lists(some, ("part_settled", False), ("part_open", True)), "doc_id", "left")
@@ -321,12 +353,12 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
             ids, open_, part_open = np.asarray(batch.column("doc_id")), Lists(batch.column("open")), Lists(batch.column("part_open"))
             keys, owners = [], []
             for row, _, found in sampled(*_unzipped(batch)):
-                owner, lo, hi, key = found.parts(np.flatnonzero(open_.hold(row + found.row, found.key)))
+                owner, lo, hi, key, _ = found.parts(np.flatnonzero(open_.hold(row + found.row, found.key)))
                 at = np.flatnonzero(part_open.hold(row + found.row[owner], key))
                 if len(at):
                     keys.append(found.passages(_ranges(lo[at], hi[at])))
                     owners.append(np.repeat(ids[row + found.row[owner[at]]], hi[at] - lo[at] + 1))
-            yield _batch(keys, owners, parts, False)
+            yield _batch(keys, owners, parts)
 
     passages = lists(_scanned(told.mapInArrow(passage_keys, _ROWS), cells=False), ("repeated", False))
 
@@ -371,7 +403,7 @@ def _repeated(buf: np.ndarray, offs: np.ndarray, pick: np.ndarray, held: dict[st
         row, shift = pick[first + found.row], base - cuts[first + found.row]
         full = held["settled"].hold(row, found.key)
         add(row[full], (found.lo + shift)[full], (found.hi + shift)[full])
-        owner, lo, hi, key = found.parts(np.flatnonzero(held["open"].hold(row, found.key)))
+        owner, lo, hi, key, _ = found.parts(np.flatnonzero(held["open"].hold(row, found.key)))
         full = held["part_settled"].hold(row[owner], key)
         add(row[owner][full], (lo + shift[owner])[full], (hi + shift[owner])[full])
         at = np.flatnonzero(held["part_open"].hold(row[owner], key))
