@@ -15,6 +15,7 @@ from skycadence.llm.shared import documents
 
 SIMILARITY = 0.8  # 1 - edits / words of the item
 WALKS, SAMPLES, COORDINATES = 10, 8, 3  # walks, samplings of each walk, coordinates of a sampling
+HITS = 1 << 21  # (place, item) pairs that are counted at once
 BLOCK_BYTES = 16 << 20  # text of the benchmark that one pass holds in each task
 _PLACES = np.random.default_rng(3).integers(1, 1 << 63, 8, dtype=np.uint64) | np.uint64(1)
 
@@ -77,7 +78,13 @@ class SizeClass:
 
         self.q = next((q for q in (3, 2) if shared(q) >= 1), 1)
         self.need = max(1, shared(self.q))
-        self.phrases = np.unique(np.concatenate([_grams(w, self.q) for _, w in items]))
+        self.least = np.array([max(1, n - self.q + 1 - self.q * edits(n, similarity)) for n in sizes])
+        self.longest = np.array([n + edits(n, similarity) for n in sizes])
+        held = [np.unique(_grams(w, self.q)) for _, w in items]
+        phrases, holder = np.concatenate(held), np.repeat(np.arange(len(items)), [len(h) for h in held])
+        order = np.argsort(phrases, kind="stable")
+        self.phrases, first = np.unique(phrases[order], return_index=True)
+        self.holders, self.holder_at = holder[order], np.append(first, len(order))
         self.steps = 2 * self.low
         rng = np.random.default_rng(100 + number)
         self.samples = [[np.sort(rng.choice(self.steps, min(COORDINATES, self.steps), replace=False)) for _ in range(SAMPLES)]
@@ -102,24 +109,56 @@ class SizeClass:
             h = h + out[j] * _PLACES[k]
         return h
 
-    def windows(self, words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(start, end of row) of the windows with as many benchmark phrases as the edits must leave. Nothing is lost."""
-        grams = _grams(words, self.q)
-        hit = np.zeros(len(words) + 1, np.int64)
+    def phrase_of(self, words: np.ndarray) -> np.ndarray:
+        """For each word the benchmark phrase that starts there, or -1."""
+        out, grams = np.full(len(words), -1), _grams(words, self.q)
         if len(grams):
-            near = np.searchsorted(self.phrases, grams)
-            hit[1:len(grams) + 1] = self.phrases[np.minimum(near, len(self.phrases) - 1)] == grams
-        np.cumsum(hit, out=hit)
+            near = np.minimum(np.searchsorted(self.phrases, grams), len(self.phrases) - 1)
+            out[:len(grams)] = np.where(self.phrases[near] == grams, near, -1)
+        return out
+
+    def windows(self, phrase: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, end of row) of the windows with as many benchmark phrases as the edits must leave. Nothing is lost."""
+        words, hit = phrase, np.append(0, np.cumsum(phrase >= 0))
         end = np.repeat(first[1:], np.diff(first))
         at = np.arange(len(words))
         reach = np.minimum(at + self.high + self.slack, end)
         start = np.flatnonzero(hit[reach] - hit[at] >= self.need)
         return start, end[start]
 
+    def counted(self, phrase: np.ndarray, first: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[np.ndarray]:
+        """(place, item) pairs where as many phrases of that item as its edits must leave start within its reach.
+
+        Each edit breaks q phrases at most, so every stretch within the edits has a pair: nothing is lost."""
+        inside = np.bincount(start, minlength=len(phrase) + 1) - np.bincount(
+            np.minimum(start + self.high + self.slack, end), minlength=len(phrase) + 1)
+        place = np.flatnonzero((phrase >= 0) & (np.cumsum(inside[:-1]) > 0))
+        many = np.diff(self.holder_at)[phrase[place]]
+        total = np.append(0, np.cumsum(many))
+        lo = 0
+        while lo < len(place):
+            hi = max(lo + 1, int(np.searchsorted(total, total[lo] + HITS, "right")) - 1)
+            top = int(np.searchsorted(place, place[hi - 1] + self.high + self.slack, "right"))
+            n = many[lo:top]
+            which = np.repeat(self.holder_at[phrase[place[lo:top]]] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            item, at = self.holders[which], np.repeat(place[lo:top], n)
+            order = np.argsort(item, kind="stable")
+            item, at = item[order], at[order]
+            last = np.arange(len(item)) + self.least[item] - 1
+            k = np.flatnonzero(last < len(item))
+            last = last[k]
+            row = np.searchsorted(first, at, "right")
+            k = k[(item[last] == item[k]) & (row[last] == row[k]) & (at[last] - at[k] <= self.longest[item[k]] - self.q)]
+            yield np.column_stack([at[k], item[k]])
+            lo = hi
+
     def candidates(self, words: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Distinct (start, item) pairs that share a sampling of a walk."""
-        start, end = self.windows(words, first)
-        found = [np.zeros((0, 2), np.int64)]
+        """Distinct (start, item) pairs that share a sampling of a walk, or enough phrases.
+
+        Walks lose step over many insertions and deletions, the more so the longer the item; the phrases do not."""
+        phrase = self.phrase_of(words)
+        start, end = self.windows(phrase, first)
+        found = [np.zeros((0, 2), np.int64), *self.counted(phrase, first, start, end)]
         for lo in range(0, len(start), 1 << 14):
             s, e = start[lo:lo + (1 << 14)], end[lo:lo + (1 << 14)]
             table = iter(self.tables)
@@ -196,9 +235,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
 
     Words are runs of letters and digits without case. A document contains an item if some stretch of its words is
     within floor((1 - similarity) * n) word edits of the item's n words; `edits` is the smallest number found and
-    `end_word` the number of words up to that stretch's end. Windows of the item's size are embedded by walks, share a
-    sampled key with an item, and are then verified exactly over the whole neighbourhood; windows that share fewer
-    phrases with the benchmark than that many edits must leave are not embedded, which loses nothing.
+    `end_word` the number of words up to that stretch's end. Windows of the item's size that share as many phrases with
+    the benchmark as that many edits must leave are embedded by walks. Items that share a sampled key with a window, and
+    items of which as many phrases stand together as their own edits must leave, are verified exactly over the whole
+    neighbourhood. The phrases alone propose every stretch within the edits, so recall is 1 whatever the edits are.
 
     Items or texts that are NULL, empty or without words match nothing; the same item_id with two texts matches by
     either; a NULL item_id is left out and a NULL doc_id is reported as NULL; rows that repeat a doc_id are searched
