@@ -20,7 +20,7 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = line_templates.drop_recurring_lines(docs)
+    found = line_templates.drop_recurring_lines(docs, verbatim=True)
     length = F.when(F.col("n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
     return found.withColumn("n_chars", length).select(*docs.columns)
 

@@ -14,7 +14,7 @@ from skycadence.llm.shared import documents, join_hot, text_or_empty, written
 
 DEPTH = 3  # leading tokens on the path to a leaf, after the token count
 CONSTANT = 0.6  # share of a template's tokens that are not variable, at least
-MIN_DOCS = 3  # documents of different content that a template must recur in
+MIN_DOCS = 2  # documents of different content that a template must recur in
 MAP_BITS = 23  # log2 of the bits of the leaf filter: one megabyte, whatever the input
 _K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
 _VARIABLE = np.uint64(0x1F83D9ABFB41BD6B)
@@ -47,6 +47,10 @@ class Lines:
         up, down = tk.powers(len(s) + 1)
         total = np.zeros(len(s) + 1, np.uint64)
         np.cumsum(hashes * up[:len(s)], out=total[1:])
+        at = np.searchsorted(breaks, s[first])
+        start = np.maximum(np.append(-1, breaks)[at] + 1, cut[self.row])
+        end = np.minimum(np.append(breaks, len(part))[at], cut[self.row + 1])
+        self.exact = tk.span_hashes(part, start, end, tk.BYTE)
         self.line = tk.scramble((total[self.first[1:]] - total[self.first[:-1]]) * down[first] + n.astype(np.uint64))
 
 
@@ -85,7 +89,9 @@ def _leaf_map(leaves: DataFrame) -> np.ndarray:
 
 
 def shared_lines(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
-    """(content, doc_id, number, leaf, line, tokens) of each line whose leaf may be shared; tokens are 32-bit hashes."""
+    """(content, doc_id, number, leaf, line, exact, tokens) of each line whose leaf may be shared.
+
+    `exact` is a hash of the line's bytes; tokens are 32-bit hashes."""
     spread = docs.sparkSession.sparkContext.broadcast(np.packbits(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,18 +108,20 @@ def shared_lines(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
                 row = lo + lines.row[at]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(content[row]), pa.array(ids[row], mask=null[row]), pa.array(lines.number[at].astype(np.int32)),
-                     pa.array(lines.leaf[at].view(np.int64)), pa.array(lines.line[at].view(np.int64)), tokens],
-                    ["content", "doc_id", "number", "leaf", "line", "tokens"])
+                     pa.array(lines.leaf[at].view(np.int64)), pa.array(lines.line[at].view(np.int64)),
+                     pa.array(lines.exact[at].view(np.int64)), tokens],
+                    ["content", "doc_id", "number", "leaf", "line", "exact", "tokens"])
 
     return docs.select("doc_id", "content", "text").mapInArrow(
-        run, "content long, doc_id long, number int, leaf long, line long, tokens array<int>")
+        run, "content long, doc_id long, number int, leaf long, line long, exact long, tokens array<int>")
 
 
 def templates(lines: DataFrame, min_docs: int, constant: float) -> DataFrame:
     """(leaf, line, template) of the lines whose template has enough constant tokens.
 
     In its leaf a token is constant at its position if at least `min_docs` documents have it there; the tokens on the
-    path to the leaf are constant, except those with digits. All other tokens are variable fields."""
+    path to the leaf are constant, except those with digits. All other tokens are variable fields. Lines longer than the
+    path need a constant token beyond it too: words they begin with alone do not make different lines one template."""
     known = written(lines.groupBy("leaf", "line", "content").agg(F.lit(1).alias("one")).groupBy("leaf", "line").agg(
         F.count("*").alias("n")).join(lines.select("leaf", "line", "tokens").dropDuplicates(["leaf", "line"]), ["leaf", "line"]), "lines")
     spread = known.select("leaf", "line", "n", F.posexplode("tokens").alias("pos", "token"))
@@ -125,32 +133,35 @@ def templates(lines: DataFrame, min_docs: int, constant: float) -> DataFrame:
     # A sum that may wrap: additions of longs in an aggregate would raise, so two 31-bit halves are summed.
     part = F.xxhash64("pos", F.when(kept, F.col("token")))
     made = marked.groupBy("leaf", "line").agg(
-        F.count("*").alias("size"), F.count_if(kept).alias("fixed"),
+        F.count("*").alias("size"), F.count_if(kept).alias("fixed"), F.count_if(kept & (F.col("pos") >= DEPTH)).alias("beyond"),
         F.sum(F.shiftrightunsigned(part, 33)).alias("high"), F.sum(part.bitwiseAND(F.lit((1 << 31) - 1))).alias("low"))
-    return made.where(F.col("fixed") >= constant * F.col("size")).select(
+    return made.where((F.col("fixed") >= constant * F.col("size")) & ((F.col("beyond") > 0) | (F.col("size") <= DEPTH))).select(
         "leaf", "line", F.xxhash64("leaf", "size", "high", "low").alias("template"))
 
 
-def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, constant: float = CONSTANT) -> DataFrame:
+def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, constant: float = CONSTANT, verbatim: bool = False) -> DataFrame:
     """(content, drops): for each text, by its hash, the numbers of the lines that go."""
     docs = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).withColumn("content", F.xxhash64("text"))
     wanted = _leaf_map(leaf_counts(docs).where(F.col("n") >= min_docs))
     lines = written(shared_lines(docs, wanted), "lines")
-    made = written(join_hot(lines.select("content", "doc_id", "number", "leaf", "line"),
-                            templates(lines, min_docs, constant), ["leaf", "line"]).select("template", "content", "doc_id", "number"), "templates")
+    made = join_hot(lines.select("content", "doc_id", "number", "leaf", "line", "exact"), templates(lines, min_docs, constant),
+                    ["leaf", "line"], "left" if verbatim else "inner")
+    template = F.coalesce("template", F.xxhash64("leaf", "exact"))  # a line without a template is its own
+    made = written(made.select(template.alias("template"), "content", "doc_id", "number"), "templates")
     recurring = made.groupBy("template", "content").agg(F.min("doc_id").alias("doc_id")).groupBy("template").agg(
         F.count("*").alias("n"), F.min_by("content", "doc_id").alias("first")).where(F.col("n") >= min_docs)
     return join_hot(made, recurring, ["template"]).where("content <> first").select("content", "number").distinct().groupBy(
         "content").agg(F.collect_list("number").alias("drops"))
 
 
-def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, constant: float = CONSTANT) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, constant: float = CONSTANT, verbatim: bool = False) -> DataFrame:
     """All rows and columns of `docs` with recurring lines taken out of `text`, then n_lines and n_dropped.
 
     Lines end at \\n; tokens are split at blanks; blank lines are never dropped. The tree has the token count, then
     the first DEPTH tokens; tokens with a digit are variable fields, and in a leaf so are tokens that fewer than
-    `min_docs` documents have at that place. A template with a share of at least `constant` constant tokens that
-    documents of at least `min_docs` different contents hold is recurring: it stays in the document with the smallest
+    `min_docs` documents have at that place. A template needs a share of at least `constant` constant tokens, and one of
+    them beyond the first DEPTH if it is longer. With `verbatim` any other line is its own template, byte for byte;
+    without it such lines stay. A template that documents of at least `min_docs` different contents hold is recurring: it stays in the document with the smallest
     doc_id (and exact copies of that document, which other operators treat) and its lines go everywhere else. Exact
     copies count as one document, so copying alone makes no template. NULL text stays NULL and has 0 lines; an empty
     text has 0; a NULL doc_id comes last and never keeps a line that an id could keep; repeated rows get the same
@@ -158,7 +169,7 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, constant: fl
     replaced. An empty table gives an empty result.
     """
     own = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    drops = dropped_lines(docs, min_docs, constant).withColumnsRenamed({"content": "__content", "drops": "__drops"})
+    drops = dropped_lines(docs, min_docs, constant, verbatim).withColumnsRenamed({"content": "__content", "drops": "__drops"})
     rows = join_hot(docs.select(*own, F.xxhash64(text_or_empty()).alias("__content")), drops, ["__content"], "left")
     lines = F.split("text", "\n", -1)
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("__drops", i)), "\n")
@@ -169,4 +180,4 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, constant: fl
 
 
 def op1_template_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drop_recurring_lines(documents(spark, sf_dir)).select("doc_id", "text", "n_lines", "n_dropped")
+    return drop_recurring_lines(documents(spark, sf_dir), verbatim=True).select("doc_id", "text", "n_lines", "n_dropped")

@@ -256,3 +256,13 @@ def test_lines_brute_force(spark):
     assert sorted([(r.doc_id, r.text, r.n_lines, r.n_dropped) for r in got.collect()], key=str) == brute_lines(texts, ids)
     assert got.columns == frame(spark, []).columns + ["n_lines", "n_dropped"]
     assert drop_recurring_lines(frame(spark, [])).count() == 0
+
+
+def test_lines_repeated_word_for_word_and_lines_that_only_begin_alike(spark):
+    long = " ".join(f"word{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60))
+    texts = [f"{long}\nPage 1 of 10\nthe cat sat alpha", f"{long}\nPage 1 of 10\nthe cat sat bravo\nthe cat sat alpha",
+             "Page 2 of 10\nthe cat sat delta", "7 8 9 7\nthe cat sat gamma", "7 8 9 7\n7 8 9 6"]
+    got = {r.doc_id: r.text for r in drop_recurring_lines(frame(spark, texts), verbatim=True).collect()}
+    assert got[0] == texts[0] and got[1] == "the cat sat bravo"
+    assert got[3] == texts[3] and got[4] == "7 8 9 6"
+    assert "the cat sat delta" in got[2]
