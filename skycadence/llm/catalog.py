@@ -2,7 +2,19 @@
 
 from __future__ import annotations
 
-from skycadence.llm import decontamination, exact_dedup, html_tree, language_id, line_templates, mixing, quality, setsketch, suffix_family, toxicity
+from skycadence.llm import (
+    collocations,
+    decontamination,
+    exact_dedup,
+    html_tree,
+    language_id,
+    line_templates,
+    mixing,
+    quality,
+    setsketch,
+    suffix_family,
+    toxicity,
+)
 
 QUERIES = {
     "op1_template_line_dedup": line_templates.op1_template_line_dedup,
@@ -15,10 +27,12 @@ QUERIES = {
     "op8_suffix_family_dedup": suffix_family.op8_suffix_family_dedup,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_dom_marginals": html_tree.op10_dom_marginals,
+    "op12_phrase_collocations": collocations.op12_phrase_collocations,
 }
 SQL = {
     "op2_setsketch_near_dedup": setsketch.SQL,
     "op3_poisson_mixing": mixing.SQL,
     "op8_suffix_family_dedup": suffix_family.SQL,
     "op9_exact_dedup": exact_dedup.SQL,
+    "op12_phrase_collocations": collocations.SQL,
 }
