@@ -14,6 +14,7 @@ from skycadence.llm import (
     setsketch,
     suffix_family,
     toxicity,
+    whitening,
 )
 
 QUERIES = {
@@ -28,6 +29,7 @@ QUERIES = {
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_dom_marginals": html_tree.op10_dom_marginals,
     "op12_phrase_collocations": collocations.op12_phrase_collocations,
+    "op13_embedding_whitening": whitening.op13_embedding_whitening,
 }
 SQL = {
     "op2_setsketch_near_dedup": setsketch.SQL,
