@@ -1,6 +1,6 @@
 """Phrase collocations: phrases grow from counted prefixes, best bounds first, until the top of each language is settled.
 
-Words are counted first, then pairs of frequent words, then triples. A triple (1, 2, 3) can occur no more often than the
+Words and pairs are counted by 64-bit keys first, then those whose key occurs often enough by their text, then triples. A triple (1, 2, 3) can occur no more often than the
 pairs it is made of, so with f12 and f23 counted its score is at most f12 / f1 and at most f23 / f3. Those bounds order
 the frontier: a round admits the triples whose bounds reach a threshold per language, and those that may drop a pair whose
 own score reaches it. The threshold sinks until enough phrases at or above it survive; whatever was not admitted then
@@ -21,10 +21,10 @@ from skycadence.llm.shared import documents, join_hot, written
 from skycadence.llm.textkit import LOWER, scramble, slices, span_hashes, utf8, words
 
 TOP, LEAST, UNIT = 2000, 10, 1_000_000
-SLICE = 1 << 23
+SLICE = 1 << 22
 SLOTS_PER_ENTRY, MAX_SLOTS, BLOCK = 8, 1 << 26, 1 << 16
 # Separators of pieces, [.,;:!?\x0A-\x0D], and of words, [\x20\x09].
-PIECE = np.zeros(256, np.int64)
+PIECE = np.zeros(256, np.int32)
 PIECE[[ord(c) for c in ".,;:!?\n\x0b\x0c\r"]] = 1
 WORD = PIECE == 0
 WORD[[9, 32]] = False
@@ -37,43 +37,50 @@ _PLACE = _rng.integers(1, 1 << 63, 4, dtype=np.uint64) | np.uint64(1)
 
 
 class _Words:
-    """The words of a slice of rows: one number per occurrence, equal for equal words of one language."""
+    """The words of a slice of rows, by occurrence: place, language, whether the next one follows in its piece, and a key."""
 
     def __init__(self, buf: np.ndarray, offs: np.ndarray, lang: np.ndarray, seeds: np.ndarray):
         self.buf = LOWER[buf]
-        s, e, first = words(self.buf, offs, WORD)
-        of_row = np.repeat(lang, np.diff(first))
-        row = np.repeat(np.arange(len(lang)), np.diff(first))
-        cuts = np.concatenate([[0], np.cumsum(PIECE[self.buf])])
-        self.joined = (row[1:] == row[:-1]) & (cuts[s[1:]] == cuts[e[:-1]]) if len(s) else np.zeros(0, bool)
-        one = span_hashes(self.buf, s, e, _ONE) + seeds[of_row] if len(s) else np.zeros(0, np.uint64)
-        two = span_hashes(self.buf, s, e, _TWO) if len(s) else one
-        _, at, self.id = np.unique(one, return_index=True, return_inverse=True)
-        if (two != two[at][self.id]).any() or (of_row != of_row[at][self.id]).any():  # equal first hashes of different words
-            _, at, self.id = np.unique(np.stack([one, two, of_row.astype(np.uint64)]), axis=1, return_index=True, return_inverse=True)
-        self.id = self.id.reshape(-1).astype(np.int64)
-        self.start, self.length, self.lang, self.hash = s[at], (e - s)[at], of_row[at], scramble(one[at].copy())
-
-    def phrases(self, ids: np.ndarray) -> pa.Array:
-        """Texts of phrases given by word numbers, words parted by one space; ids has a row per phrase."""
-        n, k = ids.shape
-        size = self.length[ids] + 1
-        ends = np.cumsum(size.reshape(-1))
-        total = int(ends[-1]) if n else 0
-        at = np.arange(total) + np.repeat(self.start[ids].reshape(-1) - (ends - size.reshape(-1)), size.reshape(-1))
-        out = self.buf[np.minimum(at, len(self.buf) - 1)] if total else np.zeros(0, np.uint8)
+        self.s, self.e, first = words(self.buf, offs, WORD)
+        row = np.repeat(np.arange(len(lang), dtype=np.int32), np.diff(first))
+        self.lang = lang[row]
+        ends = np.cumsum(PIECE[self.buf], dtype=np.int32)
+        self.joined = (row[1:] == row[:-1]) & (ends[self.s[1:]] == ends[self.e[:-1] - 1])
+        none = np.zeros(0, np.uint64)
+        self.key = scramble(span_hashes(self.buf, self.s, self.e, _ONE) + seeds[self.lang]) if len(row) else none
+
+    def counted(self, grams: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """Texts, languages and counts of the distinct phrases among rows of word occurrences.
+
+        Words are numbered by their keys; a second hash makes sure that equal keys are equal words."""
+        used, inside = np.unique(grams.reshape(-1), return_inverse=True)
+        one = self.key[used]
+        _, at, number = np.unique(one, return_index=True, return_inverse=True)
+        two = span_hashes(self.buf, self.s[used], self.e[used], _TWO) if len(used) else one
+        if (two != two[at][number]).any():
+            _, at, number = np.unique(np.stack([one, two]), axis=1, return_index=True, return_inverse=True)
+        distinct, n = _distinct(number.reshape(-1).astype(np.int64)[inside.reshape(-1)].reshape(grams.shape), max(len(at), 1))
+        occurrence = used[at][distinct] if len(used) else distinct
+        return self._texts(occurrence), self.lang[occurrence[:, 0]], n
+
+    def _texts(self, occurrence: np.ndarray) -> pa.Array:
+        """Texts of phrases, a row of word occurrences each; words are parted by one space."""
+        n, k = occurrence.shape
+        if not n:
+            return pa.array([], pa.string())
+        start = self.s[occurrence].reshape(-1)
+        size = self.e[occurrence].reshape(-1) - start + 1
+        ends = np.cumsum(size)
+        out = self.buf[np.minimum(np.arange(ends[-1]) + np.repeat(start - (ends - size), size), len(self.buf) - 1)]
         out[ends - 1] = 32
-        keep = np.ones(total, bool)
+        keep = np.ones(len(out), bool)
         keep[ends[k - 1::k] - 1] = False  # no space after the last word
-        lengths = np.concatenate([[0], np.cumsum(size.sum(axis=1) - 1)]).astype(np.int64)
-        return pa.LargeStringArray.from_buffers(n, pa.py_buffer(lengths), pa.py_buffer(out[keep]))
+        offsets = np.concatenate([[0], np.cumsum(size.reshape(n, k).sum(axis=1) - 1)]).astype(np.int64)
+        return pa.LargeStringArray.from_buffers(n, pa.py_buffer(offsets), pa.py_buffer(out[keep])).cast(pa.string())
 
 
-def _counted(grams: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct rows of word numbers below `size`, and how often each occurs; the keys are exact."""
-    if grams.shape[1] == 1:
-        n = np.bincount(grams[:, 0], minlength=size)
-        return np.flatnonzero(n)[:, None], n[n > 0]
+def _distinct(grams: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows of word numbers below `size`, and how often each occurs; nothing is hashed."""
     head, heads = grams[:, 0], None
     for k in range(1, grams.shape[1]):
         if k > 1 and size ** 3 >= 1 << 62:
@@ -90,101 +97,103 @@ def _counted(grams: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return out, n
 
 
-def _pair_hash(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+def _pair(one: np.ndarray, two: np.ndarray) -> np.ndarray:
     return scramble(one * _PLACE[0] + two * _PLACE[1])
 
 
-def _seed(lang: str) -> np.uint64:
-    raw = np.frombuffer(lang.encode() + b"\x00", np.uint8)
-    return span_hashes(raw, np.zeros(1, np.int64), np.array([len(raw)]), _TWO)[0]
+def _seeds(langs: list[str]) -> np.ndarray:
+    raws = [np.frombuffer(x.encode() + b"\x00", np.uint8) for x in langs]
+    return np.array([span_hashes(raw, np.zeros(1, np.int64), np.array([len(raw)]), _TWO)[0] for raw in raws], np.uint64)
 
 
-def _slots(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    return (h >> np.uint64(64 - bits)).astype(np.int64), (scramble(h * _PLACE[2]) >> np.uint64(64 - bits)).astype(np.int64)
-
-
-def _flags(table: np.ndarray, h: np.ndarray) -> np.ndarray:
-    one, two = _slots(h, len(table).bit_length() - 1)
-    return table[one] & table[two]
+def _flags(table: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """What the filter says of keys: the two slots of a key are its first and its next bits."""
+    bits = np.uint64(len(table).bit_length() - 1)
+    rest = np.uint64(64) - bits
+    return table[(key >> rest).astype(np.int64)] & table[((key << bits) >> rest).astype(np.int64)]
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[_Words, list[str]]]:
     for batch in batches:
         langs = batch.column(0).dictionary_encode()
-        names, of_row = langs.dictionary.to_pylist(), langs.indices.to_numpy().astype(np.int64)
-        seeds = np.array([_seed(x) for x in names], np.uint64)
+        names, of_row = langs.dictionary.to_pylist(), langs.indices.to_numpy()
+        seeds = _seeds(names)
         buf, offs = utf8(batch.column(1))
         for lo, hi in slices(offs, SLICE):
             yield _Words(buf[offs[lo]:offs[hi]], offs[lo:hi + 1] - offs[lo], of_row[lo:hi], seeds), names
 
 
-def _counting(size: int, filters=None):
-    """Arrow function: (lang, phrase, n) for the phrases of `size` words of each slice that the filter admits."""
+def _frequent_keys(docs: DataFrame) -> DataFrame:
+    """(key, a): 64-bit keys of words and of pairs that occur LEAST times; different phrases may share one."""
+    def keys(batches):
+        for w, _ in _slices(batches):
+            for some in (w.key, _pair(w.key[:-1][w.joined], w.key[1:][w.joined])):
+                key, n = np.unique(some, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], ["key", "n"])
+    return docs.mapInArrow(keys, "key long, n long").groupBy("key").agg(F.sum("n").alias("a")).where(F.col("a") >= LEAST)
+
+
+def _phrases(docs: DataFrame, filters, triples: bool) -> DataFrame:
+    """(lang, phrase, a): exact counts of the words and pairs, or of the triples, that the filter admits.
+
+    With the words comes one row for each language whose phrase is NULL: the number of all its words."""
     def count(batches):
-        table = np.frombuffer(filters.value, np.uint8) if filters is not None else None
+        table = np.frombuffer(filters.value, np.uint8)
         for w, names in _slices(batches):
-            ids, joined, h = w.id, w.joined, w.hash
-            if size == 1:
-                grams = ids[:, None]
-            elif size == 2:
-                good = _flags(table, h) & FREQUENT != 0
-                at = np.flatnonzero(joined & good[ids[:-1]] & good[ids[1:]]) if len(ids) else ids
-                grams = np.stack([ids[at], ids[at + 1]], axis=1)
-            else:
-                at = np.flatnonzero(joined[:-1] & joined[1:])
-                one = _flags(table, _pair_hash(h[ids[at]], h[ids[at + 1]]))
-                two = _flags(table, _pair_hash(h[ids[at + 1]], h[ids[at + 2]]))
+            found = []
+            at = np.flatnonzero(w.joined)
+            pair = np.zeros(len(w.key), np.uint8)
+            pair[at] = _flags(table, _pair(w.key[at], w.key[at + 1]))
+            if triples:
+                at = at[:-1][np.diff(at) == 1]
+                one, two = pair[at], pair[at + 1]
                 at = at[(one & two & FREQUENT != 0) & (((one & PREFIX != 0) & (two & SUFFIX != 0)) | ((one | two) & RANKED != 0))]
-                grams = np.stack([ids[at], ids[at + 1], ids[at + 2]], axis=1)
-            distinct, n = _counted(grams, max(len(h), 1))
-            lang = w.lang[distinct[:, 0]]
-            texts = w.phrases(distinct).cast(pa.string()) if len(n) else pa.array([], pa.string())
-            if size == 1:  # one more row for each language of the slice: all its words, with no phrase
-                total = np.bincount(lang, weights=n, minlength=len(names)).astype(np.int64)
-                lang, n = np.concatenate([lang, np.arange(len(names))]), np.concatenate([n, total])
-                texts = pa.concat_arrays([texts, pa.nulls(len(names), pa.string())])
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()).take(pa.array(lang)), texts, pa.array(n.astype(np.int64))],
-                                             ["lang", "phrase", "n"])
-    return count
-
-
-def _grams(docs: DataFrame, size: int, filters=None) -> DataFrame:
-    found = docs.mapInArrow(_counting(size, filters), "lang string, phrase string, n long")
+                found.append(w.counted(at[:, None] + np.arange(3)))
+            else:
+                found.append((pa.nulls(len(names), pa.string()), np.arange(len(names)), np.bincount(w.lang, minlength=len(names))))
+                known = _flags(table, w.key) & FREQUENT != 0
+                found.append(w.counted(np.flatnonzero(known)[:, None]))
+                at = at[known[at] & known[at + 1] & (pair[at] & FREQUENT != 0)]
+                found.append(w.counted(at[:, None] + np.arange(2)))
+            for texts, lang, n in found:
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()).take(pa.array(lang)), texts, pa.array(n.astype(np.int64))],
+                                                 ["lang", "phrase", "n"])
+    found = docs.mapInArrow(count, "lang string, phrase string, n long")
     return found.groupBy("lang", "phrase").agg(F.sum("n").alias("a"))
 
 
-def _filter(phrases: DataFrame, flags: Column, entries: int):
-    """Broadcast filter over (lang, phrase): two slots a phrase, as many slots as the entries ask for.
-
-    Beyond MAX_SLOTS (64 MB) it gets fuller: it then admits phrases that are counted in vain, and loses none."""
-    spark = phrases.sparkSession
-    bits = min(max(BLOCK, SLOTS_PER_ENTRY * entries - 1), MAX_SLOTS - 1).bit_length()
-
-    def slots(batches):
+def _keyed(pairs: DataFrame, flags: Column) -> DataFrame:
+    """(key, flag) of pairs of words."""
+    def keys(batches):
         for batch in batches:
-            flag = batch.column(2).to_numpy()
             names = batch.column(0).dictionary_encode()
-            seeds = np.array([_seed(x) for x in names.dictionary.to_pylist()], np.uint64)[names.indices.to_numpy()]
+            seeds = _seeds(names.dictionary.to_pylist())[names.indices.to_numpy()]
             buf, offs = utf8(batch.column(1))
-            s, e, first = words(buf, offs, WORD)
-            h = scramble(span_hashes(buf, s, e, _ONE) + np.repeat(seeds, np.diff(first))) if len(s) else np.zeros(0, np.uint64)
-            if len(h) == 2 * len(flag):
-                h = _pair_hash(h[::2], h[1::2])
-            for slot in _slots(h, bits):
-                yield pa.RecordBatch.from_arrays([pa.array(slot // BLOCK), pa.array(slot % BLOCK), pa.array(flag.astype(np.int64))],
-                                                 ["block", "slot", "flag"])
+            s, e, _ = words(buf, offs, WORD)
+            word = scramble(span_hashes(buf, s, e, _ONE) + np.repeat(seeds, 2))
+            yield pa.RecordBatch.from_arrays([pa.array(_pair(word[::2], word[1::2]).view(np.int64)), batch.column(2)], ["key", "flag"])
+    return pairs.select("lang", "phrase", flags.cast("long").alias("flag")).mapInArrow(keys, "key long, flag long")
+
+
+def _filter(keyed: DataFrame, entries: int):
+    """Broadcast filter over keys: two slots a key, as many slots as the number of entries asks for.
+
+    Beyond MAX_SLOTS (64 MB) it gets fuller: it then admits phrases that are counted in vain, and loses none."""
+    bits = min(max(BLOCK, SLOTS_PER_ENTRY * entries - 1), MAX_SLOTS - 1).bit_length()
+    key = F.col("key")
+    two = F.array(F.shiftrightunsigned(key, 64 - bits), F.shiftrightunsigned(F.shiftleft(key, bits), 64 - bits))
+    slots = keyed.select(F.explode(two).alias("slot"), "flag").groupBy("slot").agg(F.bit_or("flag").alias("flag"))
 
     def packed(group: pa.Table) -> pa.Table:  # a block has at most BLOCK slots
         block = np.zeros(BLOCK, np.uint8)
-        block[group.column("slot").to_numpy()] = group.column("flag").to_numpy()
-        return pa.table({"block": group.column("block")[:1].cast(pa.int64()), "bits": pa.array([block.tobytes()], pa.binary())})
+        block[group.column("slot").to_numpy() % BLOCK] = group.column("flag").to_numpy()
+        return pa.table({"block": group.column("block")[:1], "bits": pa.array([block.tobytes()], pa.binary())})
 
-    marked = phrases.select("lang", "phrase", flags.cast("long").alias("flag")).mapInArrow(slots, "block long, slot long, flag long")
-    marked = marked.groupBy("block", "slot").agg(F.bit_or("flag").alias("flag"))
     table = np.zeros(1 << bits, np.uint8)
-    for row in marked.groupBy("block").applyInArrow(packed, "block long, bits binary").collect():
+    blocks = slots.withColumn("block", F.floor(F.col("slot") / BLOCK)).groupBy("block")
+    for row in blocks.applyInArrow(packed, "block long, bits binary").collect():
         table[row["block"] * BLOCK:(row["block"] + 1) * BLOCK] = np.frombuffer(row["bits"], np.uint8)
-    return spark.sparkContext.broadcast(table.tobytes())
+    return keyed.sparkSession.sparkContext.broadcast(table.tobytes())
 
 
 def _score(a: str, left: str, right: str) -> Column:
@@ -214,7 +223,7 @@ def _triples(docs: DataFrame, pairs: DataFrame, entries: int) -> DataFrame:
     flags = (F.lit(FREQUENT) + F.when(F.floor(F.col("a") * F.lit(1.0) * UNIT / F.col("l")) + 1 >= F.col("least"), PREFIX).otherwise(0)
              + F.when(F.floor(F.col("a") * F.lit(1.0) * UNIT / F.col("r")) + 1 >= F.col("least"), SUFFIX).otherwise(0)
              + F.when(F.col("score") >= F.col("least"), RANKED).otherwise(0))
-    counted = _grams(docs, 3, _filter(pairs, flags, entries)).where(F.col("a") >= LEAST)
+    counted = _phrases(docs, _filter(_keyed(pairs, flags), entries), True).where(F.col("a") >= LEAST)
     counted = counted.select("*", F.concat_ws(" ", _word(1), _word(2)).alias("head"), F.concat_ws(" ", _word(2), _word(3)).alias("tail"))
     parts = pairs.select("lang", "phrase", "a", "l", "r")
     heads = parts.select("lang", F.col("phrase").alias("head"), F.col("a").alias("f12"), F.col("l").alias("f1"))
@@ -247,16 +256,18 @@ def collocations(docs: DataFrame, top: int = TOP) -> DataFrame:
     share of all occurrences is one row per task before it is shuffled.
     """
     docs = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
-    single = written(_grams(docs, 1).where(F.col("phrase").isNull() | (F.col("a") >= LEAST)), "words")
-    langs = written(single.where(F.col("phrase").isNull()).select("lang", F.col("a").alias("n")), "langs")
-    single = single.where(F.col("phrase").isNotNull())
-    known = _filter(single, F.lit(FREQUENT), single.count())
+    frequent = written(_frequent_keys(docs), "keys")
+    known = _filter(frequent.select("key", F.lit(FREQUENT).alias("flag")), frequent.count())
+    counted = written(_phrases(docs, known, False).where(F.col("phrase").isNull() | (F.col("a") >= LEAST)), "phrases")
+    known.destroy()
+    langs = counted.where(F.col("phrase").isNull()).select("lang", F.col("a").alias("n"))
+    is_pair = F.instr("phrase", " ") > 0
+    single = counted.where(~is_pair)
     left = single.select("lang", F.col("phrase").alias("one"), F.col("a").alias("l"))
     right = single.select("lang", F.col("phrase").alias("two"), F.col("a").alias("r"))
-    pairs = _grams(docs, 2, known).where(F.col("a") >= LEAST).select("*", _word(1).alias("one"), _word(2).alias("two"))
+    pairs = counted.where(is_pair).select("*", _word(1).alias("one"), _word(2).alias("two"))
     pairs = join_hot(join_hot(pairs, left, ["lang", "one"]), right, ["lang", "two"])
     pairs = written(pairs.select("lang", "phrase", "a", "l", "r", _score("a", "l", "r").alias("score")), "pairs")
-    known.destroy()
 
     open_langs, settled, wanted = langs.select("lang"), None, 2 * top
     while True:
