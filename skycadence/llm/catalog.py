@@ -11,6 +11,7 @@ from skycadence.llm import (
     line_templates,
     mixing,
     quality,
+    secret_links,
     setsketch,
     suffix_family,
     toxicity,
@@ -28,6 +29,7 @@ QUERIES = {
     "op8_suffix_family_dedup": suffix_family.op8_suffix_family_dedup,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_dom_marginals": html_tree.op10_dom_marginals,
+    "op11_credential_links": secret_links.op11_credential_links,
     "op12_phrase_collocations": collocations.op12_phrase_collocations,
     "op13_embedding_whitening": whitening.op13_embedding_whitening,
 }
@@ -36,5 +38,6 @@ SQL = {
     "op3_poisson_mixing": mixing.SQL,
     "op8_suffix_family_dedup": suffix_family.SQL,
     "op9_exact_dedup": exact_dedup.SQL,
+    "op11_credential_links": secret_links.SQL,
     "op12_phrase_collocations": collocations.SQL,
 }
