@@ -271,15 +271,15 @@ def collocations(docs: DataFrame, top: int = TOP) -> DataFrame:
 
     open_langs, settled, wanted = langs.select("lang"), None, 2 * top
     while True:
-        least = written(_thresholds(pairs.join(open_langs, "lang", "left_semi"), open_langs, wanted), "least")
-        here = pairs.join(least, "lang")
-        triples = written(_triples(docs.join(open_langs, "lang", "left_semi"), here, here.count()), "triples")
+        least = written(_thresholds(join_hot(pairs, open_langs, ["lang"]), open_langs, wanted), "least")
+        here = written(join_hot(pairs, least, ["lang"]), "frontier")  # settled languages are not in the filter and count nothing
+        triples = written(_triples(docs, here, here.count()), "triples")
         over = triples.select("lang", F.explode(F.array("head", "tail")).alias("phrase"), F.col("a").alias("longer"))
         over = over.groupBy("lang", "phrase").agg(F.max("longer").alias("longer"))
         ranked = here.where("score >= least").drop("least")
         alone = join_hot(ranked, over, ["lang", "phrase"], "left").where("longer is null or 100 * longer < 50 * a")
         alive = alone.select("lang", "phrase", "a", "l", "r", "score").unionByName(
-            triples.join(least, "lang").where("score >= least").select("lang", "phrase", "a", "l", "r", "score"))
+            join_hot(triples, least, ["lang"]).where("score >= least").select("lang", "phrase", "a", "l", "r", "score"))
         best = written(_first(alive, top), "best")
         settled = best if settled is None else settled.join(open_langs, "lang", "left_anti").unionByName(best)
         reached = best.groupBy("lang").agg(F.max("rank").alias("reached"))
