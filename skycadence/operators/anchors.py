@@ -128,11 +128,11 @@ def split_by_years(ts: str, train: Sequence[int], valid: Sequence[int], test: Se
 
 def split_by_fraction(df: DataFrame, train: float, valid: float, *, order: Sequence[str] = ("ts",),
                       width_s: int = 30 * DAY, keys: Sequence[str] = KEYS, ts: str = "ts") -> DataFrame:
-    """Chronological fractions by row count, cut positions truncated to integers."""
+    """Chronological fractions by row count, cut positions truncated to integers; a row without key or time has no part."""
     d = ordinal(df, width_s=width_s, order=order, keys=keys, ts=ts, name="_i", total="_n")
     first = F.floor(F.col("_n") * F.lit(train))
     second = F.floor(F.col("_n") * F.lit(train + valid))
-    role = F.when(F.col("_i") <= first, "train").when(F.col("_i") <= second, "valid").otherwise("test")
+    role = F.when(F.col("_i") <= first, "train").when(F.col("_i") <= second, "valid").when(F.col("_i") > second, "test")
     return d.withColumn("split", role).drop("_i", "_n")
 
 

@@ -21,6 +21,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
 from skycadence.functions.timeline import US, floor_div, from_micros, micros
 from skycadence.session import parallelism
@@ -31,33 +32,48 @@ SLOT = "_us"
 MAX_SLICES = 1 << 20  # keeps slice numbers below the next chunk's
 KEYS = ("site",)
 ROWS_PER_CHUNK = 1_000_000  # a time chunk that holds more rows is cut
+UNPLACED, UNPLACED_PARTS = -(1 << 62), 1024  # chunk numbers of rows without key or time
+SPARSE_SLOTS, SLOTS_PER_ROW = 1_000_000, 10_000  # a longer, emptier series has a stray time in it
+
+
+def _spread(df: DataFrame, parts: int) -> Column:
+    """A number below ``parts`` from all columns of a row that can be hashed."""
+    kinds = [f.name for f in df.schema.fields if not isinstance(f.dataType, (MapType, VariantType))]
+    return F.pmod(F.xxhash64(*kinds), F.lit(parts))
+
+
+def placed() -> Column:
+    """Whether a row has a key and a time, and so a place in a series."""
+    return F.col(CHUNK) > F.lit(UNPLACED // 2)
 
 
 def with_chunk(df: DataFrame, width_s: int, ts: str = "ts", keys: Sequence[str] = KEYS,
                rows_per_chunk: int | None = None) -> DataFrame:
-    """Rows with their chunk number. Rows without a key or time have no place in a
-    series and are left out; saying so here also makes the summary branch and the
-    row branch of the operators below the same plan, so they share their input.
+    """Rows with their chunk number. Rows without a key or time have no place in a series; they are kept,
+    spread over chunks of their own (see ``placed``), and the operators below give them NULL.
 
     With ``rows_per_chunk`` (the default of the operators below) a chunk that holds more
-    rows is cut, in time order, into slices of about that many, so a burst of readings is not one task's work. The
-    cuts follow row counts per fine slot (1/86400 of the width), which are combined
-    before the shuffle; rows within one fine slot stay together.
+    rows is cut, in time order, into slices of about that many, so a burst of readings is not one task's work. Rows
+    are first counted per chunk, which combines before the shuffle. Only the chunks above the limit are counted again
+    by fine slot (1/86400 of the width; rows within one stay together), and their cuts are broadcast: there is at most
+    one cut per ``rows_per_chunk`` rows of the input. Without such a chunk the second count reads nothing.
     """
     us, width = micros(ts), width_s * US
-    d = df.withColumn(CHUNK, floor_div(us, width))
-    d = d.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys], F.col(CHUNK).isNotNull()))
+    there = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys], us.isNotNull())
+    d = df.withColumn(CHUNK, F.when(there, floor_div(us, width)))
+    apart = F.lit(UNPLACED) + _spread(df, UNPLACED_PARTS)
     if rows_per_chunk is None:
-        return d
-    d = d.withColumn("_fine", floor_div(us, max(width // 86400, 1)))
-    per_chunk = Window.partitionBy(*keys, CHUNK)  # at most 86400 counts each
-    load = d.groupBy(*keys, CHUNK, "_fine").agg(F.count(F.lit(1)).alias("_m"))
-    before = F.sum("_m").over(per_chunk.orderBy("_fine").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_m")
-    cuts = (load.select(*keys, CHUNK, "_fine", F.sum("_m").over(per_chunk).alias("_all"), before.alias("_before"))
-            .where(F.col("_all") > rows_per_chunk)
-            .select(*keys, CHUNK, "_fine", F.call_function("div", F.col("_before"), F.lit(rows_per_chunk)).alias("_slice")))
-    d = d.join(cuts, [*keys, CHUNK, "_fine"], "left")
-    return d.select(*df.columns, (F.col(CHUNK) * F.lit(MAX_SLICES) + F.coalesce("_slice", F.lit(0))).alias(CHUNK))
+        return d.withColumn(CHUNK, F.coalesce(CHUNK, apart))
+    known = d.select(*keys, CHUNK, floor_div(us, max(width // 86400, 1)).alias("_fine")).where(F.col(CHUNK).isNotNull())
+    full = known.groupBy(*keys, CHUNK).agg(F.count(F.lit(1)).alias("_m")).where(F.col("_m") > rows_per_chunk).drop("_m")
+    load = known.join(F.broadcast(full), [*keys, CHUNK]).groupBy(*keys, CHUNK, "_fine").agg(F.count(F.lit(1)).alias("_m"))
+    before = Window.partitionBy(*keys, CHUNK).orderBy("_fine").rowsBetween(Window.unboundedPreceding, 0)  # at most 86400 counts each
+    part = F.call_function("div", F.sum("_m").over(before) - F.col("_m"), F.lit(rows_per_chunk))
+    starts = load.select(*keys, CHUNK, "_fine", part.alias("_slice")).groupBy(*keys, CHUNK, "_slice").agg(F.min("_fine").alias("_from"))
+    cuts = starts.where(F.col("_slice") > 0).groupBy(*keys, CHUNK).agg(F.collect_list("_from").alias("_from"))
+    d = d.withColumn("_fine", floor_div(us, max(width // 86400, 1))).join(F.broadcast(cuts), [*keys, CHUNK], "left")
+    slice_no = F.coalesce(F.size(F.filter("_from", lambda f: f <= F.col("_fine"))), F.lit(0))
+    return d.select(*df.columns, F.coalesce(F.col(CHUNK) * F.lit(MAX_SLICES) + F.when(F.col("_from").isNotNull(), slice_no).otherwise(F.lit(0)), apart).alias(CHUNK))
 
 
 def halo(df: DataFrame, width_s: int, back_s: int = 0, ahead_s: int = 0, ts: str = "ts") -> DataFrame:
@@ -82,11 +98,19 @@ def halo_windows(df: DataFrame, fn: Callable, *, width_s: int, back_s: int = 0,
 
 
 def series_bounds(df: DataFrame, step_s: int, keys: Sequence[str] = KEYS, ts: str = "ts") -> DataFrame:
-    """First and last grid slot of each series, as microseconds."""
+    """First and last grid slot of each series, as microseconds.
+
+    A series of more than a million slots with over 10,000 slots per reading is refused: one reading with a stray
+    time (1970, 9999) would make a grid of almost nothing but empty slots."""
     step = F.lit(step_s * US).cast("long")
-    agg = df.groupBy(*keys).agg(F.min(ts).alias("_lo"), F.max(ts).alias("_hi"))
+    agg = df.groupBy(*keys).agg(F.min(ts).alias("_lo"), F.max(ts).alias("_hi"), F.count(ts).alias("_rows"))
     lo, hi = micros("_lo"), micros("_hi")
-    return agg.select(*keys, (lo - F.pmod(lo, step)).alias("_lo"), (hi - F.pmod(hi, step)).alias("_hi"))
+    slots = F.call_function("div", hi - lo, step)
+    stray = (slots > SPARSE_SLOTS) & (slots > F.col("_rows") * F.lit(SLOTS_PER_ROW))
+    text = F.concat(F.lit("stray time in series "), F.concat_ws("/", *[F.col(k).cast("string") for k in keys]), F.lit(": from "),
+                    F.col("_lo").cast("string"), F.lit(" to "), F.col("_hi").cast("string"))
+    low = F.when(stray, F.raise_error(text).cast("long")).otherwise(lo - F.pmod(lo, step))
+    return agg.select(*keys, low.alias("_lo"), (hi - F.pmod(hi, step)).alias("_hi"))
 
 
 def grid_slots(bounds: DataFrame, step_s: int, chunk_steps: int, back: int = 0, ahead: int = 0,
@@ -160,7 +184,7 @@ def carry_last(df: DataFrame, values: dict[str, Column], *, width_s: int, order:
     local = d.select("*", *[F.last(f"_v_{n}", ignorenulls=True).over(w).alias(f"_l_{n}") for n in names])
     joined = local.join(carry, [*keys, CHUNK], "left")
     keep = [c for c in df.columns if c not in names]
-    return joined.select(*keep, *[F.coalesce(f"_l_{n}", f"_c_{n}").alias(n) for n in names])
+    return joined.select(*keep, *[F.when(placed(), F.coalesce(f"_l_{n}", f"_c_{n}")).alias(n) for n in names])
 
 
 def carry_next(df: DataFrame, values: dict[str, Column], *, width_s: int, order: Sequence[str] = ("ts",),
@@ -181,7 +205,7 @@ def carry_next(df: DataFrame, values: dict[str, Column], *, width_s: int, order:
     local = d.select("*", *[F.last(f"_v_{n}", ignorenulls=True).over(w).alias(f"_l_{n}") for n in names])
     joined = local.join(carry, [*keys, CHUNK], "left")
     keep = [c for c in df.columns if c not in names]
-    return joined.select(*keep, *[F.coalesce(f"_l_{n}", f"_c_{n}").alias(n) for n in names])
+    return joined.select(*keep, *[F.when(placed(), F.coalesce(f"_l_{n}", f"_c_{n}")).alias(n) for n in names])
 
 
 def running_total(df: DataFrame, sums: dict[str, Column], *, width_s: int, order: Sequence[str] = ("ts",),
@@ -198,7 +222,7 @@ def running_total(df: DataFrame, sums: dict[str, Column], *, width_s: int, order
     local = d.select("*", *[F.sum(f"_v_{n}").over(w).alias(f"_l_{n}") for n in names])
     joined = local.join(offsets, [*keys, CHUNK], "left")
     return joined.select(*df.columns, *[
-        (F.coalesce(f"_l_{n}", F.lit(0)) + F.coalesce(f"_c_{n}", F.lit(0))).alias(n) for n in names])
+        F.when(placed(), F.coalesce(f"_l_{n}", F.lit(0)) + F.coalesce(f"_c_{n}", F.lit(0))).alias(n) for n in names])
 
 
 def ordinal(df: DataFrame, *, width_s: int, order: Sequence[str] = ("ts",), keys: Sequence[str] = KEYS,
@@ -214,8 +238,8 @@ def ordinal(df: DataFrame, *, width_s: int, order: Sequence[str] = ("ts",), keys
     w = Window.partitionBy(*keys, CHUNK).orderBy(*order)
     local = d.withColumn("_local", F.row_number().over(w))
     out = local.join(offsets, [*keys, CHUNK], "left").select(
-        *df.columns, (F.col("_off") + F.col("_local")).alias(name),
-        *([F.col("_tot").alias(total)] if total else []))
+        *df.columns, F.when(placed(), F.col("_off") + F.col("_local")).alias(name),
+        *([F.when(placed(), F.col("_tot")).alias(total)] if total else []))
     return out
 
 
@@ -224,13 +248,15 @@ def row_windows(df: DataFrame, fn: Callable, *, back: int = 0, ahead: int = 0, r
                 ts: str = "ts") -> DataFrame:
     """Row-offset windows on an irregular series, in equal-sized chunks.
 
-    ``fn(df, window)`` may reach ``back`` rows behind and ``ahead`` rows in front.
+    ``fn(df, window)`` may reach ``back`` rows behind and ``ahead`` rows in front. A row without
+    key or time is kept and sees no other row (but its copies).
     """
     d = ordinal(df, width_s=width_s, order=order, keys=keys, ts=ts, name="_idx")
     n = rows_per_chunk
     first = floor_div(F.col("_idx") - F.lit(ahead), n)
     last = floor_div(F.col("_idx") + F.lit(back), n)
-    d = d.withColumn(CHUNK, F.explode(F.sequence(first, last)))
+    d = d.withColumn(CHUNK, F.explode_outer(F.sequence(first, last)))
+    d = d.withColumn(CHUNK, F.coalesce(CHUNK, F.lit(UNPLACED) + _spread(df, 1 << 60)))
     w = Window.partitionBy(*keys, CHUNK).orderBy("_idx")
-    out = fn(d, w).where(floor_div(F.col("_idx"), n) == F.col(CHUNK))
+    out = fn(d, w).where(F.coalesce(floor_div(F.col("_idx"), n) == F.col(CHUNK), F.lit(True)))
     return out.drop(CHUNK, "_idx")

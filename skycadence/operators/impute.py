@@ -33,12 +33,14 @@ def fill_within(df: DataFrame, col: str, group: Sequence[str], *, order: Sequenc
                 width_s: int = 7 * DAY, fallback: str | float | None = None, out: str | None = None) -> DataFrame:
     """Nearest earlier value inside the group, else the nearest later one, else a fallback.
 
+    A row without group or time keeps its own value, or takes the fallback.
+
     ``fallback`` is a constant, or ``"median"`` for the exact median of the series.
     """
     name = out or f"{col}_filled"
     d = carry_last(df, {"_f": F.col(col)}, width_s=width_s, order=order, keys=group, ts=ts)
     d = carry_next(d, {"_b": F.col(col)}, width_s=width_s, order=order, keys=group, ts=ts)
-    value = F.coalesce("_f", "_b")
+    value = F.coalesce("_f", "_b", col)
     if fallback == "median":
         d = d.join(exact_quantiles(df, col, group[:1], {"_m": 0.5}), list(group[:1]), "left")
         value = F.coalesce(value, "_m")

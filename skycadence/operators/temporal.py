@@ -8,6 +8,7 @@ serve before the shuffle, or both sides are merged into one ordered stream per
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,9 +27,11 @@ def asof_join(left: DataFrame, right: DataFrame, cols: Sequence[str], *, toleran
     value of each chunk is carried over. With a tolerance and ``rows_per_chunk=None``
     the right rows are copied one chunk forward instead. ``strict`` makes the
     tolerance bound exclusive. Right rows sharing a key and time are reduced to
-    one (greatest ``tiebreak``) first.
+    one (greatest ``tiebreak``) first. A left row without key or time is kept and finds
+    nothing; such a right row is never found.
     """
     at = F.struct(*(tiebreak or cols))
+    right = right.where(_known(keys, ts))
     r = right.groupBy(*keys, ts).agg(F.max_by(F.struct(*[F.col(c) for c in cols]), at).alias("_r"))
     r = r.select(*keys, ts, F.struct(F.col(ts).alias("_rts"), "_r").alias("_hit"), F.lit(0).alias("_side"))
     keep = [c for c in left.columns if c not in (*keys, ts)]
@@ -57,6 +60,11 @@ def asof_join(left: DataFrame, right: DataFrame, cols: Sequence[str], *, toleran
     return out
 
 
+def _known(keys: Sequence[str], ts: str) -> Column:
+    """The row has a key and a time."""
+    return reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in (*keys, ts)])
+
+
 def latest_per_slot(df: DataFrame, step_s: int, cols: Sequence[str], *, tiebreak: Sequence[str] = (),
                     keys: Sequence[str] = KEYS, ts: str = "ts", name: str = "report") -> DataFrame:
     """Reports reduced to the newest one per grid slot (first slot at or after it).
@@ -93,6 +101,7 @@ def nearest_join(left: DataFrame, right: DataFrame, cols: Sequence[str], *, tole
                  ts: str = "ts", distance: str = "gap_s") -> DataFrame:
     """Closest right row within the tolerance of each (irregular) left row."""
     at = F.struct(*(tiebreak or cols))
+    right = right.where(_known(keys, ts))
     r = right.groupBy(*keys, ts).agg(F.min_by(F.struct(*[F.col(c) for c in cols]), at).alias("_r"))
     r = r.select(*keys, ts, F.struct(F.col(ts).alias("_rts"), "_r").alias("_hit"), F.lit(0).alias("_side"))
     keep = [c for c in left.columns if c not in (*keys, ts)]

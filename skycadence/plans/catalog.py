@@ -4,6 +4,7 @@ from skycadence.plans import (  # noqa: F401
     catalog_anchors,
     catalog_evaluation,
     catalog_features,
+    catalog_fits,
     catalog_joins,
     catalog_models,
     catalog_quality,

@@ -118,7 +118,7 @@ _STRATA = {
     "evl_cloud_regime": ("EVL-1", lambda: ev.cloud_regime("cot", "cp"), "CASE WHEN cot < 1 THEN 'clear' WHEN cot < 8 THEN 'partly' WHEN cot >= 8 THEN 'overcast' WHEN cp = 0 THEN 'clear' ELSE 'partly' END"),
     "evl_cot_class": ("EVL-2", lambda: ev.cot_class("cot"), "CASE WHEN cot IS NULL THEN 'no_data' WHEN cot <= 5 THEN 'thin' WHEN cot <= 15 THEN 'medium' ELSE 'thick' END"),
     "evl_sky_class": ("EVL-3", lambda: ev.sky_class("oktas"), "CASE WHEN oktas <= 2 THEN 'clear' WHEN oktas <= 5 THEN 'scattered' WHEN oktas < 8 THEN 'broken' WHEN oktas >= 8 THEN 'overcast' ELSE 'missing' END"),
-    "evl_hour_season": ("EVL-4 EVL-5", lambda: F.concat_ws("/", F.hour("ts").cast("string"), so.season_two(F.month("ts"))), "concat(CAST(hour(ts) AS VARCHAR), '/', CASE WHEN month(ts) BETWEEN 4 AND 9 THEN 'dry' ELSE 'wet' END)"),
+    "evl_hour_season": ("EVL-4", lambda: F.concat_ws("/", F.hour("ts").cast("string"), so.season_two(F.month("ts"))), "concat(CAST(hour(ts) AS VARCHAR), '/', CASE WHEN month(ts) BETWEEN 4 AND 9 THEN 'dry' ELSE 'wet' END)"),
     "evl_value_bin": ("EVL-6", lambda: ev.value_bin("y"), "CASE " + " ".join(f"WHEN y > {a} AND y <= {b} THEN '{a}-{b}'" for a, b in zip((0, 100, 300, 600, 900, 1200), (100, 300, 600, 900, 1200, 1500))) + " END"),
 }
 
@@ -172,13 +172,13 @@ def _(t: Tables):
     return round_all(ev.ablation(_scores(t), "model", "persist", "rolling", "r2", ["site"]), ["delta"])
 
 
-@query("cmp_incremental_gain", "CMP-2", f"""WITH {PRED}, {_HZ} SELECT site, horizon, rmse, {rd('rmse - lag(rmse) OVER (PARTITION BY site ORDER BY horizon)', 'gain')}, {rd('rmse - first_value(rmse) OVER (PARTITION BY site ORDER BY horizon)', 'gain_total')} FROM hs WHERE model = 'smart'""")
+@query("cmp_incremental_gain", "MET-4", f"""WITH {PRED}, {_HZ} SELECT site, horizon, rmse, {rd('rmse - lag(rmse) OVER (PARTITION BY site ORDER BY horizon)', 'gain')}, {rd('rmse - first_value(rmse) OVER (PARTITION BY site ORDER BY horizon)', 'gain_total')} FROM hs WHERE model = 'smart'""")
 def _(t: Tables):
     m = round_all(ev.metrics(_horizons(t), "y", ["smart"], by=["site", "horizon"]), _CORE_COLS).select("site", "horizon", "rmse")
     return round_all(ev.incremental_gain(m, "horizon", "rmse", ["site"]), ["gain", "gain_total"])
 
 
-@query("cmp_seed_summary", "CMP-3 AGG-15 AGG-16", f"""WITH {PRED}, {_HZ}, g AS (SELECT site, model, count(*) AS n_seeds, avg(rmse) AS a, stddev_samp(rmse) AS s, stddev_pop(rmse) AS p FROM hs GROUP BY 1, 2)
+@query("cmp_seed_summary", "AGG-15 AGG-16", f"""WITH {PRED}, {_HZ}, g AS (SELECT site, model, count(*) AS n_seeds, avg(rmse) AS a, stddev_samp(rmse) AS s, stddev_pop(rmse) AS p FROM hs GROUP BY 1, 2)
 SELECT site, model, n_seeds, {rd('a', 'avg', 5)}, {rd('s', 'std', 5)}, {rd('p', 'std_pop', 5)}, CAST(row_number() OVER (PARTITION BY site ORDER BY a DESC, model) AS INTEGER) AS rank FROM g""")
 def _(t: Tables):
     # Horizons play the part of repeated runs.

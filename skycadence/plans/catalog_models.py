@@ -14,18 +14,19 @@ from skycadence.plans.catalog_features import recipe
 from skycadence.plans.registry import Tables, query
 from skycadence.plans.stations import rc, rd, round_all, series
 from skycadence.session import scratch_path
+from skycadence.sources.sinks import materialize
 from skycadence.spec import CLOUD_FEATURES, FEATURES, FUTURE_FEATURES, LEVEL_FEATURES, RATIO_FEATURES, TIME_FEATURES
 
 C = F.col
 LEAN = ["ghi_now", "ghi_lag_10m", "ghi_roll_60m_mean", "ghi_roll_180m_mean", "kt_now", "clp_cot", "hour_sin", "hour_cos", "ghi_cs_t60", "smart_persist"]
-FAST = {"rounds": 8, "depth": 3}
+FAST = {"rounds": 20, "depth": 3}
 
 
 def training_frame(t: Tables, extra=()):
     """Recipe rows with a chronological role, written once for the fits that follow."""
     r = recipe(t, extra=extra).where(C("ghi_point_t60").isNotNull())
     role = F.when(tl.before("ts", "2024-01-20"), "train").when(tl.before("ts", "2024-01-25"), "valid").otherwise("test")
-    return md.materialize(r.withColumn("role", role).withColumn("weight", F.when(C("clp_cot").isNull(), 0.7).otherwise(1.0)), "recipe")
+    return materialize(r.withColumn("role", role).withColumn("weight", F.when(C("clp_cot").isNull(), 0.7).otherwise(1.0)), "recipe")
 
 
 def _scores(df, preds, label="ghi_point_t60", by=()):
@@ -33,48 +34,6 @@ def _scores(df, preds, label="ghi_point_t60", by=()):
     return m.select(*by, "model", "n", "r2", "mae", "rmse", "skill_rmse")
 
 
-@query("ml_benchmark", "ML-1 ML-2 ML-20 TGT-3 MET-2 SPL-1")
-def _(t: Tables):
-    d = training_frame(t)
-    test = d.where(C("role") == "test")
-    residual = md.fit_boosted(d, FEATURES, "delta_point", role="role", **FAST)
-    direct = md.fit_boosted(d, FEATURES, "ghi_point_t60", role="role", **FAST)
-    p = md.predict(residual, test, FEATURES, "residual", now="ghi_now")
-    p = md.predict(direct, p, FEATURES, "direct")
-    return _scores(p, ["smart_persist", "residual", "direct"])
-
-
-@query("ml_walk_forward", "ML-1 SPL-4 MET-2")
-def _(t: Tables):
-    d = training_frame(t).drop("role")
-    folds = [("2024-01-16", "2024-01-23"), ("2024-01-23", None)]
-    out = None
-    for i, (start, end) in enumerate(folds, 1):
-        at = tl.before("ts", start)
-        stop = tl.before("ts", f"2024-01-{int(start[-2:]) - 3:02d}")
-        f = d.withColumn("role", F.when(stop, "train").when(at, "valid").when(tl.before("ts", end) if end else F.lit(True), "test"))
-        m = md.fit_boosted(f, LEAN, "delta_point", role="role", **FAST)
-        s = _scores(md.predict(m, f.where(C("role") == "test"), LEAN, "residual", now="ghi_now"), ["residual"])
-        s = s.withColumn("fold", F.lit(i))
-        out = s if out is None else out.unionByName(s)
-    return out
-
-
-@query("ml_per_horizon", "ML-3 MET-4")
-def _(t: Tables):
-    s = md.materialize(series(t, lambda g, w: g.select("*", *an.target_columns("ghi", w), *[lag("ghi", k, w).alias(f"l{k}") for k in (1, 2, 3)]), back=3, ahead=6)
-                       .where(C("ghi").isNotNull() & C("l3").isNotNull()))
-    feats = ["ghi", "l1", "l2", "l3"]
-    labels = {h: f"y_{h}" for h in (1, 3, 6)}
-    train, test = s.where(tl.before("ts", "2024-01-22")), s.where(tl.on_or_after("ts", "2024-01-22"))
-    models = md.fit_horizons(train, feats, labels, **FAST)
-    p = test
-    for h, m in models.items():
-        p = md.predict(m, p, feats, f"p_{h}")
-    long = p.select("ghi", F.explode(F.array(*[F.struct(F.lit(h * 10).alias("horizon"), C(f"y_{h}").alias("y"), C(f"p_{h}").alias("boosted")) for h in labels])).alias("_h"))
-    return ev.metrics(long.select("ghi", "_h.*"), "y", ["boosted"], base="ghi", by=["horizon"]).select("horizon", "model", "n", "r2", "rmse", "skill_rmse")
-
-
 @query("ml_forest_and_stacking", "ML-4 ML-5 ML-7")
 def _(t: Tables):
     d = training_frame(t)
@@ -91,63 +50,22 @@ def _(t: Tables):
 def _(t: Tables):
     cols = [f"w{k}" for k in range(18)]
     s = series(t, lambda g, w: g.select("*", C("ghi").alias("w0"), *[lag("ghi", k, w).alias(f"w{k}") for k in range(1, 18)], *an.target_columns("ghi", w)), back=17, ahead=6)
-    s = md.materialize(s.where(C("w17").isNotNull() & C("ghi").isNotNull() & C("y_6").isNotNull()))
+    s = materialize(s.where(C("w17").isNotNull() & C("ghi").isNotNull() & C("y_6").isNotNull()))
     m = md.fit_ridge(s.where(tl.before("ts", "2024-01-22")), cols, "y_6")
     p = md.predict(m, s.where(tl.on_or_after("ts", "2024-01-22")), cols, "ridge")
     return ev.metrics(p, "y_6", ["ridge", "ghi"], base="ghi", by=["site"]).select("site", "model", "n", "r2", "rmse", "skill_rmse")
 
 
-@query("ml_categorical_feature", "ML-8 PRJ-10")
-def _(t: Tables):
-    d = training_frame(t).withColumn("sky", ev.cot_class("clp_cot"))
-    feats = [*LEAN, "sky"]
-    m = md.fit_boosted(d, feats, "delta_point", role="role", categorical=["sky"], **FAST)
-    return _scores(md.predict(m, d.where(C("role") == "test"), feats, "with_sky", now="ghi_now"), ["with_sky"])
-
-
-@query("ml_regimes", "ML-9 CMP-6 EVL-5")
-def _(t: Tables):
-    d = training_frame(t).withColumn("regime", ev.cloud_regime("clp_cot"))
-    models = md.fit_regimes(d.where(C("role") != "test"), LEAN, "delta_point", "regime", ["clear", "partly", "overcast"], 40, **FAST)
-    return _scores(md.predict_regimes(models, d.where(C("role") == "test"), LEAN, "regime", "by_regime", now="ghi_now"), ["by_regime"])
-
-
 @query("ml_importance", "ML-11 SRT-2")
 def _(t: Tables):
     d = training_frame(t)
     return md.importances(md.fit_boosted(d, FEATURES, "delta_point", role="role", **FAST), FEATURES, t.spark)
 
 
-@query("ml_topk_sweep", "ML-12 SRT-4")
-def _(t: Tables):
-    d = training_frame(t)
-    return md.topk_sweep(d.where(C("role") == "train"), d.where(C("role") == "valid"), LEAN, "delta_point", [3, 6], **FAST)
-
-
-@query("ml_backward_elimination", "ML-13")
-def _(t: Tables):
-    d = training_frame(t)
-    return md.backward_elimination(d.where(C("role") == "train"), d.where(C("role") == "valid"), LEAN[:5], "delta_point", epsilon=0.05, min_features=3,
-                                   state_path=scratch_path(t.spark, "elimination"), rounds=4, depth=3)
-
-
-@query("ml_greedy_search", "ML-14")
-def _(t: Tables):
-    d = training_frame(t)
-    return md.greedy_search(d.where(C("role") == "train"), d.where(C("role") == "valid"), LEAN[:5], "delta_point")
-
-
-@query("ml_random_search", "ML-15")
-def _(t: Tables):
-    d = training_frame(t)
-    return md.random_search(d.where(C("role") == "train"), d.where(C("role") == "valid"), LEAN, "delta_point",
-                            {"depth": [2, 3, 4], "rate": [0.05, 0.1, 0.2]}, trials=4, rounds=4)
-
-
 @query("ml_pca_curve", "ML-16 SRT-3")
 def _(t: Tables):
     d = training_frame(t).where(C("role") == "train")
-    blocks = {"level": LEVEL_FEATURES, "ratio": RATIO_FEATURES, "cloud": CLOUD_FEATURES}
+    blocks = {"level": LEVEL_FEATURES, "ratio": RATIO_FEATURES, "cloud": CLOUD_FEATURES, "time": TIME_FEATURES, "future": FUTURE_FEATURES}
     out = None
     for name, feats in blocks.items():
         part = md.components_needed(md.pca_curve(d, feats)).withColumn("block", F.lit(name))
@@ -158,9 +76,9 @@ def _(t: Tables):
 @query("ml_pca_walk_forward", "ML-17 SPL-5")
 def _(t: Tables):
     d = training_frame(t).drop("role")
-    f = md.materialize(an.folds_by_count(d, 3, order=("ts",)), "folds")
+    f = materialize(an.folds_by_count(d, 5, order=("ts",)), "folds")
     out = None
-    for i in (1, 2, 3):
+    for i in range(1, 6):
         part = f.where(C("fold") == i)
         m = md.fit_pca_ridge(part.where(C("role") == "train"), LEAN, "ghi_point_t60", 5)
         s = _scores(md.predict(m, part.where(C("role") == "test"), LEAN, "pca_ridge"), ["pca_ridge"]).withColumn("fold", F.lit(i))
@@ -177,19 +95,6 @@ def _(t: Tables):
     return md.predict(model, d.where(C("role") == "test"), meta["features"], "pred", now="ghi_now").select("site", "ts", "pred")
 
 
-@query("cmp_incremental_feature_groups", "CMP-1 CMP-2")
-def _(t: Tables):
-    d = training_frame(t)
-    groups = [LEVEL_FEATURES, RATIO_FEATURES, TIME_FEATURES + FUTURE_FEATURES]
-    rows, feats = [], []
-    for i, g in enumerate(groups, 1):
-        feats = feats + g
-        m = md.fit_ridge(d.where(C("role") == "train"), feats, "ghi_point_t60", 10.0)
-        rows.append((i, len(feats), float(md.r2_on(m, d.where(C("role") == "valid"), feats, "ghi_point_t60"))))
-    s = t.spark.createDataFrame(rows, "step int, n_features int, r2 double").withColumn("arm", F.lit("ridge"))
-    return ev.incremental_gain(s, "step", "r2", ["arm"])
-
-
 _ZSQL = """e AS (SELECT vec_id, label, embedding, (vec_id * 2654435761 + 3 * 40503) % 4294967296 < 858993459 AS is_query FROM embeddings),
 d AS (SELECT vec_id, label, is_query, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM e), st AS (SELECT i, avg(v) AS m, stddev_pop(v) AS s FROM d WHERE NOT is_query GROUP BY 1),
 z AS (SELECT vec_id, any_value(label) AS label, any_value(is_query) AS is_query, list((v - m) / s ORDER BY i) AS z FROM d JOIN st USING (i) GROUP BY 1),
