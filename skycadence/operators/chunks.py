@@ -177,7 +177,7 @@ def carry_last(df: DataFrame, values: dict[str, Column], *, width_s: int, order:
     tails = d.groupBy(*keys, CHUNK).agg(*[
         F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), at)).alias(f"_t_{n}") for n in names])
     over_chunks = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    carry = tails.select(*keys, CHUNK, *[
+    carry = tails.where(placed()).select(*keys, CHUNK, *[
         F.last(f"_t_{n}", ignorenulls=True).over(over_chunks).alias(f"_c_{n}") for n in names])
     w = Window.partitionBy(*keys, CHUNK).orderBy(*order).rowsBetween(
         Window.unboundedPreceding, 0 if include_current else -1)
@@ -197,7 +197,7 @@ def carry_next(df: DataFrame, values: dict[str, Column], *, width_s: int, order:
     heads = d.groupBy(*keys, CHUNK).agg(*[
         F.min_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), at)).alias(f"_t_{n}") for n in names])
     over_chunks = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(1, Window.unboundedFollowing)
-    carry = heads.select(*keys, CHUNK, *[
+    carry = heads.where(placed()).select(*keys, CHUNK, *[
         F.first(f"_t_{n}", ignorenulls=True).over(over_chunks).alias(f"_c_{n}") for n in names])
     # A reversed running frame streams; (current, unbounded following) would be quadratic.
     w = (Window.partitionBy(*keys, CHUNK).orderBy(*[F.col(c).desc() for c in order])
@@ -216,7 +216,7 @@ def running_total(df: DataFrame, sums: dict[str, Column], *, width_s: int, order
     d = d.select("*", *[sums[n].alias(f"_v_{n}") for n in names])
     totals = d.groupBy(*keys, CHUNK).agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in names])
     over_chunks = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, CHUNK, *[
+    offsets = totals.where(placed()).select(*keys, CHUNK, *[
         F.sum(f"_t_{n}").over(over_chunks).alias(f"_c_{n}") for n in names])
     w = Window.partitionBy(*keys, CHUNK).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = d.select("*", *[F.sum(f"_v_{n}").over(w).alias(f"_l_{n}") for n in names])
@@ -232,7 +232,7 @@ def ordinal(df: DataFrame, *, width_s: int, order: Sequence[str] = ("ts",), keys
     sizes = d.groupBy(*keys, CHUNK).agg(F.count(F.lit(1)).alias("_m"))
     per_key = Window.partitionBy(*keys)
     ahead_of = per_key.orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*keys, CHUNK,
+    offsets = sizes.where(placed()).select(*keys, CHUNK,
                            F.coalesce(F.sum("_m").over(ahead_of), F.lit(0)).alias("_off"),
                            F.sum("_m").over(per_key).alias("_tot"))
     w = Window.partitionBy(*keys, CHUNK).orderBy(*order)

@@ -227,7 +227,7 @@ def _solved(train: DataFrame, held: DataFrame | None, by: Sequence[str], feature
     both = train.withColumn("_held", F.lit(False))
     if held is not None:
         both = both.unionByName(held.withColumn("_held", F.lit(True)))
-    return both.groupBy(*([C(k) for k in by] or [F.lit(0)])).applyInPandas(solve, schema)
+    return both.withColumn("_all", F.lit("")).groupBy(*by, "_all").applyInPandas(solve, schema)
 
 
 def fits(train: DataFrame, features: Sequence[str], by: Sequence[str] = (), *, nullable: Sequence[str] = (), alpha: float = 1.0,
