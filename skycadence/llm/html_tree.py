@@ -19,8 +19,9 @@ SAMPLE, SAMPLE_BYTES = 200, 1 << 16  # pages of the table that are fitted on, at
 DRAWN = 300  # labelled pages that are drawn from layouts
 EPOCHS, STEP = 6, 0.3
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
-_ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
+_NAME_END = re.compile(r"[\s/>]")
+_STOP = re.compile(r"""[>"']""")
+_ATTRIBUTE = re.compile(r"""(?<![a-zA-Z-])([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
 _NAME = re.compile(r"[a-z]+")
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _RAW = frozenset("script style title textarea noscript iframe template svg xmp noembed noframes".split())
@@ -31,6 +32,7 @@ _BLOCK = _SECTION | frozenset("""p h1 h2 h3 h4 h5 h6 li dl dt dd blockquote pre
     address details summary fieldset legend center br option""".split())
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"),
            "option": ("option",), "tbody": ("tr", "td", "th", "thead", "tbody"), "body": ("head",)}
+_ENDED = frozenset(t for tags in _CLOSES.values() for t in tags)
 _HOLDS = frozenset("ul ol dl table tbody thead tfoot tr select".split())  # implied ends do not reach past these
 
 
@@ -44,72 +46,150 @@ class Node:
     kids: list[int] = field(default_factory=list)
 
 
+class Scanner:
+    """Tags of a page, from front to back. Whatever the markup, every character is looked at a bounded number of times."""
+
+    def __init__(self, source: str):
+        self.source, self.size = source, len(source)
+        self.known: dict[int, int] = {}  # where a tag ends that meets this quote or bracket outside of quotes; -1 never
+        self.stop_from, self.stop_at = 0, -2  # the next quote or bracket from a place on
+
+    def _next_stop(self, at: int) -> int:
+        if not (self.stop_at == -1 and at >= self.stop_from) and not self.stop_from <= at <= self.stop_at:
+            found = _STOP.search(self.source, at)
+            self.stop_from, self.stop_at = at, found.start() if found else -1
+        return self.stop_at
+
+    def _tag_end(self, at: int) -> int:
+        """Place after the tag's closing bracket; quoted brackets do not count. -1 if the text ends first."""
+        met, end = [], -1
+        while (stop := self._next_stop(at)) >= 0:
+            if stop in self.known:
+                end = self.known[stop]
+                break
+            met.append(stop)
+            if self.source[stop] == ">":
+                end = stop + 1
+                break
+            at = self.source.find(self.source[stop], stop + 1) + 1
+            if not at:
+                break
+        self.known.update(dict.fromkeys(met, end))
+        return end
+
+    def next(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        """(start, end, closing, name, rest) of the next tag or comment from a place on; the name is empty for a comment."""
+        source = self.source
+        while (at := source.find("<", at)) >= 0:
+            head = source[at + 1:at + 3]
+            if head[:1] in ("!", "?"):
+                if source.startswith("!--", at + 1):
+                    end = source.find("-->", at + 4)
+                    return at, end + 3 if end >= 0 else self.size, False, "", ""
+                end = source.find(">", at + 2)
+                return at, end + 1 if end >= 0 else self.size, False, "", ""
+            closing = head[:1] == "/"
+            letter = head[1:2] if closing else head[:1]
+            if letter.isascii() and letter.isalpha():
+                first = at + 1 + closing
+                found = _NAME_END.search(source, first)
+                if not found:
+                    return None
+                end = self._tag_end(found.start())
+                if end >= 0:
+                    return at, end, closing, source[first:found.start()].lower(), source[found.start():end - 1]
+            at += 1
+        return None
+
+
+class Open:
+    """The elements that are open, with the places of each kind, so that looking one up does not walk the others."""
+
+    def __init__(self):
+        self.nodes, self.tags = [0], ["html"]
+        self.of_tag: dict[str, list[int]] = {}
+        self.blocks, self.held = [], []
+
+    def push(self, node: int, tag: str) -> None:
+        k = len(self.nodes)
+        self.nodes.append(node)
+        self.tags.append(tag)
+        self.of_tag.setdefault(tag, []).append(k)
+        if tag in _BLOCK:
+            self.blocks.append(k)
+        if tag in _ENDED or tag in _HOLDS:
+            self.held.append(k)
+
+    def pop(self) -> str:
+        k, tag = len(self.nodes) - 1, self.tags.pop()
+        self.nodes.pop()
+        self.of_tag[tag].pop()
+        for places in (self.blocks, self.held):
+            if places and places[-1] == k:
+                places.pop()
+        return tag
+
+    def last(self, *tags: str) -> int:
+        return max((self.of_tag[t][-1] for t in tags if self.of_tag.get(t)), default=0)
+
+
 def parse(source: str) -> tuple[list[Node], list[tuple[int, str]]]:
     """(nodes, runs): nodes come before their children; runs are (node, text) in page order, (-1, "") ends a block."""
-    nodes, runs, stack = [Node("html", -1)], [], [0]
+    nodes, runs, there, scan = [Node("html", -1)], [], Open(), Scanner(source)
     last, size = 0, len(source)
 
     def close(k: int) -> None:
-        while len(stack) > k:
-            if nodes[stack.pop()].tag in _BLOCK:
+        while len(there.nodes) > k:
+            if there.pop() in _BLOCK:
                 runs.append((-1, ""))
 
-    at = _TOKEN.search(source)
+    found = scan.next(0)
     while True:
-        end = at.start() if at else size
+        end = found[0] if found else size
         if end > last:
-            runs.append((stack[-1], source[last:end]))
-        if not at:
+            runs.append((there.nodes[-1], source[last:end]))
+        if not found:
             break
-        last = at.end()
-        tag = at.group(2)
-        if tag:
-            tag = tag.lower()
-            if at.group(1):
-                for k in range(len(stack) - 1, 0, -1):
-                    if nodes[stack[k]].tag == tag:
+        _, last, closing, tag, extra = found
+        if tag and closing:
+            k = there.last(tag)
+            # a cell or table that was opened later is not closed from inside by other tags
+            if k and (tag in ("tr", "table", "tbody", "thead", "tfoot") or there.last("td", "th", "table") <= k):
+                close(k)
+        elif tag:
+            if tag in _BLOCK and tag != "br" and there.blocks and there.tags[there.blocks[-1]] == "p":
+                close(there.blocks[-1])
+            if tag in _CLOSES:
+                at = len(there.held) - 1
+                while at >= 0:
+                    k = there.held[at]
+                    if there.tags[k] in _CLOSES[tag]:
                         close(k)
-                        break
-                    if nodes[stack[k]].tag in ("td", "th", "table") and tag not in ("tr", "table", "tbody", "thead", "tfoot"):
-                        break
-            else:
-                if tag in _BLOCK and tag != "br":
-                    for k in range(len(stack) - 1, 0, -1):
-                        if nodes[stack[k]].tag == "p":
-                            close(k)
-                            break
-                        if nodes[stack[k]].tag in _BLOCK:
+                        if tag not in ("tr", "tbody"):
                             break
-                if tag in _CLOSES:
-                    for k in range(len(stack) - 1, 0, -1):
-                        if nodes[stack[k]].tag in _CLOSES[tag]:
-                            close(k)
-                            if tag not in ("tr", "tbody"):
-                                break
-                        elif nodes[stack[k]].tag in _HOLDS and not (tag == "tbody" and nodes[stack[k]].tag != "table"):
-                            break
-                if tag in _BLOCK:
-                    runs.append((-1, ""))
-                if tag == "html" and len(nodes) == 1:
-                    at = _TOKEN.search(source, last)
-                    continue
-                node = Node(tag, stack[-1])
-                extra = at.group(3)
-                if extra:
-                    for found in _ATTRIBUTE.finditer(extra):
-                        key = found.group(1).lower()
-                        if key in ("class", "id", "role"):
-                            node.names += " " + (found.group(2) or found.group(3) or found.group(4) or "").lower()
-                        elif key == "data-main":
-                            node.main = found.group(2)
-                nodes[stack[-1]].kids.append(len(nodes))
-                nodes.append(node)
-                if tag in _RAW:
-                    stop = re.compile(f"</{tag}\\s*>", re.I).search(source, last)
-                    last = stop.end() if stop else size
-                elif tag not in _VOID and not (extra or "").endswith("/"):
-                    stack.append(len(nodes) - 1)
-        at = _TOKEN.search(source, last)
+                    elif there.tags[k] in _HOLDS and not (tag == "tbody" and there.tags[k] != "table"):
+                        break
+                    at -= 1
+            if tag in _BLOCK:
+                runs.append((-1, ""))
+            if tag == "html" and len(nodes) == 1:
+                found = scan.next(last)
+                continue
+            node = Node(tag, there.nodes[-1])
+            for piece in _ATTRIBUTE.finditer(extra):
+                key = piece.group(1).lower()
+                if key in ("class", "id", "role"):
+                    node.names += " " + (piece.group(2) or piece.group(3) or piece.group(4) or "").lower()
+                elif key == "data-main":
+                    node.main = piece.group(2)
+            nodes[there.nodes[-1]].kids.append(len(nodes))
+            nodes.append(node)
+            if tag in _RAW:
+                stop = re.compile(f"</{tag}\\s*>", re.I).search(source, last)
+                last = stop.end() if stop else size
+            elif tag not in _VOID and not extra.endswith("/"):
+                there.push(len(nodes) - 1, tag)
+        found = scan.next(last)
     return nodes, runs
 
 

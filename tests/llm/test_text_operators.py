@@ -1,6 +1,7 @@
 """Classifiers on held-out rows, language, decontamination, mixing and HTML: accuracy, brute force, awkward rows."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -300,3 +301,22 @@ def test_pages_awkward_rows(spark):
     assert len(got) == 7 and by[5].n_chars == 299_999 and by[7].text == "a <b> é &bogus; end."
     assert [r.text for r in got if r.page_id == 1] == ["", ""]
     assert html_tree.extract(pages.where("false")).count() == 0
+
+
+BROKEN = {"tags without an end": "<a " * 1_400_000, "quotes without an end": '<p x="' * 700_000, "comments without an end": "<!-- " * 800_000,
+          "other tags closed": "<b>" * 600_000 + "</i>" * 500_000, "closed behind a cell": "<i><td>" + "<b>" * 500_000 + "</i>" * 400_000,
+          "rules inside": "<b>" * 500_000 + "<hr>" * 400_000, "one long attribute": "<a " + "x" * 4_000_000 + ">", "mixed quotes": "<a '\" " * 600_000,
+          "nested tables": "<table>" * 200_000 + "<tr><td>" * 200_000}
+
+
+@pytest.mark.parametrize("name", sorted(BROKEN))
+def test_long_broken_pages_are_read_in_one_pass(name):
+    start = time.process_time()
+    nodes, _ = html_tree.parse(BROKEN[name])
+    assert nodes and time.process_time() - start < 20  # about 4 MB; 7 s at most here
+
+
+def test_broken_pages_have_a_text(model):
+    for text in ["<p>one, two. " * 20_000, "<b>" * 20_000 + "words here, yes. " + "</i>" * 20_000, '<p x="' * 20_000]:
+        start = time.process_time()
+        assert isinstance(html_tree.main_text(text, model), str) and time.process_time() - start < 20
