@@ -17,12 +17,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from skycadence.llm.filters import flags, key_filter
 from skycadence.llm.shared import documents, join_hot, written
 from skycadence.llm.textkit import LOWER, scramble, slices, span_hashes, utf8, words
 
 TOP, LEAST, UNIT = 2000, 10, 1_000_000
 SLICE = 1 << 22
-SLOTS_PER_ENTRY, MAX_SLOTS, BLOCK = 8, 1 << 26, 1 << 16
 # Separators of pieces, [.,;:!?\x0A-\x0D], and of words, [\x20\x09].
 PIECE = np.zeros(256, np.int32)
 PIECE[[ord(c) for c in ".,;:!?\n\x0b\x0c\r"]] = 1
@@ -106,13 +106,6 @@ def _seeds(langs: list[str]) -> np.ndarray:
     return np.array([span_hashes(raw, np.zeros(1, np.int64), np.array([len(raw)]), _TWO)[0] for raw in raws], np.uint64)
 
 
-def _flags(table: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """What the filter says of keys: the two slots of a key are its first and its next bits."""
-    bits = np.uint64(len(table).bit_length() - 1)
-    rest = np.uint64(64) - bits
-    return table[(key >> rest).astype(np.int64)] & table[((key << bits) >> rest).astype(np.int64)]
-
-
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[_Words, list[str]]]:
     for batch in batches:
         langs = batch.column(0).dictionary_encode()
@@ -143,7 +136,7 @@ def _phrases(docs: DataFrame, filters, triples: bool) -> DataFrame:
             found = []
             at = np.flatnonzero(w.joined)
             pair = np.zeros(len(w.key), np.uint8)
-            pair[at] = _flags(table, _pair(w.key[at], w.key[at + 1]))
+            pair[at] = flags(table, _pair(w.key[at], w.key[at + 1]))
             if triples:
                 at = at[:-1][np.diff(at) == 1]
                 one, two = pair[at], pair[at + 1]
@@ -151,7 +144,7 @@ def _phrases(docs: DataFrame, filters, triples: bool) -> DataFrame:
                 found.append(w.counted(at[:, None] + np.arange(3)))
             else:
                 found.append((pa.nulls(len(names), pa.string()), np.arange(len(names)), np.bincount(w.lang, minlength=len(names))))
-                known = _flags(table, w.key) & FREQUENT != 0
+                known = flags(table, w.key) & FREQUENT != 0
                 found.append(w.counted(np.flatnonzero(known)[:, None]))
                 at = at[known[at] & known[at + 1] & (pair[at] & FREQUENT != 0)]
                 found.append(w.counted(at[:, None] + np.arange(2)))
@@ -162,7 +155,7 @@ def _phrases(docs: DataFrame, filters, triples: bool) -> DataFrame:
     return found.groupBy("lang", "phrase").agg(F.sum("n").alias("a"))
 
 
-def _keyed(pairs: DataFrame, flags: Column) -> DataFrame:
+def _keyed(pairs: DataFrame, marks: Column) -> DataFrame:
     """(key, flag) of pairs of words."""
     def keys(batches):
         for batch in batches:
@@ -172,28 +165,7 @@ def _keyed(pairs: DataFrame, flags: Column) -> DataFrame:
             s, e, _ = words(buf, offs, WORD)
             word = scramble(span_hashes(buf, s, e, _ONE) + np.repeat(seeds, 2))
             yield pa.RecordBatch.from_arrays([pa.array(_pair(word[::2], word[1::2]).view(np.int64)), batch.column(2)], ["key", "flag"])
-    return pairs.select("lang", "phrase", flags.cast("long").alias("flag")).mapInArrow(keys, "key long, flag long")
-
-
-def _filter(keyed: DataFrame, entries: int):
-    """Broadcast filter over keys: two slots a key, as many slots as the number of entries asks for.
-
-    Beyond MAX_SLOTS (64 MB) it gets fuller: it then admits phrases that are counted in vain, and loses none."""
-    bits = min(max(BLOCK, SLOTS_PER_ENTRY * entries - 1), MAX_SLOTS - 1).bit_length()
-    key = F.col("key")
-    two = F.array(F.shiftrightunsigned(key, 64 - bits), F.shiftrightunsigned(F.shiftleft(key, bits), 64 - bits))
-    slots = keyed.select(F.explode(two).alias("slot"), "flag").groupBy("slot").agg(F.bit_or("flag").alias("flag"))
-
-    def packed(group: pa.Table) -> pa.Table:  # a block has at most BLOCK slots
-        block = np.zeros(BLOCK, np.uint8)
-        block[group.column("slot").to_numpy() % BLOCK] = group.column("flag").to_numpy()
-        return pa.table({"block": group.column("block")[:1], "bits": pa.array([block.tobytes()], pa.binary())})
-
-    table = np.zeros(1 << bits, np.uint8)
-    blocks = slots.withColumn("block", F.floor(F.col("slot") / BLOCK)).groupBy("block")
-    for row in blocks.applyInArrow(packed, "block long, bits binary").collect():
-        table[row["block"] * BLOCK:(row["block"] + 1) * BLOCK] = np.frombuffer(row["bits"], np.uint8)
-    return keyed.sparkSession.sparkContext.broadcast(table.tobytes())
+    return pairs.select("lang", "phrase", marks.cast("long").alias("flag")).mapInArrow(keys, "key long, flag long")
 
 
 def _score(a: str, left: str, right: str) -> Column:
@@ -220,10 +192,10 @@ def _thresholds(pairs: DataFrame, langs: DataFrame, wanted: int) -> DataFrame:
 
 def _triples(docs: DataFrame, pairs: DataFrame, entries: int) -> DataFrame:
     """Triples that the bounds admit, with the counts of their parts; pairs carry the threshold of their language."""
-    flags = (F.lit(FREQUENT) + F.when(F.floor(F.col("a") * F.lit(1.0) * UNIT / F.col("l")) + 1 >= F.col("least"), PREFIX).otherwise(0)
+    marks = (F.lit(FREQUENT) + F.when(F.floor(F.col("a") * F.lit(1.0) * UNIT / F.col("l")) + 1 >= F.col("least"), PREFIX).otherwise(0)
              + F.when(F.floor(F.col("a") * F.lit(1.0) * UNIT / F.col("r")) + 1 >= F.col("least"), SUFFIX).otherwise(0)
              + F.when(F.col("score") >= F.col("least"), RANKED).otherwise(0))
-    counted = _phrases(docs, _filter(_keyed(pairs, flags), entries), True).where(F.col("a") >= LEAST)
+    counted = _phrases(docs, key_filter(_keyed(pairs, marks), entries), True).where(F.col("a") >= LEAST)
     counted = counted.select("*", F.concat_ws(" ", _word(1), _word(2)).alias("head"), F.concat_ws(" ", _word(2), _word(3)).alias("tail"))
     parts = pairs.select("lang", "phrase", "a", "l", "r")
     heads = parts.select("lang", F.col("phrase").alias("head"), F.col("a").alias("f12"), F.col("l").alias("f1"))
@@ -257,7 +229,7 @@ def collocations(docs: DataFrame, top: int = TOP) -> DataFrame:
     """
     docs = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
     frequent = written(_frequent_keys(docs), "keys")
-    known = _filter(frequent.select("key", F.lit(FREQUENT).alias("flag")), frequent.count())
+    known = key_filter(frequent.select("key", F.lit(FREQUENT).alias("flag")), frequent.count())
     counted = written(_phrases(docs, known, False).where(F.col("phrase").isNull() | (F.col("a") >= LEAST)), "phrases")
     known.destroy()
     langs = counted.where(F.col("phrase").isNull()).select("lang", F.col("a").alias("n"))

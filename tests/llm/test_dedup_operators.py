@@ -11,7 +11,7 @@ from corpus import edited, frame, prose
 
 from skycadence.llm import catalog, suffix_family
 from skycadence.llm.exact_dedup import exact_groups
-from skycadence.llm.line_templates import CONSTANT, DEPTH, MIN_DOCS, drop_recurring_lines
+from skycadence.llm.line_templates import CONSTANT, DEPTH, drop_recurring_lines
 from skycadence.llm.setsketch import near_duplicates, one_of_each
 from skycadence.llm.suffix_family import repeated_spans
 
@@ -199,47 +199,41 @@ def test_passages_in_texts_longer_than_a_piece(spark):
 
 # lines
 
-def brute_lines(texts, ids):
-    docs = [(t or "").split("\n") for t in texts]
+def brute_lines(texts, ids, verbatim):
     tokens = lambda x: ["<*>" if re.search("[0-9]", w) else w for w in re.split("[\\x20\\x09-\\x0D]+", x) if w]
-    content, leaf, at = {}, {}, {}
+    contents, holders_of = {}, {}
     for k, t in enumerate(texts):
-        content.setdefault(t or "", []).append(k)
-    lines = []
-    for c in content:
-        for number, line in enumerate(c.split("\n")):
-            if w := tokens(line):
-                lines.append((c, number, tuple(w)))
-    for w in {(c, w) for c, _, w in lines}:
-        key = (len(w[1]), w[1][:DEPTH])
-        leaf.setdefault(key, set()).add(w)
-        for pos, token in enumerate(w[1]):
-            at[key, pos, token] = at.get((key, pos, token), 0) + 1
-
-    def template(w):
-        key = (len(w), w[:DEPTH])
-        fixed = [t if t != "<*>" and (p < DEPTH or at[key, p, t] >= MIN_DOCS) else None for p, t in enumerate(w)]
-        return (key, tuple(fixed)) if sum(f is not None for f in fixed) >= CONSTANT * len(w) else None
+        contents.setdefault(t or "", []).append(k)
+    lines = [(c, number, tuple(w), line) for c in contents for number, line in enumerate(c.split("\n")) if (w := tokens(line))]
+    for c, _, w, _ in lines:
+        for pos, token in enumerate(w):
+            holders_of.setdefault((len(w), w[:DEPTH], pos, token), set()).add(c)
+
+    def template(w, line):
+        fixed = [t if t != "<*>" and (p < DEPTH or len(holders_of[len(w), w[:DEPTH], p, t]) >= 2) else None for p, t in enumerate(w)]
+        if sum(f is not None for f in fixed) >= CONSTANT * len(w) and (len(w) <= DEPTH or any(f is not None for f in fixed[DEPTH:])):
+            return True, (len(w), w[:DEPTH], tuple(fixed))
+        return False, (w, line) if verbatim else None
 
     holders = {}
-    for c, _, w in lines:
-        if template(w):
-            holders.setdefault(template(w), set()).add(c)
-    low = {c: min([ids[k] for k in ks if ids[k] is not None], default=None) for c, ks in content.items()}
+    for c, _, w, line in lines:
+        holders.setdefault(template(w, line), set()).add(c)
+    low = {c: min([ids[k] for k in ks if ids[k] is not None], default=None) for c, ks in contents.items()}
     out = []
     for t, i in zip(texts, ids):
-        drop = set()
-        for c, number, w in lines:
-            if c == (t or "") and len(holders.get(template(w), ())) >= MIN_DOCS:
-                known = [x for x in holders[template(w)] if low[x] is not None]
-                if known and min(known, key=lambda x: low[x]) != c:
-                    drop.add(number)
-        kept = None if t is None else "\n".join(x for n, x in enumerate((t or "").split("\n")) if n not in drop)
-        out.append((i, kept, len((t or "").split("\n")) if t else 0, len(drop)))
+        drop = {True: set(), False: set()}
+        for c, number, w, line in lines:
+            kind = template(w, line)
+            known = [x for x in holders[kind] if low[x] is not None]
+            if c == (t or "") and kind[1] and len(holders[kind]) >= 2 and known and min(known, key=lambda x: (low[x], x)) != c:
+                drop[kind[0]].add(number)
+        kept = None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if n not in drop[True] | drop[False])
+        out.append((i, kept, len((t or "").split("\n")) if t else 0, len(drop[True]) + len(drop[False]), len(drop[True]), len(drop[False])))
     return sorted(out, key=str)
 
 
-def test_lines_brute_force(spark):
+@pytest.mark.parametrize("verbatim", [True, False])
+def test_lines_brute_force(spark, verbatim):
     rng = random.Random(4)
     names = ["ann", "bob", "carl", "dora", "emil", "fay"]
     texts = AWKWARD + ["\n\n", "\nx\n"]
@@ -252,12 +246,31 @@ def test_lines_brute_force(spark):
         texts.append("\n".join(lines))
     texts += [texts[20]] * 5 + [texts[21].replace("\n", "\r\n")]
     ids = [None if k % 17 == 5 else 500 - 3 * k for k in range(len(texts))]
-    got = drop_recurring_lines(frame(spark, texts, ids=ids))
-    assert sorted([(r.doc_id, r.text, r.n_lines, r.n_dropped) for r in got.collect()], key=str) == brute_lines(texts, ids)
-    assert got.columns == frame(spark, []).columns + ["n_lines", "n_dropped"]
+    texts += ["p q r s t one\np q r s t two", "p q r x y one\np q r z z two", "p q r s t one\np q r x u one"]
+    ids += [3000, 3001, 3002]
+    got = drop_recurring_lines(frame(spark, texts, ids=ids).repartition(3), verbatim=verbatim)
+    counts = ["n_lines", "n_dropped", "n_dropped_template", "n_dropped_verbatim"]
+    assert sorted([(r.doc_id, r.text, *[r[c] for c in counts]) for r in got.collect()], key=str) == brute_lines(texts, ids, verbatim)
+    assert got.columns == frame(spark, []).columns + counts
     assert drop_recurring_lines(frame(spark, [])).count() == 0
 
 
+def test_a_token_in_two_lines_of_one_document_is_not_constant(spark):
+    def left(*texts):
+        return {r.doc_id: r.text for r in drop_recurring_lines(frame(spark, texts)).collect()}
+    assert left("p q r s t one", "p q r x y one") == {0: "p q r s t one", 1: ""}
+    assert left("p q r s t one\np q r s t two", "p q r x y one")[1] == ""
+    assert left("p q r s t one\np q r s t two", "p q r u t six") == {0: "p q r s t one\np q r s t two", 1: ""}  # t is in both documents
+    assert left("p q r s t one\np q r s t two", "p q r u v six")[1] == "p q r u v six"  # s and t are in one only
+
+
+def test_many_recurring_lines_in_one_document(spark):
+    lines = [f"alpha{k:c} beta{k:c} gamma{k:c} delta{k:c}" for k in range(0x4e00, 0x4e00 + 4000)]
+    got = drop_recurring_lines(frame(spark, ["\n".join(lines), "\n".join(["own words here", *lines])]), verbatim=True).collect()
+    assert {r.doc_id: (r.n_dropped, r.n_lines) for r in got} == {0: (0, 4000), 1: (4000, 4001)}
+    assert {r.doc_id: r.text for r in got}[1] == "own words here"
+
+
 def test_lines_repeated_word_for_word_and_lines_that_only_begin_alike(spark):
     long = " ".join(f"word{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60))
     texts = [f"{long}\nPage 1 of 10\nthe cat sat alpha", f"{long}\nPage 1 of 10\nthe cat sat bravo\nthe cat sat alpha",

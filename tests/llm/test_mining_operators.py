@@ -8,6 +8,7 @@ import numpy as np
 from corpus import frame
 
 from skycadence.llm import collocations as co
+from skycadence.llm import filters
 from skycadence.llm import secret_links as sl
 from skycadence.llm import whitening as wh
 
@@ -166,8 +167,8 @@ def test_scores_are_exact_beyond_64_bits(spark):
 
 
 def test_full_filter_loses_nothing(spark, monkeypatch):
-    monkeypatch.setattr(co, "MAX_SLOTS", 1 << 16)
-    monkeypatch.setattr(co, "BLOCK", 1 << 10)
+    monkeypatch.setattr(filters, "MAX_SLOTS", 1 << 10)
+    monkeypatch.setattr(filters, "BLOCK", 1 << 8)
     rng = random.Random(3)
     texts = list(phrase_texts(rng, 300, 25))
     got = sorted(tuple(r) for r in co.collocations(frame(spark, texts), 50).collect())
