@@ -18,7 +18,7 @@ from skycadence.operators.ranks import ranked_values
 from skycadence.sources.sinks import materialize
 
 C = F.col
-MAX_BLOCKS = 65_536  # block bounds held by the driver and each Python worker: 1.5 MB
+MAX_BLOCKS = 65_536  # bounds of groups of blocks held by the driver and each Python worker: 1.5 MB
 
 
 def standardize(df: DataFrame, vec: str, train: Column, out: str = "z") -> DataFrame:
@@ -81,7 +81,7 @@ def _best(cand: DataFrame, k: int) -> DataFrame:
 
 
 def _block_finder(lo: np.ndarray, hi: np.ndarray, ids: np.ndarray):
-    """Vectorised lookups in the sorted block bounds (at most MAX_BLOCKS entries)."""
+    """Vectorised lookups in sorted bounds (at most MAX_BLOCKS entries)."""
     def home(piv: pd.Series) -> pd.Series:
         at = np.clip(np.searchsorted(lo, piv.to_numpy(), side="right") - 1, 0, None)
         return pd.Series(ids[at])
@@ -101,19 +101,36 @@ def analog_ensemble(queries: DataFrame, train: DataFrame, *, qid: str, xid: str,
     """``qid, n, analog_mean, farthest``: mean target of the k nearest training rows."""
     x = train.select(C(xid).cast("long").alias("xid"), C(vec).alias("z"), C(y).cast("double").alias("y"), _norm(vec).alias("piv"))
     q = queries.select(C(qid).cast("long").alias("qid"), C(vec).alias("z"), _norm(vec).alias("piv"))
-    size = max(rows_per_block, -(-train.count() // MAX_BLOCKS))
     # Equal-sized blocks in pivot distance. Copies of one vector share a distance and
     # are dealt over the rank range they cover, so they never pile up in one block.
     ranks = ranked_values(x, "piv").select(C("_v").alias("piv"), "_lo", "_c")
     spot = C("_lo") + F.pmod(F.xxhash64("xid"), C("_c"))
-    x = x.join(ranks, ["piv"]).select("xid", "z", "y", "piv", F.call_function("div", spot, F.lit(size)).alias("blk"))
+    x = x.join(ranks, ["piv"]).select("xid", "z", "y", "piv", F.call_function("div", spot, F.lit(rows_per_block)).alias("blk"))
     x = materialize(x, "analogs")
-    bounds = x.groupBy("blk").agg(F.min("piv").alias("lo"), F.max("piv").alias("hi")).orderBy("blk").collect()  # <= MAX_BLOCKS rows
-    home, reach = _block_finder(np.array([b["lo"] for b in bounds]), np.array([b["hi"] for b in bounds]), np.array([b["blk"] for b in bounds]))
-    q = q.withColumn("_home", home("piv"))
+    # Blocks keep their size; where there are very many, the driver holds the bounds of groups of them, and the bounds of
+    # the blocks of an open group are joined.
+    fine = x.groupBy("blk").agg(F.min("piv").alias("lo"), F.max("piv").alias("hi"))
+    fine = materialize(fine, "analogs-bounds")
+    per_group = -(-max((fine.agg(F.max("blk")).first()[0] or 0) + 1, 1) // MAX_BLOCKS)
+    fine = fine.withColumn("grp", F.call_function("div", C("blk"), F.lit(per_group)))
+    bounds = fine.groupBy("grp").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).orderBy("grp").collect()  # <= MAX_BLOCKS rows
+    home, reach = _block_finder(np.array([b["lo"] for b in bounds]), np.array([b["hi"] for b in bounds]), np.array([b["grp"] for b in bounds]))
+    q = q.withColumn("grp", home("piv"))
+    if per_group == 1:
+        q = q.withColumn("_home", C("grp")).drop("grp")
+    else:  # the last block of the group that starts at or below the query, else the group's first
+        inside = q.select("qid", "piv", "grp").join(fine, "grp").groupBy("qid").agg(
+            F.coalesce(F.max(F.when(C("lo") <= C("piv"), C("blk"))), F.min("blk")).alias("_home"))
+        q = q.drop("grp").join(inside, "qid")
     first = materialize(_best(_search(q.select("qid", "z", C("_home").alias("blk")), x, k, tile), k).drop("_r"), "analogs-home")
     limit = first.groupBy("qid").agg(F.max("dist").alias("_d"), F.count(F.lit(1)).alias("_n"))
-    more = (q.join(limit, ["qid"], "left").withColumn("_open", reach("piv", F.when(C("_n") >= k, C("_d"))))
-            .select("qid", "z", "_home", F.explode("_open").alias("blk")).where(C("blk") != C("_home")))
+    far = F.when(C("_n") >= k, C("_d"))
+    more = q.join(limit, ["qid"], "left").select("qid", "z", "piv", "_home", far.alias("_far"), F.explode(reach("piv", far)).alias("grp"))
+    if per_group == 1:
+        more = more.withColumn("blk", C("grp"))
+    else:
+        r = F.coalesce(C("_far") * F.lit(1.0 + 1e-9) + F.lit(1e-9), F.lit(float("inf")))
+        more = more.join(fine, "grp").where((C("hi") >= C("piv") - r) & (C("lo") <= C("piv") + r))
+    more = more.where(C("blk") != C("_home"))
     best = _best(first.unionByName(_search(more.select("qid", "z", "blk"), x, k, tile)), k)
     return best.groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("analog_mean"), F.max("dist").alias("farthest"))

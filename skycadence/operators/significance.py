@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from skycadence.functions.timeline import DAY, US, micros, month_start
 from skycadence.operators.anchors import recent_subset
-from skycadence.operators.chunks import KEYS, running_total
+from skycadence.operators.chunks import KEYS, ordinal
 from skycadence.operators.ranks import exact_quantiles, quantile_at
 from skycadence.session import parallelism
 from skycadence.sources.sinks import materialize
@@ -24,37 +24,55 @@ def draw(b: Column, k: Column, seed: int, choices: Column) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long"), choices)
 
 
+POSITIONS = 100_000  # starts of one task of the block sums
+
+
+def block_sums(clean: DataFrame, sums: dict[str, Column], sizes: DataFrame, *, block: int, order: Sequence[str], keys: Sequence[str], ts: str,
+               width_s: int) -> DataFrame:
+    """(keys, start, last, sums...): for each start of a block, from 0, the sums over its rows, in full and cut short as the last one.
+
+    Rows are numbered, dealt by number and copied into the task before, a block's length far; sums run inside a task only,
+    so no difference of sums over a whole series is taken."""
+    rows = ordinal(clean.select(*keys, ts, *[c for c in order if c not in (*keys, ts)], *[e.alias(n) for n, e in sums.items()]),
+                   width_s=width_s, order=order, keys=keys, ts=ts, name="pos").where(C("pos").isNotNull()).withColumn("pos", C("pos") - 1)
+    home = F.call_function("div", C("pos"), F.lit(POSITIONS))
+    first = F.greatest(F.lit(0).cast("long"), F.call_function("div", C("pos") - F.lit(block - 1), F.lit(POSITIONS)))
+    rows = rows.select(*keys, "pos", *sums, home.alias("_home"), F.explode(F.sequence(first, home)).alias("_part"))
+    upto = Window.partitionBy(*keys, "_part").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.select(*keys, "_part", "_home", "pos", *sums, *[F.sum(n).over(upto).alias(f"_to_{n}") for n in sums])
+    starts = rows.where(C("_home") == C("_part")).join(sizes.select(*keys, "_n", "_blk", "_nb"), list(keys))
+    starts = starts.where(C("pos") <= C("_n") - C("_blk"))
+    lengths = F.array(F.struct(F.lit(False).alias("last"), C("_blk").alias("len")), F.struct(F.lit(True).alias("last"), (C("_n") - (C("_nb") - 1) * C("_blk")).alias("len")))
+    starts = starts.select(*keys, "_part", C("pos").alias("start"), F.explode(lengths).alias("_l"), *[(C(f"_to_{n}") - C(n)).alias(f"_before_{n}") for n in sums])
+    starts = starts.select("*", "_l.last", (C("start") + C("_l.len") - 1).alias("pos"))
+    ends = rows.select(*keys, "_part", "pos", *[C(f"_to_{n}") for n in sums])
+    return starts.join(ends, [*keys, "_part", "pos"]).select(*keys, "start", "last", *[(C(f"_to_{n}") - C(f"_before_{n}")).alias(n) for n in sums])
+
+
 def block_bootstrap(df: DataFrame, y: str, preds: Sequence[str], *, resamples: int = 5000, block: int = 78, seed: int = 42,
                     order: Sequence[str] = ("ts",), keys: Sequence[str] = KEYS, ts: str = "ts", width_s: int = 30 * DAY) -> DataFrame:
     """R2 of every model on every resample: ``keys, b, r2_<model>...``.
 
-    A resample is a list of blocks, and a block sum is a difference of two prefix
-    sums. So each block becomes two signed positions, joined to the prefix table on
-    (series, position) and summed with map-side combine: resampled rows are never
-    formed, and a long series spreads over its positions.
+    A resample is a list of blocks. The sums of every possible block are taken once per start; a drawn block is one
+    narrow row (series, resample, start) that meets them and is summed with map-side combine: resampled rows are never
+    formed, and a long series spreads over its starts. The target is centred per series first, so that the squared
+    deviations of a resample do not cancel. Rows without target, key or time take no part.
     """
     # The dump of targets and predictions is read three times below.
-    clean = materialize(df.where(C(y).isNotNull()).select(*keys, *order, y, *preds), "predictions")
-    e2 = {p: (C(y) - C(p)) * (C(y) - C(p)) for p in preds}
-    pre = running_total(clean, {"pos": F.lit(1), "s_y": C(y), "s_yy": C(y) * C(y), **{f"s_{p}": e2[p] for p in preds}},
-                        width_s=width_s, order=order, keys=keys, ts=ts)
-    sums = ["s_y", "s_yy", *[f"s_{p}" for p in preds]]
-    pre = pre.select(*keys, "pos", *sums)
-
-    sizes = clean.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    size = sizes.withColumn("_blk", F.least(F.lit(block).cast("long"), C("_n")))
+    clean = materialize(df.where(C(y).isNotNull() & C(ts).isNotNull()).select(*keys, *order, y, *preds), "predictions")
+    size = clean.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.avg(y).alias("_mean"))
+    size = size.withColumn("_blk", F.least(F.lit(block).cast("long"), C("_n")))
     size = size.withColumn("_nb", F.call_function("div", C("_n") + C("_blk") - 1, C("_blk")))
+    gap = C(y) - C("_mean")
+    sums = {"s_y": gap, "s_yy": gap * gap, **{f"s_{p}": (C(y) - C(p)) * (C(y) - C(p)) for p in preds}}
+    table = block_sums(clean.join(size.select(*keys, "_mean"), list(keys)), sums, size, block=block, order=order, keys=keys, ts=ts, width_s=width_s)
+
     runs = size.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(resamples - 1).cast("long"))).alias("b"))
     runs = runs.repartition(parallelism(df.sparkSession), *keys, "b")
     blocks = runs.select("*", F.explode(F.sequence(F.lit(0).cast("long"), C("_nb") - 1)).alias("_k"))
-    start = draw(C("b"), C("_k"), seed, C("_n") - C("_blk") + 1)
-    length = F.when(C("_k") == C("_nb") - 1, C("_n") - (C("_nb") - 1) * C("_blk")).otherwise(C("_blk"))
-    ends = blocks.select(*keys, "b", "_n", start.alias("_s"), length.alias("_len")).select(
-        *keys, "b", "_n", F.explode(F.array(F.struct((C("_s") + C("_len")).alias("pos"), F.lit(1.0).alias("sign")),
-                                            F.struct(C("_s").alias("pos"), F.lit(-1.0).alias("sign")))).alias("_e"))
-    ends = ends.select(*keys, "b", "_n", "_e.pos", "_e.sign").where(C("pos") > 0)
-    total = ends.join(pre, [*keys, "pos"]).groupBy(*keys, "b").agg(
-        F.max("_n").alias("_n"), *[F.sum(C("sign") * C(s)).alias(s) for s in sums])
+    drawn = blocks.select(*keys, "b", draw(C("b"), C("_k"), seed, C("_n") - C("_blk") + 1).alias("start"), (C("_k") == C("_nb") - 1).alias("last"))
+    total = drawn.join(table, [*keys, "start", "last"]).groupBy(*keys, "b").agg(*[F.sum(s).alias(s) for s in sums])
+    total = total.join(size.select(*keys, "_n"), list(keys))
     sst = C("s_yy") - C("s_y") * C("s_y") / C("_n")
     return total.select(*keys, "b", *[(F.lit(1.0) - C(f"s_{p}") / F.nullif(sst, F.lit(0.0))).alias(f"r2_{p}") for p in preds])
 

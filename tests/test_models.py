@@ -1,11 +1,16 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from skycadence.operators import analogs
 from skycadence.operators import modeling as md
 from skycadence.operators.analogs import analog_ensemble, standardize
 
 
-def test_analogs_equal_brute_force_with_many_copies(spark):
+@pytest.mark.parametrize("blocks", [65_536, 3])
+def test_analogs_equal_brute_force_with_many_copies(spark, monkeypatch, blocks):
+    """Also where only the bounds of groups of blocks are held by the driver."""
+    monkeypatch.setattr(analogs, "MAX_BLOCKS", blocks)
     rng = np.random.default_rng(0)
     x = rng.normal(size=(300, 6))
     x[100:200] = x[5]  # a third of the rows are copies of one vector
