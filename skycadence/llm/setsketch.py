@@ -18,6 +18,7 @@ BASE, RATE, TOP = 1.005, 20.0, 65_534  # register scale: base, rate and largest
 BANDS, ROWS = 32, 4  # a pair at similarity 0.8 shares no band with probability 5e-8
 REGISTERS = BANDS * ROWS
 DOUBT = 15.0  # log-likelihood a pair may lack at the threshold: e^-15 of the true pairs are lost
+FEW_EQUAL = 0.6  # of the registers that are equal at the threshold: fewer are 7 standard deviations off
 TURNS = 2  # rounds with drawn centres before blocks are compared
 BLOCK = 256  # members of a bucket compared at once
 _rng = np.random.default_rng(7)
@@ -74,7 +75,7 @@ def plausible(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, thresh
 
     At the threshold about that share of the registers is equal; a pair with less than 0.6 of it is 7 standard
     deviations off and is left out before the likelihood is worked out."""
-    keep = (a == b).sum(axis=1) >= 0.6 * threshold * a.shape[1]
+    keep = (a == b).sum(axis=1) >= FEW_EQUAL * threshold * a.shape[1]
     at = np.flatnonzero(keep)
     a, b, n, m = a[at], b[at], n[at], m[at]
     larger, smaller = (a > b).sum(axis=1), (a < b).sum(axis=1)
@@ -241,27 +242,38 @@ def _joined(labels: DataFrame, more: DataFrame) -> DataFrame:
 def _cross_links(mixed: DataFrame, held: DataFrame, percent: int) -> DataFrame:
     """Links between different components of one bucket, as many as it takes to join those that have any.
 
-    Members meet block by block; a task compares registers of different components, confirms the likely pairs on full
-    sets, and stops at the first link between two components. It puts out fewer links than its blocks have members."""
+    Members meet block by block; a task compares registers of different components and confirms the pairs they do not rule
+    out on full sets, one member against all the others at once. It stops at the first link between two components, so it
+    puts out fewer links than its blocks have members. Counting what two sets share is cheaper here than the likelihood."""
     def block(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         left, right = pdf[pdf.block == key[1]], pdf[pdf.block == key[2]]
+        if not len(left) or not len(right):
+            return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
         a, b = (np.frombuffer(b"".join(x.regs), ">u2").astype(np.uint16).reshape(-1, REGISTERS) for x in (left, right))
         n, m, ids, others = left.n.to_numpy(), right.n.to_numpy(), left.id.to_numpy(), right.id.to_numpy()
         names, codes = np.unique(np.concatenate([left.component, right.component]), return_inverse=True)
         mine, theirs, root, out = codes[:len(left)], codes[len(left):], np.arange(len(names)), []
-        sets = [np.frombuffer(x, np.uint64) for x in right.members]
-        for k, members in enumerate(left.members):
+        sets = [np.frombuffer(x, np.uint64) for x in (*left.members, *right.members)]
+        cuts = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+        universe, number = np.unique(np.concatenate(sets), return_inverse=True)
+        here, shift = np.zeros(len(universe), bool), cuts[len(left)]
+        held, first, last = number[shift:], cuts[len(left):-1] - shift, cuts[len(left) + 1:] - shift
+        for k in range(len(left)):
             able = np.flatnonzero((root[theirs] != root[mine[k]]) & (100 * np.minimum(n[k], m) >= percent * np.maximum(n[k], m)))
+            able = able[(b[able] == a[k]).sum(axis=1) >= FEW_EQUAL * percent / 100 * REGISTERS]
             if not len(able):
                 continue
-            able = able[plausible(np.broadcast_to(a[k], (len(able), REGISTERS)), b[able], np.full(len(able), n[k]), m[able], percent / 100)]
-            own = np.frombuffer(members, np.uint64)
-            for x in able.tolist():
+            own = number[cuts[k]:cuts[k + 1]]
+            here[own] = True
+            if 4 * len(able) > len(right):
+                shared = np.add.reduceat(here[held], first, dtype=np.int64)[able]
+            else:
+                shared = np.array([np.count_nonzero(here[held[first[x]:last[x]]]) for x in able.tolist()])
+            here[own] = False
+            for x in able[100 * shared >= percent * (len(own) + (last - first)[able] - shared)].tolist():
                 if root[theirs[x]] != root[mine[k]]:
-                    common = len(np.intersect1d(own, sets[x], assume_unique=True))
-                    if 100 * common >= percent * (len(own) + len(sets[x]) - common):
-                        root[root == root[theirs[x]]] = root[mine[k]]
-                        out.append((ids[k], others[x]))
+                    root[root == root[theirs[x]]] = root[mine[k]]
+                    out.append((ids[k], others[x]))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     parts = F.greatest(F.lit(1), F.ceil(F.col("size") / BLOCK)).cast("int")
