@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skycadence.functions import exprs as ex
 from skycadence.functions import timeline as tl
-from skycadence.operators.ranks import exact_quantiles
+from skycadence.operators.ranks import exact_quantiles, refined_quantiles
 from skycadence.plans.registry import Tables, query
 from skycadence.plans.stations import (OBS, S10, S1H, W, cells, cells_sql, frame, observations, rc, rcol, rd, round_all, rsql, series)
 from skycadence.session import scratch_path
@@ -228,13 +228,13 @@ _Q = {"p10": 0.1, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95}
 @query("agg_exact_quantiles", "AGG-8 AGG-9", "SELECT l_returnflag, l_linestatus, count(*) AS n, " + ", ".join(
     rd(f"quantile_cont(l_extendedprice, {p})", n, 4) for n, p in _Q.items()) + " FROM lineitem GROUP BY 1, 2")
 def _(t: Tables):
-    q = exact_quantiles(t.lineitem, "l_extendedprice", ["l_returnflag", "l_linestatus"], _Q, size="n")
+    q = refined_quantiles(t.lineitem, "l_extendedprice", ["l_returnflag", "l_linestatus"], _Q, size="n")
     return round_all(q, _Q, 4)
 
 
 @query("agg_global_quantiles", "AGG-8 AGG-9", "SELECT " + ", ".join(rd(f"quantile_cont(o_totalprice, {p})", n, 4) for n, p in _Q.items()) + " FROM orders")
 def _(t: Tables):
-    return round_all(exact_quantiles(t.orders, "o_totalprice", (), _Q), _Q, 4)
+    return round_all(refined_quantiles(t.orders, "o_totalprice", (), _Q), _Q, 4)
 
 
 @query("agg_correlation", "AGG-10", f"WITH {OBS}, {cells_sql()} SELECT site, {rd('corr(ghi, cot)', 'r_cot', 6)}, {rd('corr(ghi, temp)', 'r_temp', 6)}, count(cot) AS n FROM c10 GROUP BY 1")

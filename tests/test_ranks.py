@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import rows
-from skycadence.operators.ranks import exact_quantiles, first_n, quantile_at, ranked_values
+from skycadence.operators.ranks import exact_quantiles, first_n, quantile_at, ranked_values, refined_quantiles
 
 
 @pytest.fixture(scope="module")
@@ -67,3 +67,38 @@ def test_scrambled_keys_of_any_size(spark):
     got = [r["s"] for r in spark.createDataFrame([(k,) for k in keys], "k long").select(scrambled("k", 7).alias("s")).collect()]
     assert all(0 <= s < 1 << 32 for s in got) and len(set(got)) == len(keys)
     assert got[:5] == [(k * 2654435761 + 7 * 40503) % (1 << 32) for k in keys[:5]]
+
+
+def test_refined_quantiles_match_numpy(skewed, monkeypatch):
+    from skycadence.operators import ranks
+    data, df = skewed
+    probs = {"a": 0.0, "b": 0.1, "c": 0.333, "d": 0.5, "e": 0.975, "f": 1.0}
+    for cells, few in ((65_536, 100_000), (3, 0)):
+        monkeypatch.setattr(ranks, "CELLS", cells)
+        monkeypatch.setattr(ranks, "FEW_TARGETS", few)
+        got = refined_quantiles(df.union(df.sparkSession.createDataFrame([("none", None), ("none", float("nan")), (None, 4.0)], "g string, x double")), "x", ["g"], probs, size="n").collect()
+        assert {r["g"] for r in got} == {*data, None}
+        for r in got:
+            v = data[r["g"]] if r["g"] else [4.0]
+            assert r["n"] == len(v)
+            np.testing.assert_allclose([r[p] for p in probs], np.quantile(v, list(probs.values())), rtol=1e-12, atol=1e-15)
+    assert refined_quantiles(df.where("g = 'two'"), "x").first()["median"] == 1.5
+    assert refined_quantiles(df.where("false"), "x").count() == 0
+
+
+def test_close_values_are_counted_in_place_and_few_are_moved(spark):
+    """A million distinct values inside one per cent: what is shuffled in the last pass is the parts around the ranks."""
+    df = spark.range(1_000_000).select((F.lit(1000.0) + F.col("id") * F.lit(1e-5)).alias("x"))
+    r = refined_quantiles(df, "x", (), {"a": 0.1, "b": 0.5, "c": 0.9}, size="n").first()
+    assert r["n"] == 1_000_000
+    np.testing.assert_allclose([r["a"], r["b"], r["c"]], [1000 + 0.999999 * 1, 1000 + 4.999995, 1000 + 8.999991], rtol=1e-12)
+    held = []
+    from skycadence.operators import ranks
+    plain = ranks.materialize
+    try:
+        ranks.materialize = lambda d, stem: held.append((stem, plain(d, stem))) or held[-1][1]
+        refined_quantiles(df, "x", (), {"a": 0.1}).collect()
+    finally:
+        ranks.materialize = plain
+    tables = dict(held)
+    assert tables["buckets"].count() < 20 and tables["cells"].agg(F.sum("_c")).first()[0] < 100  # of a million values
