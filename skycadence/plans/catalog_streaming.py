@@ -65,6 +65,16 @@ def _(t: Tables):
     return round_all(_run(t, tw.online_history(tw.folder_stream(t.spark, path))), ["ghi", "mean_back", "delta"])
 
 
+@query("str_expiring_history", "STR-4 WIN-7 SEG-1", f"""WITH {OBS}, {_B}, x AS (SELECT site, ts, ghi, ts - lag(ts, 18) {W} AS span, avg(ghi) {frame(-18, -1)} AS mean_back, ghi - lag(ghi) {W} AS delta FROM b)
+SELECT site, ts, {rd('ghi', 'ghi')}, {rd('mean_back', 'mean_back')}, {rd('delta', 'delta')} FROM x WHERE span = INTERVAL 180 MINUTE""")
+def _(t: Tables):
+    """The same history from keyed state whose slots expire; files that the bins left side by side are one batch."""
+    binned, closing = bins(t)
+    path = tw.replay(binned.select("site", "ts", "ghi"), closing=closing)
+    out = _run(t, tw.expiring_history(tw.folder_stream(t.spark, path, 100_000))).drop("held")
+    return round_all(out, ["ghi", "mean_back", "delta"])
+
+
 @query("str_bins_with_report", "STR-6 JN-6", f"""WITH {OBS}, r AS (SELECT site, ts, k FROM obs WHERE event_type = 'signup'), v AS (SELECT * FROM obs WHERE event_type <> 'signup'), b AS (SELECT site, time_bucket(INTERVAL 10 MINUTE, ts) AS ts, avg(value) AS value, count(*) AS n FROM v GROUP BY 1, 2),
 j AS (SELECT b.site, b.ts, b.value, b.n, r.k AS report, row_number() OVER (PARTITION BY b.site, b.ts ORDER BY r.ts DESC) AS rn FROM b LEFT JOIN r ON r.site = b.site AND r.ts <= b.ts AND r.ts > b.ts - INTERVAL 65 MINUTE)
 SELECT site, ts, {rd('value', 'value')}, n, report FROM j WHERE rn = 1""")

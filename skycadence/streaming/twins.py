@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from skycadence.functions.timeline import US, as_instant, as_wall, from_micros, micros
 from skycadence.session import scratch_path
@@ -139,6 +140,69 @@ def online_history(bins: DataFrame, *, steps: int = HISTORY_STEPS, step_s: int =
     return out.select("site", from_micros(C("at") * F.lit(US)).alias(ts), C("v").alias(value), "mean_back", "delta")
 
 
+class _SlotHistory(StatefulProcessor):
+    """Keeps the slots of one station that later bins still need, and emits a bin when the slots before it are there."""
+
+    def __init__(self, steps: int, step_s: int):
+        self.steps, self.step_s = steps, step_s
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.slots = handle.getMapState("slots", "at long", "v double, sent boolean")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        limit = timerValues.getCurrentWatermarkInMs() // 1000 - (self.steps + 1) * self.step_s
+        held = {k[0]: (v[0], v[1]) for k, v in self.slots.iterator()}
+        fresh = set()
+        for frame in rows:
+            for at, v in frame[["at", "v"]].dropna().itertuples(index=False):
+                if at not in held and at >= limit:
+                    held[at] = (float(v), False)
+                    fresh.add(int(at))
+        out = []
+        for at in sorted({a + k * self.step_s for a in fresh for k in range(self.steps + 1)}):
+            before = [held.get(at - k * self.step_s) for k in range(1, self.steps + 1)]
+            if at in held and not held[at][1] and all(b is not None for b in before):
+                held[at] = (held[at][0], True)
+                fresh.add(at)
+                out.append((key[0], at, held[at][0], float(np.mean([b[0] for b in before])), held[at][0] - before[0][0], len(held)))
+        for at in fresh:
+            self.slots.updateValue((at,), held[at])
+        for at in held:
+            if at < limit:
+                self.slots.removeKey((at,))  # no later bin reaches back to it
+        if held:  # what a station that falls silent leaves behind
+            self.handle.registerTimer((max(held) + (self.steps + 1) * self.step_s) * 1000)
+        yield pd.DataFrame(out, columns=["site", "at", "v", "mean_back", "delta", "held"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        done = expiredTimerInfo.getExpiryTimeInMs() // 1000 - (self.steps + 1) * self.step_s
+        for at in [k[0] for k in self.slots.keys() if k[0] <= done]:
+            self.slots.removeKey((at,))
+        yield pd.DataFrame({"site": pd.Series(dtype=str), "at": pd.Series(dtype="int64"), "v": pd.Series(dtype=float), "mean_back": pd.Series(dtype=float),
+                            "delta": pd.Series(dtype=float), "held": pd.Series(dtype="int64")})
+
+    def close(self) -> None:
+        pass
+
+
+def expiring_history(bins: DataFrame, *, steps: int = HISTORY_STEPS, step_s: int = STEP_S, lateness: str = "1 hour", key: str = "site", ts: str = "ts",
+                     value: str = "ghi") -> DataFrame:
+    """``online_history`` with a state that ends: keyed map state and event-time timers, in RocksDB.
+
+    A slot is forgotten when the watermark is ``steps`` slots past it, so a station holds ``steps`` slots and those of the
+    lateness, however long the stream runs (column ``held``: slots in state when the bin was emitted). Bins that come late or
+    out of order within the lateness give the same rows; what comes later than any bin could need is ignored. A bin is
+    emitted once; rows without key, time or value take no part.
+    """
+    bins.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    seconds = F.call_function("div", micros(ts), F.lit(US).cast("long"))
+    rows = _clocked(bins, ts, lateness).select(C(key).cast("string").alias("site"), "_at", seconds.alias("at"), C(value).cast("double").alias("v"))
+    out = rows.where(C("site").isNotNull() & C("at").isNotNull()).groupBy("site").transformWithStateInPandas(
+        _SlotHistory(steps, step_s), "site string, at long, v double, mean_back double, delta double, held long", "Append", "EventTime")
+    return out.select("site", from_micros(C("at") * F.lit(US)).alias(ts), C("v").alias(value), "mean_back", "delta", "held")
+
+
 def replay(stream: DataFrame, stem: str = "stream", out: str | None = None, closing: DataFrame | None = None, ts: str = "ts") -> str:
     """Run to the end of the available data into Parquet; the checkpoint and the
     result live in the shared folder, so a restarted query resumes where it was.

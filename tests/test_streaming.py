@@ -70,6 +70,22 @@ def test_history_does_not_depend_on_files_or_their_order(spark, tmp_path):
     assert all(f == found[0] for f in found)
 
 
+def test_expiring_history_is_bounded_and_takes_late_and_reordered_bins(spark, tmp_path):
+    import random
+    rng = random.Random(8)
+    slots = [m for m in range(0, 12_000, 10) if m % 1500 != 700]
+    data = [("a", at(m), i, float(m)) for i, m in enumerate(slots)] + [(None, at(5), 0, 1.0), ("a", at(12_000), 0, None)]
+    late = sorted(data[:-2], key=lambda r: slots[r[2]] + rng.randrange(0, 50)) + data[-2:]  # at most 50 minutes behind
+    want = [m for m in slots if all(m - 10 * k in set(slots) for k in range(1, 19))]
+    for name, order in (("in order", data), ("late", late)):
+        path = sliced(spark, tmp_path / name, order, SCHEMA, parts=12)
+        got = rows(spark.read.parquet(tw.replay(tw.expiring_history(tw.folder_stream(spark, path), value="x"))), "ts", "mean_back", "delta", "held", order=["ts"])
+        assert [r[0] for r in got] == [at(m) for m in want]
+        assert all(r[1] == float(m) - 95.0 and r[2] == 10.0 for r, m in zip(got, want))
+        # 18 slots, an hour of lateness, and what two batches of 100 slots bring before the watermark moves
+        assert max(r[3] for r in got) <= 18 + 1 + 6 + 2 * 100 + 5
+
+
 def test_closed_replay_equals_the_batch_operator(spark, tmp_path):
     data = points()
     stream = tw.closable(tw.folder_stream(spark, sliced(spark, tmp_path, data, SCHEMA)))
