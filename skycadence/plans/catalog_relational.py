@@ -120,6 +120,28 @@ def _(t: Tables):
     return sinks.backfill(series(t).select("site", "ts", "cot"), hours, ["cot", "hour_temp"])
 
 
+@query("snk_patch_partitions", "SNK-3 SNK-7", """SELECT o_orderkey, year(o_orderdate)::INTEGER AS year, CASE WHEN o_orderkey % 3 = 0 AND year(o_orderdate) NOT IN (1996, 1998) THEN NULL ELSE o_totalprice END AS price FROM orders
+UNION ALL SELECT -o_orderkey, 1998, o_totalprice FROM orders WHERE year(o_orderdate) = 1998 AND o_orderkey % 5 = 0""")
+def _(t: Tables):
+    """Prices missing in every year, filled in two years only, with rows the table did not have."""
+    path = scratch_path(t.spark, "patched")
+    year = F.year("o_orderdate").alias("year")
+    sinks.write_parquet(t.orders.select("o_orderkey", F.when(C("o_orderkey") % 3 != 0, C("o_totalprice")).alias("price"), year), path, ["year"])
+    whole = t.orders.select("o_orderkey", C("o_totalprice").alias("price"), year).where(C("year").isin(1996, 1998))
+    extra = whole.where((C("year") == 1998) & (C("o_orderkey") % 5 == 0)).withColumn("o_orderkey", -C("o_orderkey"))
+    sinks.patch_partitions(whole.unionByName(extra), path, ["year"], ["o_orderkey"])
+    return t.spark.read.parquet(path)
+
+
+@query("jn_stored_layout", "JN-1 SNK-3 VIEW-1", f"WITH {OBS}, {cells_sql()} SELECT site, ts, ghi, temp FROM c10 WHERE temp IS NOT NULL")
+def _(t: Tables):
+    """Two sources stored by their join keys: joining them moves no row."""
+    c = cells(t)
+    a = sinks.stored(c.select("site", "ts", "ghi"), ["site", "ts"], 8)
+    b = sinks.stored(c.where(C("temp").isNotNull()).select("site", "ts", "temp"), ["site", "ts"], 8)
+    return a.join(b, ["site", "ts"])
+
+
 _COLS = ["ghi", "cot", "temp", "oktas"]
 
 

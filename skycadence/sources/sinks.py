@@ -52,6 +52,54 @@ def write_bucketed(df: DataFrame, table: str, buckets: int, keys: Sequence[str]
     (w.option("path", path) if path else w).saveAsTable(table)
 
 
+def stored(df: DataFrame, keys: Sequence[str], buckets: int, stem: str = "stored") -> DataFrame:
+    """A source kept in the layout of its joins: bucketed and sorted by the join keys, below the shared folder.
+
+    Two sources that are stored with the same keys and number of buckets are joined on those keys, and grouped by them,
+    without a shuffle of either side, however often. The table's name is unique; dropping the table leaves its files."""
+    path = scratch_path(df.sparkSession, stem)
+    name = f"{stem}_{path.rsplit('-', 1)[1]}"
+    write_bucketed(df, name, buckets, keys, path)
+    delete_at_end(df.sparkSession, path)
+    return df.sparkSession.table(name)
+
+
+def patch_partitions(patch: DataFrame, path: str, partition_by: Sequence[str], keys: Sequence[str], *, replace: bool = False) -> list[dict]:
+    """Merge rows into the partitions they touch; the files of all other partitions are neither read nor written.
+
+    A row with the keys of an existing one fills its missing values, or with ``replace`` gives it its own values where they
+    are not NULL; other rows are added. Keys match where both are NULL. The merged partitions are written aside first, then
+    they replace the old ones in one dynamic overwrite, so a job that fails before leaves the table as it was. Returns the
+    touched partitions. The patch must have one row per key; columns the patch lacks keep their values.
+    """
+    spark: SparkSession = patch.sparkSession
+    patch = materialize(patch, "patch")
+    touched = [r.asDict() for r in patch.select(*partition_by).distinct().collect()]  # as many as there are partitions
+    if not touched:
+        return []
+    target = spark.read.parquet(path)
+    names = target.columns
+
+    def all_of(conditions):
+        return reduce(lambda a, b: a & b, conditions)
+    hit = reduce(lambda a, b: a | b, [all_of([F.col(k).eqNullSafe(F.lit(v)) for k, v in t.items()]) for t in touched])
+    same = list(dict.fromkeys([*partition_by, *keys]))
+    new = patch.select([F.col(c).alias(f"_n_{c}") for c in patch.columns] + [F.lit(True).alias("_new")])
+    old = target.where(hit).withColumn("_old", F.lit(True))
+    both = old.join(new, all_of([old[k].eqNullSafe(new[f"_n_{k}"]) for k in same]), "full")
+
+    def value(c: str):
+        if c not in patch.columns:
+            return F.col(c)
+        if c in same:
+            return F.when(F.col("_old"), F.col(c)).otherwise(F.col(f"_n_{c}")).alias(c)
+        pair = (f"_n_{c}", c) if replace else (c, f"_n_{c}")
+        return F.coalesce(*pair).alias(c)
+    merged = materialize(both.select(*[value(c) for c in names]), "merged")
+    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
+    return touched
+
+
 def write_report(df: DataFrame, path: str, fmt: str = "csv") -> None:
     """One file; only the report's rows meet in one task, not the work that makes them."""
     w = df.repartition(1).write.mode("overwrite")

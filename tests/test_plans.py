@@ -74,3 +74,44 @@ def test_append_never_replaces_a_table_without_the_time(spark, tmp_path):
     with pytest.raises(ValueError):
         append_since(spark.range(3).selectExpr("id", "timestamp_ntz '2024-01-01' AS ts"), path)
     assert spark.read.parquet(path).count() == 5
+
+
+def test_stored_sources_join_without_a_shuffle(spark):
+    from skycadence.sources.sinks import stored
+    a = stored(spark.range(1000).selectExpr("concat('s', id % 7) AS site", "id AS ts", "id AS v"), ["site", "ts"], 4)
+    b = stored(spark.range(0, 1000, 3).selectExpr("concat('s', id % 7) AS site", "id AS ts", "-id AS w"), ["site", "ts"], 4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = a.join(b, ["site", "ts"])
+        assert joined.count() == 334
+        plan = physical(joined.groupBy("site", "ts").sum("v"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+
+
+def test_a_patch_rewrites_the_partitions_it_touches_only(spark, tmp_path):
+    import os
+    import time
+    from skycadence.sources.sinks import patch_partitions, write_parquet
+    path = str(tmp_path / "t")
+    data = [(k, None if k % 2 else float(k), f"n{k}", ["x", "y", None][k % 3]) for k in range(30)]
+    write_parquet(spark.createDataFrame(data, "k int, v double, name string, part string"), path, ["part"])
+
+    def files():
+        return {os.path.join(d, f): os.stat(os.path.join(d, f)).st_mtime_ns for d, _, fs in os.walk(path) for f in fs if f.endswith(".parquet")}
+    before = files()
+    time.sleep(0.05)
+    patch = [(1, 10.0, "y"), (4, 44.0, "y"), (99, 9.0, "y"), (5, 50.0, None), (7, None, "y")]
+    patch_df = spark.createDataFrame(patch, "k int, v double, part string")
+    assert sorted(str(t["part"]) for t in patch_partitions(patch_df, path, ["part"], ["k"])) == ["None", "y"]
+    after = files()
+    untouched = [f for f in before if "part=x" in f]
+    assert untouched and all(after.get(f) == before[f] for f in untouched)
+    assert not any(f in after for f in before if "part=x" not in f)
+    got = {r["k"]: (r["v"], r["name"], r["part"]) for r in spark.read.parquet(path).collect()}
+    assert len(got) == 31 and got[1] == (10.0, "n1", "y") and got[4] == (4.0, "n4", "y") and got[99] == (9.0, None, "y") and got[5] == (50.0, "n5", None)
+    assert got[7] == (None, "n7", "y") and got[3] == (None, "n3", "x")
+    patch_partitions(patch_df, path, ["part"], ["k"], replace=True)
+    assert {r["k"]: r["v"] for r in spark.read.parquet(path).collect()}[4] == 44.0
+    assert patch_partitions(patch_df.where("false"), path, ["part"], ["k"]) == []
