@@ -8,6 +8,7 @@ from skycadence.functions import solar as so
 from skycadence.operators import anchors as an
 from skycadence.operators import boosting as bo
 from skycadence.operators import evaluate as ev
+from skycadence.operators import result_tables as rt
 from skycadence.operators import sums as sm
 from skycadence.operators import windows as wn
 from skycadence.operators.encoding import ordered_target_mean
@@ -140,9 +141,8 @@ sc AS (SELECT site, model, seed, {rsql('1 - sum((y - p) * (y - p)) / nullif(sum(
 g AS (SELECT site, model, count(*) AS n_seeds, avg(r2) AS a, stddev_samp(r2) AS s, stddev_pop(r2) AS p FROM sc GROUP BY 1, 2)"""
 
 
-@query("cmp_seeds", "CMP-3 AGG-16", f"""WITH {_seed_sql()} SELECT site, model, n_seeds, {rd('a', 'avg', 5)}, {rd('s', 'std', 5)}, {rd('p', 'std_pop', 5)},
-CAST(row_number() OVER (PARTITION BY site ORDER BY a DESC, model) AS INTEGER) AS rank FROM g""")
-def _(t: Tables):
+def _seed_scores(t: Tables):
+    """Scores of the one-feature models over seeds: weighted fits in one pass, the same held-out rows for all."""
     d = fit_frame(t)
     feats = list(_MODELS.values())
     centre = sm.pivots(d, feats)
@@ -150,6 +150,13 @@ def _(t: Tables):
     train = sm.sums(drawn, feats, Y, ["site"], centre=centre, weights="w")
     held = sm.sums(d.where("block >= 4"), feats, Y, ["site"], centre=centre).withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(SEEDS - 1))))
     s = sm.subset_scores(train, held, feats, {m: [f] for m, f in _MODELS.items()}, ["site", "seed"], alpha=ALPHA).where(C("r2").isNotNull())
+    return s
+
+
+@query("cmp_seeds", "CMP-3 AGG-16", f"""WITH {_seed_sql()} SELECT site, model, n_seeds, {rd('a', 'avg', 5)}, {rd('s', 'std', 5)}, {rd('p', 'std_pop', 5)},
+CAST(row_number() OVER (PARTITION BY site ORDER BY a DESC, model) AS INTEGER) AS rank FROM g""")
+def _(t: Tables):
+    s = _seed_scores(t)
     s = s.select("site", C("subset").alias("model"), "seed", rc("r2", "r2"))
     return round_all(ev.seed_summary(s, "r2", ["site", "model"], ["site"]), ["avg", "std", "std_pop"], 5)
 
@@ -321,3 +328,59 @@ def _(t: Tables):
     models = {m["arm"]["name"]: m for m in bo.fit_arms(d, arms)}
     p = bo.predict(d.where("role = 'test'"), models, now={n: "ghi_now" for n in models})
     return ev.metrics(p, Y, ["smart_persist", *models], base="smart_persist").select("model", "n", "r2", "mae", "rmse", "skill_rmse")
+
+
+# ---- published result tables ------------------------------------------------------
+
+_METRICS = ["r2", "mae", "rmse", "skill_rmse"]
+_TARGET_SQL = " UNION ALL ".join(f"SELECT site, block, '{target}' AS target, {label} AS y, ghi_now AS persist, {smart} AS smart FROM fr"
+                                 for target, label, smart in (("point_t60", Y, "smart_persist"), ("avg_t10_t60", "ghi_avg_t10_t60", "smart_persist_avg")))
+_BASE_SQL = f"""{_FIT}, ta AS ({_TARGET_SQL}), lg AS (SELECT site, block, target, y, persist, unnest(['persist', 'smart']) AS model, unnest([persist, smart]) AS p FROM ta)"""
+_SCORES_SQL = f"""count(*) AS n, {rd('1 - sum((p - y) * (p - y)) / nullif(sum(y * y) - sum(y) * sum(y) / count(*), 0)', 'r2', 5)}, {rd('avg(abs(p - y))', 'mae', 5)},
+{rd('sqrt(avg((p - y) * (p - y)))', 'rmse', 5)}, {rd('1 - sqrt(avg((p - y) * (p - y))) / nullif(sqrt(avg((persist - y) * (persist - y))), 0)', 'skill_rmse', 5)}"""
+
+
+def _baseline_scores(d, by):
+    """Scores of both baselines on both targets."""
+    parts = [d.select(*by, F.lit(target).alias("target"), C(label).alias("y"), C("ghi_now").alias("persist"), C(smart).alias("smart"))
+             for target, label, smart in (("point_t60", Y, "smart_persist"), ("avg_t10_t60", "ghi_avg_t10_t60", "smart_persist_avg"))]
+    m = ev.metrics(parts[0].unionByName(parts[1]), "y", ["persist", "smart"], base="persist", by=[*by, "target"])
+    return round_all(m.select(*by, "target", "model", "n", *_METRICS), _METRICS, 5)
+
+
+@query("cmp_table_test", "CMP-4 SET-1", f"WITH {_BASE_SQL} SELECT target, site, model, {_SCORES_SQL} FROM lg WHERE block >= 4 AND y IS NOT NULL AND p IS NOT NULL GROUP BY 1, 2, 3")
+def _(t: Tables):
+    return rt.test_table(_baseline_scores(fit_frame(t).where("block >= 4"), ["site"]), _METRICS)
+
+
+@query("cmp_table_walk_forward", "CMP-4 AGG-15", f"""WITH {_BASE_SQL}, f AS (SELECT site, block, {_SCORES_SQL} FROM lg WHERE block >= 1 AND target = 'point_t60' AND model = 'smart' AND y IS NOT NULL AND p IS NOT NULL GROUP BY 1, 2),
+u AS (SELECT site, unnest({_METRICS}) AS metric, unnest([{', '.join(_METRICS)}]) AS value FROM f)
+SELECT site, metric, count(value) AS n_folds, {rd('avg(value)', 'mean', 4)}, {rd('stddev_samp(value)', 'std', 4)} FROM u WHERE value IS NOT NULL GROUP BY 1, 2""")
+def _(t: Tables):
+    s = _baseline_scores(fit_frame(t).where("block >= 1"), ["site", "block"]).where("target = 'point_t60' AND model = 'smart'")
+    return round_all(rt.summary_table(s, _METRICS), ["mean", "std"], 4)
+
+
+@query("cmp_table_feature_value", "CMP-4 CMP-1", f"""WITH {_PAIR}, r AS (SELECT site, {rd(_R2.replace('p)', 'p1)'), 'r2_F1', 4)}, {rd(_R2, 'r2_F2', 4)} FROM pr WHERE fold = 4 AND feature = 'kt_now' GROUP BY 1)
+SELECT site, 'point_t60' AS target, r2_F1, r2_F2, {rd('r2_F2 - r2_F1', 'delta_r2', 4)}, CASE WHEN r2_F2 - r2_F1 > 0.010 THEN 'high' WHEN r2_F2 - r2_F1 > 0.005 THEN 'medium' ELSE 'low' END AS value FROM r""")
+def _(t: Tables):
+    train, held = _folds(t, WHOLE)
+    s = sm.subset_scores(train.where("fold = 4"), held.where("fold = 4"), WHOLE, {"F1": ["ghi_now"], "F2": ["ghi_now", "kt_now"]}, ["site"], alpha=ALPHA)
+    s = s.where(C("r2").isNotNull()).select("site", F.lit("point_t60").alias("target"), C("subset").alias("features"), rc("r2", "r2", 4))
+    return round_all(rt.feature_value_table(s, "F1", "F2"), ["delta_r2"], 4)
+
+
+@query("cmp_table_seeds", "CMP-4 CMP-3", f"""WITH {_seed_sql()}, sr AS (SELECT site, model, seed, {rsql('sqrt(avg((y - p) * (y - p)))', 6)} AS rmse FROM pr GROUP BY 1, 2, 3)
+SELECT sc.site, sc.model, count(*) AS n_seeds, {rd('avg(r2)', 'r2_mean', 4)}, {rd('stddev_samp(r2)', 'r2_std', 4)}, {rd('avg(rmse)', 'rmse_mean', 4)}, {rd('stddev_samp(rmse)', 'rmse_std', 4)}
+FROM sc JOIN sr ON sr.site = sc.site AND sr.model = sc.model AND sr.seed = sc.seed WHERE sc.model <> 'smart' OR sc.seed = 0 GROUP BY 1, 2""")
+def _(t: Tables):
+    s = _seed_scores(t).select("site", C("subset").alias("model"), "seed", rc("r2", "r2"), rc("rmse", "rmse"))
+    out = rt.seed_table(s, ["r2", "rmse"], single=["smart"])
+    return round_all(out, ["r2_mean", "r2_std", "rmse_mean", "rmse_std"], 4)
+
+
+@query("cmp_table_pruning", "CMP-4 ML-14")
+def _(t: Tables):
+    train, held = _folds(t, FEATURES, NULLABLE)
+    steps = sm.eliminate(train.where("fold = 4"), held.where("fold = 4"), FEATURES, ["site"], every=True, nullable=NULLABLE, alpha=ALPHA, tolerance=0.0003, min_features=3)
+    return rt.pruning_table(steps, FEATURES)
