@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skycadence.plans.registry import Tables, query
+from skycadence.session import scratch_path
 from skycadence.plans.stations import OBS, W, frame, observations, rc, rd, round_all
 from skycadence.streaming import twins as tw
 
@@ -18,6 +19,13 @@ def live(t: Tables):
     return observations(s), s.events
 
 
+def _events(t: Tables) -> Tables:
+    """The tables with ``events`` as a stream."""
+    s = Tables(t.spark, t.folder)
+    s.events = tw.table_stream(t.spark, t.folder, "events")
+    return s
+
+
 def _run(t: Tables, stream, closing=None):
     return t.spark.read.parquet(tw.replay(stream, closing=closing))
 
@@ -83,3 +91,19 @@ def _(t: Tables):
     obs, closing = live(t)
     s = tw.bins_with_latest_report(obs, F.when(~joined, C("value")), F.when(joined, C("k")))
     return round_all(_run(t, s, closing), ["value"])
+
+
+@query("str_report_join", "STR-6 JN-6", f"""WITH {OBS}, r AS (SELECT site, ts, k FROM obs WHERE event_type = 'signup'), v AS (SELECT * FROM obs WHERE event_type <> 'signup'), b AS (SELECT site, time_bucket(INTERVAL 10 MINUTE, ts) AS ts, avg(value) AS value, count(*) AS n FROM v GROUP BY 1, 2),
+j AS (SELECT b.site, b.ts, b.value, b.n, r.k AS report, row_number() OVER (PARTITION BY b.site, b.ts ORDER BY r.ts DESC) AS rn FROM b LEFT JOIN r ON r.site = b.site AND r.ts <= b.ts AND r.ts > b.ts - INTERVAL 65 MINUTE)
+SELECT site, ts, {rd('value', 'value')}, n, report FROM j WHERE rn = 1""")
+def _(t: Tables):
+    """The same join of two streams: bins of readings, and reports."""
+    report = C("event_type") == "signup"
+    obs, closing = live(t)
+    counted = tw.tumbling_bins(obs.where(~report | C("event_type").isNull()), {"value": F.avg("value"), "n": F.count("value")})
+    path = tw.replay(counted, closing=closing)
+    bins_ = tw.closable(tw.folder_stream(t.spark, path, 100_000).where("n > 0"))
+    reports_ = tw.closable(observations(_events(t)).where(report).select("site", "ts", C("k").alias("report")))
+    both = tw.report_candidates(bins_, reports_, ["report"])
+    out = tw.latest_reports(both, ["report"], scratch_path(t.spark, "reports"), [bins_, reports_])
+    return round_all(out.drop("report_ts"), ["value"])

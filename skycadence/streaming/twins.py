@@ -107,6 +107,42 @@ def bins_with_latest_report(stream: DataFrame, value: Column, report: Column, *,
             .select(*keys, as_wall("_w.start").alias(ts), "value", "n", "report").where(C("n") > 0))
 
 
+def report_candidates(bins: DataFrame, reports: DataFrame, cols: Sequence[str], *, tolerance_s: int = 65 * 60, lateness: str = "1 hour",
+                      key: str = "site", ts: str = "ts") -> DataFrame:
+    """Outer join of two watermarked streams: each bin with every report of the last ``tolerance_s`` before it, or with none.
+
+    State holds a bin until no report can come for it and a report until no bin can, which the interval and both watermarks
+    bound. A bin is emitted once per report; ``latest_reports`` keeps the newest. Bins without key or time are left out."""
+    b = _clocked(bins.where(C(key).isNotNull() & C(ts).isNotNull() | (C(ts) >= F.lit(CLOSING_TIME).cast("timestamp_ntz"))), ts, lateness)
+    # A filter on the key would go below the watermark and take the closing row with it: reports without key get one no bin has.
+    r = reports.select(F.coalesce(C(key).cast("string"), F.lit("\x00")).alias("_rkey"), C(ts).alias("report_ts"), *cols, as_instant(ts).alias("_rat")).withWatermark("_rat", lateness)
+    near = (C(key) == C("_rkey")) & (C("_rat") <= C("_at")) & (C("_rat") > C("_at") - F.expr(f"INTERVAL {tolerance_s} SECONDS"))
+    return b.join(r, near, "leftOuter").select(*bins.columns, "report_ts", *cols)
+
+
+def latest_reports(stream: DataFrame, cols: Sequence[str], base: str, closings: Sequence[DataFrame] = (), key: str = "site", ts: str = "ts") -> DataFrame:
+    """Run ``report_candidates`` to the end of its input and give each bin with its newest report.
+
+    Every micro-batch is written to a folder of its number, so a batch that runs again after a failure replaces what it
+    wrote; ``base`` holds that and the progress, and a later call with the same ``base`` goes on from there."""
+    spark = stream.sparkSession
+    rest = [c for c in stream.columns if c not in (key, ts, "report_ts", *cols)]
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/data/batch={number}")
+
+    def run() -> None:
+        (stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{base}/_progress").trigger(availableNow=True).start()).awaitTermination()
+    run()
+    if closings:
+        for closing in closings:
+            _close(*closing._closing, spark, ts)
+        run()
+    found = spark.read.schema(stream.schema).parquet(f"{base}/data").where(C(key).isNotNull())
+    newest = [F.max_by(c, "report_ts").alias(c) for c in cols]
+    return found.groupBy(key, ts).agg(*[F.first(c).alias(c) for c in rest], F.max("report_ts").alias("report_ts"), *newest)
+
+
 def online_history(bins: DataFrame, *, steps: int = HISTORY_STEPS, step_s: int = STEP_S, key: str = "site", ts: str = "ts", value: str = "ghi",
                    keep_s: int | None = None) -> DataFrame:
     """History features per incoming bin from the 18 slots before it; a gap leaves the bins after it without.

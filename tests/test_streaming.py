@@ -86,6 +86,32 @@ def test_expiring_history_is_bounded_and_takes_late_and_reordered_bins(spark, tm
         assert max(r[3] for r in got) <= 18 + 1 + 6 + 2 * 100 + 5
 
 
+def test_report_join_takes_late_rows_and_resumes(spark, tmp_path):
+    import random
+    rng = random.Random(4)
+    bins = [("c", at(590), 900, 1.0)] + [("a", at(10 * k), k, float(k)) for k in range(60) if k % 7] + [("b", at(10 * k), 100 + k, float(k)) for k in range(40)]
+    reports = [(rng.choice("ab"), at(rng.randrange(0, 600) + 0.5), 1000 + k, float(k)) for k in range(30)]
+    parts = []
+    for name, data in (("bins", bins), ("reports", reports)):
+        late = sorted(data, key=lambda r: (r[1] - at(0)).total_seconds() / 60 + rng.randrange(0, 40))  # at most 40 minutes behind
+        sliced(spark, tmp_path / name, late[:len(late) // 2], SCHEMA, parts=4)
+        parts.append((str(tmp_path / name / "in"), late[len(late) // 2:]))
+    base = str(tmp_path / "out")
+    streams = [tw.closable(tw.folder_stream(spark, path)) for path, _ in parts]
+    found = None
+    for turn in range(2):  # stopped after half of the files, then taken up again and closed
+        both = tw.report_candidates(streams[0], streams[1].withColumnRenamed("x", "report"), ["report"], tolerance_s=65 * 60)
+        found = tw.latest_reports(both, ["report"], base, streams if turn else ())
+        for (path, rest), name in zip(parts, ("bins", "reports")):
+            if not turn:
+                spark.createDataFrame(rest, SCHEMA).coalesce(1).write.mode("append").parquet(path)
+    got = {r["id"]: r["report"] for r in found.collect()}
+    assert set(got) == {r[2] for r in bins}
+    for site, t, i, _ in bins:
+        near = [r for r in reports if r[0] == site and 0 <= (t - r[1]).total_seconds() < 65 * 60]
+        assert got[i] == (max(near, key=lambda r: r[1])[3] if near else None)
+
+
 def test_closed_replay_equals_the_batch_operator(spark, tmp_path):
     data = points()
     stream = tw.closable(tw.folder_stream(spark, sliced(spark, tmp_path, data, SCHEMA)))
