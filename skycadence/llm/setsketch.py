@@ -161,13 +161,14 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80) -> DataF
     stars = members.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
     links = written(_confirmed(_likely(stars, head, percent), sets, percent).union(copies), "links")
     labels = components(links)
+    several = members.where("size > 2")  # the one pair of a bucket of two has just been compared
     for turn in range(TURNS):
-        pairs = _turn(_mixed(members, labels), turn)
+        pairs = _turn(_mixed(several, labels), turn)
         more = written(_confirmed(_likely(pairs, head, percent), sets, percent), "links")
         if more.isEmpty():
             break
         labels = _joined(labels, more)
-    mixed = _mixed(members, labels)
+    mixed = _mixed(several, labels)
     labels = _joined(labels, written(_cross_links(mixed, head.join(sets, "id"), percent), "links"))
 
     labels = labels.select(F.col("id").alias("doc_id"), F.col("component").alias("component_id"))
