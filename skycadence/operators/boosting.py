@@ -78,7 +78,7 @@ class Fit:
     """What a run knows of an arm."""
 
     arm: Arm
-    base: float = 0.0
+    base: float | None = 0.0  # None without training rows
     trees: list[Tree] = field(default_factory=list)
     gains: dict[str, float] = field(default_factory=dict)
     losses: list[float | None] = field(default_factory=list)  # on the stop rows, before each round
@@ -156,8 +156,6 @@ class Forest:
         """Base values: the weighted mean, or the quantile, of each arm's training labels."""
         rows = self.table.select(F.posexplode(F.arrays_zip("y", "role", "w")).alias("arm", "r")).where("r.role = 1")
         means = {r["arm"]: r["m"] for r in rows.groupBy("arm").agg((F.sum(C("r.y") * C("r.w")) / F.sum("r.w")).alias("m")).collect()}
-        if not means:
-            raise ValueError("no training rows")
         levels = sorted({a.level for a in self.arms if a.level is not None})
         cuts = {}
         if levels:
@@ -165,7 +163,7 @@ class Forest:
             cuts = {r["arm"]: r for r in q.collect()}
         for k, fit in enumerate(self.fits):
             if k not in means:
-                fit.stopped = True
+                fit.stopped, fit.base = True, None
             else:
                 fit.base = means[k] if fit.arm.level is None else cuts[k][f"q{levels.index(fit.arm.level)}"]
 
@@ -320,7 +318,7 @@ def _any(conditions: Sequence[Column]) -> Column:
 
 
 def fit_arms(df: DataFrame, arms: Sequence[Arm], bins: int = BINS) -> list[dict]:
-    """Fit all arms together and return their models. Arms without training rows predict nothing.
+    """Fit all arms together and return their models. Arms without training rows predict NULL.
 
     Rows count for an arm by its role column and where its label is known; a missing feature has its own bin. The driver
     holds histograms' winners only: one row per arm and node."""
@@ -376,7 +374,7 @@ def predict(df: DataFrame, models: dict[str, dict], *, now: dict[str, str] | Non
             hi: float | None = VALID_MAX) -> DataFrame:
     """Adds one column per model. ``now`` names the column a model's output is a residual on; results are clipped to [lo, hi].
 
-    A model without trees gives its base value."""
+    A model without trees gives its base value, one that had no training rows gives NULL."""
     names = list(models)
     features = list(dict.fromkeys(f for m in models.values() for f in m["order"]))
     fits = [Fit(Arm(**{**m["arm"], "features": tuple(m["arm"]["features"])}), m["base"], [Tree(**t) for t in m["trees"]]) for m in models.values()]
@@ -390,14 +388,16 @@ def predict(df: DataFrame, models: dict[str, dict], *, now: dict[str, str] | Non
             out = np.empty((batch.num_rows, len(fits)))
             for k, fit in enumerate(fits):
                 x = np.stack([np.where(np.isnan(raw[:, c]), 0, np.searchsorted(e, raw[:, c], "left") + 1) for c, e in zip(at[k], edges[k])], axis=1)
-                out[:, k] = fit.base + fit.raw(x)
+                out[:, k] = (fit.base or 0.0) + fit.raw(x)
             offsets = pa.array(np.arange(len(out) + 1) * len(fits), pa.int32())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.ListArray.from_arrays(offsets, pa.array(out.reshape(-1)))], [*columns, "_p"])
     d = df.withColumn("_x", F.array(*[F.coalesce(C(f).cast("double"), F.lit(float("nan"))) for f in features]))
     p = d.mapInArrow(score, StructType([*df.schema.fields, *StructType.fromDDL("_p array<double>").fields]))
     out = []
     for k, name in enumerate(names):
-        value = C("_p")[k] if not (now or {}).get(name) else C(now[name]) + C("_p")[k]
+        value = C("_p")[k] if fits[k].base is not None else F.lit(None).cast("double")
+        if (now or {}).get(name):
+            value = C(now[name]) + value
         out.append((value if lo is None or hi is None else clip(value, lo, hi)).alias(name))
     return p.select(*df.columns, *out)
 

@@ -245,7 +245,7 @@ def _(t: Tables):
     arms = [bo.Arm(n, Y, tuple(FEATURES), level=v, depth=3, rate=0.2, rounds=10, patience=4) for n, v in LEVELS.items()]
     run = {m["arm"]["name"]: m for m in bo.fit_arms(d, arms)}
     p = bo.predict(d.where("role = 'test'"), run)
-    p = p.select("site", Y, *bo.uncrossed(list(LEVELS)), *[F.lit(float(run[n]["base"])).alias(f"band_{n}") for n in LEVELS])
+    p = p.select("site", Y, *bo.uncrossed(list(LEVELS)), *[F.lit(run[n]["base"]).cast("double").alias(f"band_{n}") for n in LEVELS])
     inside = C(Y).between(C("p10"), C("p90")).cast("double")
     return p.groupBy("site").agg(F.count(F.lit(1)).alias("n"), F.avg(inside).alias("coverage"), F.count_if((C("p10") > C("p50")) | (C("p50") > C("p90"))).alias("crossings"),
                                  *[bo.pinball(Y, n, v).alias(f"loss_{n}") for n, v in LEVELS.items()],

@@ -220,7 +220,7 @@ def test_arms_share_a_run_and_beat_their_base(spark, tmp_path):
         def loss(q, level=level):
             return np.maximum((p.y - q) * level, (p.y - q) * (level - 1)).mean()
         assert loss(p[name]) < 0.7 * loss(models[name]["base"])
-    assert models["none"]["trees"] == []
+    assert models["none"]["trees"] == [] and models["none"]["base"] is None
     top = [r["feature"] for r in bo.importance(spark, models["direct"]).orderBy("rank").collect()]
     assert top[0] == "a" and len(top) == 4
 
@@ -249,10 +249,13 @@ def test_race_finds_the_trial_of_the_full_search(spark):
     assert sum(trees.values()) < 6 * 8 and max(trees.values()) >= 6
 
 
-def test_no_training_rows_is_an_error(spark):
+def test_without_training_rows_predictions_are_null(spark):
     _, df = signal(spark, 50)
-    with pytest.raises(ValueError):
-        bo.fit_arms(df.where("role = 'test'"), [bo.Arm("m", "y", tuple("abcd"))])
+    arm = bo.Arm("m", "y", tuple("abcd"))
+    models = bo.fit_arms(df.where("role = 'test'"), [arm])
+    p = bo.predict(df, {"m": models[0], "r": models[0]}, now={"r": "now"})
+    assert p.count() == 50 and p.where("m IS NOT NULL OR r IS NOT NULL").count() == 0
+    assert bo.first_histogram(df.where("false"), [arm]).count() == 0
 
 
 # ordered target statistics
