@@ -68,9 +68,10 @@ def _(t: Tables):
 @query("str_online_history", "STR-4 WIN-7 SEG-1", f"""WITH {OBS}, {_B}, x AS (SELECT site, ts, ghi, ts - lag(ts, 18) {W} AS span, avg(ghi) {frame(-18, -1)} AS mean_back, ghi - lag(ghi) {W} AS delta FROM b)
 SELECT site, ts, {rd('ghi', 'ghi')}, {rd('mean_back', 'mean_back')}, {rd('delta', 'delta')} FROM x WHERE span = INTERVAL 180 MINUTE""")
 def _(t: Tables):
+    """The bins leave a file per task and batch, of a few rows each: micro-batches are cut by bytes, not by files."""
     binned, closing = bins(t)
     path = tw.replay(binned.select("site", "ts", "ghi"), closing=closing)
-    return round_all(_run(t, tw.online_history(tw.folder_stream(t.spark, path))), ["ghi", "mean_back", "delta"])
+    return round_all(_run(t, tw.online_history(tw.folder_stream(t.spark, path, bytes_per_trigger=64_000_000))), ["ghi", "mean_back", "delta"])
 
 
 @query("str_expiring_history", "STR-4 WIN-7 SEG-1", f"""WITH {OBS}, {_B}, x AS (SELECT site, ts, ghi, ts - lag(ts, 18) {W} AS span, avg(ghi) {frame(-18, -1)} AS mean_back, ghi - lag(ghi) {W} AS delta FROM b)

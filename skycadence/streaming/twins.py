@@ -32,9 +32,11 @@ def table_stream(spark: SparkSession, folder: str, name: str, files_per_trigger:
     return reader.parquet(folder)
 
 
-def folder_stream(spark: SparkSession, folder: str, files_per_trigger: int = 1) -> DataFrame:
+def folder_stream(spark: SparkSession, folder: str, files_per_trigger: int = 1, bytes_per_trigger: int | None = None) -> DataFrame:
+    """A folder of Parquet files as a stream; with ``bytes_per_trigger`` micro-batches grow in number with the data, not with its files."""
     schema = spark.read.parquet(folder).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", str(files_per_trigger)).parquet(folder)
+    most = {"maxBytesPerTrigger": str(bytes_per_trigger)} if bytes_per_trigger else {"maxFilesPerTrigger": str(files_per_trigger)}
+    return spark.readStream.schema(schema).options(**most).parquet(folder)
 
 
 CLOSING_TIME = "9000-01-01 00:00:00"  # later than any reading

@@ -1,5 +1,7 @@
 """Several micro-batches give what one batch gives."""
 
+import os
+
 from pyspark.sql import functions as F
 
 from helpers import at, frame, rows
@@ -70,6 +72,33 @@ def test_history_does_not_depend_on_files_or_their_order(spark, tmp_path):
     assert all(f == found[0] for f in found)
 
 
+def test_micro_batches_go_by_bytes_not_by_files(spark, tmp_path):
+    slots = [*range(0, 400, 10), *range(420, 700, 10)]
+    data = [("a", at(m), i, float(m)) for i, m in enumerate(slots)]
+    path = sliced(spark, tmp_path, data, SCHEMA, parts=20)
+    one = tw.replay(tw.online_history(tw.folder_stream(spark, path, bytes_per_trigger=64_000_000), value="x"), out=str(tmp_path / "one"))
+    size = max(f.stat().st_size for f in (tmp_path / "in").glob("*.parquet"))
+    few = tw.replay(tw.online_history(tw.folder_stream(spark, path, bytes_per_trigger=5 * size), value="x"), out=str(tmp_path / "few"))
+    found = [rows(spark.read.parquet(p), "ts", "mean_back", "delta", order=["ts"]) for p in (one, few)]
+    assert len(found[0]) == sum(all(m - 10 * k in slots for k in range(1, 19)) for m in slots) and found[0] == found[1]
+    batches = [len([f for f in (tmp_path / name / "_progress" / "commits").iterdir() if f.name.isdigit()]) for name in ("one", "few")]
+    assert batches[0] == 1 and 1 < batches[1] < 10
+
+
+def test_online_history_query_runs_few_batches(spark, tmp_path, monkeypatch):
+    """The bins leave more files than the query runs micro-batches."""
+    import __spark_entry__
+    data = [(i, at(3.5 * i), i % 7, "view", float(i % 31), '{"k": 3}') for i in range(2000)]
+    spark.createDataFrame(data, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(str(tmp_path / "w"))
+    next((tmp_path / "w").glob("*.parquet")).rename(tmp_path / "events.parquet")
+    paths, replay = [], tw.replay
+    monkeypatch.setattr(tw, "replay", lambda *a, **k: paths.append(replay(*a, **k)) or paths[-1])
+    assert __spark_entry__.queries()["str_online_history"](spark, str(tmp_path)).count() > 0
+    bins_, history = (p.removesuffix("/data").removeprefix("file:") for p in paths)
+    assert sum(f.endswith(".parquet") for f in os.listdir(f"{bins_}/data")) > 5
+    assert sum(f.isdigit() for f in os.listdir(f"{history}/_progress/commits")) <= 2
+
+
 def test_expiring_history_is_bounded_and_takes_late_and_reordered_bins(spark, tmp_path):
     import random
     rng = random.Random(8)
