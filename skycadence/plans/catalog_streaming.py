@@ -98,13 +98,15 @@ def _(t: Tables):
 j AS (SELECT b.site, b.ts, b.value, b.n, r.k AS report, row_number() OVER (PARTITION BY b.site, b.ts ORDER BY r.ts DESC) AS rn FROM b LEFT JOIN r ON r.site = b.site AND r.ts <= b.ts AND r.ts > b.ts - INTERVAL 65 MINUTE)
 SELECT site, ts, {rd('value', 'value')}, n, report FROM j WHERE rn = 1""")
 def _(t: Tables):
-    """The same join of two streams: bins of readings, and reports."""
+    """The same join of two streams: bins of readings, and reports, of which a step's newest can be the newest at a bin."""
     report = C("event_type") == "signup"
     obs, closing = live(t)
     counted = tw.tumbling_bins(obs.where(~report | C("event_type").isNull()), {"value": F.avg("value"), "n": F.count("value")})
     path = tw.replay(counted, closing=closing)
     bins_ = tw.closable(tw.folder_stream(t.spark, path, 100_000).where("n > 0"))
-    reports_ = tw.closable(observations(_events(t)).where(report).select("site", "ts", C("k").alias("report")))
+    sent = tw.closable(observations(_events(t)).where(report).select("site", "ts", C("k").alias("report")))
+    path = tw.replay(tw.newest_per_step(sent, ["report"]), closing=sent)
+    reports_ = tw.closable(tw.folder_stream(t.spark, path, 100_000))
     both = tw.report_candidates(bins_, reports_, ["report"])
     out = tw.latest_reports(both, ["report"], scratch_path(t.spark, "reports"), [bins_, reports_])
     return round_all(out.drop("report_ts"), ["value"])

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from skycadence.functions.timeline import US, as_instant, as_wall, from_micros, micros
+from skycadence.functions.timeline import US, as_instant, as_wall, floor_div, from_micros, micros
 from skycadence.session import scratch_path
 from skycadence.spec import HISTORY_STEPS, STEP_S
 
@@ -109,16 +109,31 @@ def bins_with_latest_report(stream: DataFrame, value: Column, report: Column, *,
             .select(*keys, as_wall("_w.start").alias(ts), "value", "n", "report").where(C("n") > 0))
 
 
+def newest_per_step(reports: DataFrame, cols: Sequence[str], *, step_s: int = STEP_S, lateness: str = "1 hour", key: str = "site", ts: str = "ts") -> DataFrame:
+    """The newest report of each step, with its own time; a step ends at its slot and holds that instant.
+
+    At a slot or later no other report of the step is the newest, so a join to bins of that step needs these alone."""
+    clocked = reports.withColumn("_at", as_instant(ts) - F.expr("INTERVAL 1 MICROSECOND")).withWatermark("_at", lateness)
+    newest = clocked.groupBy(key, F.window("_at", f"{step_s} seconds").alias("_w")).agg(F.max(ts).alias("_ts"), F.max_by(F.struct(*cols), ts).alias("_new"))
+    return newest.select(key, C("_ts").alias(ts), *[C(f"_new.{c}").alias(c) for c in cols])
+
+
 def report_candidates(bins: DataFrame, reports: DataFrame, cols: Sequence[str], *, tolerance_s: int = 65 * 60, lateness: str = "1 hour",
                       key: str = "site", ts: str = "ts") -> DataFrame:
     """Outer join of two watermarked streams: each bin with every report of the last ``tolerance_s`` before it, or with none.
 
     State holds a bin until no report can come for it and a report until no bin can, which the interval and both watermarks
-    bound. A bin is emitted once per report; ``latest_reports`` keeps the newest. Bins without key or time are left out."""
+    bound. A bin is emitted once per report; ``latest_reports`` keeps the newest. Bins without key or time are left out.
+    Rows meet by key and span of ``tolerance_s``: a report waits in its own span and in the next, the only ones whose bins it
+    can serve, so a bin is compared with the reports of two spans however many a batch or the state holds."""
+    def span(t: str) -> Column:
+        return floor_div(micros(t), tolerance_s * US)
     b = _clocked(bins.where(C(key).isNotNull() & C(ts).isNotNull() | (C(ts) >= F.lit(CLOSING_TIME).cast("timestamp_ntz"))), ts, lateness)
     # A filter on the key would go below the watermark and take the closing row with it: reports without key get one no bin has.
     r = reports.select(F.coalesce(C(key).cast("string"), F.lit("\x00")).alias("_rkey"), C(ts).alias("report_ts"), *cols, as_instant(ts).alias("_rat")).withWatermark("_rat", lateness)
-    near = (C(key) == C("_rkey")) & (C("_rat") <= C("_at")) & (C("_rat") > C("_at") - F.expr(f"INTERVAL {tolerance_s} SECONDS"))
+    b = b.withColumn("_span", span(ts))
+    r = r.withColumn("_rspan", F.explode(F.array(span("report_ts"), span("report_ts") + 1)))
+    near = (C(key) == C("_rkey")) & (C("_span") == C("_rspan")) & (C("_rat") <= C("_at")) & (C("_rat") > C("_at") - F.expr(f"INTERVAL {tolerance_s} SECONDS"))
     return b.join(r, near, "leftOuter").select(*bins.columns, "report_ts", *cols)
 
 

@@ -1,6 +1,7 @@
 """Several micro-batches give what one batch gives."""
 
 import os
+import re
 
 from pyspark.sql import functions as F
 
@@ -141,6 +142,32 @@ def test_report_join_takes_late_rows_and_resumes(spark, tmp_path):
         assert got[i] == (max(near, key=lambda r: r[1])[3] if near else None)
 
 
+def test_report_join_compares_a_bin_with_the_reports_of_its_span(spark, tmp_path):
+    """A long stream in one batch; no row is compared with all others of its station."""
+    bins = [("a", at(10 * k), k, float(k)) for k in range(1500)]
+    reports = [("a", at(5 * k + 0.5 * (k % 3)), k, float(k)) for k in range(3000)] + [("a", at(60), -1, -1.0), (None, at(70), -2, -2.0), ("a", None, -3, -3.0)]
+    streams = [tw.closable(tw.folder_stream(spark, sliced(spark, tmp_path / n, d, SCHEMA, parts=1))) for n, d in (("bins", bins), ("reports", reports))]
+    both = tw.report_candidates(streams[0], streams[1].select("site", "ts", F.col("x").alias("report")), ["report"])
+    join = next(x for x in both._jdf.queryExecution().analyzed().toString().splitlines() if "Join LeftOuter" in x)
+    assert len(re.findall(r"\(\w+#\d+L? = \w+#\d+L?\)", join)) == 2  # the station and the span
+    found = tw.latest_reports(both, ["report"], str(tmp_path / "out"), streams)
+    got = {r["id"]: r["report"] for r in found.collect()}
+    for _, t, i, _ in bins:
+        near = [r for r in reports if r[0] == "a" and r[1] is not None and 0 <= (t - r[1]).total_seconds() < 65 * 60]
+        latest = max(r[1] for r in near)
+        assert got[i] in {r[3] for r in near if r[1] == latest}
+
+
+def test_newest_report_of_each_step(spark, tmp_path):
+    """A report at a slot closes the step that ends there."""
+    minutes = [0, 0.5, 3, 9.9, 10, 10.1, 25, 30, 30.5, 61]
+    data = [("a", at(m), i, float(i)) for i, m in enumerate(minutes)] + [("b", at(4), 90, None), ("b", at(2), 91, 5.0), ("b", None, 92, 6.0)]
+    stream = tw.closable(tw.folder_stream(spark, sliced(spark, tmp_path, data, SCHEMA, parts=2)))
+    got = rows(spark.read.parquet(tw.replay(tw.newest_per_step(stream, ["id", "x"]), closing=stream)), "site", "ts", "id", "x")
+    want = [("a", at(minutes[i]), i, float(i)) for i in (0, 4, 5, 7, 8, 9)] + [("b", at(4), 90, None)]
+    assert got == sorted(want, key=lambda r: tuple(str(v) for v in r))
+
+
 def test_closed_replay_equals_the_batch_operator(spark, tmp_path):
     data = points()
     stream = tw.closable(tw.folder_stream(spark, sliced(spark, tmp_path, data, SCHEMA)))
