@@ -35,6 +35,34 @@ def test_analogs_equal_brute_force_with_many_copies(spark, monkeypatch, blocks):
             assert abs(r["analog_mean"] - y[near].mean()) < 1e-9
 
 
+def test_analogs_copy_no_query_where_all_blocks_are_open(spark, monkeypatch):
+    """All rows lie about as far from the pivot, so it closes no block; a query is moved once, and tiles are bounded."""
+    rng = np.random.default_rng(3)
+    x, q = rng.normal(size=(700, 24)), rng.normal(size=(90, 24))
+    x, q = x / np.linalg.norm(x, axis=1)[:, None], q / np.linalg.norm(q, axis=1)[:, None]
+    y = rng.normal(size=700)
+    rows = [(i, [float(v) for v in r], None if i % 9 == 0 else float(t), False) for i, (r, t) in enumerate(zip(x, y))]
+    rows += [(1000 + i, [float(v) for v in r], None, True) for i, r in enumerate(q)] + [(1000, [float(v) for v in q[0]], None, True)]  # one query twice
+    df = spark.createDataFrame(rows, "id long, v array<double>, y double, is_q boolean")
+    moved, search, tiles, pack = [], analogs._search, spark.sparkContext.accumulator(0), analogs._pack_queries
+    monkeypatch.setattr(analogs, "_search", lambda a, *rest: moved.append(a.count()) or search(a, *rest))
+
+    def packed(part):
+        assert len(part) <= 64
+        tiles.add(1)
+        return pack(part)
+    monkeypatch.setattr(analogs, "_pack_queries", packed)
+    found = analog_ensemble(df.where("is_q"), df.where("NOT is_q"), qid="id", xid="id", vec="v", y="y", k=30, rows_per_block=32, tile=16).collect()
+    got = {r["qid"]: r for r in found}
+    assert len(found) == len(got) == len(q) and sum(moved) == 91 and tiles.value > 3
+    for i, v in enumerate(q):
+        d = np.sqrt(((x - v) ** 2).sum(axis=1))
+        near = np.argsort(d)[:15 if i == 0 else 30]  # the rows of a query that comes twice count twice
+        r = got[1000 + i]
+        assert r["n"] == 30 and abs(r["farthest"] - d[near].max()) < 1e-12
+        assert abs(r["analog_mean"] - y[near][near % 9 != 0].mean()) < 1e-9
+
+
 def _signal(spark):
     rng = np.random.default_rng(1)
     rows = []
