@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +16,12 @@ from skycadence.llm.shared import documents
 
 LENGTH = 50  # bytes of a passage that counts as repeated
 GRAM = 24  # bytes that decide which suffixes are sampled
+SIDE = (LENGTH - GRAM) // 2  # bytes beside a gram, on one side at least, that a repeated passage shares too
 PART = 4  # passages of a cell that are compared together before they are compared one by one
 PIECE = 1 << 19  # bytes that are hashed at once
+SLOT = 1 << 25  # bytes of text of a slot, or less
+SIDE_BITS = 48  # bits of a side's hash: sides only rule passages out, so equal hashes of unlike sides do no harm
+REPEATED, OPEN, SHARED = np.uint8(1), np.uint8(2), np.uint8(4)  # marks of an entry
 _LOW = np.uint64(0xFFFFFFFF)
 _HIGH = np.uint64(0xFFFFFFFF00000000)
 
@@ -36,12 +40,11 @@ class Sampled:
         if n < LENGTH:
             self.row = self.lo = self.hi = self.at = np.zeros(0, np.int64)
             self.key = self.gram = np.zeros(0, np.uint64)
-            self._total, self._down = np.zeros(1, np.uint64), np.ones(1, np.uint64)
+            self._part, self._down = part[:0], np.ones(1, np.uint64)
             return
-        up, self._down = tk.powers(n + 1)
-        self._total = np.zeros(n + 1, np.uint64)
-        np.cumsum(tk.BYTE[part] * up[:n], out=self._total[1:])
-        gram = (self._total[GRAM:] - self._total[:-GRAM]) * self._down[:n - GRAM + 1]
+        self._part, self._down = part, tk.powers(n + 1)[1]
+        total = self._sums()
+        gram = (total[GRAM:] - total[:-GRAM]) * self._down[:n - GRAM + 1]
         tk.scramble(gram)
         low = (gram & _HIGH) | np.arange(len(gram), dtype=np.uint64)
         width, covered = LENGTH - GRAM + 1, 1
@@ -58,13 +61,34 @@ class Sampled:
         at = self.at
         self.hi = start[np.append(first[1:], len(start)) - 1] if len(start) else self.lo
         self.row = np.searchsorted(cut, self.lo, "right") - 1
-        cell = (self._total[self.hi + LENGTH] - self._total[self.lo]) * self._down[self.lo]
+        cell = (total[self.hi + LENGTH] - total[self.lo]) * self._down[self.lo]
         cell += ((at - self.lo) * 1000 + self.hi - self.lo).astype(np.uint64)
         self.key, self.gram = tk.scramble(cell), gram[at]
 
+    def _sums(self) -> np.ndarray:
+        """Running sums of the weighted bytes; they take eight times the text, so none are kept."""
+        total = np.zeros(len(self._part) + 1, np.uint64)
+        np.cumsum(tk.BYTE[self._part] * tk.powers(len(self._part))[0], out=total[1:])
+        return total
+
     def passages(self, start: np.ndarray) -> np.ndarray:
         """Hash of the passage at each start."""
-        return tk.scramble((self._total[start + LENGTH] - self._total[start]) * self._down[start])
+        total = self._sums()
+        return tk.scramble((total[start + LENGTH] - total[start]) * self._down[start])
+
+    def sides(self, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(cell, first start, last start, key) of the cells' sides: a gram with the SIDE bytes before it, or behind it.
+
+        A passage has SIDE bytes or more on one side of the gram it samples, and shares them where it is repeated. So
+        only the passages from the first to the last start, those that hold a side, can be repeated through it."""
+        at, lo, hi = self.at[cells], self.lo[cells], self.hi[cells]
+        left, right = np.flatnonzero(lo <= at - SIDE), np.flatnonzero(hi >= at + GRAM + SIDE - LENGTH)
+        start = np.concatenate([at[left] - SIDE, at[right]])
+        total = self._sums()
+        key = (total[start + GRAM + SIDE] - total[start]) * self._down[start]
+        key[len(left):] += np.uint64(1)
+        return (cells[np.concatenate([left, right])], np.concatenate([lo[left], np.maximum(lo, at + GRAM + SIDE - LENGTH)[right]]),
+                np.concatenate([np.minimum(hi, at - SIDE)[left], hi[right]]), tk.scramble(key) >> np.uint64(64 - SIDE_BITS))
 
     def parts(self, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(cell, lo, hi, key, core) of the cells' parts: PART passages at fixed distances from the sampled place.
@@ -77,8 +101,9 @@ class Sampled:
         group = _ranges(low, high)
         nearest = self.at[owner] - PART * group
         lo, hi = np.maximum(self.lo[owner], nearest - PART + 1), np.minimum(self.hi[owner], nearest)
-        core = (self._total[nearest + LENGTH - PART + 1] - self._total[nearest]) * self._down[nearest] + group.astype(np.uint64)
-        span = (self._total[hi + LENGTH] - self._total[lo]) * self._down[lo]
+        total = self._sums()
+        core = (total[nearest + LENGTH - PART + 1] - total[nearest]) * self._down[nearest] + group.astype(np.uint64)
+        span = (total[hi + LENGTH] - total[lo]) * self._down[lo]
         span += ((self.at[owner] - lo) * 1000 + hi - lo).astype(np.uint64)
         return owner, lo, hi, tk.scramble(span), tk.scramble(core)
 
@@ -103,34 +128,17 @@ def sampled(buf: np.ndarray, offs: np.ndarray) -> Iterator[tuple[int, int, Sampl
                 yield lo, at, Sampled(part, np.array([0, len(part)]))
 
 
-class Lists:
-    """Membership of (row, key) pairs in a column of lists of keys; NULL is an empty list."""
-
-    def __init__(self, column: pa.Array):
-        self.size = np.asarray(pa.compute.list_value_length(column).fill_null(0)).astype(np.int64)
-        keys = column.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-        self.pairs = np.unique(self._pairs(np.repeat(np.arange(len(self.size)), self.size), keys))
-
-    @staticmethod
-    def _pairs(row: np.ndarray, key: np.ndarray) -> np.ndarray:
-        return tk.scramble(key + tk.scramble(row.astype(np.uint64) + np.uint64(1)))
-
-    def hold(self, row: np.ndarray, key: np.ndarray) -> np.ndarray:
-        if not len(self.pairs) or not len(key):
-            return np.zeros(len(key), bool)
-        found = self._pairs(row, key)
-        return self.pairs[np.minimum(np.searchsorted(self.pairs, found), len(self.pairs) - 1)] == found
-
-
 class Family:
-    """Levels of sorted arrays (order, rest, doc, told); a new batch is merge-scanned against each and then becomes one.
+    """Levels of sorted arrays (order, rest, doc, told, number); a new batch is merge-scanned against each and then becomes one.
 
     Levels of about equal size merge, so sizes grow geometrically and their number with the logarithm of the entries.
     A key is in one level, with the first document that has it. Batches may come in any order of documents. A cell's
-    `order` has 32 bits of its gram and the first half of its key, `rest` has the other half (see _order)."""
+    `order` has 32 bits of its gram and the first half of its key, `rest` has the other half (see _order). What is found
+    out is marked on the entries, which are numbered as they come."""
 
     def __init__(self, cells: bool):
-        self.cells, self.levels = cells, []
+        self.cells, self.levels, self.size = cells, [], 0
+        self._marks, self._same = np.zeros(1024, np.uint8), []
 
     @staticmethod
     def _find(level: np.ndarray, level_rest: np.ndarray, order: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -147,45 +155,65 @@ class Family:
             off = off[level_rest[at[off]] != rest[off]]
         return at, hit
 
-    def add(self, order: np.ndarray, rest: np.ndarray, docs: np.ndarray, told: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
-        """(keys, docs, open) that follow from a batch of sorted, different keys: repeated where not open.
+    def _numbered(self, n: int) -> np.ndarray:
+        if self.size + n > len(self._marks):
+            self._marks = np.concatenate([self._marks, np.zeros(max(len(self._marks), n), np.uint8)])
+        self.size += n
+        return np.arange(self.size - n, self.size, dtype=np.uint32)
+
+    def add(self, order: np.ndarray, rest: np.ndarray, docs: np.ndarray, told: np.ndarray) -> None:
+        """Take a batch of sorted, different keys in.
 
         `told` marks the keys that are open already, because the batch they come from holds their gram in other cells."""
-        known, keys = np.zeros(len(order), bool), _keys(order, rest, self.cells)
-        for level, level_rest, first, level_told in self.levels:
+        known, number = np.zeros(len(order), bool), self._numbered(len(order))
+        marks = self._marks
+        for level, level_rest, first, level_told, holder in self.levels:
             at, hit = self._find(level, level_rest, order, rest)
-            known |= hit
-            late, early = hit & (docs > first[at]), hit & (docs < first[at])
-            yield keys[late], docs[late], False
-            yield keys[early], first[at[early]], False
-            first[at[early]] = docs[early]
-            fresh = hit & (told | level_told[at]) & (early | ~level_told[at])
-            level_told[at[fresh]] = True
-            yield keys[fresh], first[at[fresh]], True
-        order, rest, keys, docs, told = (x[~known] for x in (order, rest, keys, docs, told))
+            hit = np.flatnonzero(hit)
+            at = at[hit]
+            known[hit] = True
+            late, early, same = docs[hit] > first[at], docs[hit] < first[at], docs[hit] == first[at]
+            marks[number[hit[late]]] |= REPEATED
+            marks[holder[at[early]]] |= REPEATED
+            marks[number[hit[same]]] |= SHARED
+            marks[holder[at[same]]] |= SHARED
+            self._same.append((number[hit[same]], holder[at[same]]))
+            first[at[early]], holder[at[early]] = docs[hit[early]], number[hit[early]]
+            fresh = at[told[hit] | level_told[at]]
+            level_told[fresh] = True
+            marks[holder[fresh]] |= OPEN
+        order, rest, docs, told, number = (x[~known] for x in (order, rest, docs, told, number))
         if self.cells and len(order):
             gram, place = np.unique(order & _HIGH, return_inverse=True)
             told |= (np.bincount(place) > 1)[place]
-            for level, level_rest, first, level_told in self.levels:
+            for level, level_rest, first, level_told, holder in self.levels:
                 a, b = np.searchsorted(level, gram), np.searchsorted(level, gram | _LOW, "right")
                 told |= (b > a)[place]
                 near = _ranges(a[b > a], b[b > a] - 1)
                 near = near[~level_told[near]]
                 level_told[near] = True
-                yield _keys(level[near], level_rest[near], True), first[near], True
-            yield keys[told], docs[told], True
+                marks[holder[near]] |= OPEN
+            marks[number[told]] |= OPEN
         if len(order):
-            self.levels.append([order, rest, docs, told])
+            self.levels.append([order, rest, docs, told, number])
         while len(self.levels) > 1 and len(self.levels[-2][0]) < 2 * len(self.levels[-1][0]):
             one, two = self.levels[-2:]
             order = np.concatenate([one[0], two[0]])
             by = np.argsort(order, kind="stable")
             self.levels[-2:] = [[order[by], *(np.concatenate([a, b])[by] for a, b in zip(one[1:], two[1:]))]]
 
+    def marks(self) -> np.ndarray:
+        """REPEATED, OPEN and SHARED of each entry; a document's entries of one key have the same."""
+        for number, holder in self._same:
+            self._marks[number] |= self._marks[holder]
+        return self._marks[:self.size]
+
 
 def _order(key: np.ndarray, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order, rest) of cells: 32 bits of the gram before the key, so that cells of one gram stand side by side."""
-    return (gram & _HIGH) | (key >> np.uint64(32)), (key & _LOW).astype(np.uint32)
+    """(order, rest) of cells: 32 bits of the gram before the key, so that cells of one gram stand side by side.
+
+    Sampled grams are the smallest of their surroundings; hashed again, they are even."""
+    return (tk.scramble(gram.copy()) & _HIGH) | (key >> np.uint64(32)), (key & _LOW).astype(np.uint32)
 
 
 def _keys(order: np.ndarray, rest: np.ndarray, cells: bool) -> np.ndarray:
@@ -193,97 +221,225 @@ def _keys(order: np.ndarray, rest: np.ndarray, cells: bool) -> np.ndarray:
     return (order << np.uint64(32)) | rest.astype(np.uint64) if cells else order
 
 
+def _planes(x: np.ndarray) -> bytes:
+    return x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+
+
 def _pack(keys: np.ndarray, rest: np.ndarray, docs: np.ndarray) -> bytes:
     """A sorted array as bytes: differences of the keys by byte planes, the rest, and places in a list of documents."""
     names, place = np.unique(docs, return_inverse=True)
-    planes = np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T
-    place = place.astype(np.uint32).view(np.uint8).reshape(-1, 4).T
-    raw = np.array([len(keys), len(names)]).tobytes() + names.tobytes() + planes.tobytes() + place.tobytes() + rest.tobytes()
+    raw = b"".join([np.array([len(keys), len(names)]).tobytes(), _planes(np.diff(names, prepend=np.int64(0))),
+                    _planes(np.diff(keys, prepend=np.uint64(0))), _planes(place.astype(np.uint32)), rest.tobytes()])
     return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
 def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     raw = pa.decompress(blob[8:], decompressed_size=int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
     n, m = np.frombuffer(raw, np.int64, 2)
-    names = np.frombuffer(raw, np.int64, m, 16)
-    planes = np.frombuffer(raw, np.uint8, 8 * n, 16 + 8 * m).reshape(8, n).T.copy()
-    place = np.frombuffer(raw, np.uint8, 4 * n, 16 + 8 * m + 8 * n).reshape(4, n).T.copy()
-    rest = np.frombuffer(raw, np.uint32, n, 16 + 8 * m + 12 * n)
-    return np.cumsum(planes.view(np.uint64).ravel(), dtype=np.uint64), rest, names[place.view(np.uint32).ravel()]
 
-
-_ROWS = "part int, kind int, entries binary"
-_SINGLE, _SETTLED, _OPEN, _WITNESS = range(4)
+    def planes(size: int, count: int, at: int, kind: type) -> np.ndarray:
+        return np.frombuffer(raw, np.uint8, size * count, at).reshape(size, count).T.copy().view(kind).ravel()
+
+    names = np.cumsum(planes(8, m, 16, np.int64), dtype=np.int64)
+    keys = np.cumsum(planes(8, n, 16 + 8 * m, np.uint64), dtype=np.uint64)
+    return keys, np.frombuffer(raw, np.uint32, n, 16 + 8 * m + 12 * n), names[planes(4, n, 16 + 8 * m + 8 * n, np.uint32)]
+
+
+def _pack_marks(marks: np.ndarray) -> bytes:
+    return pa.compress(np.packbits([marks & m for m in (REPEATED, OPEN, SHARED)], axis=1).tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpack_marks(blob: bytes, n: int) -> np.ndarray:
+    raw = pa.decompress(blob, decompressed_size=3 * -(-n // 8), codec="zstd", asbytes=True)
+    bits = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(3, -1), axis=1, count=n)
+    return bits[0] * REPEATED | bits[1] * OPEN | bits[2] * SHARED
+
+
+_SENT = "part int, kind int, entries binary, slot int"
+_TOLD = "slot int, step int, part int, marks binary"
+_SINGLE, _OPEN, _WITNESS = 0, 2, 3
+
+
+class Entries:
+    """The sorted arrays that a slot sends, one for each partition of the family; only cells, and parts of them, have grams.
+
+    A key that a smaller document of the slot has is settled as repeated here, so one entry per key and slot is left
+    to compare, however common the key is. Partitions are ranges of hashes, so an array's keys stand as close as the
+    slot's, into however many it is cut. Cells whose gram the slot holds once go by gram. Where it holds several
+    different cells of a gram they are open, whatever others have, and go by the whole key; one of them also goes by gram, as the
+    witness that opens other slots' cells. So one gram, however common, has at most one entry per slot in its
+    partition. A cell may stand in a slot of either sort; both are open then, and what they share is settled by their
+    parts or passages. Sides go without documents.
+
+    The order of the slot's rows does not matter, so the marks that come back fit whenever it is sampled again."""
+
+    def __init__(self, keys: list[np.ndarray], docs: list[np.ndarray], parts: int, grams: list[np.ndarray] | None = None, bits: int = 64):
+        key = np.concatenate([np.zeros(0, np.uint64), *keys])
+        doc = np.concatenate([np.zeros(0, np.int64), *docs])
+        rest = np.zeros(len(key), np.uint32)
+        if grams is not None:
+            key, rest = _order(key, np.concatenate([np.zeros(0, np.uint64), *grams]))
+        order = np.argsort(key)
+        fresh = np.ones(len(key), bool)
+        fresh[1:] = np.diff(key[order]) != 0
+        if grams is not None and (rest[order][1:] != rest[order][:-1])[~fresh[1:]].any():
+            order = np.lexsort((rest, key))
+            fresh[1:] = (np.diff(key[order]) != 0) | (np.diff(rest[order]) != 0)
+        first, of = np.flatnonzero(fresh), np.cumsum(fresh) - 1
+        least = np.minimum.reduceat(doc[order], first) if len(first) else doc
+        self._of = np.empty(len(key), np.int64)
+        self._of[order] = of
+        self._late = doc > least[self._of]
+        self.key, self.rest = key[order[first]], rest[order[first]]
+        self.doc = least if bits == 64 else np.zeros(len(first), np.int64)
+        entry, kind, place = np.arange(len(first)), np.full(len(first), _SINGLE), self.key >> np.uint64(bits - 32)
+        if grams is not None:
+            follows = np.zeros(len(first) + 1, bool)
+            follows[1:-1] = place[1:] == place[:-1]
+            several, lead = np.flatnonzero(follows[:-1] | follows[1:]), np.flatnonzero(~follows[:-1] & follows[1:])
+            entry, kind, place = np.append(entry, lead), np.append(kind, np.full(len(lead), _WITNESS)), np.append(place, place[lead])
+            kind[several], place[several] = _OPEN, self.key[several] & _LOW
+        group = 4 * (place * np.uint64(parts) >> np.uint64(32)).astype(np.int64) + kind
+        by = np.argsort(group, kind="stable")
+        cuts = np.flatnonzero(np.diff(group[by], prepend=-1))
+        self.runs = list(zip(*divmod(group[by][cuts], 4), np.split(entry[by], cuts[1:]))) if len(by) else []
+
+    def batch(self, slot: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array([p for p, _, _ in self.runs], pa.int32()), pa.array([k for _, k, _ in self.runs], pa.int32()),
+             pa.array([_pack(self.key[r], self.rest[r], self.doc[r]) for _, _, r in self.runs], pa.binary()),
+             pa.array(np.full(len(self.runs), slot, np.int32))], ["part", "kind", "entries", "slot"])
+
+    def marks(self, told: dict[int, bytes]) -> np.ndarray:
+        """The marks of each key that was given, from what each partition told of its runs by kind."""
+        marks, runs = np.zeros(len(self.key), np.uint8), {}
+        for part, _, run in self.runs:
+            runs.setdefault(part, []).append(run)
+        for part, blob in told.items():
+            some = _unpack_marks(blob, sum(map(len, runs[part])))
+            for run in runs[part]:
+                marks[run] |= some[:len(run)]
+                some = some[len(run):]
+        marks[self._of[self._late]] |= SHARED
+        marks = marks[self._of]
+        marks[self._late] |= REPEATED
+        return marks
 
 
 def _batch(keys: list[np.ndarray], docs: list[np.ndarray], parts: int, grams: list[np.ndarray] | None = None) -> pa.RecordBatch:
-    """The sorted arrays of a new batch, one per partition of the family; only cells, and parts of them, have grams.
-
-    A key that a smaller document of this batch has is settled as repeated here, so one entry per key and batch is left
-    to compare, however common the key is; settled entries are only passed on, by document. Cells whose gram the batch
-    holds once go by gram. Where it holds several different cells of a gram they are open, whatever others have, and go
-    by the whole key; one of them also goes by gram, as the witness that opens other batches' cells. So one gram, however
-    common, has at most one entry per batch in its partition. A cell may stand in a batch of either sort; both are
-    open then, and what they share is settled by their parts or passages."""
-    key = np.concatenate([np.zeros(0, np.uint64), *keys])
-    doc = np.concatenate([np.zeros(0, np.int64), *docs])
-    rest = np.zeros(len(key), np.uint32)
-    if grams is not None:
-        key, rest = _order(key, np.concatenate([np.zeros(0, np.uint64), *grams]))
-    order = np.lexsort((doc, rest, key))
-    key, rest, doc = key[order], rest[order], doc[order]
-    same = np.zeros(len(key), bool)
-    same[1:] = (key[1:] == key[:-1]) & (rest[1:] == rest[:-1])
-    again = same.copy()
-    again[1:] &= doc[1:] == doc[:-1]
-    first = doc[np.maximum.accumulate(np.where(same, 0, np.arange(len(key))))] if len(key) else doc
-    settled = (doc > first)[~again]
-    key, rest, doc = key[~again], rest[~again], doc[~again]
-    kind = np.where(settled, _SETTLED, _SINGLE)
-    place = np.where(settled, doc.view(np.uint64), key)
-    if grams is not None:
-        new = np.flatnonzero(~settled)
-        gram = key[new] >> np.uint64(32)
-        place[new] = gram
-        follows = np.zeros(len(new) + 1, bool)
-        follows[1:-1] = gram[1:] == gram[:-1]
-        several, lead = new[follows[:-1] | follows[1:]], new[~follows[:-1] & follows[1:]]
-        kind[several], place[several] = _OPEN, _keys(key[several], rest[several], True)
-        kind, place = np.append(kind, np.full(len(lead), _WITNESS)), np.append(place, key[lead] >> np.uint64(32))
-        key, rest, doc = (np.append(x, x[lead]) for x in (key, rest, doc))
-    group = 4 * (tk.scramble(place) % np.uint64(parts)).astype(np.int64) + kind
-    order = np.argsort(group, kind="stable")
-    group = group[order]
-    cuts = np.flatnonzero(np.diff(group, prepend=-1))
-    runs = np.split(order, cuts[1:]) if len(order) else []
-    return pa.RecordBatch.from_arrays(
-        [pa.array((group[cuts] // 4).astype(np.int32)), pa.array((group[cuts] % 4).astype(np.int32)),
-         pa.array([_pack(key[r], rest[r], doc[r]) for r in runs], pa.binary())], ["part", "kind", "entries"])
+    """The rows that a slot would send."""
+    return Entries(keys, docs, parts, grams).batch(0)
 
 
 def _parts(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _scanned(batches: DataFrame, cells: bool) -> DataFrame:
-    """(doc_id, key, open): keys that a smaller document has too, and for cells the ones that must be looked into.
+def _scanned(sent: DataFrame, step: int, cells: bool) -> DataFrame:
+    """What is told to the slots: marks of the entries they sent, in the entries' order.
 
-    The batches' arrays meet in partitions (see _batch) and pass an index family there. A cell, or a part of one, is open
+    The slots' arrays meet in partitions (see Entries) and pass an index family there. A cell, or a part of one, is open
     if its gram or core also occurs with another key."""
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        family = Family(cells)
+        family, runs = Family(cells), {}
         for batch in rows:
-            for kind, blob in zip(batch.column("kind").to_pylist(), batch.column("entries")):
+            for slot, part, kind, blob in zip(*(batch.column(c).to_pylist() for c in ("slot", "part", "kind")), batch.column("entries")):
                 order, rest, docs = _unpack(blob.as_py())
-                told = np.full(len(order), kind in (_OPEN, _WITNESS))
-                out = [(_keys(order, rest, cells), docs, False)] if kind == _SETTLED else list(family.add(order, rest, docs, told))
-                n = [len(k) for k, _, _ in out]
-                if sum(n):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate([d for _, d, _ in out])), pa.array(np.concatenate([k for k, _, _ in out]).view(np.int64)),
-                         pa.array(np.repeat([o for _, _, o in out], n))], ["doc_id", "key", "open"])
+                runs.setdefault((slot, part), []).append((kind, family.size, family.size + len(order)))
+                family.add(order, rest, docs, np.full(len(order), kind in (_OPEN, _WITNESS)))
+        marks = family.marks()
+        del family
+        places = list(runs)
+        for k in range(0, len(places), 1000):
+            found = ((place, np.concatenate([marks[a:b] for _, a, b in sorted(runs[place])])) for place in places[k:k + 1000])
+            some = [(*place, _pack_marks(m)) for place, m in found if m.any()]
+            slot, part, blobs = zip(*some) if some else ((),) * 3
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(slot, pa.int32()), pa.array([step] * len(some), pa.int32()), pa.array(part, pa.int32()), pa.array(blobs, pa.binary())],
+                ["slot", "step", "part", "marks"])
+
+    return sent.repartitionById(_parts(sent), F.col("part")).mapInArrow(run, _TOLD).repartition("slot")
+
 
-    return batches.repartitionById(_parts(batches), F.col("part")).mapInArrow(run, "doc_id long, key long, open boolean")
+_CELLS, _SIDES, _PARTS, _PASSAGES, _CUT = range(5)
+
+
+def _examined(ids: np.ndarray, found: list[tuple[int, int, Sampled]], parts: int) -> Generator[Entries, dict, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The steps of a slot: yields the entries of each step, is sent what was told about them, returns (row, start, end).
+
+    The stretches that are returned are the repeated passages; places count from the start of the buffer."""
+    rows, starts, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+    def add(piece: tuple[int, int, Sampled], cell: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> None:
+        first, base, f = piece
+        rows.append(first + f.row[cell])
+        starts.append(base + lo)
+        ends.append(base + hi + LENGTH)
+
+    def docs(owners: list[np.ndarray]) -> list[np.ndarray]:
+        return [ids[first + f.row[cell]] for (first, _, f), cell in zip(found, owners)]
+
+    def by_piece(marks: np.ndarray, owners: list[np.ndarray]) -> list[np.ndarray]:
+        return np.split(marks, np.cumsum([len(x) for x in owners[:-1]])) if owners else []
+
+    def settled_and_open(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.flatnonzero(marks & REPEATED), np.flatnonzero(marks & (REPEATED | OPEN) == OPEN)
+
+    all_cells = [np.arange(len(f.key)) for _, _, f in found]
+    entries = Entries([f.key for _, _, f in found], docs(all_cells), parts, [f.gram for _, _, f in found])
+    marks = entries.marks((yield entries))
+    del entries
+    picked = []
+    for piece, m in zip(found, by_piece(marks, all_cells)):
+        settled, open_ = settled_and_open(m)
+        add(piece, settled, piece[2].lo[settled], piece[2].hi[settled])
+        picked.append(open_)
+
+    sides = [f.sides(cells) for (_, _, f), cells in zip(found, picked)]
+    owners = [s[0] for s in sides]
+    entries = Entries([s[3] for s in sides], docs(owners), parts, bits=SIDE_BITS)
+    marks = entries.marks((yield entries))
+    some = []
+    for (_, _, f), (cell, lo, hi, _), m in zip(found, sides, by_piece(marks & SHARED > 0, owners)):
+        low, high = np.full(len(f.key), 1 << 62), np.full(len(f.key), -1)
+        np.minimum.at(low, cell[m], lo[m])
+        np.maximum.at(high, cell[m], hi[m])
+        cell, lo, hi, key, core = f.parts(np.flatnonzero(high >= 0))
+        use = (hi >= low[cell]) & (lo <= high[cell])
+        some.append([x[use] for x in (cell, lo, hi, key, core)])
+
+    owners = [s[0] for s in some]
+    entries = Entries([s[3] for s in some], docs(owners), parts, [s[4] for s in some])
+    marks = entries.marks((yield entries))
+    passages = []
+    for piece, (cell, lo, hi, _, _), m in zip(found, some, by_piece(marks, owners)):
+        settled, open_ = settled_and_open(m)
+        add(piece, cell[settled], lo[settled], hi[settled])
+        passages.append((np.repeat(cell[open_], hi[open_] - lo[open_] + 1), _ranges(lo[open_], hi[open_])))
+
+    owners = [p[0] for p in passages]
+    entries = Entries([f.passages(start) if len(start) else np.zeros(0, np.uint64) for (_, _, f), (_, start) in zip(found, passages)], docs(owners), parts)
+    marks = entries.marks((yield entries))
+    for piece, (cell, start), m in zip(found, passages, by_piece(marks, owners)):
+        settled = np.flatnonzero(m & REPEATED)
+        add(piece, cell[settled], start[settled], start[settled])
+    return np.concatenate(rows), np.concatenate(starts), np.concatenate(ends)
+
+
+def _step(texts: pa.Table, told: pa.Table | None, parts: int, step: int):
+    """The entries that a slot of texts with ids sends in a step, or at last its repeated stretches (row, start, end)."""
+    heard = [{} for _ in range(step)]
+    if told is not None:
+        for at, part, marks in zip(*(told.column(c).to_pylist() for c in ("step", "part", "marks"))):
+            heard[at][part] = marks
+    exam = _examined(np.asarray(texts.column("doc_id")), list(sampled(*_unzipped(texts))), parts)
+    try:
+        entries = next(exam)
+        for marks in heard:
+            entries = exam.send(marks)
+    except StopIteration as end:
+        return end.value
+    return entries
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -295,91 +451,65 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     with a NULL doc_id keeps everything and makes nothing repeated. Other columns are not read; an empty table gives an
     empty result.
 
-    Cells of sampled suffixes are compared first: an equal cell in a smaller document settles all its passages. Where
-    equal grams stand in different cells, at the edges of matches, parts of the cells are compared, and where those agree
-    in what their passages have in common, the passages themselves. Equality is that of 64-bit hashes in each step. Each task keeps 21 bytes per different key of its
-    partition, a sampled suffix per 14 bytes of text, so spark.sql.shuffle.partitions bounds its memory. Texts are
-    shuffled once, compressed.
+    Texts are dealt into slots of about SLOT bytes at most, by id and text. Cells of sampled suffixes are compared first: an equal cell in a smaller
+    document settles all its passages. Where equal grams stand in different cells, at the edges of matches or by chance, the
+    gram and what stands on one side of it must be equal too; of cells where it is, parts are compared, and where those agree
+    in what their passages have in common, the passages themselves. Equality is that of 64-bit hashes in each step. A slot
+    sends sorted arrays and gets a few bits for each entry back, in the same order; it is sampled again to read them. Each
+    task keeps 25 bytes per different key of its partition and one per entry, a sampled suffix per 14 bytes of text, so
+    spark.sql.shuffle.partitions bounds its memory. Texts are shuffled once, compressed.
     """
     parts = _parts(docs)
+    total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    slots = max(parts, -(-total // SLOT))
 
     def zip_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = pa.Codec("zstd", compression_level=3)
         for batch in batches:
             texts = [(x.as_py() or "").encode() for x in batch.column("text")]
+            spread = np.asarray(batch.column("spread")).view(np.uint64)
+            _, same, count = np.unique(spread, return_inverse=True, return_counts=True)
+            nth = np.empty(len(same), np.uint64)  # copies of a row go to different slots
+            nth[np.argsort(same, kind="stable")] = _ranges(np.zeros(len(count), np.int64), count - 1)
+            slot = tk.scramble(spread + nth * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(slots)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()),
-                 pa.array([codec.compress(t, asbytes=True) if t else b"" for t in texts], pa.binary())], ["doc_id", "n_bytes", "zipped"])
+                [pa.array(slot.astype(np.int32)), batch.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()),
+                 pa.array([codec.compress(t, asbytes=True) if t else b"" for t in texts], pa.binary())], ["slot", "doc_id", "n_bytes", "zipped"])
 
-    zipped = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(zip_texts, "doc_id long, n_bytes long, zipped binary")
+    rows = docs.select(F.col("doc_id").cast("long"), "text").withColumn("spread", F.xxhash64("doc_id", "text"))
+    texts = rows.mapInArrow(zip_texts, "slot int, doc_id long, n_bytes long, zipped binary").repartition("slot")
 
-    def cell_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("doc_id")
-            known, ids = np.asarray(ids.is_valid()), np.asarray(ids.fill_null(0))
-            keys, grams, owners = [], [], []
-            for row, _, found in sampled(*tk.utf8(batch.column("text"))):
-                use = known[row + found.row]
-                keys.append(found.key[use])
-                grams.append(found.gram[use])
-                owners.append(ids[row + found.row][use])
-            yield _batch(keys, owners, parts, grams)
-
-    def lists(rows: DataFrame, *names: tuple[str, bool]) -> DataFrame:
-        return rows.repartition("doc_id").groupBy("doc_id").agg(
-            *(F.collect_list(F.when(F.col("open") == flag, F.col("key"))).alias(name) for name, flag in names))
-
-    cells = _scanned(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cell_keys, _ROWS), cells=True)
-    told = zipped.join(lists(cells, ("settled", False), ("open", True)), "doc_id", "left")
-
-    def part_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            batch = _with_entries(batch, "open")
-            ids, open_ = np.asarray(batch.column("doc_id")), Lists(batch.column("open"))
-            keys, cores, owners = [], [], []
-            for row, _, found in sampled(*_unzipped(batch)):
-                owner, _, _, key, core = found.parts(np.flatnonzero(open_.hold(row + found.row, found.key)))
-                keys.append(key)
-                cores.append(core)
-                owners.append(ids[row + found.row[owner]])
-            yield _batch(keys, owners, parts, cores)
-
-    some = _scanned(told.mapInArrow(part_keys, _ROWS), cells=True)
-    told = told.join(lists(some, ("part_settled", False), ("part_open", True)), "doc_id", "left")
-
-    def passage_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            batch = _with_entries(batch, "part_open")
-            ids, open_, part_open = np.asarray(batch.column("doc_id")), Lists(batch.column("open")), Lists(batch.column("part_open"))
-            keys, owners = [], []
-            for row, _, found in sampled(*_unzipped(batch)):
-                owner, lo, hi, key, _ = found.parts(np.flatnonzero(open_.hold(row + found.row, found.key)))
-                at = np.flatnonzero(part_open.hold(row + found.row[owner], key))
-                if len(at):
-                    keys.append(found.passages(_ranges(lo[at], hi[at])))
-                    owners.append(np.repeat(ids[row + found.row[owner[at]]], hi[at] - lo[at] + 1))
-            yield _batch(keys, owners, parts)
-
-    passages = lists(_scanned(told.mapInArrow(passage_keys, _ROWS), cells=False), ("repeated", False))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            buf, offs = _unzipped(batch)
-            held = {c: Lists(batch.column(c)) for c in ("settled", "open", "part_settled", "part_open", "repeated")}
-            pick = np.flatnonzero(held["settled"].size + held["part_settled"].size + held["repeated"].size)
-            rows, starts, ends = _repeated(buf, offs, pick, held)
-            some = dict(zip(pick.tolist(), np.split(np.arange(len(rows)), np.searchsorted(rows, pick[1:])) if len(pick) else []))
-            out = [_without(buf[a:b], starts[some[r]], ends[some[r]]) if r in some else (b - a, 0, 0, buf[a:b].tobytes())
-                   for r, (a, b) in enumerate(zip(offs[:-1].tolist(), offs[1:].tolist()))]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *(pa.array([o[k] for o in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary())))],
-                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+    def send(step: int):
+        def sent(table: pa.Table, told: pa.Table | None = None) -> pa.Table:
+            slot = table.column("slot")[0].as_py()
+            return pa.Table.from_batches([_step(_known(table), told, parts, step).batch(slot)])
+        return sent
+
+    told = _scanned(texts.groupBy("slot").applyInArrow(lambda table: send(_CELLS)(table), _SENT), _CELLS, cells=True)
+    for step in (_SIDES, _PARTS, _PASSAGES):
+        sent = texts.groupBy("slot").cogroup(told.groupBy("slot")).applyInArrow(send(step), _SENT)
+        told = told.union(_scanned(sent, step, cells=step == _PARTS))
+
+    def cut(table: pa.Table, told: pa.Table) -> pa.Table:
+        with_id, without = _known(table), table.filter(table.column("doc_id").is_null())
+        buf, offs = _unzipped(with_id)
+        row, start, end = _step(with_id, told, parts, _CUT)
+        by = np.argsort(row, kind="stable")
+        spans = np.split(by, np.searchsorted(row[by], np.arange(1, with_id.num_rows)))
+        out = [_without(buf[a:b], start[some] - a, end[some] - a) if len(some) else (b - a, 0, 0, buf[a:b].tobytes())
+               for some, a, b in zip(spans, offs[:-1].tolist(), offs[1:].tolist())]
+        buf, offs = _unzipped(without)
+        out += [(b - a, 0, 0, buf[a:b].tobytes()) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist())]
+        ids = with_id.column("doc_id").to_pylist() + [None] * without.num_rows
+        return pa.Table.from_arrays(
+            [pa.array(ids, pa.int64()), *(pa.array([o[k] for o in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary())))],
+            ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return told.join(passages, "doc_id", "left").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return texts.groupBy("slot").cogroup(told.groupBy("slot")).applyInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
-def _with_entries(batch: pa.RecordBatch, column: str) -> pa.RecordBatch:
-    return batch.filter(pa.compute.greater(pa.compute.list_value_length(batch.column(column)), 0))
+def _known(texts: pa.Table) -> pa.Table:
+    return texts.filter(texts.column("doc_id").is_valid())
 
 
 def _unzipped(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -388,34 +518,6 @@ def _unzipped(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
 
 
-def _repeated(buf: np.ndarray, offs: np.ndarray, pick: np.ndarray, held: dict[str, Lists]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, start, end) of the repeated stretches of the picked rows, in order of row; places count from the row's start."""
-    rows, starts, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-
-    def add(row, lo, hi):
-        rows.append(row)
-        starts.append(lo)
-        ends.append(hi + LENGTH)
-
-    picked = np.concatenate([np.zeros(0, np.uint8), *(buf[offs[r]:offs[r + 1]] for r in pick)])
-    cuts = np.concatenate([[0], np.cumsum(np.diff(offs)[pick])]).astype(np.int64)
-    for first, base, found in sampled(picked, cuts):
-        row, shift = pick[first + found.row], base - cuts[first + found.row]
-        full = held["settled"].hold(row, found.key)
-        add(row[full], (found.lo + shift)[full], (found.hi + shift)[full])
-        owner, lo, hi, key, _ = found.parts(np.flatnonzero(held["open"].hold(row, found.key)))
-        full = held["part_settled"].hold(row[owner], key)
-        add(row[owner][full], (lo + shift[owner])[full], (hi + shift[owner])[full])
-        at = np.flatnonzero(held["part_open"].hold(row[owner], key))
-        if len(at):
-            start, owner = _ranges(lo[at], hi[at]), np.repeat(owner[at], hi[at] - lo[at] + 1)
-            hit = held["repeated"].hold(row[owner], found.passages(start))
-            add(row[owner][hit], (start + shift[owner])[hit], (start + shift[owner])[hit])
-    row = np.concatenate(rows)
-    order = np.argsort(row, kind="stable")
-    return row[order], np.concatenate(starts)[order], np.concatenate(ends)[order]
-
-
 def _without(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[int, int, int, bytes]:
     """(bytes, removed bytes, removed runs, what is left) of a text without the stretches."""
     edge = np.bincount(starts, minlength=len(text) + 1) - np.bincount(ends, minlength=len(text) + 1)

@@ -178,6 +178,47 @@ def test_passages_around_a_common_gram_in_many_batches(spark):
         assert sorted([(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got], key=str) == brute_passages(texts, ids)
 
 
+def moved_bytes(spark, action):
+    """The action's result, and what its stages wrote into shuffles."""
+    spark.sparkContext.setJobGroup("moved", "")
+    before = set(spark.sparkContext.statusTracker().getJobIdsForGroup("moved"))
+    try:
+        found = action()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker, sc = spark.sparkContext.statusTracker(), spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty()
+    stages = {s for j in set(tracker.getJobIdsForGroup("moved")) - before for s in tracker.getJobInfo(j).stageIds}
+    return found, sum(sc.statusStore().lastStageAttempt(s).shuffleWriteBytes() for s in stages)
+
+
+def test_grams_that_are_equal_by_chance_move_little(spark):
+    """Phrases longer than a gram stand in ever other company: nearly all cells are open, few passages repeat."""
+    rng = random.Random(21)
+    phrases = ["".join(rng.choices("abcdefgh", k=30)) for _ in range(300)]
+    texts = [" ".join(rng.choices(phrases, k=150)) for _ in range(80)]
+    ids = rng.sample(range(1000), len(texts))
+    got, moved = moved_bytes(spark, lambda: repeated_spans(frame(spark, texts, ids=ids)).collect())
+    assert sorted([(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got], key=str) == brute_passages(texts, ids)
+    assert moved < 3 * sum(map(len, texts)), moved / sum(map(len, texts))
+
+
+def test_arrays_cut_for_many_partitions_are_hardly_larger():
+    rng = np.random.default_rng(5)
+    keys, grams, docs = rng.integers(0, 1 << 63, 200_000, dtype=np.uint64), rng.integers(0, 1 << 63, 200_000, dtype=np.uint64), rng.integers(0, 500, 200_000)
+    few, many = (sum(len(b.as_py()) for b in suffix_family._batch([keys], [docs], parts, [grams]).column("entries")) for parts in (8, 400))
+    assert many < 1.06 * few, many / few
+
+
+def test_rows_of_one_id_in_several_slots(spark):
+    """Copies of a row, and rows that share an id, lie in different slots; they learn the same about the same passages."""
+    rng = random.Random(22)
+    a, b, c = (prose(rng, 40) for _ in range(3))
+    texts, ids = [a + "1" + b, b + "2" + c, c + "3" + a] * 3 + [a, b, c, a + b, None, a], [5, 5, 5] * 3 + [5, 4, 9, 3, 5, None]
+    got = repeated_spans(frame(spark, texts, ids=ids)).collect()
+    assert sorted([(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got], key=str) == brute_passages(texts, ids)
+
+
 def test_passages_whose_hashes_agree_in_32_bits_stay(spark):
     """Pairs of unlike cells, and of unlike parts of cells, around one gram whose hashes agree in their low halves."""
     pairs = [("edadgftrxtbgnilcduygxrloxxlompppyyucjorwfdgcloikkl", "bibutpqyckxnpilcduygxrloxxlompppyyucjqrgkhcmvpcedc"),
